@@ -15,6 +15,12 @@ def public(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from factloom.llm.token_transducer import op1_token_counts as op
+
+    return op(table(spark, sf_dir, "documents"), public("word_bpe_49k.json"))
+
+
 def op4_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     from factloom.llm.token_shards import op4_token_shards as op
 
@@ -22,6 +28,7 @@ def op4_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_token_counts": op1_token_counts,
     "op4_token_shards": op4_token_shards,
 }
 
