@@ -21,6 +21,12 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op(table(spark, sf_dir, "documents"), public("word_bpe_49k.json"))
 
 
+def op3_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from factloom.llm.best_fit import op3_best_fit as op
+
+    return op(table(spark, sf_dir, "documents"), public("word_bpe_49k.json"))
+
+
 def op4_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     from factloom.llm.token_shards import op4_token_shards as op
 
@@ -35,6 +41,7 @@ def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
+    "op3_best_fit": op3_best_fit,
     "op4_token_shards": op4_token_shards,
     "op10_personal_data": op10_personal_data,
 }
