@@ -29,16 +29,18 @@ class PieceIds(dict):
     """piece -> its ids as little-endian unsigned 32-bit integers. A new piece gets an empty value that fill() completes
     with one call of the library for all new ones."""
 
-    def __init__(self, tokenizer):
+    def __init__(self, tokenizer, before: str = ""):
+        """before: what stands before every piece and isn't part of the key."""
         super().__init__()
-        self.tokenizer, self.new, self.joined = tokenizer, [], []
+        self.tokenizer, self.before, self.new, self.joined = tokenizer, before, [], []
+        self.joins: dict = {}  # the ids of single punctuation marks at the end of a piece
 
     def __missing__(self, piece: str) -> bytearray:
         value = bytearray()
-        if len(piece) > 3 and piece[-1] in _ENDS and piece[-2].isalpha():
-            self.joined.append((value, self[piece[:-1]], self[piece[-1]]))  # letters and punctuation never share a pre-token
+        if self.joins and len(piece) > 3 and piece[-1] in _ENDS and piece[-2].isalpha():
+            self.joined.append((value, self[piece[:-1]], self.joins[piece[-1]]))  # letters and punctuation never share a pre-token
         else:
-            self.new.append((piece, value))
+            self.new.append((self.before + piece, value))
         self[piece] = value
         return value
 
@@ -73,33 +75,40 @@ class MemoEncoder:
             self.kind = "whole"
         self.vocabulary = self.tokenizer.get_vocab_size()
         self.cache, self.limit = PieceIds(self.tokenizer), limit
+        self.spaced = PieceIds(self.tokenizer, " ")
+        self.feed = self.whole("\n")
+        self.cache.joins = self.spaced.joins = {c: self.whole(c) for c in _ENDS}
 
     def whole(self, text: str) -> bytes:
         return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
-    def pieces(self, text: str) -> list[str] | None:
-        """None: the library must see the whole text."""
+    def found(self, text: str) -> list:
+        """The values of the text's pieces; some may be filled later."""
         if self.kind == "whole" or any(s in text for s in _UNSURE) or any(s in text for s in self.special):
-            return None
+            return [self.whole(text)]
         if self.kind == "words":
-            return text.lower().split()
-        if any(s in text for s in _RUNS) or text[:1].isspace() or text[-1:].isspace() or _WIDE.search(text):
-            return _PIECES.findall(text)
-        first, *rest = text.split(" ")
-        return [first, *[" " + p for p in rest]] if first else []
+            return list(map(self.cache.__getitem__, text.lower().split()))
+        if any(s in text for s in _RUNS) or text[:1].isspace() or text[-1:].isspace() or not text.isascii() and _WIDE.search(text):
+            return list(map(self.cache.__getitem__, _PIECES.findall(text)))
+        out: list = []
+        for line in text.split("\n") if text else ():  # a line feed between two words is a pre-token of its own
+            first, *rest = line.split(" ")
+            out += (self.feed, self.cache[first]) if out else (self.cache[first],)
+            out += map(self.spaced.__getitem__, rest)
+        return out
 
     def ids(self, texts: list[str]) -> list[bytes]:
-        if len(self.cache) >= self.limit:
+        if len(self.cache) + len(self.spaced) >= self.limit:
             self.cache.clear()
-        get = self.cache.__getitem__
+            self.spaced.clear()
         gc.disable()  # nothing here makes cycles; collections would walk all pieces again and again
         try:
-            cut = [self.pieces(t) for t in texts]
-            found = [None if c is None else list(map(get, c)) for c in cut]
+            found = [self.found(t) for t in texts]
             self.cache.fill()
+            self.spaced.fill()
         finally:
             gc.enable()
-        return [self.whole(t) if f is None else b"".join(f) for t, f in zip(texts, found, strict=True)]
+        return [b"".join(f) for f in found]
 
 
 @lru_cache(maxsize=4)
