@@ -33,6 +33,12 @@ def op4_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op(table(spark, sf_dir, "documents"), public("byte_bpe_50k.json"))
 
 
+def op9_webp(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from factloom.llm.webp import op9_webp as op
+
+    return op(table(spark, sf_dir, "documents"))
+
+
 def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     from factloom.llm.personal_data import op10_personal_data as op
 
@@ -43,6 +49,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
     "op3_best_fit": op3_best_fit,
     "op4_token_shards": op4_token_shards,
+    "op9_webp": op9_webp,
     "op10_personal_data": op10_personal_data,
 }
 
