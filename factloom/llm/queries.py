@@ -41,6 +41,12 @@ def op4_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op(table(spark, sf_dir, "documents"), public("byte_bpe_50k.json"))
 
 
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from factloom.llm.quality_gam import op8_quality as op
+
+    return op(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op9_webp(spark: SparkSession, sf_dir: str) -> DataFrame:
     from factloom.llm.webp import op9_webp as op
 
@@ -58,6 +64,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_chat_format": op2_chat_format,
     "op3_best_fit": op3_best_fit,
     "op4_token_shards": op4_token_shards,
+    "op8_quality": op8_quality,
     "op9_webp": op9_webp,
     "op10_personal_data": op10_personal_data,
 }
