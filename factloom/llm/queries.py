@@ -41,6 +41,19 @@ def op4_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op(table(spark, sf_dir, "documents"), public("byte_bpe_50k.json"))
 
 
+def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from factloom.llm.stream_dedup import op5_exact_dedup as op
+
+    return op(table(spark, sf_dir, "documents"))
+
+
+OP5_SQL = r"""
+WITH n AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS t FROM documents)
+SELECT doc_id, min(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size, doc_id = min(doc_id) OVER w AS kept, sha256(t) AS text_sha256
+FROM n WINDOW w AS (PARTITION BY t)
+"""
+
+
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     from factloom.llm.quality_gam import op8_quality as op
 
@@ -64,9 +77,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_chat_format": op2_chat_format,
     "op3_best_fit": op3_best_fit,
     "op4_token_shards": op4_token_shards,
+    "op5_exact_dedup": op5_exact_dedup,
     "op8_quality": op8_quality,
     "op9_webp": op9_webp,
     "op10_personal_data": op10_personal_data,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op5_exact_dedup": OP5_SQL}
