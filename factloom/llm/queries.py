@@ -54,6 +54,12 @@ FROM n WINDOW w AS (PARTITION BY t)
 """
 
 
+def op7_piece_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from factloom.llm.piece_sampling import op7_piece_sampling as op
+
+    return op(table(spark, sf_dir, "documents"), public("piece_bpe_32k.model"))
+
+
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     from factloom.llm.quality_gam import op8_quality as op
 
@@ -78,6 +84,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_best_fit": op3_best_fit,
     "op4_token_shards": op4_token_shards,
     "op5_exact_dedup": op5_exact_dedup,
+    "op7_piece_sampling": op7_piece_sampling,
     "op8_quality": op8_quality,
     "op9_webp": op9_webp,
     "op10_personal_data": op10_personal_data,
