@@ -43,6 +43,15 @@ def written(df: DataFrame, name: str, **options) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: A set of keys is broadcast if its rows, counted, are at most so many bytes; beyond that Spark joins by shuffles.
+BROADCAST_BYTES, ROW_BYTES = 64 << 20, 200
+
+
+def small(df: DataFrame) -> DataFrame:
+    """df with a broadcast hint if it is small enough."""
+    return F.broadcast(df) if df.count() * ROW_BYTES <= BROADCAST_BYTES else df
+
+
 def remove(spark: SparkSession, path: str) -> None:
     """Delete a folder of an operator through Hadoop's file system (any store)."""
     jvm = spark.sparkContext._jvm

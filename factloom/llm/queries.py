@@ -54,6 +54,12 @@ FROM n WINDOW w AS (PARTITION BY t)
 """
 
 
+def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from factloom.llm.jaccard_join import op6_jaccard_join as op
+
+    return op(table(spark, sf_dir, "documents"))
+
+
 def op7_piece_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     from factloom.llm.piece_sampling import op7_piece_sampling as op
 
@@ -84,6 +90,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_best_fit": op3_best_fit,
     "op4_token_shards": op4_token_shards,
     "op5_exact_dedup": op5_exact_dedup,
+    "op6_jaccard_join": op6_jaccard_join,
     "op7_piece_sampling": op7_piece_sampling,
     "op8_quality": op8_quality,
     "op9_webp": op9_webp,

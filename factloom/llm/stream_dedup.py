@@ -21,12 +21,9 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factloom.llm.common import shared_folder, ship, written
+from factloom.llm.common import shared_folder, ship, small, written
 
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-#: A set of digests or locators is broadcast if it is at most so large; beyond that Spark joins by shuffles.
-BROADCAST_BYTES, ROW_BYTES = 64 << 20, 200
-
 
 def normalised(text: Column) -> Column:
     return F.regexp_replace(F.coalesce(text.cast("string"), F.lit("")), r"[\x20\x09-\x0D]+", " ")
@@ -49,11 +46,6 @@ def with_locator(docs: DataFrame) -> DataFrame:
     return docs.withColumns({"__file": F.col("_metadata.file_path"), "__row": F.col("_metadata.row_index")})
 
 
-def small(df: DataFrame) -> DataFrame:
-    """df with a broadcast hint if its rows, counted, are few enough."""
-    return F.broadcast(df) if df.count() * ROW_BYTES <= BROADCAST_BYTES else df
-
-
 _STATE = "digest binary, doc_id long, file string, row long, n long"
 
 
