@@ -34,6 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from factloom.llm.common import blocks, id_and_text, record, ship, small, written
+from factloom.llm.stream_dedup import located, with_locator
 from factloom.llm.token_shards import mix
 
 SHINGLE = 5
@@ -377,3 +378,15 @@ def joined(docs: DataFrame) -> DataFrame:
 def op6_jaccard_join(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles and component_id of every row of docs(doc_id, text)."""
     return joined(docs).select("doc_id", "n_shingles", "component_id")
+
+
+def one_of_each(docs: DataFrame) -> DataFrame:
+    """The rows of docs that stay when of each component only the document with the smallest id (of rows with equal ids the
+    first) stays; with their columns."""
+    docs = located(docs)
+    placed = with_locator(docs).withColumn("__uid", F.xxhash64("__file", "__row"))
+    components_ = joined(placed.select(F.col("__uid").alias("doc_id"), "text")).select(F.col("doc_id").alias("__uid"), "component_id")
+    own = placed.select("__uid", F.struct(F.col("doc_id"), F.col("__file"), F.col("__row")).alias("place")).join(written(components_, "components"), "__uid")
+    first = own.groupBy("component_id").agg(F.min("place").alias("first"), F.count("*").alias("n")).where("n > 1")
+    dropped = own.join(first, "component_id").where("place <> first").select("place.__file", "place.__row")
+    return with_locator(docs).join(small(written(dropped, "near-copies")), ["__file", "__row"], "left_anti").select(*docs.columns)
