@@ -23,7 +23,8 @@ from pyspark.sql import functions as F
 
 from factloom.llm.common import shared_folder, ship, small, written
 
-ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+#: State on disk; without preallocated log files, which take megabytes for every partition however little it holds.
+ROCKS = {"spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider", "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false"}
 
 def normalised(text: Column) -> Column:
     return F.regexp_replace(F.coalesce(text.cast("string"), F.lit("")), r"[\x20\x09-\x0D]+", " ")
@@ -58,8 +59,9 @@ class DigestState:
     def run(self, **options) -> DataFrame:
         """Take in all new files and return the state: one row a digest."""
         spark = self.spark
-        before = spark.conf.get("spark.sql.streaming.stateStore.providerClass", None)
-        spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)
+        before = {k: spark.conf.get(k, None) for k in ROCKS}
+        for k, v in ROCKS.items():
+            spark.conf.set(k, v)
         try:
             rows = spark.readStream.schema("digest binary, doc_id long, file string, row long").options(**options).parquet(self.rows)
             state = rows.groupBy("digest").agg(F.min(F.struct("doc_id", "file", "row")).alias("first"), F.count("*").alias("n"))
@@ -70,10 +72,8 @@ class DigestState:
             query = state.writeStream.outputMode("update").option("checkpointLocation", self.checkpoint).foreachBatch(keep).trigger(availableNow=True).start()
             query.awaitTermination()
         finally:
-            if before is None:
-                spark.conf.unset("spark.sql.streaming.stateStore.providerClass")
-            else:
-                spark.conf.set("spark.sql.streaming.stateStore.providerClass", before)
+            for k, v in before.items():
+                spark.conf.unset(k) if v is None else spark.conf.set(k, v)
         try:
             seen = spark.read.schema(_STATE).parquet(self.seen)
         except AnalysisException:  # no row has ever come
