@@ -1,4 +1,465 @@
-"""Conformance queries over the supplied tables."""
+"""The engine's operators applied to the supplied tables, each with the DuckDB SQL that must give the same rows."""
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from factloom.functions import risk
+from factloom.operators import graph, matching, rows
+from factloom.session import table
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLES: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def register(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return register
+
+
+def values(rows_: list[tuple]) -> str:
+    """A VALUES list for both engines."""
+    cell = lambda v: "NULL" if v is None else "TRUE" if v is True else "FALSE" if v is False else str(v) if not isinstance(v, str) else "'" + v.replace("'", "''") + "'"
+    return ", ".join("(" + ", ".join(map(cell, r)) + ")" for r in rows_)
+
+
+# --- scans over text -------------------------------------------------------------------------------------------------
+LINE_RULES = [("token", 'token = "[0-9a-f]{40}"'), ("address", "[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+[.][A-Za-z]+"), ("host", "[0-9]+[.][0-9]+[.][0-9]+[.][0-9]+"), ("licence", "(MIT License|Apache License|GPL|[Cc]opyright)"), ("shout", "[A-Z]{4,}!!")]
+
+
+@query(f"""
+WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS line_no FROM documents),
+r(rule_id, pattern) AS (VALUES {values(LINE_RULES)})
+SELECT doc_id, line_no, rule_id, regexp_extract(line, pattern) AS excerpt FROM l JOIN r ON regexp_matches(line, pattern)
+""")
+def rule_scan_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Line rules over texts: every line once, all rules on it."""
+    lines = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
+    hits = F.array(*(F.when(F.col("line").rlike(p), F.struct(F.lit(r).alias("rule_id"), F.regexp_extract("line", p, 0).alias("excerpt"))) for r, p in LINE_RULES))
+    return lines.select("doc_id", (F.col("line_no") + 1).cast("long").alias("line_no"), F.explode(F.array_compact(hits)).alias("h")).select("doc_id", "line_no", "h.*")
+
+
+LICENCES = [("MIT", "MIT License"), ("Apache", "Apache License"), ("GPL", "GPL"), ("other", "[Cc]opyright")]
+
+
+@query(f"""
+WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents)
+SELECT doc_id, CASE {" ".join(f"WHEN regexp_matches(line, '{p}') THEN '{n}'" for n, p in LICENCES)} END AS licence, count(*) AS n_lines
+FROM l WHERE regexp_matches(line, '{"|".join(p for _, p in LICENCES)}') GROUP BY ALL
+""")
+def license_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licence lines by the first name that fits."""
+    lines = table(spark, sf_dir, "documents").select("doc_id", F.explode(F.split("text", "\n")).alias("line"))
+    name = F.coalesce(*(F.when(F.col("line").rlike(p), n) for n, p in LICENCES))
+    return lines.where(F.col("line").rlike("|".join(p for _, p in LICENCES))).groupBy("doc_id", name.alias("licence")).agg(F.count("*").alias("n_lines"))
+
+
+@query("""
+WITH t AS (SELECT page_id, unnest(regexp_extract_all(html, '(href|src)="([^"]*)"', 2)) AS target FROM pages)
+SELECT page_id, target, count(*) AS n FROM t GROUP BY ALL
+""")
+def page_import_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What pages refer to, as imports of a file."""
+    found = F.regexp_extract_all("html", F.lit('(href|src)="([^"]*)"'), 2)
+    return table(spark, sf_dir, "pages").select("page_id", F.explode(found).alias("target")).groupBy("page_id", "target").agg(F.count("*").alias("n"))
+
+
+@query("""
+WITH m AS (SELECT page_id, regexp_replace(regexp_replace(html, '(?s)<!--.*?-->', '', 'g'), '(?s)<script[^>]*>.*?</script>', '', 'g') AS masked, html FROM pages)
+SELECT page_id, len(regexp_extract_all(html, '<p>|</p>')) AS n_raw, len(regexp_extract_all(masked, '<p>|</p>')) AS n_masked, length(masked) AS masked_chars FROM m
+""")
+def lexical_mask_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A pattern with and without comments and scripts."""
+    masked = F.regexp_replace(F.regexp_replace("html", "(?s)<!--.*?-->", ""), "(?s)<script[^>]*>.*?</script>", "")
+    marks = lambda c: F.size(F.regexp_extract_all(c, F.lit("<p>|</p>"), 0)).cast("long")
+    return table(spark, sf_dir, "pages").select("page_id", marks(F.col("html")).alias("n_raw"), marks(masked).alias("n_masked"), F.length(masked).cast("long").alias("masked_chars"))
+
+
+@query("""
+WITH o AS (SELECT doc_id, text, strpos(text, '@') AS pos FROM documents WHERE contains(text, '@')),
+h AS (SELECT doc_id, pos, string_split(left(text, pos - 1), chr(10)) AS head FROM o)
+SELECT doc_id, CAST(pos AS BIGINT) AS pos, CAST(len(head) AS BIGINT) AS line, CAST(length(head[-1]) + 1 AS BIGINT) AS col FROM h
+""")
+def offset_to_linecol(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The line and column of a text's first '@'."""
+    at = F.instr("text", "@")
+    head = F.split(F.substring(F.col("text"), F.lit(1), F.instr("text", "@") - 1), "\n")
+    return table(spark, sf_dir, "documents").where(F.contains("text", F.lit("@"))).select("doc_id", at.cast("long").alias("pos"), F.size(head).cast("long").alias("line"), (F.length(F.element_at(head, -1)) + 1).cast("long").alias("col"))
+
+
+# --- rules over facts ------------------------------------------------------------------------------------------------
+#: rule, exact, contains, pattern on the event's type, lowest and highest value
+EVENT_RULES = [("exact_click", "click", None, None, None, None), ("contains_r", None, "r", None, None, None), ("regex_sign", None, None, "^s.*p$", 50.0, None), ("cheap_buy", "purchase", None, None, None, 10.0), ("any_large", None, None, None, 400.0, None), ("both", "view", "ie", "^v", 10.0, 20.0)]
+
+
+@query(f"""
+WITH r(rule_id, exact, part, pattern, lo, hi) AS (VALUES {values(EVENT_RULES)})
+SELECT event_id, rule_id FROM events, r
+WHERE (exact IS NULL OR event_type = exact) AND (part IS NULL OR contains(event_type, part)) AND (pattern IS NULL OR regexp_matches(event_type, pattern))
+AND (lo IS NULL OR value >= lo) AND (hi IS NULL OR value <= hi)
+""")
+def matcher_theta_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events x rules: an equi join for rules with an exact type, the predicate alone for the others; six rules are broadcast."""
+    events = table(spark, sf_dir, "events").select("event_id", "event_type", "value")
+    rules = spark.createDataFrame(EVENT_RULES, "rule_id string, exact string, part string, pattern string, lo double, hi double")
+    holds = (F.col("part").isNull() | F.contains("event_type", "part")) & (F.col("pattern").isNull() | F.regexp_like("event_type", "pattern")) & (F.col("lo").isNull() | (F.col("value") >= F.col("lo"))) & (F.col("hi").isNull() | (F.col("value") <= F.col("hi")))
+    keyed = events.join(F.broadcast(rules.where("exact is not null")), (F.col("event_type") == F.col("exact")) & holds)
+    return keyed.select("event_id", "rule_id").unionByName(events.join(F.broadcast(rules.where("exact is null")), holds).select("event_id", "rule_id"))
+
+
+@query("""
+WITH a AS (SELECT o_orderkey, o_orderpriority, count(l_orderkey) AS arity FROM orders LEFT JOIN lineitem ON o_orderkey = l_orderkey GROUP BY ALL),
+p AS (SELECT o_orderkey, arity, CASE WHEN o_orderpriority LIKE '1%' THEN 'args_from2' WHEN o_orderpriority LIKE '2%' THEN 'args1..=3' ELSE 'arg0' END AS port FROM a)
+SELECT o_orderkey, unnest(CASE port WHEN 'args_from2' THEN list_transform(range(2, arity), lambda i: 'arg' || i) WHEN 'args1..=3' THEN list_transform(range(1, least(4, arity)), lambda i: 'arg' || i) ELSE [port] END) AS port FROM p
+""")
+def port_expand(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Variadic ports clipped to the number of lines of an order."""
+    lines = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.count("*").alias("n"))
+    port = F.when(F.startswith("o_orderpriority", F.lit("1")), "args_from2").when(F.startswith("o_orderpriority", F.lit("2")), "args1..=3").otherwise("arg0")
+    orders = table(spark, sf_dir, "orders").join(lines, F.col("o_orderkey") == F.col("l_orderkey"), "left")
+    return orders.select("o_orderkey", F.explode(matching.expand_ports(port, F.coalesce("n", F.lit(0)))).alias("port"))
+
+
+@query("""
+SELECT p_brand, p_partkey, p_name, p_size FROM part QUALIFY row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey DESC) = 1
+""")
+def last_wins_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last definition of each brand."""
+    return rows.last_wins(table(spark, sf_dir, "part").select("p_brand", "p_partkey", "p_name", "p_size"), "p_brand", "p_partkey")
+
+
+@query("""
+WITH n AS (SELECT c_name AS full_name, split_part(c_name, '#', 2) AS simple FROM customer UNION ALL SELECT s_name, split_part(s_name, '#', 2) FROM supplier)
+SELECT simple, min(full_name) AS full_name FROM n GROUP BY simple HAVING count(*) = 1
+""")
+def unique_simple_name(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Last name segments that only one customer or supplier has."""
+    names = table(spark, sf_dir, "customer").select(F.col("c_name").alias("full_name")).unionByName(table(spark, sf_dir, "supplier").select(F.col("s_name").alias("full_name")))
+    return rows.unique_names(names.withColumn("simple", F.split_part("full_name", F.lit("#"), F.lit(2))), "simple", ["full_name"])
+
+
+# --- graph queries: customer -> order -> part -> supplier --------------------------------------------------------------
+EDGES_SQL = """
+e AS (SELECT DISTINCT 'c' || o_custkey AS src, 'o' || o_orderkey AS dst FROM orders
+UNION SELECT DISTINCT 'o' || l_orderkey, 'p' || l_partkey FROM lineitem
+UNION SELECT DISTINCT 'p' || l_partkey, 's' || l_suppkey FROM lineitem)
+"""
+SOURCES_SQL = "SELECT 'c' || c_custkey AS node FROM customer WHERE c_mktsegment = 'BUILDING' AND c_nationkey = 3"
+SINKS_SQL = "SELECT 's' || s_suppkey AS node FROM supplier WHERE s_nationkey = 7"
+
+
+def trade_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    name = lambda prefix, c: F.concat(F.lit(prefix), F.col(c).cast("string"))
+    orders, lines = table(spark, sf_dir, "orders"), table(spark, sf_dir, "lineitem")
+    out = orders.select(name("c", "o_custkey").alias("src"), name("o", "o_orderkey").alias("dst"))
+    out = out.unionByName(lines.select(name("o", "l_orderkey").alias("src"), name("p", "l_partkey").alias("dst")))
+    return out.unionByName(lines.select(name("p", "l_partkey").alias("src"), name("s", "l_suppkey").alias("dst")))
+
+
+def trade_ends(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    sources = table(spark, sf_dir, "customer").where("c_mktsegment = 'BUILDING' and c_nationkey = 3").select(F.concat(F.lit("c"), F.col("c_custkey").cast("string")).alias("node"))
+    return sources, table(spark, sf_dir, "supplier").where("s_nationkey = 7").select(F.concat(F.lit("s"), F.col("s_suppkey").cast("string")).alias("node"))
+
+
+@query(f"""
+WITH RECURSIVE {EDGES_SQL.strip()},
+r(node, depth) AS ({SOURCES_SQL.replace(" AS node", " AS node, 0 AS depth")} UNION SELECT dst, depth + 1 FROM r JOIN e ON src = node WHERE depth < 2)
+SELECT node, CAST(min(depth) AS BIGINT) AS depth FROM r GROUP BY node
+""")
+def reach_bounded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the sources reach in two steps."""
+    found, _ = graph.reach(trade_edges(spark, sf_dir), trade_ends(spark, sf_dir)[0], 2)
+    return found.select("node", F.col("depth").cast("long").alias("depth"))
+
+
+@query(f"""
+WITH RECURSIVE {EDGES_SQL.strip()},
+f(node, depth) AS ({SOURCES_SQL.replace(" AS node", " AS node, 0 AS depth")} UNION SELECT dst, depth + 1 FROM f JOIN e ON src = node WHERE depth < 3),
+b(node, depth) AS ({SINKS_SQL.replace(" AS node", " AS node, 0 AS depth")} UNION SELECT src, depth + 1 FROM b JOIN e ON dst = node WHERE depth < 3)
+SELECT node, CAST(fd AS BIGINT) AS fwd_depth, CAST(bd AS BIGINT) AS bwd_depth FROM (SELECT node, min(depth) AS fd FROM f GROUP BY node) JOIN (SELECT node, min(depth) AS bd FROM b GROUP BY node) USING (node)
+""")
+def taint_reach_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The nodes on ways from source customers to sink suppliers."""
+    sources, sinks = trade_ends(spark, sf_dir)
+    found = graph.slice_between(trade_edges(spark, sf_dir), sources, sinks, 3)
+    return found.select("node", F.col("fwd_depth").cast("long").alias("fwd_depth"), F.col("bwd_depth").cast("long").alias("bwd_depth"))
+
+
+@query(f"""
+WITH {EDGES_SQL.strip()}, s0 AS ({SOURCES_SQL}),
+s1 AS (SELECT dst AS node, min(src) AS p1 FROM e JOIN s0 ON src = node GROUP BY dst),
+s2 AS (SELECT dst AS node, min(src) AS p2 FROM e JOIN s1 ON src = node GROUP BY dst),
+s3 AS (SELECT dst AS node, min(src) AS p3 FROM e JOIN s2 ON src = node GROUP BY dst)
+SELECT s3.node, p1 || '>' || p2 || '>' || p3 || '>' || s3.node AS path FROM s3 JOIN s2 ON s2.node = p3 JOIN s1 ON s1.node = p2
+""")
+def shortest_dep_path(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A shortest way from the sources to each supplier, the smallest parent first."""
+    found = graph.shortest_paths(trade_edges(spark, sf_dir), trade_ends(spark, sf_dir)[0], 3)
+    return found.where(F.startswith("node", F.lit("s"))).select("node", F.array_join("path", ">").alias("path"))
+
+
+@query("""
+WITH RECURSIVE l AS (SELECT DISTINCT l_orderkey AS o, l_partkey AS p FROM lineitem WHERE l_quantity = 50 AND l_returnflag = 'A'),
+pair AS (SELECT DISTINCT a.o AS x, b.o AS y FROM l a JOIN l b USING (p)),
+r(node, root) AS (SELECT o, o FROM l UNION SELECT y, root FROM r JOIN pair ON x = node)
+SELECT node, min(root) AS root FROM r GROUP BY node
+""")
+def components_alias_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders that share parts, as aliases that share ids. Ids stand as nodes of their own, so no pairs are made."""
+    lines = table(spark, sf_dir, "lineitem").where("l_quantity = 50 and l_returnflag = 'A'")
+    edges = lines.select(F.col("l_orderkey").alias("src"), (-1 - F.col("l_partkey")).alias("dst"))
+    parts = graph.components(edges)  # a part's number is negative: smaller than any order's
+    smallest = parts.where("node >= 0").groupBy("root").agg(F.min("node").alias("first"))
+    return parts.where("node >= 0").join(smallest, "root").select("node", F.col("first").alias("root"))
+
+
+@query("""
+WITH e AS (SELECT 'c' || o_custkey AS src, 'o' || o_orderkey AS dst FROM orders UNION ALL SELECT 'o' || l_orderkey, 'p' || l_partkey FROM lineitem UNION ALL SELECT 'p' || l_partkey, 's' || l_suppkey FROM lineitem),
+n AS (SELECT src AS node FROM e UNION SELECT dst FROM e)
+SELECT 'nodes' AS metric, count(*) AS value FROM n UNION ALL SELECT 'edges', count(*) FROM e UNION ALL SELECT 'distinct_edges', count(*) FROM (SELECT DISTINCT * FROM e)
+UNION ALL SELECT 'source_nodes', count(*) FROM n WHERE node NOT IN (SELECT dst FROM e) UNION ALL SELECT 'sink_nodes', count(*) FROM n WHERE node NOT IN (SELECT src FROM e)
+UNION ALL SELECT 'self_loops', count(*) FROM e WHERE src = dst
+""")
+def component_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts over the graph."""
+    return graph.stats(trade_edges(spark, sf_dir))
+
+
+# --- ranges, scores, groups --------------------------------------------------------------------------------------------
+SIZE_RANGES = [("tiny", None, False, 5, True), ("small", 5, False, 15, False), ("middle", 15, True, 30, True), ("odd", 20, True, 25, False), ("large", 30, False, None, False)]
+
+
+@query(f"""
+WITH r(name, lo, lo_incl, hi, hi_incl) AS (VALUES {values(SIZE_RANGES)})
+SELECT p_partkey, name FROM part JOIN r ON (lo IS NULL OR p_size > lo OR (lo_incl AND p_size = lo)) AND (hi IS NULL OR p_size < hi OR (hi_incl AND p_size = hi))
+""")
+def range_join_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts in size ranges with open, closed and missing ends (five ranges are broadcast)."""
+    ranges = spark.createDataFrame(SIZE_RANGES, "name string, lo int, lo_incl boolean, hi int, hi_incl boolean")
+    inside = rows.in_range(F.col("p_size"), *(F.col(c) for c in ("lo", "lo_incl", "hi", "hi_incl")))
+    return table(spark, sf_dir, "part").join(F.broadcast(ranges), inside).select("p_partkey", "name")
+
+
+@query("""
+WITH s AS (SELECT o_custkey, CAST(epoch(o_orderdate) // 86400 AS BIGINT) AS lo FROM orders),
+g AS (SELECT *, CASE WHEN lo <= max(lo + 30) OVER (PARTITION BY o_custkey ORDER BY lo ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 0 ELSE 1 END AS fresh FROM s),
+i AS (SELECT *, sum(fresh) OVER (PARTITION BY o_custkey ORDER BY lo, fresh DESC ROWS UNBOUNDED PRECEDING) AS island FROM g)
+SELECT o_custkey, min(lo) AS lo, max(lo + 30) AS hi, count(*) AS n FROM i GROUP BY o_custkey, island
+""")
+def range_islands(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Thirty-day ranges after each order, merged where they touch."""
+    days = F.floor(F.unix_seconds(F.col("o_orderdate").cast("timestamp")) / 86400).cast("long")
+    spans = table(spark, sf_dir, "orders").select("o_custkey", days.alias("lo")).withColumn("hi", F.col("lo") + 30)
+    return rows.islands(spans, "o_custkey", "lo", "hi")
+
+
+SEVERITY_OF = {"error": "critical", "purchase": "high", "signup": "medium", "view": "low", "click": "low"}
+
+
+@query("""
+WITH w AS (SELECT event_id, CAST(CASE event_type WHEN 'error' THEN 1.0 WHEN 'purchase' THEN 0.75 WHEN 'signup' THEN 0.45 ELSE 0.2 END AS FLOAT) AS severity,
+CAST(CASE WHEN user_id % 3 = 0 THEN 1.0 WHEN user_id % 3 = 1 THEN 0.7 ELSE 0.6 END AS FLOAT) AS reach,
+CAST(0.55 + 0.45 * sqrt(least(value / 500, 1.0)) AS FLOAT) AS exploit, CAST(CASE WHEN event_id % 2 = 0 THEN 1.0 ELSE 0.9 END AS FLOAT) AS fix FROM events)
+SELECT event_id, CAST(floor(CAST(100 AS FLOAT) * severity * reach * exploit * fix + CAST(0.5 AS FLOAT)) AS INTEGER) AS score FROM w
+""")
+def risk_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The fix-first score with an event's type as severity and its value as exploit probability."""
+    reach = risk.reach_weight(F.when(F.col("user_id") % 3 == 0, "reachable").when(F.col("user_id") % 3 == 1, "imported"), F.lit("high"), F.lit(False), F.lit(False))
+    exploit = risk.exploit_weight(F.lit(False), F.least(F.col("value") / 500, F.lit(1.0)))
+    return table(spark, sf_dir, "events").select("event_id", risk.risk_score(risk.choose(F.col("event_type"), SEVERITY_OF), reach, exploit, F.col("event_id") % 2 == 0).alias("score"))
+
+
+@query("""
+SELECT event_type AS rule_id, CASE event_type WHEN 'error' THEN 'critical' WHEN 'purchase' THEN 'high' WHEN 'signup' THEN 'medium' ELSE 'low' END AS severity, count(*) AS n, min(event_id) AS first FROM events GROUP BY ALL
+""")
+def rule_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Findings by rule and severity, in the order of their first occurrence."""
+    found = table(spark, sf_dir, "events").select(F.col("event_type").alias("rule_id"), risk.choose(F.col("event_type"), SEVERITY_OF).alias("severity"), "event_id")
+    return rows.stable_groups(found, ["rule_id", "severity"], "event_id")
+
+
+@query("""
+SELECT CASE event_type WHEN 'error' THEN 'critical' WHEN 'purchase' THEN 'high' WHEN 'signup' THEN 'medium' ELSE 'low' END AS severity, count(*) AS n, min(event_id) AS first FROM events GROUP BY ALL
+""")
+def severity_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Findings by severity."""
+    found = table(spark, sf_dir, "events").select(risk.choose(F.col("event_type"), SEVERITY_OF).alias("severity"), "event_id")
+    return rows.stable_groups(found, ["severity"], "event_id")
+
+
+@query("""
+SELECT user_id, event_type, event_id, value FROM events QUALIFY row_number() OVER (PARTITION BY user_id, event_type ORDER BY event_id) = 1
+""")
+def finding_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first finding of each key."""
+    return rows.first_wins(table(spark, sf_dir, "events").select("user_id", "event_type", "event_id", "value"), ["user_id", "event_type"], "event_id")
+
+
+_PREDICTED = "regexp_matches(text, '[|]|[$]{3}|!!')"
+_CONFUSION_SQL = f"""
+WITH p AS (SELECT lang, quality = 0 AS actual, {_PREDICTED} AS predicted FROM documents JOIN labels USING (doc_id)),
+c AS (SELECT lang, count(*) FILTER (actual AND predicted) AS tp, count(*) FILTER (NOT actual AND predicted) AS fp, count(*) FILTER (actual AND NOT predicted) AS fn, count(*) FILTER (NOT actual AND NOT predicted) AS tn FROM p GROUP BY lang),
+m AS (SELECT *, tp / nullif(tp + fp, 0) AS precision, tp / nullif(tp + fn, 0) AS recall, fp / nullif(fp + tn, 0) AS fpr FROM c)
+"""
+
+
+def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels = table(spark, sf_dir, "labels").select("doc_id", "quality")
+    return table(spark, sf_dir, "documents").select("doc_id", "lang", F.col("text").rlike("[|]|[$]{3}|!!").alias("predicted")).join(labels, "doc_id").select("lang", (F.col("quality") == 0).alias("actual"), "predicted")
+
+
+@query(_CONFUSION_SQL + "SELECT lang, tp, fp, fn, tn, round(precision, 9) AS precision, round(recall, 9) AS recall, round(fpr, 9) AS fpr, round(2 * precision * recall / nullif(precision + recall, 0), 9) AS f_beta, round(recall - fpr, 9) AS youden FROM m")
+def confusion_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A rule's verdicts against the labels, by language."""
+    out = rows.confusion(predictions(spark, sf_dir), ["lang"], F.col("actual"), F.col("predicted"))
+    return out.select("lang", "tp", "fp", "fn", "tn", *(F.round(c, 9).alias(c) for c in ("precision", "recall", "fpr", "f_beta", "youden")))
+
+
+@query(_CONFUSION_SQL + "SELECT round(avg(recall - fpr), 9) AS score, count(recall - fpr) AS categories FROM m")
+def category_mean_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The mean over categories whose score is defined."""
+    out = rows.confusion(predictions(spark, sf_dir), ["lang"], F.col("actual"), F.col("predicted"))
+    return out.agg(F.round(F.avg("youden"), 9).alias("score"), F.count("youden").alias("categories"))
+
+
+# --- snapshots, coverage, comparisons ------------------------------------------------------------------------------------
+@query("""
+WITH o AS (SELECT doc_id, sha256(CASE WHEN lang = 'de' THEN upper(text) ELSE text END) AS h FROM documents WHERE source <> 'src3'),
+n AS (SELECT doc_id, sha256(text) AS h FROM documents WHERE source <> 'src7')
+SELECT doc_id, CASE WHEN o.h IS NULL THEN 'added' WHEN n.h IS NULL THEN 'removed' WHEN o.h = n.h THEN 'reused' ELSE 'reparsed' END AS status FROM o FULL JOIN n USING (doc_id)
+""")
+def cache_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a second scan would reuse, parse again, add and remove."""
+    docs = table(spark, sf_dir, "documents")
+    digest = lambda c: F.sha2(c, 256).alias("h")
+    old = docs.where("source <> 'src3'").select("doc_id", digest(F.when(F.col("lang") == "de", F.upper("text")).otherwise(F.col("text"))))
+    return rows.snapshot_plan(old, docs.where("source <> 'src7'").select("doc_id", digest(F.col("text"))), "doc_id", "h")
+
+
+@query("""
+SELECT p_brand, count(*) FILTER (EXISTS (SELECT 1 FROM lineitem WHERE l_partkey = p_partkey)) AS covered, count(*) FILTER (NOT EXISTS (SELECT 1 FROM lineitem WHERE l_partkey = p_partkey)) AS uncovered FROM part GROUP BY p_brand
+""")
+def semi_anti_cover(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts with and without lines, by brand."""
+    used = table(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("p_partkey")).distinct().withColumn("used", F.lit(True))
+    parts = table(spark, sf_dir, "part").select("p_brand", "p_partkey").join(used, "p_partkey", "left")
+    return parts.groupBy("p_brand").agg(F.count("used").alias("covered"), F.count_if(F.col("used").isNull()).alias("uncovered"))
+
+
+@query("""
+WITH c AS (SELECT CASE WHEN quality = 0 AND toxic = 1 THEN 'both' WHEN quality = 0 THEN 'only_left' ELSE 'only_right' END AS side FROM labels WHERE quality = 0 OR toxic = 1)
+SELECT side, count(*) AS n FROM c GROUP BY side
+""")
+def tool_compare(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two tools' findings: in both, or in one only."""
+    labels = table(spark, sf_dir, "labels")
+    return rows.compare_findings(labels.where("quality = 0"), labels.where("toxic = 1"), "doc_id").groupBy("side").agg(F.count("*").alias("n"))
+
+
+@query(r"""
+WITH p AS (SELECT page_id, regexp_replace(regexp_replace(url, '^https?://', ''), '[?#].*$', '') AS path FROM pages),
+parts AS (SELECT page_id, list_filter(string_split(path, '/'), lambda x: x <> '') AS a FROM p),
+x AS (SELECT page_id, len(a) AS n, unnest(list_transform(range(1, len(a) + 1), lambda i: array_to_string(a[1:i], '/'))) AS prefix FROM parts)
+SELECT prefix, count(*) AS n_pages, max(n) AS deepest FROM x GROUP BY prefix
+""")
+def prefix_region_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Regions and their ancestors: paths meet on exploded prefixes."""
+    path = F.regexp_replace(F.regexp_replace("url", "^https?://", ""), "[?#].*$", "")
+    pages = table(spark, sf_dir, "pages").select("page_id", rows.prefixes(path).alias("p"))
+    return pages.select(F.size("p").cast("long").alias("n"), F.explode("p").alias("prefix")).groupBy("prefix").agg(F.count("*").alias("n_pages"), F.max("n").alias("deepest"))
+
+
+# --- order within a key --------------------------------------------------------------------------------------------------
+@query("""
+SELECT event_id, last_value(CASE WHEN event_type = 'purchase' THEN value END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS visible FROM events
+""")
+def store_visibility(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last store that an event sees."""
+    stored = F.when(F.col("event_type") == "purchase", F.col("value"))
+    return table(spark, sf_dir, "events").select("event_id", rows.visible_before("user_id", "event_id", stored).alias("visible"))
+
+
+@query("""
+WITH u AS (SELECT user_id, min(event_id) FILTER (event_type = 'signup') AS source, max(event_id) FILTER (event_type = 'purchase') AS sink FROM events GROUP BY user_id)
+SELECT user_id, coalesce(source < sink, TRUE) AS feasible FROM u
+""")
+def temporal_feasible(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether a source event may come before a sink event; what isn't known is feasible."""
+    at = lambda kind: F.when(F.col("event_type") == kind, F.col("event_id"))
+    return table(spark, sf_dir, "events").groupBy("user_id").agg(F.coalesce(F.min(at("signup")) < F.max(at("purchase")), F.lit(True)).alias("feasible"))
+
+
+@query("""
+WITH k AS (SELECT user_id, event_type, max(event_id) AS pos FROM events GROUP BY ALL),
+p AS (SELECT user_id, max(pos) FILTER (event_type = 'view') AS cut FROM k GROUP BY user_id),
+l AS (SELECT user_id, list_sort(list(event_type) FILTER (event_type <> 'view')) AS labels, list_sort(list(event_type) FILTER (event_type <> 'view' AND pos < coalesce(cut, 0))) AS removed FROM k JOIN p USING (user_id) GROUP BY user_id)
+SELECT user_id, array_to_string(coalesce(list_sort(list_filter(coalesce(labels, []), lambda x: NOT list_contains(coalesce(removed, []), x))), []), ',') AS labels FROM l
+""")
+def label_transform(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Label sets after a sanitizer: a view removes the labels whose last event came before it."""
+    last = table(spark, sf_dir, "events").groupBy("user_id", "event_type").agg(F.max("event_id").alias("at"))
+    cut = F.coalesce(F.max(F.when(F.col("event_type") == "view", F.col("at"))), F.lit(0))
+    pairs = F.collect_list(F.struct("event_type", "at"))  # five types at most
+    out = last.groupBy("user_id").agg(pairs.alias("p"), cut.alias("cut")).withColumn("p", F.filter("p", lambda x: x["event_type"] != "view"))
+    labels = F.transform("p", lambda x: x["event_type"])
+    removed = F.transform(F.filter("p", lambda x: x["at"] < F.col("cut")), lambda x: x["event_type"])
+    return out.select("user_id", F.array_join(risk.apply_labels(labels, removed, F.array().cast("array<string>")), ",").alias("labels"))
+
+
+@query("""
+WITH b AS (SELECT event_id, CASE WHEN event_type = 'view' THEN NULL ELSE value > 100 END AS a, CASE WHEN user_id % 4 = 0 THEN NULL ELSE CAST(json_extract(props, '$.k') AS INTEGER) > 50 END AS b FROM events)
+SELECT CASE WHEN a AND b THEN 'true' WHEN NOT (a AND b) THEN 'false' ELSE 'unknown' END AS all_of, CASE WHEN a OR b THEN 'true' WHEN NOT (a OR b) THEN 'false' ELSE 'unknown' END AS any_of, CASE WHEN NOT a THEN 'true' WHEN a THEN 'false' ELSE 'unknown' END AS not_a, count(*) AS n FROM b GROUP BY ALL
+""")
+def three_valued_condition(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Platform conditions in three-valued logic: NULL is unknown."""
+    a = F.when(F.col("event_type") != "view", F.col("value") > 100)
+    b = F.when(F.col("user_id") % 4 != 0, F.get_json_object("props", "$.k").cast("int") > 50)
+    said = lambda c: F.when(c, "true").when(~c, "false").otherwise("unknown")
+    return table(spark, sf_dir, "events").groupBy(said(a & b).alias("all_of"), said(a | b).alias("any_of"), said(~a).alias("not_a")).agg(F.count("*").alias("n"))
+
+
+@query("""
+SELECT p.conv_id, p.turn AS producer, c.turn AS consumer, length(p.text) AS n_in, length(c.text) AS n_out FROM conversations p JOIN conversations c ON p.conv_id = c.conv_id AND c.turn = p.turn + 1 WHERE p.role = 'user' AND c.role = 'assistant'
+""")
+def boundary_pairing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Producers and consumers that meet at a boundary; one-sided ones are dropped."""
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", F.length("text").cast("long").alias("n"))
+    producers = turns.where("role = 'user'").select("conv_id", F.col("turn").alias("producer"), F.col("n").alias("n_in"))
+    consumers = turns.where("role = 'assistant'").select("conv_id", F.col("turn").alias("consumer"), (F.col("turn") - 1).alias("producer"), F.col("n").alias("n_out"))
+    return producers.join(consumers, ["conv_id", "producer"]).select("conv_id", "producer", "consumer", "n_in", "n_out")
+
+
+# --- joins of call facts -------------------------------------------------------------------------------------------------
+@query("""
+SELECT o_orderkey, p_partkey, rank() OVER (PARTITION BY o_orderkey ORDER BY l_quantity DESC, p_partkey) AS place
+FROM orders JOIN lineitem ON o_orderkey = l_orderkey JOIN part ON l_partkey = p_partkey WHERE p_size >= 40 QUALIFY place <= 3
+""")
+def overload_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Call resolution: candidates joined by name, ranked by score; three remain."""
+    lines = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"), F.col("l_partkey").alias("p_partkey"), "l_quantity")
+    big = table(spark, sf_dir, "part").where("p_size >= 40").select("p_partkey")
+    known = table(spark, sf_dir, "orders").select("o_orderkey")
+    place = F.rank().over(Window.partitionBy("o_orderkey").orderBy(F.desc("l_quantity"), "p_partkey"))
+    return lines.join(big, "p_partkey").join(known, "o_orderkey").withColumn("place", place.cast("long")).where("place <= 3").select("o_orderkey", "p_partkey", "place")
+
+
+@query("""
+WITH b AS (SELECT l_orderkey, l_linenumber, l_partkey, row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY how, l_partkey) AS k, how FROM (
+SELECT l_orderkey, l_linenumber, l_partkey, 0 AS how FROM lineitem WHERE l_returnflag = 'R' UNION ALL SELECT l_orderkey, l_linenumber, l_partkey, 1 FROM lineitem WHERE l_returnflag <> 'N'))
+SELECT how, count(*) AS n, CAST(sum(l_partkey) AS BIGINT) AS keys FROM b WHERE k = 1 GROUP BY how
+""")
+def actual_formal_binding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bindings by name before bindings by position: the first way that binds a formal wins."""
+    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_returnflag")
+    named = lines.where("l_returnflag = 'R'").withColumn("how", F.lit(0))
+    placed = lines.where("l_returnflag <> 'N'").withColumn("how", F.lit(1))
+    ways = named.unionByName(placed).withColumn("order", F.struct("how", "l_partkey"))
+    return rows.first_wins(ways, ["l_orderkey", "l_linenumber"], "order").groupBy("how").agg(F.count("*").alias("n"), F.sum("l_partkey").alias("keys"))
