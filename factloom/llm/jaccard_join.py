@@ -10,10 +10,11 @@ shingles. The distance of two sets is 1 - Jaccard, which is a metric; documents
    and linear in the input; they know how many classes hold a shingle and nothing of pairs.
 3. Regions: shingles, ordered from rare to common, serve as the first pivots. As a link leaves at most n - ceil(0.8 n)
    shingles unmatched, linked classes meet in the region of one of their n - ceil(0.8 n) + 1 first shingles.
-4. A region joins by pivots: its most central class is compared with all others, which puts each into the shell of its
-   distance from the pivot (0.2 wide). By the triangle inequality partners' distances differ by 0.2 at most, so a class
-   is replicated into the next shell only. Each shell is a region of its own and joins in the same way, until its
-   classes are all in one component or it has no pair left. Nothing is capped: rounds go on until no region is open.
+4. A region joins by a pivot, its most central class: comparing it with the others puts those within the radius into one
+   Voronoi cell, and cells that share a class are one component. Regions that lie in one component are done.
+5. The cells that share the other regions are joined exactly. By the triangle inequality, seen from fixed pivots the two
+   ends of a link lie in a narrow window: boundary classes are replicated into the next shell, pairs outside the windows
+   are left out, and what remains is compared in full. Nothing is capped.
 
 Classes already in one component need no comparison, so a large group of near copies takes one comparison with its
 pivot each, not all pairs. Comparisons with one pivot are spread over tasks by a salt.
@@ -331,26 +332,89 @@ def relabelled(nodes: DataFrame, links: DataFrame) -> DataFrame:
     return written(nodes.join(roots, "label", "left").select("key", "n", "central", F.coalesce("root", "label").alias("label")), "nodes")
 
 
+PARTS, BLOCK = 1024, 1024
+
+
+def cells(nodes: DataFrame, regions: DataFrame, sets: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Compare the members of each of regions(rid, key) with its most central one. Returns nodes with the components so
+    far as labels, and the regions that more than one component shares."""
+    members = written(regions.join(nodes, "key"), "members")
+    pivots = members.groupBy("rid").agg(F.max(F.struct("central", "key")).alias("top")).select("rid", F.col("top.key").alias("pivot"))
+    pairs = members.join(pivots, "rid").where("key <> pivot").select(F.col("key").alias("a"), F.col("pivot").alias("b")).distinct()
+    nodes = relabelled(nodes, compared(written(pairs, "pairs"), sets).where(linked()).select("a", "b"))
+    labelled = members.select("rid", "key").join(nodes.select("key", "label"), "key")
+    mixed = labelled.groupBy("rid").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("rid")
+    return nodes, written(labelled.join(mixed, "rid", "left_semi"), "mixed")
+
+
+def candidates(mixed: DataFrame, nodes: DataFrame, sets: DataFrame) -> DataFrame:
+    """Pairs (a, b) of members of mixed(rid, key, label), in different components, that may link: all that do, and few others.
+
+    Regions that share components are taken together, so a pair is looked at once. Within such a group the windows are
+    those of the symmetric difference, a metric in which a link of sets A and B means |A ^ B| <= (|A| + |B|) / 9:
+    seen from the empty set, sizes differ by a factor of 1.25 at most, so each class is in the shell of its size and, as a
+    replica, in the next; seen from PARTS fixed parts of the hash space, the numbers of shingles in the parts differ by no
+    more than |A ^ B| in all. Shells of more than BLOCK classes are dealt to tasks as pairs of blocks."""
+    edges = mixed.groupBy("rid").agg(F.min("label").alias("u")).join(mixed, "rid").where("u <> label").select("u", F.col("label").alias("v")).distinct()
+    groups = components(edges).select(F.col("u").alias("label"), F.xxhash64("root").alias("part"))
+    members = mixed.select("key", "label").distinct().join(groups, "label").select("part", "key", F.xxhash64("label").alias("cell"))
+    counts = pa.schema([("part", pa.int64()), ("key", pa.binary()), ("cell", pa.int64()), ("n", pa.int64()), ("counts", pa.binary())])
+
+    def count(batches) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = [np.bincount((np.frombuffer(raw, np.uint64) >> np.uint64(33)) % np.uint64(PARTS), minlength=PARTS) for raw in b.column(4).to_pylist()]
+            yield record(counts, *b.columns[:4], [np.minimum(r, 255).astype(np.uint8).tobytes() for r in rows])
+
+    signed = members.join(sets, "key").select("part", "key", "cell", "n", "hashes").mapInArrow(count, "part long, key binary, cell long, n long, counts binary")
+    # powers of 1.25, a little less so that rounding can't put a partner two shells away
+    shell = F.floor(F.log(F.col("n").cast("double")) / math.log(1.2500001)).cast("int")
+    placed = signed.withColumn("own", shell).select("*", F.explode(F.array("own", F.col("own") + 1)).alias("shell"))
+    placed = written(placed, "shells")
+    large = placed.groupBy("part", "shell").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"), F.min("cell").alias("low"), F.max("cell").alias("high"), F.max(F.col("own") == F.col("shell")).alias("home")).where("low <> high and home").drop("low", "high", "home")
+    dealt = placed.join(large, ["part", "shell"]).withColumn("block", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int"))
+    dealt = dealt.select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")).select(
+        F.xxhash64("part", "shell", F.least("block", "other"), F.greatest("block", "other")).alias("task"), (F.col("block") > F.col("other")).alias("second"), (F.col("block") == F.col("other")).alias("same"), (F.col("own") == F.col("shell")).alias("home"), "key", "cell", "n", "counts"
+    )
+    schema = pa.schema([("a", pa.binary()), ("b", pa.binary())])
+
+    def join(batches) -> Iterator[pa.RecordBatch]:
+        def found(rows: list) -> Iterator[pa.RecordBatch]:
+            second, same, home, keys, cell, n, raw = (list(c) for c in zip(*rows, strict=True))
+            second, home, cell, n = np.array(second), np.array(home), np.array(cell), np.array(n, np.int64)
+            fine = np.frombuffer(b"".join(raw), np.uint8).reshape(len(n), PARTS).astype(np.int16)
+            coarse = fine.reshape(len(n), 64, -1).sum(2, dtype=np.int16)
+            out: tuple[list, list] = ([], [])
+            for x in range(len(n)):
+                ok = (cell != cell[x]) & (home | home[x]) & (10 * n <= 12.6 * n[x]) & (10 * n[x] <= 12.6 * n)
+                ok &= np.arange(len(n)) > x if same[0] else second & ~second[x]
+                ys = np.flatnonzero(ok)
+                for grain in (coarse, fine):
+                    ys = ys[9 * np.abs(grain[ys] - grain[x]).sum(1, dtype=np.int64) <= n[ys] + n[x]] if len(ys) else ys
+                out[0].extend(keys[y] for y in ys)
+                out[1].extend([keys[x]] * len(ys))
+            yield record(schema, *out)
+
+        rows, at = [], None
+        for b in batches:
+            for task, *row in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if task != at and rows:
+                    yield from found(rows)
+                    rows = []
+                at = task
+                rows.append(row)
+        if rows:
+            yield from found(rows)
+
+    return dealt.repartition("task").sortWithinPartitions("task").mapInArrow(join, "a binary, b binary").distinct()
+
+
 def join_regions(nodes: DataFrame, regions: DataFrame, sets: DataFrame) -> DataFrame:
     """Join all regions(rid, key); returns nodes with their components as labels."""
-    while True:
-        members = regions.join(nodes, "key")
-        rank = F.struct("central", "key")
-        about = members.groupBy("rid").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.max(rank).alias("top")).where("low <> high").select("rid", F.col("top.key").alias("pivot"))
-        pivots = about.join(nodes.select(F.col("key").alias("pivot"), F.col("n").alias("pivot_n")), "pivot")
-        open_ = written(members.join(pivots, "rid").where("key <> pivot").select("rid", "key", "n", "pivot", "pivot_n"), "regions")
-        if open_.isEmpty():
-            return nodes
-        pairs = open_.select(F.col("key").alias("a"), F.col("pivot").alias("b")).distinct()
-        found = written(compared(pairs, sets), "compared")
-        nodes = relabelled(nodes, found.where(linked()).select("a", "b"))
-        # distance in fifths: shell k holds [k/5, (k+1)/5); a class also goes where a partner farther out may be
-        apart = F.col("na") + F.col("nb") - F.col("common")
-        shell = F.floor(5 * (apart - F.col("common")) / apart).cast("int")
-        placed = open_.join(found.select(F.col("a").alias("key"), F.col("b").alias("pivot"), shell.alias("shell")), ["key", "pivot"])
-        regions = placed.select(F.explode(F.array("shell", F.col("shell") + 1)).alias("shell"), "rid", "pivot", "key").select(F.xxhash64("rid", "pivot", "shell").alias("rid"), "key")
-        mixed = regions.join(nodes.select("key", "label"), "key").groupBy("rid").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("rid")
-        regions = written(regions.join(mixed, "rid", "left_semi"), "regions")
+    nodes, mixed = cells(nodes, regions, sets)
+    if mixed.isEmpty():
+        return nodes
+    pairs = written(candidates(mixed, nodes, sets), "pairs")
+    return relabelled(nodes, compared(pairs, sets).where(linked()).select("a", "b"))
 
 
 def joined(docs: DataFrame) -> DataFrame:
