@@ -289,20 +289,24 @@ def fold(tree: tuple) -> tuple:
     return (op, *args)
 
 
+def _add(out: list[tuple], node: tuple) -> None:
+    """Appends a node; neighbouring constants become one."""
+    if node[0] == "print" and node[1][0] == "const":
+        text = _text(node[1][1])
+        if out and out[-1][0] == "print" and out[-1][1][0] == "const":
+            text = out.pop()[1][1] + text
+        if text:
+            out.append(("print", ("const", text)))
+    else:
+        out.append(node)
+
+
 def fold_nodes(nodes: list[tuple]) -> list[tuple]:
     out: list[tuple] = []
     for node in nodes:
         kind = node[0]
         if kind == "print":
-            value = fold(node[1])
-            if value[0] == "const":
-                value = ("const", _text(value[1]))
-                if out and out[-1][0] == "print" and out[-1][1][0] == "const":
-                    value = ("const", out.pop()[1][1] + value[1])
-                if value[1]:
-                    out.append(("print", value))
-                continue
-            out.append(("print", value))
+            _add(out, ("print", fold(node[1])))
         elif kind == "for":
             out.append(("for", node[1], node[2], fold_nodes(node[3])))
         elif kind == "generation":
@@ -319,7 +323,8 @@ def fold_nodes(nodes: list[tuple]) -> list[tuple]:
                         break
                     continue
                 arms.append((condition, fold_nodes(body)))
-            out += [("if", arms, otherwise)] if arms else otherwise
+            for x in [("if", arms, otherwise)] if arms else otherwise:
+                _add(out, x)
     return out
 
 
