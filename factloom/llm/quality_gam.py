@@ -109,23 +109,26 @@ def _tree(g: np.ndarray, h: np.ndarray, leaves: int = 4) -> np.ndarray:
 
 
 def _pair_tree(g: np.ndarray, h: np.ndarray) -> tuple[float, np.ndarray]:
-    """One cut on each side, the second on either half of the first; whichever order gains more."""
+    """One cut on each side, the second on either half of the first; whichever order gains more. An interaction may show in
+    neither side's sums, so first cuts at eighths of the bins are tried beside the best single one."""
     best = (0.0, np.zeros_like(g))
     for turned in (False, True):
         a, b = (g.T, h.T) if turned else (g, h)
-        _, at = _split(a.sum(1), b.sum(1))
-        if not at:
-            continue
-        step, total = np.zeros_like(a), -_gain(a.sum(), b.sum())
-        for lo, hi in ((0, at), (at, len(a))):
-            _, cut = _split(a[lo:hi].sum(0), b[lo:hi].sum(0))
-            for x, y in ((0, cut), (cut, a.shape[1])):
-                if x < y:
-                    gs, hs = a[lo:hi, x:y].sum(), b[lo:hi, x:y].sum()
-                    step[lo:hi, x:y] = gs / (hs + 1.0)
-                    total += _gain(gs, hs)
-        if total > best[0]:
-            best = (float(total), step.T if turned else step)
+        whole = _gain(a.sum(), b.sum())
+        for at in {_split(a.sum(1), b.sum(1))[1], *(len(a) * k // 8 for k in range(1, 8))} - {0}:
+            parts, total = [], -whole
+            for lo, hi in ((0, at), (at, len(a))):
+                gs, hs = a[lo:hi].sum(0), b[lo:hi].sum(0)
+                cut = _split(gs, hs)[1]
+                for x, y in ((0, cut), (cut, len(gs))):
+                    if x < y:
+                        parts.append((lo, hi, x, y, gs[x:y].sum(), hs[x:y].sum()))
+                        total += _gain(*parts[-1][4:])
+            if total > best[0]:
+                step = np.zeros_like(a)
+                for lo, hi, x, y, gp, hp in parts:
+                    step[lo:hi, x:y] = gp / (hp + 1.0)
+                best = (float(total), step.T if turned else step)
     return best
 
 

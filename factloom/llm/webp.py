@@ -212,7 +212,7 @@ _NEEDS_LEFT = frozenset((1, 5, 6, 7, 10, 11, 12, 13))
 def unpredict(p: np.ndarray, modes: np.ndarray, size_bits: int) -> np.ndarray:
     """Add its prediction to every residue, in place."""
     height, width = p.shape[:2]
-    p[0, 0, 3] += np.uint8(255)
+    p[0, 0, 3] = (int(p[0, 0, 3]) + 255) & 255
     p[0] = np.cumsum(p[0], axis=0, dtype=np.uint8)
     for y in range(1, height):
         above = p[y - 1]
