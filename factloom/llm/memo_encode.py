@@ -38,7 +38,7 @@ class PieceIds(dict):
     def __missing__(self, piece: str) -> bytearray:
         value = bytearray()
         if self.joins and len(piece) > 3 and piece[-1] in _ENDS and piece[-2].isalpha():
-            self.joined.append((value, self[piece[:-1]], self.joins[piece[-1]]))  # letters and punctuation never share a pre-token
+            self.joined.append((value, self[piece[:-1]], self.joins[piece[-1]], piece))  # letters and punctuation never share a pre-token
         else:
             self.new.append((self.before + piece, value))
         self[piece] = value
@@ -48,9 +48,12 @@ class PieceIds(dict):
         if self.new:
             for (_, value), e in zip(self.new, self.tokenizer.encode_batch_fast([p for p, _ in self.new], add_special_tokens=False), strict=True):
                 value += array("I", e.ids).tobytes()
-        for value, head, end in self.joined:
+        for value, head, end, _ in self.joined:
             value += head
             value += end
+        skip = len(self.before)
+        self.update((p[skip:], bytes(v)) for p, v in self.new)  # bytes take half the memory
+        self.update((p, bytes(v)) for v, _, _, p in self.joined)
         self.new, self.joined = [], []
 
 
@@ -58,7 +61,7 @@ class MemoEncoder:
     """ids(texts) -> bytes of each. Handles the byte-level layout with spaces kept and the layout that drops white space;
     other tokenizers encode every text whole. At most about `limit` pieces are remembered."""
 
-    def __init__(self, path: str, limit: int = 700_000):
+    def __init__(self, path: str, limit: int = 1_800_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
         from tokenizers import Tokenizer
 
