@@ -46,6 +46,8 @@ class Lattice:
             piece = sp.id_to_piece(i)
             if sp.is_byte(i):
                 self.byte_ids[int(piece[3:5], 16)] = i
+                if (b := int(piece[3:5], 16)) < 128:  # a character by itself
+                    self.text_of[i] = chr(b)
             elif sp.get_score(i) > -1e8 and not (sp.is_control(i) or sp.is_unknown(i) or sp.is_unused(i)):  # runs of spaces have no real score
                 scores[piece] = (i, sp.get_score(i))
                 self.text_of[i] = piece.replace(MARK, " ")
@@ -102,7 +104,7 @@ class Lattice:
             weight[at, k], piece[at, k] = self.weight_at[node], self.piece_at[node]
         bare = weight[:, 0] == -np.inf  # no piece for the character alone: its bytes
         weight[bare, 0] = self.lowest
-        piece[bare, 0] = self.size + code[bare]
+        piece[bare, 0] = np.where(code[bare] < 128, np.array(self.byte_ids)[np.minimum(code[bare], 127)], self.size + code[bare])
         alpha = np.zeros(len(code) + len(new))
         base = start[:-1] + np.arange(len(new))  # a node before each character of a unit, and one after the last
         first = np.full(len(alpha), -1, np.int64)
@@ -203,10 +205,11 @@ class Lattice:
         try:
             return "".join([names[i] for i in ids.tolist()])[1:]
         except TypeError:
-            raw = b"".join(bytes([self.byte_of[i]]) if names[i] is None else names[i].encode() for i in ids.tolist())
+            raw = b"".join(bytes([self.byte_of[i]]) if i in self.byte_of else names[i].encode() for i in ids.tolist())
             return raw.decode("utf-8", "surrogatepass")[1:]
 
 
+
 @lru_cache(maxsize=2)
 def lattice(path: str, theta: float) -> Lattice:
     """One per worker, model and temperature."""
