@@ -3,9 +3,9 @@
 Documents are tokenised and cut into pieces of at most `capacity` ids. Pieces and gaps (the room left in a sequence) are
 kept range-sorted as size classes: of either there are at most `capacity`, whatever the input, so what a superstep
 exchanges is bounded. A superstep takes all pieces of the largest length that is left and sweeps over the gap classes
-from that length upwards: each class of gaps, the successor first, takes as many pieces as it has gaps. Conflicts are
-resolved by rank: the k-th piece of a length goes into the k-th gap on offer. Then the gaps that were used move to their
-new class, and the next superstep follows; pieces without a gap open new sequences, as many to each as fit. This is the
+from that length upwards: each class of gaps, the successor first, takes as many pieces as its gaps have room for.
+Conflicts are resolved by rank: pieces fill the gaps on offer in the order of their ranks. Then the gaps that were used
+move to their new class, and the next superstep follows; pieces without a gap open new sequences, as many to each as fit. This is the
 result that best-fit decreasing gives when it places one piece after another.
 
 The executors count pieces for each length and partition, and rank the pieces of a length by prefix sums over partitions
@@ -74,37 +74,39 @@ def plan(counts: dict[int, int], capacity: int) -> tuple[np.ndarray, int]:
                 insort(rooms, room)
             gaps[room].append((first, n))
 
+    def fill(first: int, n: int, room: int) -> int:
+        """Put pieces into sequences first .. first + n - 1, each of that room, one sequence after another; returns how many
+        sequences were touched."""
+        nonlocal rank, left
+        each = room // length
+        full, rest = min(n, left // each), 0
+        for i in range(each if full else 0):
+            out.append((length, rank, first, capacity - room + i * length))
+            rank += full
+        offer(room - each * length, first, full)
+        left -= full * each
+        if full < n and left:
+            rest = left
+            for i in range(rest):
+                out.append((length, rank + i, first + full, capacity - room + i * length))
+            rank, left = rank + rest, 0
+            offer(room - rest * length, first + full, 1)
+        return full + (rest > 0)
+
     for length in sorted(counts, reverse=True):
         left, rank = counts[length], 0
         while left and (at := bisect_left(rooms, length)) < len(rooms):
-            room = rooms[at]
-            runs = gaps[room]
-            used = []
+            room = rooms.pop(at)
+            runs = gaps.pop(room)
             while left and runs:
                 first, n = runs.popleft()
-                k = min(n, left)
-                out.append((length, rank, first, capacity - room))
-                used.append((first, k))
-                if k < n:
-                    runs.appendleft((first + k, n - k))
-                rank, left = rank + k, left - k
-            if not runs:
-                del gaps[room], rooms[at]
-            for first, k in used:
-                offer(room - length, first, k)
+                used = fill(first, n, room)
+                if used < n:
+                    runs.appendleft((first + used, n - used))
+            for first, n in runs:
+                offer(room, first, n)
         if left:
-            each = capacity // length
-            full, rest = divmod(left, each)
-            for i in range(each if full else 0):
-                out.append((length, rank, sequences, i * length))
-                rank += full
-            offer(capacity - each * length, sequences, full)
-            sequences += full
-            for i in range(rest):
-                out.append((length, rank + i, sequences, i * length))
-            if rest:
-                offer(capacity - rest * length, sequences, 1)
-                sequences += 1
+            sequences += fill(sequences, left, capacity)
     return np.array(sorted(out), np.int64).reshape(-1, 4), sequences
 
 
