@@ -1,0 +1,101 @@
+"""Rules over source text: patterns on raw, comment-free and literal-free views, token kinds, search patterns."""
+
+from __future__ import annotations
+
+import re
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from factloom.functions import masks
+from factloom.operators.rows import first_wins
+from factloom.session import ship
+
+RULE_DDL = "id string, language string, pattern string, view string, path_pattern string, severity string, cwe string, message string"
+VIEWS = ("raw", "code", "bare")
+
+#: Line patterns that hint at malicious install code.
+MALWARE = [
+    ("decode_and_run", r"(eval|exec)\s*\(\s*(base64|atob|zlib|bytes\.fromhex|Buffer\.from)"),
+    ("fetch_and_run", r"(curl|wget)\s[^|;]*[|;]\s*(sh|bash|python)"),
+    ("read_credentials", r"(\.aws/credentials|\.ssh/id_rsa|\.npmrc|/etc/shadow)"),
+    ("send_environment", r"(requests\.post|fetch|http\.request)\s*\([^)]*(process\.env|os\.environ)"),
+]
+
+
+def scan(files: DataFrame, rules: DataFrame) -> DataFrame:
+    """files(language, path, content) x rules: (rule_id, path, line, col, excerpt, severity, cwe, message), the first of
+    equal places. Rules of one view share the masked text; the few rules are broadcast to the files."""
+    ship(files.sparkSession)
+    views = files.withColumns({"raw": F.col("content"), "code": masks.masked("language", "content"), "bare": masks.bare("language", "content")})
+    rules = rules.withColumnRenamed("language", "rule_language")
+    fits = (F.col("rule_language").isNull() | (F.col("rule_language") == F.col("language"))) & (F.col("path_pattern").isNull() | F.regexp_like("path", "path_pattern"))
+    met = views.join(F.broadcast(rules), fits)
+    text = F.when(F.col("view") == "raw", F.col("raw")).when(F.col("view") == "bare", F.col("bare")).otherwise(F.col("code"))
+    lines = met.select("id", "path", "pattern", "severity", "cwe", "message", F.posexplode(F.split(text, "\n")).alias("n", "seen"), F.split("content", "\n").alias("lines"))
+    hits = lines.where(F.regexp_like("seen", "pattern"))
+    col = F.length(F.element_at(F.split(F.col("seen"), F.concat(F.lit("\\Q"), F.regexp_substr("seen", F.col("pattern")), F.lit("\\E")), 2), 1)) + 1
+    out = hits.select(F.col("id").alias("rule_id"), "path", (F.col("n") + 1).alias("line"), col.alias("col"), F.get("lines", F.col("n")).alias("excerpt"), "severity", "cwe", "message")
+    return first_wins(out.withColumn("__order", F.struct("path", "line", "col")), ["rule_id", "path", "line", "col"], "__order").drop("__order")
+
+
+def scan_tokens(files: DataFrame, kind: str, pattern: str) -> DataFrame:
+    """(path, line, value) of the tokens of one kind that fit a pattern."""
+    ship(files.sparkSession)
+    found = files.select("path", "content", F.explode(masks.token_list("language", "content")).alias("t")).where((F.col("t.kind") == kind) & F.col("t.value").rlike(pattern))
+    return found.select("path", masks.line_and_column(F.col("content"), F.col("t.lo"))[0].alias("line"), F.col("t.value").alias("value"))
+
+
+def malware(files: DataFrame) -> DataFrame:
+    """(path, line, rule_id) of lines that fit one of the four heuristics."""
+    lines = files.select("path", F.posexplode(F.split("content", "\n")).alias("n", "text"))
+    hits = F.array_compact(F.array(*(F.when(F.col("text").rlike(p), F.lit(r)) for r, p in MALWARE)))
+    return lines.select("path", (F.col("n") + 1).alias("line"), F.explode(hits).alias("rule_id"))
+
+
+def search_pattern(pattern: str) -> str:
+    """A search pattern with metavariables ($X, repeated ones must agree) and `...` as a regular expression."""
+    out, seen = [], set()
+    for part in re.split(r"(\$[A-Z_]+|\.\.\.|\s+)", pattern):
+        if part == "...":
+            out.append(r"[\s\S]*?")
+        elif part.startswith("$"):
+            name = part[1:]
+            out.append(rf"\k<{name.replace('_', '0')}>" if name in seen else rf"(?<{name.replace('_', '0')}>[\w.\[\]'\"]+)")
+            seen.add(name)
+        elif part.isspace():
+            out.append(r"\s+")
+        else:
+            out.append(re.sub(r"([^\w])", r"\\s*\\\1\\s*", part) if part else "")
+    return "".join(out)
+
+
+def search(files: DataFrame, either: list[str], inside: str | None = None, without: list[str] = ()) -> DataFrame:
+    """(path, line, match): code that fits one pattern, lies in a file where `inside` fits, and fits none of `without`."""
+    ship(files.sparkSession)
+    text = masks.masked("language", "content")
+    rows = files.select("path", text.alias("code"))
+    if inside:
+        rows = rows.where(F.col("code").rlike(search_pattern(inside)))
+    found = rows.select("path", "code", F.explode(F.array_distinct(F.flatten(F.array(*(F.regexp_extract_all("code", F.lit(search_pattern(p)), 0) for p in either))))).alias("match"))
+    for p in without:
+        found = found.where(~F.col("match").rlike(search_pattern(p)))
+    return found.select("path", masks.line_and_column(F.col("code"), F.expr("position(match, code) - 1"))[0].alias("line"), "match")
+
+
+def java_imports(files: DataFrame, packages: DataFrame) -> DataFrame:
+    """(path, rule_id, name) of imports in files that fit a package pattern of packages(rule_id, pattern)."""
+    names = files.where("language = 'java'").select("path", F.explode(F.regexp_extract_all("content", F.lit(r"(?m)^\s*import\s+(?:static\s+)?([\w.*]+)\s*;"), 1)).alias("name"))
+    return names.join(F.broadcast(packages), F.regexp_like("name", "pattern")).select("path", "rule_id", "name")
+
+
+def rules_frame(spark: SparkSession, rules: list[dict]) -> DataFrame:
+    """Checked rules; equal ids are an error."""
+    names = [f.split()[0] for f in RULE_DDL.split(", ")]
+    for r in rules:
+        re.compile(r["pattern"])
+        if r.get("view", "code") not in VIEWS:
+            raise ValueError(f"no view {r['view']!r}")
+    if len({r["id"] for r in rules}) < len(rules):
+        raise ValueError("rule ids repeat")
+    return spark.createDataFrame([tuple(r.get(n, "code" if n == "view" else None) for n in names) for r in rules], RULE_DDL)
