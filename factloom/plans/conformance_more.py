@@ -35,13 +35,14 @@ WITH RECURSIVE {_HOPS_SQL}, c(x, y) AS (SELECT src, dst FROM e UNION SELECT x, d
 n AS (SELECT src AS node FROM e UNION SELECT dst FROM e),
 s AS (SELECT node, greatest(node, coalesce((SELECT max(c.y) FROM c JOIN c d ON d.x = c.y AND d.y = c.x WHERE c.x = node), node)) AS root FROM n),
 g AS (SELECT DISTINCT a.root AS src, b.root AS dst FROM e JOIN s a ON a.node = e.src JOIN s b ON b.node = e.dst WHERE a.root <> b.root),
-r(node, depth) AS (SELECT DISTINCT root, 0 FROM s WHERE node < 10 UNION SELECT g.dst, depth + 1 FROM r JOIN g ON g.src = r.node WHERE depth < 3)
+r(node, depth) AS (SELECT DISTINCT root, 0 FROM s WHERE node IN (SELECT user_id FROM events WHERE event_type = 'signup' AND value > 300) UNION SELECT g.dst, depth + 1 FROM r JOIN g ON g.src = r.node WHERE depth < 3)
 SELECT s.node, min(depth) AS depth FROM r JOIN s ON s.root = r.node GROUP BY s.node
 """)
 def reach_condensed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Reachability whose depth counts strongly connected components."""
     edges = hop_edges(spark, sf_dir)
-    starts = edges.select(F.col("src").alias("node")).union(edges.select("dst")).where("node < 10")
+    signed = table(spark, sf_dir, "events").where("event_type = 'signup' and value > 300").select(F.col("user_id").alias("node"))
+    starts = edges.select(F.col("src").alias("node")).union(edges.select("dst")).join(signed, "node", "left_semi")
     return graph.reach_condensed(edges, starts, 3)[0]
 
 
