@@ -6,10 +6,11 @@ to the shared folder, so plans stay short however deep the graph is.
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from factloom.session import written
+from factloom.session import ship, written
 
 
 def reach(edges: DataFrame, sources: DataFrame, max_depth: int, max_visits: int | None = None, within: DataFrame | None = None, backward: bool = False) -> tuple[DataFrame, str]:
@@ -83,10 +84,59 @@ def components(edges: DataFrame) -> DataFrame:
             return label
 
 
-def strong_components(edges: DataFrame) -> DataFrame:
-    """(node, root) of the strongly connected components, by repeated colouring: the largest label spreads forward, and
-    what reaches a label's own node backward within its colour is one component; the rest goes on."""
+#: Graphs of at most so many edges are given to one task for their strong components.
+LOCAL_EDGES = 200_000
+
+
+def _tarjan(rows: pd.DataFrame) -> pd.DataFrame:
+    out: dict = {}
+    for a, b in zip(rows["src"].tolist(), rows["dst"].tolist(), strict=True):
+        out.setdefault(a, []).append(b)
+        out.setdefault(b, [])
+    index, low, held, stack, found = {}, {}, set(), [], []
+    for first in out:
+        if first in index:
+            continue
+        work = [(first, iter(out[first]))]
+        index[first] = low[first] = len(index)
+        stack.append(first)
+        held.add(first)
+        while work:
+            node, following = work[-1]
+            for to in following:
+                if to not in index:
+                    index[to] = low[to] = len(index)
+                    stack.append(to)
+                    held.add(to)
+                    work.append((to, iter(out[to])))
+                    break
+                if to in held:
+                    low[node] = min(low[node], index[to])
+            else:
+                work.pop()
+                if work:
+                    low[work[-1][0]] = min(low[work[-1][0]], low[node])
+                if low[node] == index[node]:
+                    own = []
+                    while not own or own[-1] != node:
+                        own.append(stack.pop())
+                        held.discard(own[-1])
+                    root = max(own)
+                    found += [(n, root) for n in own]
+    return pd.DataFrame(found, columns=["node", "root"])
+
+
+def strong_components(edges: DataFrame, local: int = LOCAL_EDGES) -> DataFrame:
+    """(node, root) of the strongly connected components, named by their largest node.
+
+    A graph of at most `local` edges, counted, is solved in one task. Beyond that by repeated colouring: the largest label
+    spreads forward, and what reaches a label's own node backward within its colour is one component; the rest goes on.
+    Both ways give the same rows."""
     edges = written(edges.select("src", "dst").where("src is not null and dst is not null").distinct(), "scc-edges")
+    if edges.count() <= local:
+        ship(edges.sparkSession)
+        kind = edges.schema["src"].dataType.simpleString()
+        return edges.groupBy(F.lit(0).alias("all")).applyInPandas(_tarjan, f"node {kind}, root {kind}")
     left = written(edges.select(F.col("src").alias("node")).union(edges.select("dst")).distinct(), "scc-nodes")
     found = None
     while not left.isEmpty():

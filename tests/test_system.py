@@ -41,8 +41,9 @@ def test_components_and_paths(spark):
     assert {(r.node, r.root) for r in graph.components(e).collect()} == {*((i, 0) for i in range(41)), (100, 100), (101, 100)}
     paths = graph.shortest_paths(edges(spark, [(1, 3), (1, 2), (2, 4), (3, 4)]), nodes(spark, 1), 9)
     assert {r.node: r.path for r in paths.collect()}[4] == [1, 2, 4]
-    scc = graph.strong_components(edges(spark, [(1, 2), (2, 1), (2, 3), (3, 4), (4, 3), (4, 5)]))
-    assert {(r.node, r.root) for r in scc.collect()} == {(1, 2), (2, 2), (3, 4), (4, 4), (5, 5)}
+    for local in (0, 100):
+        scc = graph.strong_components(edges(spark, [(1, 2), (2, 1), (2, 3), (3, 4), (4, 3), (4, 5), (6, 6)]), local)
+        assert {(r.node, r.root) for r in scc.collect()} == {(1, 2), (2, 2), (3, 4), (4, 4), (5, 5), (6, 6)}
     labels = graph.union_by_labels(spark.createDataFrame([(1, "a"), (3, "b"), (9, "c")], "node long, label string"), edges(spark, [(1, 2), (2, 3)]))
     assert {r.node: r.labels for r in labels.collect()} == {1: ["a", "b"], 2: ["a", "b"], 3: ["a", "b"], 9: ["c"]}
 
