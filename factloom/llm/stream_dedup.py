@@ -23,8 +23,17 @@ from pyspark.sql import functions as F
 
 from factloom.llm.common import shared_folder, ship, small, written
 
-#: State on disk; without preallocated log files, which take megabytes for every partition however little it holds.
-ROCKS = {"spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider", "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false"}
+#: State on disk. A store is closed when its task is done, memory is bounded for all stores of an executor, and log files
+#: aren't preallocated, which takes megabytes for every partition however little it holds.
+_STORE = "spark.sql.streaming.stateStore"
+ROCKS = {
+    f"{_STORE}.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    f"{_STORE}.unloadOnCommit": "true",
+    f"{_STORE}.rocksdb.allowFAllocate": "false",
+    f"{_STORE}.rocksdb.boundedMemoryUsage": "true",
+    f"{_STORE}.rocksdb.maxMemoryUsageMB": "192",
+}
+
 
 def normalised(text: Column) -> Column:
     return F.regexp_replace(F.coalesce(text.cast("string"), F.lit("")), r"[\x20\x09-\x0D]+", " ")
