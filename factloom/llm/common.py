@@ -2,45 +2,37 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
-import uuid
 from collections.abc import Iterable, Iterator
-from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-REPO = str(Path(__file__).resolve().parents[2])
+from factloom import session
+from factloom.session import shared_folder, written  # noqa: F401
 
-
-def ship(spark: SparkSession) -> None:
-    """Python workers import this package from where the driver found it, unless they were told otherwise."""
-    spark.sparkContext.environment.setdefault("PYTHONPATH", os.pathsep.join(x for x in (REPO, os.environ.get("PYTHONPATH", "")) if x))
+#: Arrow batches between Spark and Python hold at most so much, so that long texts don't add up.
+BATCH_BYTES = 8 << 20
+_BATCH, _BATCH_DEFAULT = "spark.sql.execution.arrow.maxBytesPerBatch", "67108864b"
 
 
-def shared_root(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or (only where that is unset, as in tests) a new one."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not root:
-        root = spark.conf.get("factloom.shared.dir", None)
-        if not root:
-            root = "file://" + tempfile.mkdtemp(prefix="factloom-")
-            spark.conf.set("factloom.shared.dir", root)
-    return root.rstrip("/")
+def ship(spark: SparkSession) -> None:
+    """What every operator that runs Python needs: workers that find this package, and bounded batches."""
+    session.ship(spark)
+    if spark.conf.get(_BATCH) == _BATCH_DEFAULT:
+        spark.conf.set(_BATCH, str(BATCH_BYTES))
 
 
-def shared_folder(spark: SparkSession, name: str) -> str:
-    """A new path below the shared folder; nothing is there yet."""
-    return f"{shared_root(spark)}/{name}-{uuid.uuid4().hex}"
+_HELD: dict = {}
 
 
-def written(df: DataFrame, name: str, **options) -> DataFrame:
-    """df written to the shared folder and read again: cuts the lineage, survives lost executors."""
-    path = shared_folder(df.sparkSession, name)
-    df.write.options(**options).parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+def machine(kind: type, *args):
+    """kind(*args), made once per worker. A worker keeps the machine of one operator at a time: machines remember much."""
+    key = kind, args
+    if key not in _HELD:
+        _HELD.clear()
+        _HELD[key] = kind(*args)
+    return _HELD[key]
 
 
 #: A set of keys is broadcast if its rows, counted, are at most so many bytes; beyond that Spark joins by shuffles.
@@ -69,8 +61,11 @@ def id_and_text(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
     return docs.select(F.col(f"`{key}`").cast("long").alias("doc_id"), F.col(f"`{text}`").cast("string").alias("text"))
 
 
-def blocks(batches: Iterable[pa.RecordBatch], chars: int = 4_000_000) -> Iterator[tuple[list, list[str]]]:
-    """Rows (doc_id, text) of Arrow batches regrouped to lists of at least `chars` characters (the last may be shorter); null text is ''."""
+def blocks(batches: Iterable[pa.RecordBatch], chars: int = 4_000_000, keep: bool = False) -> Iterator[tuple[list, list[str]]]:
+    """Rows (doc_id, text) of Arrow batches regrouped to lists of at least `chars` characters (the last may be shorter); null text is ''.
+    keep: the caller uses a machine, which stays."""
+    if not keep:
+        _HELD.clear()
     ids: list = []
     texts: list[str] = []
     size = 0

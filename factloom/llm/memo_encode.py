@@ -12,7 +12,6 @@ import json
 import os
 import re
 from array import array
-from functools import lru_cache
 
 _SPACES = "\t-\r \x85\xa0  -     　"
 #: A run of white space belongs to the piece after it; one at the end is a piece of its own.
@@ -113,8 +112,3 @@ class MemoEncoder:
             gc.enable()
         return [b"".join(f) for f in found]
 
-
-@lru_cache(maxsize=4)
-def encoder(path: str) -> MemoEncoder:
-    """One per worker and file."""
-    return MemoEncoder(path)

@@ -19,13 +19,12 @@ from __future__ import annotations
 import re
 import zlib
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from factloom.llm.common import blocks, id_and_text, record, ship
+from factloom.llm.common import blocks, id_and_text, machine, record, ship
 from factloom.llm.token_shards import _GOLD, mix
 
 MARK = "▁"
@@ -210,12 +209,6 @@ class Lattice:
 
 
 
-@lru_cache(maxsize=2)
-def lattice(path: str, theta: float) -> Lattice:
-    """One per worker, model and temperature."""
-    return Lattice(path, theta)
-
-
 _OUT = pa.schema([("doc_id", pa.int64()), ("n_pieces", pa.int64()), ("ids_crc32", pa.int64()), ("lossless", pa.bool_())])
 
 
@@ -225,8 +218,8 @@ def op7_piece_sampling(docs: DataFrame, model: str, theta: float = 0.0005, seed:
     ship(docs.sparkSession)
 
     def run(batches) -> Iterator[pa.RecordBatch]:
-        own = lattice(model, theta)
-        for ids, texts in blocks(batches, 2_000_000):
+        own = machine(Lattice, model, theta)
+        for ids, texts in blocks(batches, 2_000_000, keep=True):
             drawn = own.encode(np.array([-1 if i is None else i for i in ids], np.int64), texts, seed)
             yield record(_OUT, ids, [len(x) for x in drawn], [zlib.crc32(x.astype("<u4").tobytes()) for x in drawn], [own.decode(x) == t for x, t in zip(drawn, texts, strict=True)])
 

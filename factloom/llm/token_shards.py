@@ -23,8 +23,8 @@ import pyarrow.fs as pafs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from factloom.llm.common import blocks, id_and_text, record, shared_folder, ship
-from factloom.llm.memo_encode import encoder
+from factloom.llm.common import blocks, id_and_text, machine, record, shared_folder, ship
+from factloom.llm.memo_encode import MemoEncoder
 
 MAGIC = b"FLIDS001"
 GAMMA, LEVELS = 1.6, 40
@@ -167,14 +167,14 @@ def write_shards(docs: DataFrame, base: str, tokenizer: str, end_id: int = 0) ->
     def write(batches) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        enc = encoder(tokenizer)
+        enc = machine(MemoEncoder, tokenizer)
         width = 2 if enc.vocabulary <= 1 << 16 else 4
         part = TaskContext.get().partitionId()
         name, fs, out = f"s{part:06d}-{uuid.uuid4().hex}", None, None
         hashes, lengths, low, high, nulls, before = [], [], None, None, False, (None, 0)
         end = np.array([end_id], "<u4").tobytes()
         fresh = True
-        for keys, texts in blocks(batches):
+        for keys, texts in blocks(batches, keep=True):
             if out is None:
                 fs, path = pafs.FileSystem.from_uri(base)
                 fs.create_dir(path, recursive=True)

@@ -25,13 +25,12 @@ import json
 import re
 import unicodedata
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from factloom.llm.common import blocks, id_and_text, record, ship
+from factloom.llm.common import blocks, id_and_text, machine, record, ship
 
 _SPACES = frozenset(c for c in map(chr, range(0x3001)) if c.isspace() and c not in "\x1c\x1d\x1e\x1f")
 START, LETTERS, OTHER, QUOTE, QUOTE_R, QUOTE_V, QUOTE_L = range(7)
@@ -301,11 +300,6 @@ class Transducer:
         return sums
 
 
-@lru_cache(maxsize=2)
-def transducer(path: str) -> Transducer:
-    """One per worker and file."""
-    return Transducer(path)
-
 
 _OUT = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_tokens", pa.int64()), ("over_limit", pa.bool_())])
 
@@ -315,9 +309,9 @@ def op1_token_counts(docs: DataFrame, tokenizer: str, limit: int = 2048) -> Data
     ship(docs.sparkSession)
 
     def count(batches) -> Iterator[pa.RecordBatch]:
-        machine = transducer(tokenizer)
-        for ids, texts in blocks(batches, 6_000_000):
-            n = machine.count(texts)
+        own = machine(Transducer, tokenizer)
+        for ids, texts in blocks(batches, 6_000_000, keep=True):
+            n = own.count(texts)
             yield record(_OUT, ids, [len(t) if t.isascii() else len(t.encode("utf-8", "surrogatepass")) for t in texts], n, n > limit)
 
     return id_and_text(docs).mapInArrow(count, "doc_id long, n_bytes long, n_tokens long, over_limit boolean")
