@@ -4,7 +4,7 @@ flow_edges(src, dst, kind, site, remove, add): kind is "flow", "enter" (actual t
 (formal to actual); remove and add are label arrays. sources(node, rule_id, kind), sinks(node, rule_id, kind, location).
 
 The slices are distributed joins. The witness search runs per (sink rule, sink location) over the sliced edges, because
-what was already reported there decides what is searched next; it is bounded by states, as the reference's is, and tells
+what was already reported there decides what is searched next; it is bounded by states and tells
 when the bound was met.
 """
 

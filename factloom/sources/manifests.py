@@ -204,8 +204,27 @@ def apk_installed(text: str) -> Iterator[Row]:
             yield "apk", fields["P"], fields.get("V"), True
 
 
-#: file name pattern, is it a lock file, parser
+def wheel(text: str) -> Iterator[Row]:
+    fields = dict(re.findall(r"^(Name|Version): (.*)$", text.split("\n\n")[0], re.MULTILINE))
+    if "Name" in fields:
+        yield "pypi", fields["Name"], fields.get("Version"), False
+
+
+def jar_properties(text: str) -> Iterator[Row]:
+    fields = dict(re.findall(r"^(groupId|artifactId|version)=(.*)$", text, re.MULTILINE))
+    if {"groupId", "artifactId"} <= fields.keys():
+        yield "maven", f"{fields['groupId'].strip()}:{fields['artifactId'].strip()}", fields.get("version", "").strip() or None, False
+
+
+def node_module(text: str) -> Iterator[Row]:
+    spec = json.loads(text)
+    if spec.get("name"):
+        yield "npm", spec["name"], spec.get("version"), False
+
+
+#: file name pattern, is it a lock file, parser; the first that fits reads the file
 PARSERS = [
+    (r"[^/]*\.(?:dist|egg)-info/(?:METADATA|PKG-INFO)", True, wheel), (r"META-INF/maven/.*/pom\.properties", True, jar_properties), (r"node_modules/(?:@[^/]+/)?[^/]+/package\.json", True, node_module),
     (r"requirements[^/]*\.txt", False, requirements), (r"pyproject\.toml", False, pyproject), (r"(poetry|uv)\.lock", True, toml_lock("pypi")), (r"Cargo\.toml", False, cargo),
     (r"Cargo\.lock", True, toml_lock("cargo")), (r"package\.json", False, package_json), (r"package-lock\.json|npm-shrinkwrap\.json", True, package_lock), (r"yarn\.lock", True, yarn_lock),
     (r"pnpm-lock\.yaml", True, pnpm_lock), (r"go\.mod", False, go_mod), (r"go\.sum", True, go_sum), (r"pom\.xml", False, pom), (r"build\.gradle(\.kts)?", False, gradle),
