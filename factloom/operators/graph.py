@@ -13,12 +13,13 @@ from pyspark.sql import functions as F
 from factloom.session import ship, written
 
 
-def reach(edges: DataFrame, sources: DataFrame, max_depth: int, max_visits: int | None = None, within: DataFrame | None = None, backward: bool = False) -> tuple[DataFrame, str]:
+def reach(edges: DataFrame, sources: DataFrame, max_depth: int, max_visits: int | None = None, within: DataFrame | None = None, backward: bool = False, probe: bool = True) -> tuple[DataFrame, str]:
     """(node, depth) of all nodes reached from sources(node), with the number of edges on a shortest way, and the
     completeness: "complete", "depth_limit" or "visit_limit".
 
     The visit budget is applied to whole layers: the layer that exceeds it is the last. within(node) restricts the walk.
-    """
+    probe: look past the depth limit to tell "complete" from "depth_limit"; without it a walk that meets the limit is
+    called "depth_limit"."""
     if backward:
         edges = edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
     edges = edges.select("src", "dst").where("src is not null and dst is not null").distinct()
@@ -26,9 +27,12 @@ def reach(edges: DataFrame, sources: DataFrame, max_depth: int, max_visits: int
     if within is not None:
         edges = edges.join(within.select(F.col("node").alias("dst")).distinct(), "dst", "left_semi")
         frontier = frontier.join(within.select("node").distinct(), "node", "left_semi")
+    edges = written(edges, "edges")  # read in every round
     visited = written(frontier.withColumn("depth", F.lit(0)), "reach")
     frontier, depth, visits = visited, 0, visited.count() if max_visits is not None else 0
     while True:
+        if depth == max_depth and not probe:
+            return visited, "depth_limit"
         following = frontier.select(F.col("node").alias("src")).join(edges, "src").select(F.col("dst").alias("node")).distinct()
         new = written(following.join(visited, "node", "left_anti").withColumn("depth", F.lit(depth + 1)), "reach")
         if new.isEmpty():
@@ -45,15 +49,15 @@ def reach(edges: DataFrame, sources: DataFrame, max_depth: int, max_visits: int
 def slice_between(edges: DataFrame, sources: DataFrame, sinks: DataFrame, max_depth: int) -> DataFrame:
     """(node, fwd_depth, bwd_depth) of the nodes on a way from a source to a sink: the backward walk is restricted to what
     the forward walk found."""
-    forward, _ = reach(edges, sources, max_depth)
-    backward, _ = reach(edges, sinks, max_depth, within=forward, backward=True)
+    forward, _ = reach(edges, sources, max_depth, probe=False)
+    backward, _ = reach(edges, sinks, max_depth, within=forward, backward=True, probe=False)
     return forward.withColumnRenamed("depth", "fwd_depth").join(backward.withColumnRenamed("depth", "bwd_depth"), "node")
 
 
 def shortest_paths(edges: DataFrame, sources: DataFrame, max_depth: int) -> DataFrame:
     """(node, depth, path) of a shortest way from a source to each node; of several the one whose parents are smallest, seen
     from the node."""
-    edges = edges.select("src", "dst").distinct()
+    edges = written(edges.select("src", "dst").distinct(), "edges")
     start = sources.select("node").distinct()
     layer = written(start.select("node", F.lit(0).alias("depth"), F.array("node").alias("path")), "paths")
     done = layer
@@ -183,7 +187,7 @@ def union_by_labels(seeds: DataFrame, edges: DataFrame) -> DataFrame:
 def propagate(seeds: DataFrame, edges: DataFrame) -> DataFrame:
     """Monotone set propagation along edges until nothing is new: (node, fact) for every fact of seeds(node, fact) that
     reaches node. This is points-to propagation when facts are abstract objects."""
-    edges = edges.select("src", "dst").distinct()
+    edges = written(edges.select("src", "dst").distinct(), "edges")
     known = written(seeds.select("node", "fact").distinct(), "facts")
     delta = known
     while True:

@@ -176,7 +176,7 @@ SELECT node, CAST(min(depth) AS BIGINT) AS depth FROM r GROUP BY node
 """)
 def reach_bounded(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What the sources reach in two steps."""
-    found, _ = graph.reach(trade_edges(spark, sf_dir), trade_ends(spark, sf_dir)[0], 2)
+    found, _ = graph.reach(trade_edges(spark, sf_dir), trade_ends(spark, sf_dir)[0], 2, probe=False)
     return found.select("node", F.col("depth").cast("long").alias("depth"))
 
 

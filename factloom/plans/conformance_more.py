@@ -65,7 +65,7 @@ SELECT node, CAST(min(depth) AS BIGINT) AS depth FROM b GROUP BY node
 """)
 def reach_backward(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What reaches the sinks in two steps."""
-    found, _ = graph.reach(trade_edges(spark, sf_dir), trade_ends(spark, sf_dir)[1], 2, backward=True)
+    found, _ = graph.reach(trade_edges(spark, sf_dir), trade_ends(spark, sf_dir)[1], 2, backward=True, probe=False)
     return found.select("node", F.col("depth").cast("long").alias("depth"))
 
 
