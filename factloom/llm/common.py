@@ -44,13 +44,6 @@ def small(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() * ROW_BYTES <= BROADCAST_BYTES else df
 
 
-def remove(spark: SparkSession, path: str) -> None:
-    """Delete a folder of an operator through Hadoop's file system (any store)."""
-    jvm = spark.sparkContext._jvm
-    at = jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
