@@ -339,23 +339,24 @@ def cells(nodes: DataFrame, regions: DataFrame, sets: DataFrame) -> tuple[DataFr
     """Compare the members of each of regions(rid, key) with its most central one. Returns nodes with the components so
     far as labels, and the regions that more than one component shares."""
     members = written(regions.join(nodes, "key"), "members")
-    pivots = members.groupBy("rid").agg(F.max(F.struct("central", "key")).alias("top")).select("rid", F.col("top.key").alias("pivot"))
-    pairs = members.join(pivots, "rid").where("key <> pivot").select(F.col("key").alias("a"), F.col("pivot").alias("b")).distinct()
+    # what is gathered for each region is written before it is joined back, so a join with a large region can be split
+    pivots = written(members.groupBy("rid").agg(F.max(F.struct("central", "key")).alias("top")).select("rid", F.col("top.key").alias("pivot")), "pivots")
+    pairs = members.join(small(pivots), "rid").where("key <> pivot").select(F.col("key").alias("a"), F.col("pivot").alias("b")).distinct()
     nodes = relabelled(nodes, compared(written(pairs, "pairs"), sets).where(linked()).select("a", "b"))
     labelled = members.select("rid", "key").join(nodes.select("key", "label"), "key")
-    mixed = labelled.groupBy("rid").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("rid")
-    return nodes, written(labelled.join(mixed, "rid", "left_semi"), "mixed")
+    mixed = labelled.groupBy("rid").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("rid", F.col("low").alias("lowest"))
+    return nodes, written(labelled.join(small(written(mixed, "mixed-regions")), "rid"), "mixed")
 
 
 def candidates(mixed: DataFrame, nodes: DataFrame, sets: DataFrame) -> DataFrame:
-    """Pairs (a, b) of members of mixed(rid, key, label), in different components, that may link: all that do, and few others.
+    """Pairs (a, b) of members of mixed(rid, key, label, lowest label of the region), in different components, that may link: all that do, and few others.
 
     Regions that share components are taken together, so a pair is looked at once. Within such a group the windows are
     those of the symmetric difference, a metric in which a link of sets A and B means |A ^ B| <= (|A| + |B|) / 9:
     seen from the empty set, sizes differ by a factor of 1.25 at most, so each class is in the shell of its size and, as a
     replica, in the next; seen from PARTS fixed parts of the hash space, the numbers of shingles in the parts differ by no
     more than |A ^ B| in all. Shells of more than BLOCK classes are dealt to tasks as pairs of blocks."""
-    edges = mixed.groupBy("rid").agg(F.min("label").alias("u")).join(mixed, "rid").where("u <> label").select("u", F.col("label").alias("v")).distinct()
+    edges = mixed.where("lowest <> label").select(F.col("lowest").alias("u"), F.col("label").alias("v")).distinct()
     groups = components(edges).select(F.col("u").alias("label"), F.xxhash64("root").alias("part"))
     members = mixed.select("key", "label").distinct().join(groups, "label").select("part", "key", F.xxhash64("label").alias("cell"))
     counts = pa.schema([("part", pa.int64()), ("key", pa.binary()), ("cell", pa.int64()), ("n", pa.int64()), ("counts", pa.binary())])
