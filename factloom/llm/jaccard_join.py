@@ -274,10 +274,11 @@ def compared(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """pairs(a, b) with both sizes and the size of the intersection. One b may have any number of a."""
     spark = pairs.sparkSession
     salts = F.ceil(F.col("m") / SALT_ROWS).cast("int")
-    many = pairs.groupBy("b").agg(F.count("*").alias("m")).select("b", salts.alias("salts"))
+    many = written(pairs.groupBy("b").agg(F.count("*").alias("m")).select("b", salts.alias("salts")), "pivot-sizes")
     left = pairs.join(many, "b").withColumn("salt", F.pmod(F.xxhash64("a"), F.col("salts")).cast("int")).select("a", "b", "salt")
-    left = left.join(sets.withColumnsRenamed({"key": "a"}), "a").select("b", "salt", "a", "n", "hashes")
-    right = sets.join(many, sets["key"] == many["b"]).select("b", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(None).cast("binary").alias("a"), "n", "hashes")
+    # pairs go to the sets where they are few, so only sets that are compared move
+    left = sets.withColumnsRenamed({"key": "a"}).join(small(written(left, "salted-pairs")), "a").select("b", "salt", "a", "n", "hashes")
+    right = sets.withColumnsRenamed({"key": "b"}).join(small(many), "b").select("b", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(None).cast("binary").alias("a"), "n", "hashes")
     schema = pa.schema([("a", pa.binary()), ("b", pa.binary()), ("na", pa.int64()), ("nb", pa.int64()), ("common", pa.int64())])
     ship(spark)
 
@@ -366,7 +367,7 @@ def candidates(mixed: DataFrame, nodes: DataFrame, sets: DataFrame) -> DataFrame
             rows = [np.bincount((np.frombuffer(raw, np.uint64) >> np.uint64(33)) % np.uint64(PARTS), minlength=PARTS) for raw in b.column(4).to_pylist()]
             yield record(counts, *b.columns[:4], [np.minimum(r, 255).astype(np.uint8).tobytes() for r in rows])
 
-    signed = members.join(sets, "key").select("part", "key", "cell", "n", "hashes").mapInArrow(count, "part long, key binary, cell long, n long, counts binary")
+    signed = sets.join(small(written(members, "cell-members")), "key").select("part", "key", "cell", "n", "hashes").mapInArrow(count, "part long, key binary, cell long, n long, counts binary")
     # powers of 1.25, a little less so that rounding can't put a partner two shells away
     shell = F.floor(F.log(F.col("n").cast("double")) / math.log(1.2500001)).cast("int")
     placed = signed.withColumn("own", shell).select("*", F.explode(F.array("own", F.col("own") + 1)).alias("shell"))
