@@ -92,7 +92,7 @@ EMPTY = ("", ((None, 0),))
 
 
 class Transducer:
-    def __init__(self, path: str, bound_mb: int = 280):
+    def __init__(self, path: str, bound_mb: int = 100):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         kinds = [x["type"] for x in spec["normalizer"]["normalizers"]]
@@ -109,6 +109,7 @@ class Transducer:
     def reset(self) -> None:
         self.symbol_of = np.full(0x110000, -1, np.int32)
         self.symbols: list[tuple] = []
+        self.merges.known.clear()
         self.states: dict[tuple, int] = {}
         self.keys: list[tuple] = []
         self.width, self.height = 128, 4096
@@ -123,7 +124,7 @@ class Transducer:
             i = self.states[key] = len(self.keys)
             self.keys.append(key)
             if i >= self.height:
-                more = min(self.height, 1 << 17)
+                more = min(self.height, 1 << 15)
                 self.height += more
                 self.table = np.concatenate([self.table, np.full((more, self.width), -1, np.int32)])
         return i
@@ -310,7 +311,7 @@ def op1_token_counts(docs: DataFrame, tokenizer: str, limit: int = 2048) -> Data
 
     def count(batches) -> Iterator[pa.RecordBatch]:
         own = machine(Transducer, tokenizer)
-        for ids, texts in blocks(batches, 6_000_000, keep=True):
+        for ids, texts in blocks(batches, 2_500_000, keep=True):
             n = own.count(texts)
             yield record(_OUT, ids, [len(t) if t.isascii() else len(t.encode("utf-8", "surrogatepass")) for t in texts], n, n > limit)
 
