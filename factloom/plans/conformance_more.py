@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from factloom.operators import graph, matching, rows, taint
 from factloom.plans.conformance import EDGES_SQL, SINKS_SQL, query, trade_edges, trade_ends
-from factloom.session import table
+from factloom.session import table, written
 
 
 def hop_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -46,6 +46,39 @@ def reach_condensed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.reach_condensed(edges, starts, 3)[0]
 
 
+#: Events whose id falls in one stretch are one task's share of a type's order.
+STRETCH = 10_000
+
+
+def all_hops(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """From the user of every event to the user of the next event of its type. The order is cut into stretches of ids, so a
+    frequent type is many tasks; the last event of a stretch goes on to the first of the type's next stretch."""
+    events = table(spark, sf_dir, "events").select("event_type", "event_id", "user_id", F.floor(F.col("event_id") / STRETCH).alias("stretch"))
+    by = Window.partitionBy("event_type", "stretch").orderBy("event_id", "user_id")
+    inside = events.select("event_type", "stretch", F.col("user_id").alias("src"), F.lead(F.struct("user_id")).over(by).alias("after"))
+    heads = events.groupBy("event_type", "stretch").agg(F.min(F.struct("event_id", "user_id")).alias("head"))
+    heads = heads.select(F.col("event_type").alias("t"), F.col("stretch").alias("s"), F.lead("head.user_id").over(Window.partitionBy("event_type").orderBy("stretch")).alias("beyond"))
+    hops = inside.join(heads, F.col("event_type").eqNullSafe(F.col("t")) & F.col("stretch").eqNullSafe(F.col("s")))
+    dst = F.when(F.col("after").isNull(), F.col("beyond")).otherwise(F.col("after.user_id"))
+    return hops.select("src", dst.alias("dst")).where("src is not null and dst is not null").distinct()
+
+
+@query()
+def strong_components_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Strongly connected components of the hops of all events. The SQL of strong_components builds all pairs and is for
+    a slice only; tests/test_system.py holds this against brute force."""
+    return graph.strong_components(all_hops(spark, sf_dir))
+
+
+@query()
+def reach_condensed_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Condensed reachability over the hops of all events, from all users that signed up."""
+    edges = written(all_hops(spark, sf_dir), "hops")
+    signed = table(spark, sf_dir, "events").where("event_type = 'signup'").select(F.col("user_id").alias("node"))
+    starts = edges.select(F.col("src").alias("node")).union(edges.select("dst")).join(signed, "node", "left_semi")
+    return graph.reach_condensed(edges, starts, 3)[0]
+
+
 @query(f"""
 WITH RECURSIVE {EDGES_SQL.strip()},
 f(node, fact) AS (SELECT 'c' || c_custkey, c_mktsegment FROM customer WHERE c_nationkey = 3 UNION SELECT dst, fact FROM f JOIN e ON src = node)
