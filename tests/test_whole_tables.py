@@ -56,3 +56,28 @@ def test_all_hops_and_their_components(spark, hops):
 def test_all_events_make_hops(spark, sf):
     users = {r.user_id for r in spark.read.parquet(f"{sf}/events.parquet").select("user_id").distinct().collect()}
     assert {r.node for r in conformance_more.strong_components_all(spark, sf).collect()} == users
+
+
+def merged(lines):
+    parent = {}
+
+    def find(x):
+        while parent.setdefault(x, x) != x:
+            x = parent[x]
+        return x
+
+    for order, part in lines:
+        parent[find(("part", part))] = find(("order", order))
+    first = {}
+    for order in sorted({o for o, _ in lines}):
+        first.setdefault(find(("order", order)), order)
+    return {(o, first[find(("order", o))]) for o, _ in lines}
+
+
+def test_all_lines_merge_orders(spark, sf, tmp_path):
+    """Several components on a fixture, of lines that the slice leaves out, and the table's own giant one."""
+    lines = [(1, 10), (2, 10), (2, 11), (5, 11), (3, 12), (9, 12), (9, 13), (4, 14), (0, 0), (7, 0), (8, 1)]
+    spark.createDataFrame([(o, p, 7.0, "N") for o, p in lines], "l_orderkey long, l_partkey long, l_quantity double, l_returnflag string").write.parquet(f"{tmp_path}/lineitem.parquet")
+    got = lambda d: {(r.node, r.root) for r in conformance.components_alias_merge_all(spark, d).collect()}
+    assert got(str(tmp_path)) == merged(lines) and len({r for _, r in merged(lines)}) == 5
+    assert got(sf) == merged([tuple(r) for r in spark.read.parquet(f"{sf}/lineitem.parquet").select("l_orderkey", "l_partkey").collect()])
