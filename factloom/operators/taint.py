@@ -13,7 +13,7 @@ from __future__ import annotations
 from collections import deque
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from factloom.operators import graph
@@ -23,6 +23,8 @@ EDGE_DDL = "src long, dst long, kind string, site long, remove array<string>, ad
 #: Search states for a source and a sink, failed attempts for a sink (an exhausted search counts for four),
 #: findings in all.
 STATES, FAILURES, EXHAUSTED, FINDINGS = 4000, 8, 4, 20_000
+#: The rule and kind of the row that tells that there are more findings than are given.
+RESULT_LIMIT, LIMIT_KIND = "UNIFLOW-TAINT-RESULT-LIMIT", "analysis-limit"
 FINDING_DDL = "source_rule_id string, sink_rule_id string, source_kind string, sink_kind string, source_node long, sink_node long, location string, path array<long>, completeness string"
 
 
@@ -78,7 +80,8 @@ def witness(edges: dict, source: int, kind: str, sink: int, sink_kind: str, stat
 
 
 def findings(flow_edges: DataFrame, sources: DataFrame, sinks: DataFrame, max_depth: int = 96, limit: int = FINDINGS) -> DataFrame:
-    """Findings in the order of their sources and sinks, at most `limit`; each source rule once for each sink and rule."""
+    """Findings in the order of their sources and sinks, each source rule once for each sink and rule. At most `limit`; if
+    there are more, a last row RESULT_LIMIT without path says so."""
     spark = flow_edges.sparkSession
     ship(spark)
     plain = flow_edges.select("src", "dst")
@@ -118,7 +121,15 @@ def findings(flow_edges: DataFrame, sources: DataFrame, sinks: DataFrame, max_de
         return pd.DataFrame(out, columns=[c.split()[0] for c in FINDING_DDL.split(", ")])
 
     found = edge_rows.unionByName(source_rows).groupBy("sink_rule_id", "location").applyInPandas(search, FINDING_DDL)
-    return found.orderBy("source_node", "sink_node", "source_rule_id", "sink_rule_id").limit(limit)
+    return limited(found, limit)
+
+
+def limited(found: DataFrame, limit: int) -> DataFrame:
+    """The first `limit` findings, and in the place of the next one, if there is one, the limit row."""
+    order = ["source_node", "sink_node", "source_rule_id", "sink_rule_id", "location"]
+    first = found.orderBy(*order).limit(limit + 1).withColumn("place", F.row_number().over(Window.orderBy(*order)))  # limit + 1 rows in one task
+    told = {"source_rule_id": F.lit(RESULT_LIMIT), "sink_rule_id": F.lit(RESULT_LIMIT), "source_kind": F.lit(LIMIT_KIND), "sink_kind": F.lit(LIMIT_KIND), "source_node": F.lit(0).cast("long"), "sink_node": F.lit(0).cast("long"), "location": F.lit("@analysis"), "path": F.array().cast("array<long>"), "completeness": F.lit("visit_limit")}
+    return first.orderBy("place").select(*(F.when(F.col("place") > limit, told[c]).otherwise(F.col(c)).alias(c) for c in found.columns))
 
 
 def steps(found: DataFrame) -> DataFrame:

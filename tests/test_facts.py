@@ -246,3 +246,13 @@ def test_validation(spark):
     code = insts(spark, [(1, 0, 0, "const", 1, None, None, 1), (1, 0, 0, "const", 2, None, None, 1), (2, 0, 0, "copy", 1, 5, None, None), (3, 0, 0, "const", 1, None, None, 1)])
     cfg = spark.createDataFrame([(3, 0, 9, "goto", None, None, None)], dataflow.CFG_DDL)
     assert {(r.func_id, r.problem) for r in dataflow.validate(code, cfg).collect()} == {(1, "duplicate_instruction"), (2, "undefined_value"), (3, "missing_block")}
+
+
+def test_findings_beyond_the_limit_are_told(spark):
+    edges = flow(spark, [(1, 2), (1, 3), (1, 4)])
+    s, k = ends(spark, [(1, "s", "generic")], [(n, "k", "generic", f"f:{n}") for n in (2, 3, 4)])
+    assert [r.sink_node for r in taint.findings(edges, s, k, limit=3).collect()] == [2, 3, 4]  # the limit is met exactly
+    rows = taint.findings(edges, s, k, limit=2).collect()
+    assert [(r.source_rule_id, r.sink_node, r.path) for r in rows] == [("s", 2, [1, 2]), ("s", 3, [1, 3]), (taint.RESULT_LIMIT, 0, [])]
+    assert (rows[2].sink_rule_id, rows[2].source_kind, rows[2].location, rows[2].completeness) == (taint.RESULT_LIMIT, "analysis-limit", "@analysis", "visit_limit")
+    assert taint.findings(edges, s, k, limit=0).count() == 1
