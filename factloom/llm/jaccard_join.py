@@ -20,7 +20,8 @@ Classes already in one component need no comparison, so a large group of near co
 pivot each, not all pairs. Comparisons with one pivot are spread over tasks by a salt.
 
 Cases: null, empty and blank texts have no shingles and link with nothing; fewer than five words make one shingle; rows
-with equal texts or ids each get their row; an empty table gives no rows; other columns are not read.
+with equal texts or ids each get their row; rows without id link like others, and a component is named by its smallest id
+that isn't null (null if all are); an empty table gives no rows; other columns are not read.
 """
 
 from __future__ import annotations
@@ -428,15 +429,18 @@ def joined(docs: DataFrame) -> DataFrame:
     own = written(classes_of(rows), "classes")
     classes = own.where("key is not null").groupBy("key").agg(F.min("doc_id").alias("rep"))
     first = written(first_sieve(rows, parts).join(classes, "key"), "first-sieve")
-    sets = sets_of(rows.join(small(first.select(F.col("rep").alias("doc_id")).distinct()), "doc_id", "left_semi"))
+    held = rows.join(small(first.select(F.col("rep").alias("doc_id")).distinct()), "doc_id", "left_semi")
+    if not first.where("rep is null").isEmpty():  # classes whose rows all have no id, which no join finds
+        held = held.unionByName(rows.where("doc_id is null"))
+    sets = sets_of(held)
     sets = written(sets.join(first.select("key"), "key", "left_semi").dropDuplicates(["key"]), "sets")
     total = sets.agg(F.sum("n")).first()[0] or 0
     chosen = written(second_sieve(sets, max(1, math.ceil(total / 1_500_000))), "second-sieve")
-    nodes = chosen.select("key", "n", "central").join(first, "key").select("key", "n", "central", F.struct(F.col("rep").alias("doc"), "key").alias("label"))
+    nodes = chosen.select("key", "n", "central").join(first, "key").select("key", "n", "central", F.struct(F.col("rep").isNull().alias("no_id"), F.coalesce("rep", F.lit(0)).alias("doc"), "key").alias("label"))
     nodes = written(nodes, "nodes")
     regions = chosen.select(F.explode("regions").alias("rid"), "key")
     nodes = join_regions(nodes, regions, sets)
-    roots = nodes.select("key", F.col("label.doc").alias("root"))
+    roots = nodes.select("key", F.when(~F.col("label.no_id"), F.col("label.doc")).alias("root"))
     of_class = classes.join(roots, "key", "left").select("key", F.coalesce("root", "rep").alias("class_id"))
     return own.join(of_class, "key", "left").select("doc_id", "n_shingles", "key", F.coalesce("class_id", "doc_id").alias("component_id"))
 

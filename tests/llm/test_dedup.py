@@ -137,3 +137,11 @@ def test_pipeline_against_brute_force(spark, sf):
     pick = lambda f: Counter((r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in f.collect())
     assert pick(got) == pick(want)
     assert len(corpus_pipeline.STAGES) == 5
+
+
+def test_op6_rows_without_id_bridge_others(spark):
+    base = [f"w{i}" for i in range(104)]
+    but = lambda *at: " ".join("x" if i in at else w for i, w in enumerate(base))
+    rows = [(7, but()), (None, but(20, 50)), (3, but(20, 50, 10, 80)), (5, "alone"), (None, " ".join(base[::-1])), (None, " ".join(base[::-1][:-1])), (None, None)]
+    got = Counter((r.doc_id, r.n_shingles, r.component_id) for r in op6_jaccard_join(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == linked_components(rows) and got[None, 100, 3] == got[7, 100, 3] == 1
