@@ -84,6 +84,7 @@ def findings(flow_edges: DataFrame, sources: DataFrame, sinks: DataFrame, max_de
     there are more, a last row RESULT_LIMIT without path says so."""
     spark = flow_edges.sparkSession
     ship(spark)
+    calls = min(max(max_depth, 8), 32)  # sites that a search's stack holds
     plain = flow_edges.select("src", "dst")
     inside = written(graph.slice_between(plain, sources.select("node"), sinks.select("node"), max_depth).select("node"), "slice")
     keep = lambda c: inside.select(F.col("node").alias(c))
@@ -112,7 +113,7 @@ def findings(flow_edges: DataFrame, sources: DataFrame, sinks: DataFrame, max_de
                 rule = r.add[0]
                 if (sink, rule) in reported or failed >= FAILURES:
                     continue
-                path, state = witness(edges, int(r.src), r.kind, int(sink), first.sink_kind)
+                path, state = witness(edges, int(r.src), r.kind, int(sink), first.sink_kind, calls=calls)
                 if path is None:
                     failed += EXHAUSTED if state == "visit_limit" else 1
                     continue

@@ -256,3 +256,10 @@ def test_findings_beyond_the_limit_are_told(spark):
     assert [(r.source_rule_id, r.sink_node, r.path) for r in rows] == [("s", 2, [1, 2]), ("s", 3, [1, 3]), (taint.RESULT_LIMIT, 0, [])]
     assert (rows[2].sink_rule_id, rows[2].source_kind, rows[2].location, rows[2].completeness) == (taint.RESULT_LIMIT, "analysis-limit", "@analysis", "visit_limit")
     assert taint.findings(edges, s, k, limit=0).count() == 1
+
+
+def test_twelve_nested_calls_return_to_their_sites(spark):
+    down, up = [(i, i + 1, "enter", i) for i in range(12)], [(50 + i, 49 + i, "leave", i) for i in range(11, 0, -1)]
+    edges = flow(spark, [*down, (12, 61), *up, (50, 90, "leave", 0), (50, 91, "leave", 77)])
+    rows = taint.findings(edges, *ends(spark, [(0, "s", "generic")], [(90, "k", "generic", "a"), (91, "k", "generic", "b")])).collect()
+    assert [(r.sink_node, r.completeness) for r in rows] == [(90, "complete")]  # 91 would return to another site than the first
