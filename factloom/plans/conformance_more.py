@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from factloom.operators import graph, matching, rows, taint
-from factloom.plans.conformance import EDGES_SQL, SINKS_SQL, query, trade_edges, trade_ends
+from factloom.plans.conformance import EDGES_SQL, ORACLES, SINKS_SQL, query, trade_edges, trade_ends
 from factloom.session import table, written
 
 
@@ -106,17 +106,63 @@ def reach_backward(spark: SparkSession, sf_dir: str) -> DataFrame:
 def witness_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Taint findings with their witness paths on the trade graph; the search depends on what was found before, so it has no
     SQL. tests/test_facts.py holds it against hand-written graphs."""
+    return witnesses(spark, sf_dir, *trade_ends(spark, sf_dir))
+
+
+def witnesses(spark: SparkSession, sf_dir: str, sources: DataFrame, sinks: DataFrame) -> DataFrame:
     edges = trade_edges(spark, sf_dir)
     number = lambda c: (F.conv(F.hex(F.substring(c, 1, 1)), 16, 10).cast("long") * F.lit(1 << 40)) + F.substring(c, 2, 20).cast("long")
     none = F.lit(None).cast("array<string>")
     flow = edges.distinct().select(number("src").alias("src"), number("dst").alias("dst"), F.lit("flow").alias("kind"), F.lit(None).cast("long").alias("site"), none.alias("remove"), none.alias("add"))
-    sources, sinks = trade_ends(spark, sf_dir)
     s = sources.select(number("node").alias("node"), F.lit("segment").alias("rule_id"), F.lit("generic").alias("kind"))
     k = sinks.select(number("node").alias("node"), F.lit("nation").alias("rule_id"), F.lit("generic").alias("kind"), F.col("node").alias("location"))
     found = taint.findings(flow, s, k, 3)
     return found.select("source_rule_id", "sink_rule_id", "location", "source_node", "sink_node", F.array_join(F.transform("path", lambda n: n.cast("string")), ">").alias("path"), "completeness")
 
 
+# --- the walks from all customers of the segment, of every nation; SQL as above without the nation ------------------
+def segment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "customer").where("c_mktsegment = 'BUILDING'").select(F.concat(F.lit("c"), F.col("c_custkey").cast("string")).alias("node"))
+
+
+def every_nation(name: str) -> str:
+    return ORACLES[name].replace(" AND c_nationkey = 3", "").replace(" WHERE c_nationkey = 3", "")
+
+
+@query(every_nation("reach_bounded"))
+def reach_bounded_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What all customers of the segment reach in two steps."""
+    found, _ = graph.reach(trade_edges(spark, sf_dir), segment(spark, sf_dir), 2, probe=False)
+    return found.select("node", F.col("depth").cast("long").alias("depth"))
+
+
+@query(every_nation("taint_reach_pairs"))
+def taint_reach_pairs_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The nodes on ways from all customers of the segment to sink suppliers."""
+    found = graph.slice_between(trade_edges(spark, sf_dir), segment(spark, sf_dir), trade_ends(spark, sf_dir)[1], 3)
+    return found.select("node", F.col("fwd_depth").cast("long").alias("fwd_depth"), F.col("bwd_depth").cast("long").alias("bwd_depth"))
+
+
+@query(every_nation("shortest_dep_path"))
+def shortest_dep_path_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A shortest way from all customers of the segment to each supplier, the smallest parent first."""
+    found = graph.shortest_paths(trade_edges(spark, sf_dir), segment(spark, sf_dir), 3)
+    return found.where(F.startswith("node", F.lit("s"))).select("node", F.array_join("path", ">").alias("path"))
+
+
+@query(every_nation("propagate_facts"))
+def propagate_facts_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Points-to propagation: which segments' customers, of all nations, reach each node."""
+    seeds = table(spark, sf_dir, "customer").select(F.concat(F.lit("c"), F.col("c_custkey").cast("string")).alias("node"), F.col("c_mktsegment").alias("fact"))
+    return graph.propagate(seeds, trade_edges(spark, sf_dir))
+
+
+@query()
+def witness_findings_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Taint findings from all customers of the segment."""
+    return witnesses(spark, sf_dir, segment(spark, sf_dir), trade_ends(spark, sf_dir)[1])
+
+
 @query("""
 SELECT p_partkey, split_part(p_name, ' ', 1) AS receiver, split_part(p_name, ' ', 2) AS method FROM part
 """)
