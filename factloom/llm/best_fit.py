@@ -32,8 +32,8 @@ from pyspark.sql import functions as F
 from factloom.llm.common import blocks, id_and_text, machine, record, ship, written
 from factloom.llm.memo_encode import MemoEncoder
 
-#: How many word pieces a worker remembers; an executor may keep several workers.
-PIECES = 900_000
+#: Bytes of word pieces that a worker remembers (an executor may keep several workers), and characters that it encodes at once.
+PIECES, CHARS = 112 << 20, 1_500_000
 _PIECE = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("part", pa.int32()), ("nth", pa.int64())])
 _PIECE_DDL = "doc_id long, piece int, start long, length long, ids_crc32 long, part int, nth long"
 
@@ -47,7 +47,7 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int, end_id: int = 0) -> D
 
         enc, part = machine(MemoEncoder, tokenizer, PIECES), TaskContext.get().partitionId()
         end, made = end_id.to_bytes(4, "little"), [0] * (capacity + 1)
-        for ids, texts in blocks(batches, keep=True):
+        for ids, texts in blocks(batches, CHARS, keep=True):
             rows: list[list] = [[] for _ in _PIECE]
             for doc, raw in zip(ids, enc.ids(texts), strict=True):
                 raw += end

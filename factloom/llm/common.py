@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
@@ -26,11 +29,22 @@ def ship(spark: SparkSession) -> None:
 _HELD: dict = {}
 
 
+def release() -> None:
+    """Give back what a worker, which Spark uses again and again, holds from before: machines, and memory that is free but
+    that allocators keep."""
+    if _HELD:
+        _HELD.clear()
+        gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # other C libraries have no such call
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def machine(kind: type, *args):
     """kind(*args), made once per worker. A worker keeps the machine of one operator at a time: machines remember much."""
     key = kind, args
     if key not in _HELD:
-        _HELD.clear()
+        release()
         _HELD[key] = kind(*args)
     return _HELD[key]
 
@@ -58,7 +72,7 @@ def blocks(batches: Iterable[pa.RecordBatch], chars: int = 4_000_000, keep: bool
     """Rows (doc_id, text) of Arrow batches regrouped to lists of at least `chars` characters (the last may be shorter); null text is ''.
     keep: the caller uses a machine, which stays."""
     if not keep:
-        _HELD.clear()
+        release()
     ids: list = []
     texts: list[str] = []
     size = 0
@@ -72,6 +86,9 @@ def blocks(batches: Iterable[pa.RecordBatch], chars: int = 4_000_000, keep: bool
                 ids, texts, size = [], [], 0
     if ids:
         yield ids, texts
+    ids, texts = [], []
+    if not keep:
+        release()
 
 
 def record(schema: pa.Schema, *columns) -> pa.RecordBatch:

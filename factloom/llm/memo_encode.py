@@ -24,17 +24,33 @@ _WIDE = re.compile("[ -\u200a\u2028\u2029\u202f\u205f\u3000]")
 _ENDS = frozenset(".,;:!?")
 
 
+#: What a remembered piece takes besides its letters and ids: two objects and its share of a dictionary.
+_ENTRY = 190
+
+
 class PieceIds(dict):
     """piece -> its ids as little-endian unsigned 32-bit integers. A new piece gets an empty value that fill() completes
-    with one call of the library for all new ones."""
+    with one call of the library for all new ones. Pieces live in two generations: age() makes all present ones old, old
+    ones that are met again become young, and the next age() forgets the others."""
 
     def __init__(self, tokenizer, before: str = ""):
         """before: what stands before every piece and isn't part of the key."""
         super().__init__()
         self.tokenizer, self.before, self.new, self.joined = tokenizer, before, [], []
         self.joins: dict = {}  # the ids of single punctuation marks at the end of a piece
-
-    def __missing__(self, piece: str) -> bytearray:
+        self.old: dict = {}
+        self.bytes = 0  # of the young generation
+
+    def age(self) -> None:
+        self.old, self.bytes = dict(self), 0
+        self.clear()
+
+    def __missing__(self, piece: str) -> bytes | bytearray:
+        value = self.old.get(piece)
+        if value is not None:
+            self[piece] = value
+            self.bytes += _ENTRY + len(piece) + len(value)
+            return value
         value = bytearray()
         if self.joins and len(piece) > 3 and piece[-1] in _ENDS and piece[-2].isalpha():
             self.joined.append((value, self[piece[:-1]], self.joins[piece[-1]], piece))  # letters and punctuation never share a pre-token
@@ -51,16 +67,17 @@ class PieceIds(dict):
             value += head
             value += end
         skip = len(self.before)
-        self.update((p[skip:], bytes(v)) for p, v in self.new)  # bytes take half the memory
-        self.update((p, bytes(v)) for v, _, _, p in self.joined)
+        for p, v in [*((p[skip:], v) for p, v in self.new), *((p, v) for v, _, _, p in self.joined)]:
+            self[p] = bytes(v)  # takes half the memory of what can grow
+            self.bytes += _ENTRY + len(p) + len(v)
         self.new, self.joined = [], []
 
 
 class MemoEncoder:
     """ids(texts) -> bytes of each. Handles the byte-level layout with spaces kept and the layout that drops white space;
-    other tokenizers encode every text whole. At most about `limit` pieces are remembered."""
+    other tokenizers encode every text whole. What is remembered takes at most about `limit` bytes, besides what one call brings."""
 
-    def __init__(self, path: str, limit: int = 1_800_000):
+    def __init__(self, path: str, limit: int = 240 << 20):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
         from tokenizers import Tokenizer
 
@@ -100,9 +117,9 @@ class MemoEncoder:
         return out
 
     def ids(self, texts: list[str]) -> list[bytes]:
-        if len(self.cache) + len(self.spaced) >= self.limit:
-            self.cache.clear()
-            self.spaced.clear()
+        if self.cache.bytes + self.spaced.bytes >= self.limit // 2:
+            self.cache.age()
+            self.spaced.age()
         gc.disable()  # nothing here makes cycles; collections would walk all pieces again and again
         try:
             found = [self.found(t) for t in texts]
