@@ -52,8 +52,29 @@ def located(docs: DataFrame) -> DataFrame:
         return written(docs, "documents")
 
 
-def with_locator(docs: DataFrame) -> DataFrame:
-    return docs.withColumns({"__file": F.col("_metadata.file_path"), "__row": F.col("_metadata.row_index")})
+def locator(docs: DataFrame) -> tuple[Column, Column]:
+    """File and place of a row of located docs as two longs. A file is a 64-bit hash of its path, under the first seed that
+    gives all files of docs different ones."""
+    meta = docs.metadataColumn("_metadata")
+    paths = docs.select(meta.getField("file_path").alias("path")).distinct()
+    seed = 0
+    while True:
+        file = lambda path: F.xxhash64(path, F.lit(seed))  # noqa: B023
+        if paths.agg((F.count("path") == F.countDistinct(file(F.col("path")))).alias("ok")).first().ok:
+            return file(meta.getField("file_path")), meta.getField("row_index")
+        seed += 1
+
+
+def path_and_row(docs: DataFrame) -> tuple[Column, Column]:
+    meta = docs.metadataColumn("_metadata")  # this one, whatever columns docs has
+    return meta.getField("file_path"), meta.getField("row_index")
+
+
+def without(docs: DataFrame, dropped: DataFrame, places: tuple[Column, Column]) -> DataFrame:
+    """The rows of located docs whose places aren't in dropped (two columns), with their columns, whatever their names."""
+    names = dropped.columns
+    own = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("own")
+    return docs.select(own, *(p.alias(n) for p, n in zip(places, names, strict=True))).join(small(dropped), names, "left_anti").select("own.*")
 
 
 _STATE = "digest binary, doc_id long, file string, row long, n long"
@@ -98,7 +119,8 @@ def groups(docs: DataFrame, digest=sha256_of) -> tuple[DataFrame, DataFrame]:
     ship(spark)
     docs = located(docs)
     folder = shared_folder(spark, "exact-dedup")
-    rows = with_locator(docs).select(digest(normalised(F.col("text"))).alias("digest"), F.col("doc_id").cast("long").alias("doc_id"), F.col("__file").alias("file"), F.col("__row").alias("row"))
+    file, row = path_and_row(docs)
+    rows = docs.select(digest(normalised(F.col("text"))).alias("digest"), F.col("doc_id").cast("long").alias("doc_id"), file.alias("file"), row.alias("row"))
     rows.write.parquet(f"{folder}/rows")
     rows = spark.read.schema("digest binary, doc_id long, file string, row long").parquet(f"{folder}/rows")
     state = written(DigestState(spark, folder).run(), "digests")
@@ -107,7 +129,7 @@ def groups(docs: DataFrame, digest=sha256_of) -> tuple[DataFrame, DataFrame]:
     # full bytes of all hits
     hits = small(state.where("n > 1").select(F.col("digest").alias("__digest")))
     text = normalised(F.col("text"))
-    compared = with_locator(docs).select(digest(text).alias("__digest"), text.alias("__text"), F.col("doc_id").cast("long").alias("doc_id"), "__file", "__row").join(hits, "__digest")
+    compared = docs.select(digest(text).alias("__digest"), text.alias("__text"), F.col("doc_id").cast("long").alias("doc_id"), file.alias("__file"), row.alias("__row")).join(hits, "__digest")
     unequal = compared.groupBy("__digest").agg(F.min("__text").alias("a"), F.max("__text").alias("b")).where("a <> b").select("__digest")
     unequal = written(unequal, "unequal")
     if not unequal.isEmpty():  # different texts under one digest: group those rows by their text
@@ -131,7 +153,7 @@ def op5_exact_dedup(docs: DataFrame) -> DataFrame:
 
 
 def distinct_documents(docs: DataFrame) -> DataFrame:
-    """The rows of docs that stay, with their columns."""
+    """The rows of docs that stay, with their columns, whatever their names."""
     docs, rows = groups(docs)
-    dropped = written(rows.where(~_kept()).select(F.col("file").alias("__file"), F.col("row").alias("__row")), "dropped")
-    return with_locator(docs).join(small(dropped), ["__file", "__row"], "left_anti").select(*docs.columns)
+    dropped = written(rows.where(~_kept()).select("file", "row"), "dropped")
+    return without(docs, dropped, path_and_row(docs))

@@ -8,7 +8,7 @@ from hashlib import sha256
 import pytest
 from pyspark.sql import functions as F
 
-from factloom.llm.jaccard_join import one_of_each, op6_jaccard_join, shingles
+from factloom.llm.jaccard_join import key_of, one_of_each, op6_jaccard_join, packed, shared_in, shingles
 from factloom.llm.stream_dedup import DigestState, distinct_documents, groups, op5_exact_dedup
 
 
@@ -145,3 +145,40 @@ def test_op6_rows_without_id_bridge_others(spark):
     rows = [(7, but()), (None, but(20, 50)), (3, but(20, 50, 10, 80)), (5, "alone"), (None, " ".join(base[::-1])), (None, " ".join(base[::-1][:-1])), (None, None)]
     got = Counter((r.doc_id, r.n_shingles, r.component_id) for r in op6_jaccard_join(spark.createDataFrame(rows, "doc_id long, text string")).collect())
     assert got == linked_components(rows) and got[None, 100, 3] == got[7, 100, 3] == 1
+
+
+def test_op6_long_words_of_two_letters_differ(spark):
+    swap = str.maketrans("ab", "ba")
+    word = "a"
+    while len(word) < 4096:
+        word += word.translate(swap)
+    other = word.translate(swap)
+    rows = [(1, f"{word} and some more words"), (2, f"{other} and some more words"), (3, word), (4, other)]
+    got = {r.doc_id: r.component_id for r in op6_jaccard_join(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: 1, 2: 2, 3: 3, 4: 4}
+
+
+def test_dedup_stages_keep_rows_with_odd_columns(spark, odd, none):
+    names = ["__file", "__row", "__uid", "own", "f", "r", "file", "row", "key"]
+    wide = odd.drop("key").select("*", *(F.lit(n).alias(n) for n in names))
+    texts = lambda frame: Counter((r.doc_id, r.text, r["__file"]) for r in frame.collect())
+    exactly, nearly = distinct_documents(wide), one_of_each(wide)
+    assert exactly.columns == nearly.columns == wide.columns
+    assert sorted(str(r.doc_id) for r in exactly.collect()) == ["1", "2", "4", "5", "6", "7", "8", "9", "None"]
+    assert sorted(str(r.doc_id) for r in nearly.collect()) == ["1", "2", "3", "4", "5", "6", "7", "9", "None"]
+    assert sum(texts(nearly).values()) == 9 and all(k[2] == "__file" for k in texts(nearly))
+    for stage in (distinct_documents, one_of_each):
+        assert stage(none).columns == none.columns and stage(none).count() == 0
+
+
+def test_common_shingles_travel_once_a_block():
+    sets = [shingles(f"the same five words here and then word{i} alone") for i in range(50)]
+    rows = [r for b in packed(sets, [key_of(s) for s in sets], [1] * 50, 3, 7) for r in b.to_pylist()]
+    hashes = [h for r in rows for h in memoryview(r["hashes"]).cast("Q")]
+    assert len(hashes) == len(set(hashes)) == len({int(h) for s in sets for h in s})
+    once = lambda rows: {bytes(k.tobytes()): int(n) for r in rows for k, n in zip(*(lambda x: (x[0], x[2]))(shared_in([(r["hashes"], r["places"], r["keys"], r["needs"], r["local"])]))) if n}
+    total = Counter()
+    for r in rows:
+        total.update(once([r]))
+    common = Counter(int(h) for s in sets for h in s)
+    assert total == {key_of(s): sum(common[int(h)] > 1 for h in s) for s in sets}
