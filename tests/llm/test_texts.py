@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 
 from factloom.llm.chat_template import TemplateError, compile_template, escape, fold_nodes, op2_chat_format, parse, render, unescape
-from factloom.llm.personal_data import all_spans, base_spans, emails, labelled_rows, luhn, masked, op10_personal_data, redact, trained
+from factloom.llm.personal_data import all_spans, base_spans, emails, labelled_rows, luhn, masked, op10_personal_data, RandomField, redact, trained
 from factloom.llm.quality_gam import features, fit, op8_quality
 from factloom.llm.webp import Bits, decode, op9_webp, pack, restore, store
 
@@ -73,12 +73,69 @@ def test_base_patterns_are_the_given_ones():
         assert emails(t) == [(s, e) for s, k, e in sorted(want) if k == 0]
 
 
+#: Lines that the field hasn't seen, in the form of its table.
+UNSEEN = """
+The baker's shop has <phone (646) 218-9034> on its door.
+Dial <phone (323) 904-7712> for the boat shed
+my mobile, <phone 704-518-2296>, is off
+fax <phone 615.440.9912> is gone
+The vet is at <phone 503 667 1208> now
+toll free <phone 1-877-219-4406>, no waiting
+Unser Büro: <phone 030/9917723> täglich
+Rückruf an <phone 0431 5522981> bitte
+la boulangerie, <phone 01 55 42 19 83>, ouvre tôt
+llame al <phone 91 407 63 15> mañana
+Leeds desk <phone 0113 496 0455> is open
+questions to <email hilda@kiln> please
+poke <email cron@backup-host> when done
+the kiln listens on <ip 192.168.4.21:9090> only
+vpn <ip 10.99.0.0/16> was added
+wrote to <email m.varga@potters.example.com> and left
+disk on <ip 172.18.3.9> is full
+stolen card <card 4539.8712.0034.6619> was blocked
+sale on <card 4716 2203 9915 4476> went through
+The ferry took 214 cars and 1,318 people.
+From 1802 to 1847 there were 3 keepers.
+Page 88 of volume 12, line 7.
+A cut of 6.5 or 7.25 mm will do.
+commit 7be10f3ac92d55e8014fbb2a9cd0371e6650aa18 broke it
+on 2022-03-14 at 18:20 the tide turned
+release 2.14.0 and 2.14.1-beta
+serial 4410093827155206 on the hull
+entry 550027 replaced 550026
+The @keeper wrote twice
+norm ISO 15489 or EN 13757
+scores 31 42 53 64
+weights of 12 to 48 kg
+chapter 4, verses 18-22
+1 200 000 tons a year
+the 3rd and 44th
+about 75% came
+costs 12.40 each, 148.80 a gross
+pier 19 and pier 20
+since (1931) closed
+sum = 2.5e10 and more
+"""
+
+
+def test_spans_that_the_field_adds_to_unseen_lines():
+    from factloom.llm.personal_data import unmarked
+
+    right = added = wanted = 0
+    for line in UNSEEN.strip().split("\n"):
+        text, spans = unmarked(line)
+        ((base, every),) = all_spans([text], trained())
+        new, want = set(every) - set(base), set(spans) - set(base)
+        right, added, wanted = right + len(new & want), added + len(new), wanted + len(want)
+    assert right / wanted >= 0.75 and right / added >= 0.75, (right, added, wanted)
+
+
 def test_the_field_learns_its_table_and_leaves_prose_alone():
     rows = labelled_rows()
-    for (_, labels), got in zip(rows, trained().decode([w for w, _ in rows]), strict=True):
-        assert got.tolist() == labels
+    got, want = trained().decode([w for w, _ in rows]).tolist(), [x for _, labels in rows for x in labels]
+    assert sum(a == b for a, b in zip(got, want, strict=True)) > 0.99 * len(want)
     plain = [["the", "Of", "and", "eanea", "is"] * n for n in range(1, 30)]
-    assert not any(x.any() for x in trained().decode(plain))
+    assert not trained().decode(plain).any()
 
 
 def test_viterbi_is_the_best_path():
@@ -87,11 +144,41 @@ def test_viterbi_is_the_best_path():
 
     words = ["the", "(640)", "555-0953", "12", "a@b.c", "+1", "4111111111111111"]
     for _ in range(30):
-        line = [rng.choice(words) for _ in range(rng.randint(1, 4))]
-        e = field.scores(line)
+        line = [rng.choice(words) for _ in range(rng.randint(1, 5))]
+        e = field.scores([line])
         score = lambda y: field.start[y[0]] + sum(e[i, k] for i, k in enumerate(y)) + sum(field.move[a, b] for a, b in zip(y, y[1:]))  # noqa: B023
         best = max(product(range(5), repeat=len(line)), key=score)
-        assert abs(score(best) - score(field.decode([line])[0].tolist())) < 1e-9
+        assert abs(score(best) - score(field.decode([line]).tolist())) < 1e-9
+
+
+def test_words_that_are_surely_outside_are():
+    rng, trials = random.Random(4), np.random.default_rng(4)
+    words = ["the", "of", "and", "by", "(640)", "555-0953", "12", "1999", "a@b.c", "10.0.0.1", "4111", "1111"]
+    base = trained()
+    for k in range(40):
+        scale = 1 if k < 20 else 0.5
+        field = RandomField(base.names, base.emit * scale, base.move + (k >= 10) * trials.normal(size=(5, 5)), base.start + (k >= 10) * trials.normal(size=5))
+        lines = [[rng.choice(words[: 4 if rng.random() < 0.7 else 12]) for _ in range(rng.randint(1, 40))] for _ in range(20)]
+        e, at = field.scores(lines), 0
+        found = field.decode(lines)
+        for line in lines:
+            own = e[at : at + len(line)]
+            best, back = field.start + own[0], []
+            for x in own[1:]:
+                ways = best[:, None] + field.move
+                back.append(ways.argmax(0))
+                best = ways.max(0) + x
+            path = [int(best.argmax())]
+            for step in reversed(back):
+                path.append(int(step[path[-1]]))
+            assert found[at : at + len(line)].tolist() == path[::-1]
+            at += len(line)
+
+
+def test_a_long_text_without_line_breaks():
+    t = "12 more words " * 60_000 + "(646) 218-9034"
+    ((base, every),) = all_spans([t], trained())
+    assert not base and every[-1] == (len(t) - 14, 3, len(t))
 
 
 def test_op10(odd, none, docs):
@@ -113,6 +200,13 @@ def test_added_spans_and_masking(spark):
     assert [tuple(r) for r in redact(frame).orderBy("doc_id").collect()] == [(1, "Call [PHONE] or mail [EMAIL], [CARD].", 37), (2, None, None)]
 
 
+def test_redact_keeps_odd_rows(odd, none):
+    got = redact(odd)
+    assert got.columns == odd.columns and Counter((r.doc_id, r.key) for r in got.collect()) == Counter((r.doc_id, r.key) for r in odd.collect())
+    assert {r.text for r in got.where("doc_id = 2").collect()} == {None} and {r.text for r in got.where("doc_id = 3").collect()} == {""}
+    assert redact(none).columns == none.columns and redact(none).count() == 0
+
+
 def test_op8(spark, odd, none, docs):
     labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
