@@ -16,6 +16,7 @@ key and text alike; other columns are not read.
 
 from __future__ import annotations
 
+import math
 import re
 import zlib
 from collections.abc import Iterator
@@ -29,6 +30,8 @@ from factloom.llm.token_shards import _GOLD, mix
 
 MARK = "▁"
 _UNIT = re.compile("\n|[ ]*[^ \n]+|[ ]+")
+#: Units of more characters are filtered one by one, so many characters at a time; edges of the lattice that are remembered.
+LONG, SLAB, EDGES = 400, 50_000, 8_000_000
 _SLOW = re.compile(f"  |{MARK}| \n|\n |\n\n")
 
 
@@ -80,7 +83,10 @@ class Lattice:
     # --- forward filtering of units not seen before ------------------------------------------------------------------
     def filter(self, new: list[str]) -> None:
         """Adds nodes and edges of the units; edges of a node stand together, with their cumulated probabilities."""
-        new.sort(key=len, reverse=True)
+        for u in new:
+            if len(u) > LONG:
+                self.filter_long(u)
+        new = sorted((u for u in new if len(u) <= LONG), key=len, reverse=True)
         n = np.array([len(u) for u in new], np.int64)
         code = np.frombuffer("".join(new).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.int64)
         start = np.concatenate([[0], np.cumsum(n)])
@@ -136,6 +142,62 @@ class Lattice:
             self.units[u] = len(self.ends)
             self.ends.append(end)
 
+    def filter_long(self, unit: str) -> None:
+        """filter() of one long unit, character by character over the pieces that end there, in slabs of SLAB characters."""
+        mark, width, n = ord(MARK), self.longest, len(unit)
+        alpha, low = [0.0], 0  # from node `low` onwards
+        first, cdf, length, pieces, have = [-1], [], [], [], len(self.cdf)
+        for lo in range(0, n, SLAB):
+            # pieces that end in this slab begin at most width - 1 characters before it
+            begin, end = max(0, lo - width + 1), min(n, lo + SLAB)
+            code = np.frombuffer(unit[begin:end].encode("utf-32-le", "surrogatepass"), "<u4").astype(np.int64)
+            spaced = np.where(code == 32, mark, np.where(code == mark, 0x10FFFF, code))
+            at, node, found = np.arange(len(code)), np.zeros(len(code), np.int64), []
+            bare = np.ones(len(code), bool)
+            for k in range(width):
+                live = at < len(code) - k
+                at, node = at[live], node[live]
+                if not len(at):
+                    break
+                key = node << 21 | spaced[at + k]
+                place = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+                hit = self.keys[place] == key
+                at, node = at[hit], self.to[place[hit]]
+                real = self.weight_at[node] > -np.inf
+                if k == 0:
+                    bare[at[real]] = False
+                found.append((at[real] + k + 1, np.full(int(real.sum()), k + 1), self.weight_at[node[real]], self.piece_at[node[real]].astype(np.int64)))
+            alone = np.flatnonzero(bare)
+            found.append((alone + 1, np.ones(len(alone), np.int64), np.full(len(alone), self.lowest), np.where(code[alone] < 128, np.array(self.byte_ids)[np.minimum(code[alone], 127)], self.size + code[alone])))
+            ends, sizes, weights, ids = (np.concatenate(x) for x in zip(*found, strict=True))
+            inside = ends > lo - begin
+            order = np.lexsort((sizes[inside], ends[inside]))
+            ends, sizes, weights, ids = (x[inside][order] for x in (ends, sizes, weights, ids))
+            cuts = np.searchsorted(ends, np.arange(lo - begin + 1, end - begin + 2)).tolist()
+            sizes_, weights_ = sizes.tolist(), weights.tolist()
+            for i, (a, b) in enumerate(zip(cuts, cuts[1:]), lo + 1):
+                ways = [alpha[i - low - sizes_[e]] + weights_[e] for e in range(a, b)]
+                top = max(ways)
+                p = [math.exp(w - top) for w in ways]
+                total = sum(p)
+                alpha.append(top + math.log(total))
+                first.append(have)
+                have += b - a
+                cum = 0.0
+                for x in p:
+                    cum += x
+                    cdf.append(cum / total)
+                cdf[-1] = 2.0
+            length.append(sizes.astype(np.uint8))
+            pieces.append(ids.astype(np.int32))
+            keep = min(len(alpha), width)
+            low += len(alpha) - keep
+            del alpha[: len(alpha) - keep]
+        self.ends.append(len(self.first) + n)
+        self.units[unit] = len(self.ends) - 1
+        self.first = np.concatenate([self.first, np.array(first, np.int64)])
+        self.cdf, self.length, self.piece = np.concatenate([self.cdf, np.array(cdf, np.float32)]), np.concatenate([self.length, *length]), np.concatenate([self.piece, *pieces])
+
     # --- backward sampling -------------------------------------------------------------------------------------------
     def cut(self, text: str) -> list[str]:
         if not text:
@@ -155,7 +217,7 @@ class Lattice:
 
     def encode(self, keys: np.ndarray, texts: list[str], seed: int) -> list[np.ndarray]:
         """Piece ids of each text (byte pieces for characters without a piece)."""
-        if len(self.units) > self.limit:
+        if len(self.units) > self.limit or len(self.cdf) > EDGES:
             self.forget()
         cut = [self.cut(t) for t in texts]
         new = {u for c in cut for u in c if u not in self.units}

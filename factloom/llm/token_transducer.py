@@ -8,12 +8,17 @@ A state is the kind of pre-token being read and the merge context: the longest s
 into a token and, for each place in that suffix, the last token of the encoding up to there with its count. The context
 is finite because tokens are, and it decides the next one: of the tokens that end at a place exactly one goes together
 with the encoding before it. States and transitions are determinised when first met and kept in a dense table, which is
-emptied when it outgrows its bound.
+emptied when it reaches its bound.
 
 Texts are cut into chunks of equal length that run in lockstep, one numpy gather a step. White space is synchronising:
 whatever state enters, the same one leaves. So a chunk's state map is constant but for the symbols before its first white
-space, and maps compose by a scan: a constant map takes over whatever came before, and only those head symbols are run
-again from the state that the scan delivers. Chunks without white space compose in further rounds of the scan.
+space, and maps compose by a parallel scan: a constant map takes over whatever came before, and only those head symbols
+are run again from the state that the scan delivers. Within a long word states converge too, only later. So the map of a
+chunk without white space is first held to be the constant that the word's start gives; every round of the scan runs all
+chunks again, at once, whose entry turned out otherwise, until no exit changes. That takes a few rounds, not one a chunk.
+
+A text may bring any number of states. When their table reaches its bound, the states that lanes are in are kept, all
+others are forgotten and compiled again where they are met again.
 
 Cases: null and empty texts have 0 tokens; special strings inside a text count as one token, as the library's default
 has it; rows are independent, so ties and repeated rows change nothing; other columns are not read.
@@ -39,6 +44,8 @@ _SHORT, _LONG = frozenset("stmd"), {"r": (QUOTE_R, "e"), "v": (QUOTE_V, "e"), "l
 _SECOND = {QUOTE_R: "re", QUOTE_V: "ve", QUOTE_L: "ll"}
 _PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 CHUNK, SPACE, PAD_BITS = 128, 0, 6
+#: What a state takes besides its row of the table, about.
+STATE_BYTES = 1000
 
 
 def byte_letters() -> list[str]:
@@ -92,7 +99,7 @@ EMPTY = ("", ((None, 0),))
 
 
 class Transducer:
-    def __init__(self, path: str, bound_mb: int = 100):
+    def __init__(self, path: str, bound_mb: float = 100):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         kinds = [x["type"] for x in spec["normalizer"]["normalizers"]]
@@ -109,14 +116,31 @@ class Transducer:
     def reset(self) -> None:
         self.symbol_of = np.full(0x110000, -1, np.int32)
         self.symbols: list[tuple] = []
+        self.width = 128
+        self.empty()
+        self.add_symbol(ord(" "))
+
+    def empty(self) -> None:
+        """No states but the first, which is 0."""
         self.merges.known.clear()
         self.states: dict[tuple, int] = {}
         self.keys: list[tuple] = []
-        self.width, self.height = 128, 4096
+        self.height = 1024
         self.table = np.full((self.height, self.width), -1, np.int32)
         self.state((START, EMPTY))
-        for c in " ":
-            self.add_symbol(ord(c))
+
+    @property
+    def full(self) -> bool:
+        return len(self.keys) * (4 * self.width + STATE_BYTES) > self.bound
+
+    def kept(self, *lanes: np.ndarray) -> None:
+        """Forget all states but those in the arrays, where they get new numbers."""
+        old = np.unique(np.concatenate(lanes))
+        keys = [self.keys[i] for i in old.tolist()]
+        self.empty()
+        new = np.array([self.state(k) for k in keys], np.int64)
+        for lane in lanes:
+            lane[:] = new[np.searchsorted(old, lane)]
 
     # --- compilation -----------------------------------------------------------------------------------------------
     def state(self, key: tuple) -> int:
@@ -124,7 +148,7 @@ class Transducer:
             i = self.states[key] = len(self.keys)
             self.keys.append(key)
             if i >= self.height:
-                more = min(self.height, 1 << 15)
+                more = min(self.height, 1 << 14)
                 self.height += more
                 self.table = np.concatenate([self.table, np.full((more, self.width), -1, np.int32)])
         return i
@@ -232,7 +256,7 @@ class Transducer:
 
     # --- running ---------------------------------------------------------------------------------------------------
     def count(self, texts: list[str]) -> np.ndarray:
-        if self.table.nbytes > self.bound:
+        if self.full:
             self.reset()
         total = np.zeros(len(texts), np.int64)
         parts, owner = [], []
@@ -273,33 +297,37 @@ class Transducer:
         head = np.where(constant, space.argmax(1), CHUNK)
         begins = np.zeros(k, bool)
         begins[firsts] = True
-        head[begins] = 0
-        steps = np.ascontiguousarray(np.where(np.arange(CHUNK) < head[:, None], SPACE, lanes).T)
+        skip = np.where(constant & ~begins, head, 0)  # what the entry decides; the others are run from the start of a word
+        steps = np.ascontiguousarray(np.where(np.arange(CHUNK) < skip[:, None], SPACE, lanes).T)
         state, sums = np.zeros(k, np.int64), np.zeros(k, np.int64)
         for symbol in steps:
+            if self.full:
+                self.kept(state)
             packed = self.advance(state, symbol)
             state = (packed >> PAD_BITS).astype(np.int64)
             sums += (packed & 63) - 32
-        known = constant | begins
+        heads = np.where(constant, 0, sums)  # tokens before the first white space, as far as known
+        sums -= heads
         todo = np.flatnonzero(~begins)  # a word may also end just where a chunk begins
         while len(todo):
-            ready = todo[known[todo - 1]]
-            todo = todo[~known[todo - 1]]
-            order = ready[np.argsort(-head[ready], kind="stable")]
+            order = todo[np.argsort(-head[todo], kind="stable")]
             length = np.minimum(head[order] + 1, CHUNK)  # with the white space that ends the word
             s = state[order - 1]
             emitted = np.zeros(len(order), np.int64)
-            for j in range(int(length[0]) if len(order) else 0):
+            for j in range(int(length[0])):
+                if self.full:
+                    self.kept(state, s)
                 live = int(np.searchsorted(-length, -j, side="left"))
                 packed = self.advance(s[:live], lanes[order[:live], j])
                 s[:live] = packed >> PAD_BITS
                 emitted[:live] += (packed & 63) - 32
-            sums[order] += emitted
-            open_ = order[~constant[order]]
-            state[open_] = s[~constant[order]]
-            known[open_] = True
-        return sums
-
+            heads[order] = emitted
+            moved = ~constant[order] & (state[order] != s)
+            state[order[moved]] = s[moved]
+            after = order[moved] + 1
+            todo = after[after < k]
+            todo = todo[~begins[todo]]
+        return sums + heads
 
 
 _OUT = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_tokens", pa.int64()), ("over_limit", pa.bool_())])

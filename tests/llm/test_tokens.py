@@ -167,3 +167,33 @@ def test_op7(odd, none, path):
     assert {r.n_pieces for r in rows if r.doc_id in (2, 3)} == {0}
     assert sorted(map(str, rows)) == sorted(map(str, op7_piece_sampling(odd.repartition(3), path("piece_bpe_32k.model")).collect()))
     assert op7_piece_sampling(none, path("piece_bpe_32k.model")).count() == 0
+
+
+def test_long_units_are_filtered_as_short_ones(path):
+    from factloom.llm import piece_sampling
+    from factloom.llm.piece_sampling import Lattice
+
+    rng = random.Random(8)
+    units = [" " + "".join(rng.choice("etaoin shrdluéß日0▁".replace(" ", "")) for _ in range(n)) for n in (1, 5, 17, 120, 390)]
+    short, long = Lattice(path("piece_bpe_32k.model"), 0.0005), Lattice(path("piece_bpe_32k.model"), 0.0005)
+    slab, piece_sampling.SLAB = piece_sampling.SLAB, 7
+    try:
+        for u in units:
+            short.filter([u])
+            long.filter_long(u)
+    finally:
+        piece_sampling.SLAB = slab
+    assert short.units == long.units and short.ends == long.ends and (short.first == long.first).all()
+    assert (short.length == long.length).all() and (short.piece == long.piece).all() and np.allclose(short.cdf, long.cdf, atol=1e-5)
+    text = "".join(rng.choice("etaoinshrdlu") for _ in range(200_000))
+    (ids,) = short.encode(np.array([5]), [text], 0)
+    assert short.decode(ids) == text
+
+
+def test_counts_of_a_long_word_are_the_library_s(path):
+    own, ids = Transducer(path("word_bpe_49k.json"), bound_mb=6), library(path("word_bpe_49k.json"))
+    rng = random.Random(9)
+    texts = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(n)) for n in (127, 128, 129, 255, 256, 1000, 20_000)]
+    texts += ["ab" * 3000, "a" * 5000, "'" * 700, "x1" * 900, " " + texts[5] + " " + texts[6]]
+    assert own.count(texts).tolist() == [len(ids(t)) for t in texts]
+    assert len(own.keys) * (4 * own.width + 1000) < 40_000_000
