@@ -14,16 +14,17 @@ from pyspark.sql import functions as F
 from factloom import session
 from factloom.session import shared_folder, written  # noqa: F401
 
-#: Arrow batches between Spark and Python hold at most so much, so that long texts don't add up.
-BATCH_BYTES = 8 << 20
-_BATCH, _BATCH_DEFAULT = "spark.sql.execution.arrow.maxBytesPerBatch", "67108864b"
+#: Settings for rows that hold whole texts, where a session has Spark's own: bytes in an Arrow batch between Spark and Python,
+#: and rows that a Parquet reader decodes at once.
+LEAN = {"spark.sql.execution.arrow.maxBytesPerBatch": ("67108864b", "4194304"), "spark.sql.parquet.columnarReaderBatchSize": ("4096", "512")}
 
 
 def ship(spark: SparkSession) -> None:
     """What every operator that runs Python needs: workers that find this package, and bounded batches."""
     session.ship(spark)
-    if spark.conf.get(_BATCH) == _BATCH_DEFAULT:
-        spark.conf.set(_BATCH, str(BATCH_BYTES))
+    for name, (default, own) in LEAN.items():
+        if spark.conf.get(name) == default:
+            spark.conf.set(name, own)
 
 
 _HELD: dict = {}

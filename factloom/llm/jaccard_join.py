@@ -208,17 +208,34 @@ def first_sieve(rows: DataFrame, buckets: int) -> DataFrame:
             yield from packed(heads, list(own), [-(-needed(k) // 10) for k in n], buckets, spread)
             spread += 1
 
-    schema = pa.schema([("key", pa.binary()), ("need", pa.int64()), ("n", pa.int64())])
+    schema = pa.schema([("part", pa.int32()), ("keys", pa.binary()), ("needs", pa.binary()), ("n", pa.binary())])
 
     def count(batches) -> Iterator[pa.RecordBatch]:
+        """What each bucket found, packed by parts of the classes, as it was packed by buckets of the hashes."""
         for _, group in grouped(batches, 1):
             keys, needs, n = shared_in(group)
             some = np.flatnonzero(n)
-            yield record(schema, [keys[i].tobytes() for i in some], needs[some].astype(np.int64), n[some])
+            if not len(some):
+                continue
+            keys, needs, n = keys[some], needs[some], n[some].astype(np.uint32)
+            part = np.frombuffer(keys.tobytes(), "<u4")[::4] % np.uint32(buckets)
+            order = np.argsort(part, kind="stable")
+            keys, needs, n = keys[order], needs[order], n[order]
+            parts, cuts = np.unique(part[order], return_index=True)
+            ends = list(zip(cuts.tolist(), [*cuts[1:].tolist(), len(keys)], strict=True))
+            yield record(schema, parts.astype(np.int32), *([x[a:b].tobytes() for a, b in ends] for x in (keys, needs, n)))
+
+    def total(batches) -> Iterator[pa.RecordBatch]:
+        for _, group in grouped(batches, 1):
+            keys, number = np.unique(np.frombuffer(b"".join(r[0] for r in group), "V16"), return_inverse=True)
+            n = np.bincount(number, np.frombuffer(b"".join(r[2] for r in group), np.uint32), len(keys))
+            need = np.zeros(len(keys), np.uint32)
+            np.maximum.at(need, number, np.frombuffer(b"".join(r[1] for r in group), np.uint32))
+            yield record(pa.schema([("key", pa.binary())]), [keys[i].tobytes() for i in np.flatnonzero(n >= need)])
 
     dealt = rows.select(F.lit(None).cast("long").alias("no_id"), "text").mapInArrow(emit, _PACK_DDL).repartition(buckets, "bucket").sortWithinPartitions("bucket")
-    counts = dealt.mapInArrow(count, "key binary, need long, n long")
-    return counts.groupBy("key").agg(F.sum("n").alias("n"), F.max("need").alias("need")).where("n >= need").select("key")
+    counts = dealt.mapInArrow(count, "part int, keys binary, needs binary, n binary")
+    return counts.repartition(buckets, "part").sortWithinPartitions("part").mapInArrow(total, "key binary")
 
 
 # --- the second sieve ------------------------------------------------------------------------------------------------
@@ -234,40 +251,41 @@ def sets_of(rows: DataFrame) -> DataFrame:
     return rows.select(F.lit(None).cast("long").alias("no_id"), "text").mapInArrow(run, "key binary, n long, hashes binary")
 
 
-#: Bytes of hashes in a block, about; and entries that a bucket has, about.
-BLOCK_BYTES, BUCKET_ENTRIES = 8_000_000, 1_500_000
+#: Bytes of hashes in a block, about; entries that a bucket has, about; and entries in a row, about: rows of many megabytes
+#: are costly to move.
+BLOCK_BYTES, BUCKET_ENTRIES, ROW_ENTRIES = 8_000_000, 1_500_000, 40_000
 
 
 def second_sieve(sets: DataFrame, total: int) -> DataFrame:
     """Classes that share enough of their whole sets: key, n, central (mean number of classes that hold a shingle) and the
     regions they are in. total: entries of all sets."""
     buckets = max(1, math.ceil(total / BUCKET_ENTRIES))
-    block_ddl = "block long, bucket int, keys binary, numbers binary, hashes binary"
-    schema = pa.schema([("block", pa.int64()), ("bucket", pa.int32()), ("keys", pa.binary()), ("numbers", pa.binary()), ("hashes", pa.binary())])
+    block_ddl = "block long, bucket int, nth int, keys binary, numbers binary, hashes binary"
+    schema = pa.schema([("block", pa.int64()), ("bucket", pa.int32()), ("nth", pa.int32()), ("keys", pa.binary()), ("numbers", pa.binary()), ("hashes", pa.binary())])
 
     def emit(batches) -> Iterator[pa.RecordBatch]:
-        """A block's own row (bucket -1), and what it asks each bucket: hashes with their numbers of classes."""
+        """A block's own rows (bucket -1), and what it asks each bucket: hashes with their numbers of classes."""
         from pyspark import TaskContext
 
         block = TaskContext.get().partitionId() << 32
 
         def rows(keys: list[bytes], sizes: list[int], raws: list[bytes]) -> pa.RecordBatch:
-            raw = b"".join(raws)
-            hashes, times = np.unique(np.frombuffer(raw, np.uint64), return_counts=True)
+            own = np.cumsum(sizes) // ROW_ENTRIES
+            cuts = np.flatnonzero(np.diff(own, prepend=-1)).tolist()
+            pieces = list(zip(cuts, [*cuts[1:], len(keys)], strict=True))
+            out = [[block] * len(pieces), [-1] * len(pieces), list(range(len(pieces)))]
+            out += [[b"".join(keys[a:b]) for a, b in pieces], [np.array(sizes[a:b], np.uint32).tobytes() for a, b in pieces], [b"".join(raws[a:b]) for a, b in pieces]]
+            hashes, times = np.unique(np.frombuffer(b"".join(raws), np.uint64), return_counts=True)
             bucket = bucket_of(hashes, buckets)
             order = np.argsort(bucket, kind="stable")
             hashes, times = hashes[order], times[order].astype(np.uint32)
             asked, cuts = np.unique(bucket[order], return_index=True)
-            cuts = [*cuts.tolist(), len(hashes)]
-            ends = list(zip(cuts, cuts[1:]))
-            return record(
-                schema,
-                [block] * (len(ends) + 1),
-                [-1, *asked.tolist()],
-                [b"".join(keys)] + [None] * len(ends),
-                [np.array(sizes, np.uint32).tobytes(), *(times[a:b].tobytes() for a, b in ends)],
-                [raw, *(hashes[a:b].tobytes() for a, b in ends)],
-            )
+            for b, lo, hi in zip(asked.tolist(), cuts.tolist(), [*cuts[1:].tolist(), len(hashes)], strict=True):
+                for nth, at in enumerate(range(lo, hi, ROW_ENTRIES)):
+                    end = min(hi, at + ROW_ENTRIES)
+                    for column, value in zip(out, (block, b, nth, None, times[at:end].tobytes(), hashes[at:end].tobytes()), strict=True):
+                        column.append(value)
+            return record(schema, *out)
 
         keys, sizes, raws, held = [], [], [], 0
         for b in batches:
@@ -282,26 +300,26 @@ def second_sieve(sets: DataFrame, total: int) -> DataFrame:
         if keys:
             yield rows(keys, sizes, raws)
 
-    back = pa.schema([("block", pa.int64()), ("bucket", pa.int32()), ("df", pa.binary())])
+    back = pa.schema([("block", pa.int64()), ("bucket", pa.int32()), ("nth", pa.int32()), ("df", pa.binary())])
 
     def answer(batches) -> Iterator[pa.RecordBatch]:
         for (bucket,), group in grouped(batches, 1):
-            sizes = [len(r[1]) // 4 for r in group]
-            _, number = np.unique(np.frombuffer(b"".join(r[2] for r in group), np.uint64), return_inverse=True)
-            df = np.bincount(number, np.frombuffer(b"".join(r[1] for r in group), np.uint32))[number]
+            sizes = [len(r[2]) // 4 for r in group]
+            _, number = np.unique(np.frombuffer(b"".join(r[3] for r in group), np.uint64), return_inverse=True)
+            df = np.bincount(number, np.frombuffer(b"".join(r[2] for r in group), np.uint32))[number]
             df = np.minimum(df, 0xFFFFFFFF).astype(np.uint32)
             ends = np.cumsum([0, *sizes])
-            yield record(back, [r[0] for r in group], [bucket] * len(group), [df[a:b].tobytes() for a, b in zip(ends[:-1], ends[1:], strict=True)])
+            yield record(back, [r[0] for r in group], [bucket] * len(group), [r[1] for r in group], [df[a:b].tobytes() for a, b in zip(ends[:-1], ends[1:], strict=True)])
 
     out = pa.schema([("key", pa.binary()), ("n", pa.int64()), ("central", pa.float64()), ("regions", pa.list_(pa.int64()))])
 
     def choose(batches) -> Iterator[pa.RecordBatch]:
         for _, group in grouped(batches, 1):
-            _, keys, sizes, raw, _ = group[0]
-            keys, n = np.frombuffer(keys, "V16"), np.frombuffer(sizes, np.uint32).astype(np.int64)
-            hashes, number = np.unique(h := np.frombuffer(raw, np.uint64), return_inverse=True)
+            own = [r for r in group if r[0] < 0]
+            keys, n = np.frombuffer(b"".join(r[2] for r in own), "V16"), np.frombuffer(b"".join(r[3] for r in own), np.uint32).astype(np.int64)
+            hashes, number = np.unique(h := np.frombuffer(b"".join(r[4] for r in own), np.uint64), return_inverse=True)
             df = np.empty(len(hashes), np.uint32)
-            df[np.argsort(bucket_of(hashes, buckets), kind="stable")] = np.frombuffer(b"".join(r[4] for r in group[1:]), np.uint32)
+            df[np.argsort(bucket_of(hashes, buckets), kind="stable")] = np.frombuffer(b"".join(r[5] for r in group[len(own) :]), np.uint32)
             df = df[number]
             place = np.repeat(np.arange(len(n)), n)
             enough = np.bincount(place, df > 1, len(n)) >= needed(n)
@@ -316,11 +334,11 @@ def second_sieve(sets: DataFrame, total: int) -> DataFrame:
 
     ship(sets.sparkSession)
     asked = written(sets.select("key", "n", "hashes").mapInArrow(emit, block_ddl), "blocks")
-    questions = asked.where("bucket >= 0").select("bucket", "block", "numbers", "hashes")
-    answers = questions.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(answer, "block long, bucket int, df binary")
+    questions = asked.where("bucket >= 0").select("bucket", "block", "nth", "numbers", "hashes")
+    answers = questions.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(answer, "block long, bucket int, nth int, df binary")
     none = F.lit(None).cast("binary")
     together = asked.where("bucket < 0").withColumn("df", none).unionByName(answers.withColumns({"keys": none, "numbers": none, "hashes": none}))
-    dealt = together.repartition("block").sortWithinPartitions("block", "bucket")
+    dealt = together.repartition("block").sortWithinPartitions("block", "bucket", "nth")
     return dealt.mapInArrow(choose, "key binary, n long, central double, regions array<long>")
 
 

@@ -31,7 +31,7 @@ ROCKS = {
     f"{_STORE}.unloadOnCommit": "true",
     f"{_STORE}.rocksdb.allowFAllocate": "false",
     f"{_STORE}.rocksdb.boundedMemoryUsage": "true",
-    f"{_STORE}.rocksdb.maxMemoryUsageMB": "192",
+    f"{_STORE}.rocksdb.maxMemoryUsageMB": "96",
 }
 
 
