@@ -28,6 +28,8 @@ def shared_root(spark: SparkSession) -> str:
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     root = root or spark.conf.get("factloom.shared.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
         root = "file://" + tempfile.mkdtemp(prefix="factloom-")
         spark.conf.set("factloom.shared.dir", root)
     return root.rstrip("/")
@@ -37,10 +39,14 @@ def shared_folder(spark: SparkSession, name: str) -> str:
     return f"{shared_root(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+#: Bytes of a row group of a written table: a task holds one in memory while it writes.
+ROW_GROUP = 16 << 20
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """df written to the shared folder and read again: cuts the lineage, survives lost executors."""
     path = shared_folder(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.option("parquet.block.size", ROW_GROUP).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
