@@ -13,7 +13,9 @@ from pyspark.sql import functions as F
 _C = (r"//[^\n]*", r"/\*.*?(?:\*/|\Z)", r'"(?:\\.|[^"\\\n])*"?|\'(?:\\.|[^\'\\\n])*\'?')
 _HASH = (r"#[^\n]*", r"(?!)", r'"""(?:\\.|[^\\])*?(?:"""|\Z)|\'\'\'(?:\\.|[^\\])*?(?:\'\'\'|\Z)|"(?:\\.|[^"\\\n])*"?|\'(?:\\.|[^\'\\\n])*\'?')
 _SQL = (r"--[^\n]*", r"/\*.*?(?:\*/|\Z)", r"'(?:''|[^'])*'?|\"[^\"]*\"?")
-FAMILIES = {**dict.fromkeys(("python", "ruby", "shell"), _HASH), "sql": _SQL}
+#: Scripts count as comments of a page: neither is text that it shows.
+_HTML = (r"(?!)", r"<!--.*?(?:-->|\Z)|<script[^>]*>.*?(?:</script>|\Z)", r"(?!)")
+FAMILIES = {"html": _HTML, **dict.fromkeys(("python", "ruby", "shell"), _HASH), "sql": _SQL}
 _CACHE: dict = {}
 
 

@@ -198,6 +198,60 @@ def propagate(seeds: DataFrame, edges: DataFrame) -> DataFrame:
         known = known.unionByName(delta)
 
 
+def pairs_within(start: DataFrame, edges: DataFrame, depth: int) -> DataFrame:
+    """(sub, super, steps): start's pairs extended along edges(src, dst) from their second end, each pair with the fewest
+    steps, up to `depth`. Rounds extend only the pairs that the round before found."""
+    edges = written(edges.select("src", "dst").distinct(), "edges")
+    known = written(start.select("sub", "super", "steps"), "pairs")
+    delta = known
+    for n in range(1, depth + 1):
+        moved = delta.join(edges, delta["super"] == edges["src"]).select("sub", F.col("dst").alias("super")).distinct()
+        delta = written(moved.join(known, ["sub", "super"], "left_anti").withColumn("steps", F.lit(n)), "pairs")
+        if delta.isEmpty():
+            break
+        known = known.unionByName(delta)
+    return known
+
+
+def neighbours(edges: DataFrame, nodes: DataFrame, backward: bool = False) -> DataFrame:
+    """(node, other): the successors, or predecessors, of nodes(node)."""
+    here, there = ("dst", "src") if backward else ("src", "dst")
+    return nodes.select("node").distinct().join(edges.select(F.col(here).alias("node"), F.col(there).alias("other")), "node").distinct()
+
+
+def reaches(edges: DataFrame, starts: DataFrame, targets: DataFrame, depth: int) -> DataFrame:
+    """(node, target, steps) of starts(node) that reach targets(node) in at most `depth` steps: a walk backward from the
+    targets, of which each round extends only what is new."""
+    pairs = targets.select(F.col("node").alias("sub"), F.col("node").alias("super"), F.lit(0).alias("steps")).distinct()
+    back = pairs_within(pairs, edges.select(F.col("dst").alias("src"), F.col("src").alias("dst")), depth)
+    return back.select(F.col("super").alias("node"), F.col("sub").alias("target"), "steps").join(starts.select("node").distinct(), "node", "left_semi")
+
+
+def in_context(edges: DataFrame, seeds: DataFrame, depth: int) -> DataFrame:
+    """(ctx, node, depth): reachability that stays within one calling context. edges(ctx, src, dst), seeds(ctx, node)."""
+    at = lambda c: F.struct(F.col("ctx"), F.col(c).alias("node"))
+    found, _ = reach(edges.select(at("src").alias("src"), at("dst").alias("dst")), seeds.select(at("node").alias("node")), depth, probe=False)
+    return found.select("node.ctx", "node.node", "depth")
+
+
+def function_summaries(edges: DataFrame, params: DataFrame, returns: DataFrame) -> DataFrame:
+    """(func, param, returned): which parameters of params(func, node) flow to which of returns(func, node) along
+    edges(func, src, dst), each function by itself."""
+    at = lambda c: F.struct(F.col("func"), F.col(c).alias("node"))
+    flows = propagate(params.select(at("node").alias("node"), F.col("node").alias("fact")), edges.select(at("src").alias("src"), at("dst").alias("dst")))
+    ends = returns.select(at("node").alias("node")).distinct()
+    return flows.join(ends, "node", "left_semi").select("node.func", F.col("fact").alias("param"), F.col("node.node").alias("returned"))
+
+
+#: Edge kinds that carry data in each view of a flow graph.
+VIEWS = {"full": None, "light": ("copy", "phi", "cast", "call", "return"), "taint": ("copy", "phi", "cast", "call", "return", "store", "load", "summary", "source", "sink")}
+
+
+def data_edges(edges: DataFrame, view: str) -> DataFrame:
+    """The edges(src, dst, kind) that a view looks along."""
+    return edges if VIEWS[view] is None else edges.where(F.col("kind").isin(*VIEWS[view]))
+
+
 def stats(edges: DataFrame) -> DataFrame:
     """(metric, value): nodes, edges, distinct edges, sources (nothing goes in), sinks (nothing goes out), self loops."""
     ends = edges.select(F.col("src").alias("node"), F.lit(1).alias("o"), F.lit(0).alias("i")).unionByName(edges.select(F.col("dst").alias("node"), F.lit(0).alias("o"), F.lit(1).alias("i")))

@@ -39,21 +39,42 @@ def visible_before(cell: str, order: str, value: Column) -> Column:
 
 def snapshot_plan(old: DataFrame, new: DataFrame, key: str, digest: str) -> DataFrame:
     """(key, status): reused, reparsed, added or removed between two snapshots (key, digest)."""
-    a, b = old.select(key, F.col(digest).alias("__old")), new.select(key, F.col(digest).alias("__new"))
-    status = F.when(F.col("__old").isNull(), "added").when(F.col("__new").isNull(), "removed").when(F.col("__old") == F.col("__new"), "reused").otherwise("reparsed")
+    here = lambda rows, name: rows.select(key, F.struct(F.col(digest).alias("d")).alias(name))  # noqa: E731  a row without digest is there too
+    a, b = here(old, "__old"), here(new, "__new")
+    status = F.when(F.col("__old").isNull(), "added").when(F.col("__new").isNull(), "removed").when(F.col("__old.d") == F.col("__new.d"), "reused").otherwise("reparsed")
     return a.join(b, key, "full_outer").select(key, status.alias("status"))
 
 
-def compare_findings(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
-    """(key, side): both, only_left or only_right."""
-    a, b = left.select(key).distinct().withColumn("__l", F.lit(1)), right.select(key).distinct().withColumn("__r", F.lit(1))
-    return a.join(b, key, "full_outer").select(key, F.when(F.col("__l").isNull(), "only_right").when(F.col("__r").isNull(), "only_left").otherwise("both").alias("side"))
+def compare_findings(left: DataFrame, right: DataFrame, *keys: str) -> DataFrame:
+    """(keys, side): both, only_left or only_right. One aggregation of flags by key, no join."""
+    flags = left.select(*keys, F.lit(True).alias("__l"), F.lit(False).alias("__r")).unionByName(right.select(*keys, F.lit(False).alias("__l"), F.lit(True).alias("__r")))
+    side = F.when(F.bool_or("__l") & F.bool_or("__r"), "both").when(F.bool_or("__l"), "only_left").otherwise("only_right")
+    return flags.groupBy(*keys).agg(side.alias("side"))
+
+
+def covered(rows: DataFrame, by: DataFrame, key: str) -> DataFrame:
+    """rows with whether by(key) has their key; by may repeat keys."""
+    known = by.select(key).where(F.col(key).isNotNull()).distinct().withColumn("__known", F.lit(True))
+    return rows.join(known, key, "left").withColumn("covered", F.coalesce("__known", F.lit(False))).drop("__known")
+
+
+def shown(items: Column, limit: int) -> Column:
+    """The first items of a list, as reports show them."""
+    return F.slice(items, 1, limit)
+
+
+def ranked(rows: DataFrame, keys: list[str], order: list[Column], limit: int) -> DataFrame:
+    """rows with their place among the rows of their keys, up to `limit` (ties share a place). The limit is known to the
+    window, so every task drops what can't be among the first before rows are shuffled."""
+    place = F.rank().over(Window.partitionBy(*keys).orderBy(*order)).cast("long")
+    return rows.withColumn("place", place).where(F.col("place") <= limit)
 
 
 def prefixes(path: Column, separator: str = "/") -> Column:
     """All ancestors of a path and the path itself, shortest first; empty parts are dropped."""
     parts = F.filter(F.split(path, separator), lambda p: p != "")
-    return F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, 1, i), separator))
+    every = F.transform(F.sequence(F.lit(1), F.greatest(F.size(parts), F.lit(1))), lambda i: F.array_join(F.slice(parts, 1, i), separator))
+    return F.when(F.size(parts) > 0, every).otherwise(F.array().cast("array<string>"))
 
 
 def islands(rows: DataFrame, key: str, lower: str, upper: str) -> DataFrame:

@@ -77,22 +77,95 @@ def literals(pattern: str, limit: int = 64) -> list[str] | None:
     return sorted(set(found)) if found is not None else None
 
 
-#: The weakness class of sink kinds, and words that name a class in category texts, in order.
-CLASSES = {"sql": "CWE-89", "command": "CWE-78", "path": "CWE-22", "xss": "CWE-79", "ldap": "CWE-90", "xpath": "CWE-643", "deserialization": "CWE-502", "ssrf": "CWE-918", "redirect": "CWE-601", "code": "CWE-94", "log": "CWE-117", "header": "CWE-113", "crypto": "CWE-327", "hash": "CWE-328", "random": "CWE-330"}
-WORDS = (("sql", "sql"), ("command|cmd|exec", "command"), ("path|travers|file", "path"), ("xss|cross.?site", "xss"), ("ldap", "ldap"), ("xpath", "xpath"), ("deserial", "deserialization"), ("ssrf|request forg", "ssrf"), ("redirect", "redirect"), ("eval|code inj", "code"), ("log", "log"), ("header|crlf", "header"), ("hash", "hash"), ("crypt|cipher", "crypto"), ("random", "random"))
+#: The weakness of each sink kind, in every spelling.
+CLASSES = {
+    **dict.fromkeys(("sql", "sqli", "database"), "CWE-89"),
+    **dict.fromkeys(("command", "cmd", "shell", "exec", "execenvsink", "viatypeof[args]"), "CWE-78"),
+    **dict.fromkeys(("path", "path_traversal", "filesystem", "filesystem_readwrite", "filesystem_other"), "CWE-22"),
+    **dict.fromkeys(("xss", "html", "returnedtouser"), "CWE-79"),
+    **dict.fromkeys(("ssrf", "http", "requestsend_uri", "requestsend_data", "requestsend_metadata"), "CWE-918"),
+    **dict.fromkeys(("code", "eval", "code_injection", "remotecodeexecution"), "CWE-94"),
+    **dict.fromkeys(("deserialization", "unsafe_deserialization"), "CWE-502"),
+    **dict.fromkeys(("format", "format_string"), "CWE-134"),
+    **dict.fromkeys(("log", "logging"), "CWE-117"),
+    **dict.fromkeys(("xml", "xxe", "xmlparser"), "CWE-611"),
+    **dict.fromkeys(("redirect", "open_redirect"), "CWE-601"),
+    "ldap": "CWE-90",
+    "xpath": "CWE-643",
+    **dict.fromkeys(("template", "ssti"), "CWE-1336"),
+    **dict.fromkeys(("regex", "redos"), "CWE-1333"),
+    "jndi": "CWE-74",
+    **dict.fromkeys(("crypto", "weak_crypto"), "CWE-327"),
+    **dict.fromkeys(("hash", "weak_hash"), "CWE-328"),
+    **dict.fromkeys(("random", "weak_random"), "CWE-330"),
+    **dict.fromkeys(("header", "crlf", "responseheadername", "responseheadervalue"), "CWE-113"),
+    "trust_boundary": "CWE-501",
+    "authentication": "CWE-522",
+    "emailsend": "CWE-93",
+}
+#: Words of a category text (lower case, parted by single spaces, a space before and after) and the weakness
+#: that they name; the first line that fits holds.
+WORDS = (
+    (" access control database", "CWE-566"),
+    (" sql injection| sqli | sql inject| hql | nosql injection", "CWE-89"),
+    (" command inject| os command| command execution| exec arg| process injection| shell inject", "CWE-78"),
+    (" ldap", "CWE-90"),
+    (" xpath", "CWE-643"),
+    (" xml external| xxe| external entit", "CWE-611"),
+    (" xml injection", "CWE-91"),
+    (" cross site scripting| xss| html injection", "CWE-79"),
+    (" open redirect| url redirect| unvalidated redirect", "CWE-601"),
+    (" server side request forgery| ssrf| request forgery", "CWE-918"),
+    (" header manipulation| response splitting| crlf| http header", "CWE-113"),
+    (" log forging| log injection| log forge", "CWE-117"),
+    (" dynamic code evaluation| code injection| code inject| eval injection| script injection", "CWE-94"),
+    (" template injection| ssti", "CWE-1336"),
+    (" deserializ", "CWE-502"),
+    (" format string| format injection| uncontrolled format", "CWE-134"),
+    (" path manipulation| path traversal| directory traversal| zip entry| zip slip| file inclusion| path inject", "CWE-22"),
+    (" regular expression| redos| regex injection", "CWE-1333"),
+    (" resource injection| connection string| parameter pollution", "CWE-99"),
+    (" setting manipulation", "CWE-15"),
+    (" privacy violation", "CWE-359"),
+    (" system information leak| information leak| information exposure", "CWE-497"),
+    (" file permission", "CWE-732"),
+    (" insecure random| weak random| predictable random", "CWE-330"),
+    (" weak hash| broken hash", "CWE-328"),
+    (" weak encryption| weak cryptograph| broken crypto| risky crypto", "CWE-327"),
+    (" trust boundary", "CWE-501"),
+    (" formula injection| csv injection", "CWE-1236"),
+    (" password management", "CWE-256"),
+    (" hardcoded| hard coded", "CWE-798"),
+    (" certificate validation| insecure tls| insecure ssl", "CWE-295"),
+    (" buffer overflow| buffer overrun| out of bounds write| stack overflow| heap overflow", "CWE-120"),
+    (" integer overflow| integer wrap", "CWE-190"),
+    (" use after free", "CWE-416"),
+    (" double free", "CWE-415"),
+    (" null pointer| null dereference| null deref", "CWE-476"),
+    (" memory leak", "CWE-401"),
+    (" denial of service", "CWE-400"),
+    (" json injection| injection", "CWE-74"),
+)
+#: The severity of findings without one, by sink kind.
 HIGH = ("sql", "command", "deserialization", "code")
 
 
 def weakness(kind: Column) -> Column:
-    out = F.when(F.lit(False), F.lit(None).cast("string"))
-    for k, cwe in CLASSES.items():
-        out = out.when(F.lower(kind) == k, cwe)
-    return out
+    """The weakness of a sink kind; NULL for kinds that name none."""
+    known = F.create_map(*(F.lit(x) for pair in CLASSES.items() for x in pair))
+    return F.element_at(known, F.lower(kind))
+
+
+def category_words(text: Column) -> Column:
+    """The words of a category text in whatever spelling: humps, underscores and signs part words."""
+    parted = F.regexp_replace(text, r"([a-z0-9])([A-Z])", "$1 $2")
+    return F.concat(F.lit(" "), F.trim(F.regexp_replace(F.lower(parted), r"[^a-z0-9]+", " ")), F.lit(" "))
 
 
 def category_class(text: Column) -> Column:
-    """The first class whose words a category text holds."""
-    return F.coalesce(*(F.when(F.lower(text).rlike(w), k) for w, k in WORDS))
+    """The weakness that a category text names first in the order of WORDS."""
+    words = category_words(text)
+    return F.coalesce(*(F.when(words.rlike(w), c) for w, c in WORDS))
 
 
 def severity(given: Column, kind: Column) -> Column:

@@ -24,7 +24,7 @@ EDGE_DDL = "src long, dst long, kind string, site long, remove array<string>, ad
 #: findings in all.
 STATES, FAILURES, EXHAUSTED, FINDINGS = 4000, 8, 4, 20_000
 #: The rule and kind of the row that tells that there are more findings than are given.
-RESULT_LIMIT, LIMIT_KIND = "UNIFLOW-TAINT-RESULT-LIMIT", "analysis-limit"
+RESULT_LIMIT, LIMIT_KIND = "TAINT-RESULT-LIMIT", "analysis-limit"
 FINDING_DDL = "source_rule_id string, sink_rule_id string, source_kind string, sink_kind string, source_node long, sink_node long, location string, path array<long>, completeness string"
 
 

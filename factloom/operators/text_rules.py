@@ -4,39 +4,55 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from factloom.functions import masks
-from factloom.operators.rows import first_wins
 from factloom.session import ship
 
 RULE_DDL = "id string, language string, pattern string, view string, path_pattern string, severity string, cwe string, message string"
 VIEWS = ("raw", "code", "bare")
 
-#: Line patterns that hint at malicious install code.
+#: Fixed values: (rule, severity, line pattern) of source that opens a shell to elsewhere, runs what it decodes, runs what it
+#: downloads, or mines.
 MALWARE = [
-    ("decode_and_run", r"(eval|exec)\s*\(\s*(base64|atob|zlib|bytes\.fromhex|Buffer\.from)"),
-    ("fetch_and_run", r"(curl|wget)\s[^|;]*[|;]\s*(sh|bash|python)"),
-    ("read_credentials", r"(\.aws/credentials|\.ssh/id_rsa|\.npmrc|/etc/shadow)"),
-    ("send_environment", r"(requests\.post|fetch|http\.request)\s*\([^)]*(process\.env|os\.environ)"),
+    ("reverse-shell", "critical", r"(?i)(/bin/(sh|bash)\s+-i\b|nc\s+-e\s+/bin/|bash\s+-i\s*>&\s*/dev/tcp/)"),
+    ("obfuscated-eval", "high", r"(?i)eval\s*\(\s*(atob|base64_decode|Buffer\.from\([^,]+,\s*['\"]base64['\"]\))"),
+    ("pipe-to-shell", "high", r"(?i)(curl|wget)\s+[^\n|]*\|\s*(sudo\s+)?(sh|bash|zsh)\b"),
+    ("crypto-miner", "high", r"(?i)stratum\+tcp://|xmrig|monero.{0,20}pool"),
 ]
 
 
 def scan(files: DataFrame, rules: DataFrame) -> DataFrame:
-    """files(language, path, content) x rules: (rule_id, path, line, col, excerpt, severity, cwe, message), the first of
-    equal places. Rules of one view share the masked text; the few rules are broadcast to the files."""
+    """files(language, path, content) x rules: (rule_id, path, line, col, excerpt, match, severity, cwe, message), once for
+    equal places. A rule gives its first match in a line.
+
+    Rule packs are configuration, hundreds to thousands of rows, and are read on the driver; all of them become one array
+    expression over a line, so a line is read once and no rule is joined to it. Views are only made if a rule looks at
+    them."""
     ship(files.sparkSession)
-    views = files.withColumns({"raw": F.col("content"), "code": masks.masked("language", "content"), "bare": masks.bare("language", "content")})
-    rules = rules.withColumnRenamed("language", "rule_language")
-    fits = (F.col("rule_language").isNull() | (F.col("rule_language") == F.col("language"))) & (F.col("path_pattern").isNull() | F.regexp_like("path", "path_pattern"))
-    met = views.join(F.broadcast(rules), fits)
-    text = F.when(F.col("view") == "raw", F.col("raw")).when(F.col("view") == "bare", F.col("bare")).otherwise(F.col("code"))
-    lines = met.select("id", "path", "pattern", "severity", "cwe", "message", F.posexplode(F.split(text, "\n")).alias("n", "seen"), F.split("content", "\n").alias("lines"))
-    hits = lines.where(F.regexp_like("seen", "pattern"))
-    col = F.length(F.element_at(F.split(F.col("seen"), F.concat(F.lit("\\Q"), F.regexp_substr("seen", F.col("pattern")), F.lit("\\E")), 2), 1)) + 1
-    out = hits.select(F.col("id").alias("rule_id"), "path", (F.col("n") + 1).alias("line"), col.alias("col"), F.get("lines", F.col("n")).alias("excerpt"), "severity", "cwe", "message")
-    return first_wins(out.withColumn("__order", F.struct("path", "line", "col")), ["rule_id", "path", "line", "col"], "__order").drop("__order")
+    packs = rules.collect()
+    views = {r["view"] or "code" for r in packs} - {"raw"}
+    made = {"code": masks.masked("language", "content"), "bare": masks.bare("language", "content")}
+    lines = lambda c: F.split(c, "\n")
+    zipped = F.arrays_zip(lines(F.col("content")).alias("raw"), *(lines(F.col(v)).alias(v) for v in sorted(views)))
+    rows = files.withColumns({v: made[v] for v in views}).select("language", "path", zipped.alias("z")).select("language", "path", F.posexplode("z").alias("n", "l"))
+
+    def found(r) -> Column:
+        seen = F.col(f"l.{r['view'] or 'code'}")
+        fits = seen.rlike(r["pattern"])
+        if r["language"] is not None:
+            fits = (F.col("language") == r["language"]) & fits
+        if r["path_pattern"] is not None:
+            fits = F.col("path").rlike(r["path_pattern"]) & fits
+        match = F.regexp_substr(seen, F.lit(r["pattern"]))
+        given = {"rule_id": r["id"], "severity": r["severity"], "cwe": r["cwe"], "message": r["message"]}
+        return F.when(fits, F.struct(match.alias("match"), F.instr(seen, match).alias("col"), *(F.lit(v).cast("string").alias(k) for k, v in given.items())))
+
+    if not packs:
+        return rows.select(F.lit("").alias("rule_id"), "path", (F.col("n") + 1).alias("line"), F.lit(0).alias("col"), F.lit("").alias("excerpt"), F.lit("").alias("match"), *(F.lit("").alias(c) for c in ("severity", "cwe", "message"))).where("false")
+    hits = rows.select("path", "n", "l.raw", F.explode(F.array_compact(F.array(*map(found, packs)))).alias("h"))
+    return hits.select("h.rule_id", "path", (F.col("n") + 1).alias("line"), "h.col", F.col("raw").alias("excerpt"), "h.match", "h.severity", "h.cwe", "h.message")
 
 
 def scan_tokens(files: DataFrame, kind: str, pattern: str) -> DataFrame:
@@ -47,10 +63,10 @@ def scan_tokens(files: DataFrame, kind: str, pattern: str) -> DataFrame:
 
 
 def malware(files: DataFrame) -> DataFrame:
-    """(path, line, rule_id) of lines that fit one of the four heuristics."""
+    """(path, line, rule_id, severity, snippet) of lines that fit one of the four heuristics."""
     lines = files.select("path", F.posexplode(F.split("content", "\n")).alias("n", "text"))
-    hits = F.array_compact(F.array(*(F.when(F.col("text").rlike(p), F.lit(r)) for r, p in MALWARE)))
-    return lines.select("path", (F.col("n") + 1).alias("line"), F.explode(hits).alias("rule_id"))
+    hits = F.array_compact(F.array(*(F.when(F.col("text").rlike(p), F.struct(F.lit(r).alias("rule_id"), F.lit(s).alias("severity"))) for r, s, p in MALWARE)))
+    return lines.select("path", (F.col("n") + 1).alias("line"), F.explode(hits).alias("h"), F.trim("text").alias("snippet")).select("path", "line", "h.*", "snippet")
 
 
 def search_pattern(pattern: str) -> str:
@@ -83,6 +99,12 @@ def search(files: DataFrame, either: list[str], inside: str | None = None, witho
     return found.select("path", masks.line_and_column(F.col("code"), F.expr("position(match, code) - 1"))[0].alias("line"), "match")
 
 
+def references(rows: DataFrame, key: str, text: str, pattern: str, group: int) -> DataFrame:
+    """(key, target, n): what texts refer to by a pattern's group, as the imports of a file."""
+    found = F.regexp_extract_all(text, F.lit(pattern), group)
+    return rows.select(key, F.explode(found).alias("target")).groupBy(key, "target").agg(F.count("*").alias("n"))
+
+
 def java_imports(files: DataFrame, packages: DataFrame) -> DataFrame:
     """(path, rule_id, name) of imports in files that fit a package pattern of packages(rule_id, pattern)."""
     names = files.where("language = 'java'").select("path", F.explode(F.regexp_extract_all("content", F.lit(r"(?m)^\s*import\s+(?:static\s+)?([\w.*]+)\s*;"), 1)).alias("name"))

@@ -32,87 +32,10 @@ def values(rows_: list[tuple]) -> str:
 
 
 # --- scans over text -------------------------------------------------------------------------------------------------
-LINE_RULES = [("token", 'token = "[0-9a-f]{40}"'), ("address", "[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+[.][A-Za-z]+"), ("host", "[0-9]+[.][0-9]+[.][0-9]+[.][0-9]+"), ("licence", "(MIT License|Apache License|GPL|[Cc]opyright)"), ("shout", "[A-Z]{4,}!!")]
-
-
-@query(f"""
-WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS line_no FROM documents),
-r(rule_id, pattern) AS (VALUES {values(LINE_RULES)})
-SELECT doc_id, line_no, rule_id, regexp_extract(line, pattern) AS excerpt FROM l JOIN r ON regexp_matches(line, pattern)
-""")
-def rule_scan_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Line rules over texts: every line once, all rules on it."""
-    lines = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
-    hits = F.array(*(F.when(F.col("line").rlike(p), F.struct(F.lit(r).alias("rule_id"), F.regexp_extract("line", p, 0).alias("excerpt"))) for r, p in LINE_RULES))
-    return lines.select("doc_id", (F.col("line_no") + 1).cast("long").alias("line_no"), F.explode(F.array_compact(hits)).alias("h")).select("doc_id", "line_no", "h.*")
-
-
-LICENCES = [("MIT", "MIT License"), ("Apache", "Apache License"), ("GPL", "GPL"), ("other", "[Cc]opyright")]
-
-
-@query(f"""
-WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents)
-SELECT doc_id, CASE {" ".join(f"WHEN regexp_matches(line, '{p}') THEN '{n}'" for n, p in LICENCES)} END AS licence, count(*) AS n_lines
-FROM l WHERE regexp_matches(line, '{"|".join(p for _, p in LICENCES)}') GROUP BY ALL
-""")
-def license_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Licence lines by the first name that fits."""
-    lines = table(spark, sf_dir, "documents").select("doc_id", F.explode(F.split("text", "\n")).alias("line"))
-    name = F.coalesce(*(F.when(F.col("line").rlike(p), n) for n, p in LICENCES))
-    return lines.where(F.col("line").rlike("|".join(p for _, p in LICENCES))).groupBy("doc_id", name.alias("licence")).agg(F.count("*").alias("n_lines"))
-
-
-@query("""
-WITH t AS (SELECT page_id, unnest(regexp_extract_all(html, '(href|src)="([^"]*)"', 2)) AS target FROM pages)
-SELECT page_id, target, count(*) AS n FROM t GROUP BY ALL
-""")
-def page_import_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What pages refer to, as imports of a file."""
-    found = F.regexp_extract_all("html", F.lit('(href|src)="([^"]*)"'), 2)
-    return table(spark, sf_dir, "pages").select("page_id", F.explode(found).alias("target")).groupBy("page_id", "target").agg(F.count("*").alias("n"))
-
-
-@query("""
-WITH m AS (SELECT page_id, regexp_replace(regexp_replace(html, '(?s)<!--.*?-->', '', 'g'), '(?s)<script[^>]*>.*?</script>', '', 'g') AS masked, html FROM pages)
-SELECT page_id, len(regexp_extract_all(html, '<p>|</p>')) AS n_raw, len(regexp_extract_all(masked, '<p>|</p>')) AS n_masked, length(masked) AS masked_chars FROM m
-""")
-def lexical_mask_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A pattern with and without comments and scripts."""
-    masked = F.regexp_replace(F.regexp_replace("html", "(?s)<!--.*?-->", ""), "(?s)<script[^>]*>.*?</script>", "")
-    marks = lambda c: F.size(F.regexp_extract_all(c, F.lit("<p>|</p>"), 0)).cast("long")
-    return table(spark, sf_dir, "pages").select("page_id", marks(F.col("html")).alias("n_raw"), marks(masked).alias("n_masked"), F.length(masked).cast("long").alias("masked_chars"))
-
-
-@query("""
-WITH o AS (SELECT doc_id, text, strpos(text, '@') AS pos FROM documents WHERE contains(text, '@')),
-h AS (SELECT doc_id, pos, string_split(left(text, pos - 1), chr(10)) AS head FROM o)
-SELECT doc_id, CAST(pos AS BIGINT) AS pos, CAST(len(head) AS BIGINT) AS line, CAST(length(head[-1]) + 1 AS BIGINT) AS col FROM h
-""")
-def offset_to_linecol(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The line and column of a text's first '@'."""
-    at = F.instr("text", "@")
-    head = F.split(F.substring(F.col("text"), F.lit(1), F.instr("text", "@") - 1), "\n")
-    return table(spark, sf_dir, "documents").where(F.contains("text", F.lit("@"))).select("doc_id", at.cast("long").alias("pos"), F.size(head).cast("long").alias("line"), (F.length(F.element_at(head, -1)) + 1).cast("long").alias("col"))
 
 
 # --- rules over facts ------------------------------------------------------------------------------------------------
 #: rule, exact, contains, pattern on the event's type, lowest and highest value
-EVENT_RULES = [("exact_click", "click", None, None, None, None), ("contains_r", None, "r", None, None, None), ("regex_sign", None, None, "^s.*p$", 50.0, None), ("cheap_buy", "purchase", None, None, None, 10.0), ("any_large", None, None, None, 400.0, None), ("both", "view", "ie", "^v", 10.0, 20.0)]
-
-
-@query(f"""
-WITH r(rule_id, exact, part, pattern, lo, hi) AS (VALUES {values(EVENT_RULES)})
-SELECT event_id, rule_id FROM events, r
-WHERE (exact IS NULL OR event_type = exact) AND (part IS NULL OR contains(event_type, part)) AND (pattern IS NULL OR regexp_matches(event_type, pattern))
-AND (lo IS NULL OR value >= lo) AND (hi IS NULL OR value <= hi)
-""")
-def matcher_theta_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Events x rules: an equi join for rules with an exact type, the predicate alone for the others; six rules are broadcast."""
-    events = table(spark, sf_dir, "events").select("event_id", "event_type", "value")
-    rules = spark.createDataFrame(EVENT_RULES, "rule_id string, exact string, part string, pattern string, lo double, hi double")
-    holds = (F.col("part").isNull() | F.contains("event_type", "part")) & (F.col("pattern").isNull() | F.regexp_like("event_type", "pattern")) & (F.col("lo").isNull() | (F.col("value") >= F.col("lo"))) & (F.col("hi").isNull() | (F.col("value") <= F.col("hi")))
-    keyed = events.join(F.broadcast(rules.where("exact is not null")), (F.col("event_type") == F.col("exact")) & holds)
-    return keyed.select("event_id", "rule_id").unionByName(events.join(F.broadcast(rules.where("exact is null")), holds).select("event_id", "rule_id"))
 
 
 @query("""
@@ -355,16 +278,6 @@ def cache_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.snapshot_plan(old, docs.where("source <> 'src7'").select("doc_id", digest(F.col("text"))), "doc_id", "h")
 
 
-@query("""
-SELECT p_brand, count(*) FILTER (EXISTS (SELECT 1 FROM lineitem WHERE l_partkey = p_partkey)) AS covered, count(*) FILTER (NOT EXISTS (SELECT 1 FROM lineitem WHERE l_partkey = p_partkey)) AS uncovered FROM part GROUP BY p_brand
-""")
-def semi_anti_cover(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Parts with and without lines, by brand."""
-    used = table(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("p_partkey")).distinct().withColumn("used", F.lit(True))
-    parts = table(spark, sf_dir, "part").select("p_brand", "p_partkey").join(used, "p_partkey", "left")
-    return parts.groupBy("p_brand").agg(F.count("used").alias("covered"), F.count_if(F.col("used").isNull()).alias("uncovered"))
-
-
 @query("""
 WITH c AS (SELECT CASE WHEN quality = 0 AND toxic = 1 THEN 'both' WHEN quality = 0 THEN 'only_left' ELSE 'only_right' END AS side FROM labels WHERE quality = 0 OR toxic = 1)
 SELECT side, count(*) AS n FROM c GROUP BY side
@@ -398,16 +311,6 @@ def store_visibility(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select("event_id", rows.visible_before("user_id", "event_id", stored).alias("visible"))
 
 
-@query("""
-WITH u AS (SELECT user_id, min(event_id) FILTER (event_type = 'signup') AS source, max(event_id) FILTER (event_type = 'purchase') AS sink FROM events GROUP BY user_id)
-SELECT user_id, coalesce(source < sink, TRUE) AS feasible FROM u
-""")
-def temporal_feasible(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Whether a source event may come before a sink event; what isn't known is feasible."""
-    at = lambda kind: F.when(F.col("event_type") == kind, F.col("event_id"))
-    return table(spark, sf_dir, "events").groupBy("user_id").agg(F.coalesce(F.min(at("signup")) < F.max(at("purchase")), F.lit(True)).alias("feasible"))
-
-
 @query("""
 WITH k AS (SELECT user_id, event_type, max(event_id) AS pos FROM events GROUP BY ALL),
 p AS (SELECT user_id, max(pos) FILTER (event_type = 'view') AS cut FROM k GROUP BY user_id),
@@ -425,52 +328,6 @@ def label_transform(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("user_id", F.array_join(risk.apply_labels(labels, removed, F.array().cast("array<string>")), ",").alias("labels"))
 
 
-@query("""
-WITH b AS (SELECT event_id, CASE WHEN event_type = 'view' THEN NULL ELSE value > 100 END AS a, CASE WHEN user_id % 4 = 0 THEN NULL ELSE CAST(json_extract(props, '$.k') AS INTEGER) > 50 END AS b FROM events)
-SELECT CASE WHEN a AND b THEN 'true' WHEN NOT (a AND b) THEN 'false' ELSE 'unknown' END AS all_of, CASE WHEN a OR b THEN 'true' WHEN NOT (a OR b) THEN 'false' ELSE 'unknown' END AS any_of, CASE WHEN NOT a THEN 'true' WHEN a THEN 'false' ELSE 'unknown' END AS not_a, count(*) AS n FROM b GROUP BY ALL
-""")
-def three_valued_condition(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Platform conditions in three-valued logic: NULL is unknown."""
-    a = F.when(F.col("event_type") != "view", F.col("value") > 100)
-    b = F.when(F.col("user_id") % 4 != 0, F.get_json_object("props", "$.k").cast("int") > 50)
-    said = lambda c: F.when(c, "true").when(~c, "false").otherwise("unknown")
-    return table(spark, sf_dir, "events").groupBy(said(a & b).alias("all_of"), said(a | b).alias("any_of"), said(~a).alias("not_a")).agg(F.count("*").alias("n"))
-
-
-@query("""
-SELECT p.conv_id, p.turn AS producer, c.turn AS consumer, length(p.text) AS n_in, length(c.text) AS n_out FROM conversations p JOIN conversations c ON p.conv_id = c.conv_id AND c.turn = p.turn + 1 WHERE p.role = 'user' AND c.role = 'assistant'
-""")
-def boundary_pairing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Producers and consumers that meet at a boundary; one-sided ones are dropped."""
-    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", F.length("text").cast("long").alias("n"))
-    producers = turns.where("role = 'user'").select("conv_id", F.col("turn").alias("producer"), F.col("n").alias("n_in"))
-    consumers = turns.where("role = 'assistant'").select("conv_id", F.col("turn").alias("consumer"), (F.col("turn") - 1).alias("producer"), F.col("n").alias("n_out"))
-    return producers.join(consumers, ["conv_id", "producer"]).select("conv_id", "producer", "consumer", "n_in", "n_out")
-
-
 # --- joins of call facts -------------------------------------------------------------------------------------------------
-@query("""
-SELECT o_orderkey, p_partkey, rank() OVER (PARTITION BY o_orderkey ORDER BY l_quantity DESC, p_partkey) AS place
-FROM orders JOIN lineitem ON o_orderkey = l_orderkey JOIN part ON l_partkey = p_partkey WHERE p_size >= 40 QUALIFY place <= 3
-""")
-def overload_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Call resolution: candidates joined by name, ranked by score; three remain."""
-    lines = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"), F.col("l_partkey").alias("p_partkey"), "l_quantity")
-    big = table(spark, sf_dir, "part").where("p_size >= 40").select("p_partkey")
-    known = table(spark, sf_dir, "orders").select("o_orderkey")
-    place = F.rank().over(Window.partitionBy("o_orderkey").orderBy(F.desc("l_quantity"), "p_partkey"))
-    return lines.join(big, "p_partkey").join(known, "o_orderkey").withColumn("place", place.cast("long")).where("place <= 3").select("o_orderkey", "p_partkey", "place")
 
 
-@query("""
-WITH b AS (SELECT l_orderkey, l_linenumber, l_partkey, row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY how, l_partkey) AS k, how FROM (
-SELECT l_orderkey, l_linenumber, l_partkey, 0 AS how FROM lineitem WHERE l_returnflag = 'R' UNION ALL SELECT l_orderkey, l_linenumber, l_partkey, 1 FROM lineitem WHERE l_returnflag <> 'N'))
-SELECT how, count(*) AS n, CAST(sum(l_partkey) AS BIGINT) AS keys FROM b WHERE k = 1 GROUP BY how
-""")
-def actual_formal_binding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Bindings by name before bindings by position: the first way that binds a formal wins."""
-    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_returnflag")
-    named = lines.where("l_returnflag = 'R'").withColumn("how", F.lit(0))
-    placed = lines.where("l_returnflag <> 'N'").withColumn("how", F.lit(1))
-    ways = named.unionByName(placed).withColumn("order", F.struct("how", "l_partkey"))
-    return rows.first_wins(ways, ["l_orderkey", "l_linenumber"], "order").groupBy("how").agg(F.count("*").alias("n"), F.sum("l_partkey").alias("keys"))

@@ -172,109 +172,6 @@ def callee_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").select("p_partkey", receiver.alias("receiver"), method.alias("method"))
 
 
-@query("""
-SELECT event_id, lead(event_id) OVER (PARTITION BY user_id ORDER BY event_id) IS NULL AS is_last, coalesce(max(CASE WHEN event_type = 'error' THEN event_id END) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), -1) AS prior_error FROM events
-""")
-def prior_and_last_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The latest matching earlier call of the same receiver, and whether a call is the last."""
-    by = Window.partitionBy("user_id").orderBy("event_id")
-    prior = F.max(F.when(F.col("event_type") == "error", F.col("event_id"))).over(by.rowsBetween(Window.unboundedPreceding, -1))
-    return table(spark, sf_dir, "events").select("event_id", F.lead("event_id").over(by).isNull().alias("is_last"), F.coalesce(prior, F.lit(-1)).alias("prior_error"))
-
-
-@query("""
-SELECT l_partkey, arg_min(l_suppkey, CASE l_returnflag WHEN 'R' THEN 0 WHEN 'A' THEN 1000000 ELSE 2000000 END + l_suppkey) AS first_id, count(*) AS n FROM lineitem GROUP BY l_partkey
-""")
-def primary_alias(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The primary id of each cluster: by rank of its kind, then by id."""
-    rank = F.when(F.col("l_returnflag") == "R", 0).when(F.col("l_returnflag") == "A", 1).otherwise(2)
-    return table(spark, sf_dir, "lineitem").groupBy("l_partkey").agg(F.min(F.struct(rank.alias("r"), "l_suppkey")).alias("m"), F.count("*").alias("n")).select("l_partkey", F.col("m.l_suppkey").alias("first_id"), "n")
-
-
-@query("""
-WITH p AS (SELECT DISTINCT l_suppkey, l_partkey FROM lineitem), s AS (SELECT l_suppkey, list_sort(list(l_partkey)) AS l FROM p GROUP BY l_suppkey)
-SELECT l_suppkey, len(l) AS n_parts, array_to_string(l[1:4], ',') AS first_parts FROM s
-""")
-def collapse_and_truncate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The distinct parts of each supplier, sorted, of which four are shown."""
-    sets = table(spark, sf_dir, "lineitem").groupBy("l_suppkey").agg(F.array_sort(F.collect_set("l_partkey")).alias("l"))
-    return sets.select("l_suppkey", F.size("l").cast("long").alias("n_parts"), F.array_join(F.slice("l", 1, 4), ",").alias("first_parts"))
-
-
-@query(r"""
-SELECT page_id, regexp_extract(url, '^(https?)://([^/?#]+)([^?#]*)(?:[?]([^#]*))?', 2) AS host, regexp_extract(url, '^(https?)://([^/?#]+)([^?#]*)', 3) AS path, nullif(regexp_extract(url, '[?&]page=([^&#]*)', 1), '') AS page FROM pages
-""")
-def url_split(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Host, path and one query value of addresses."""
-    pattern = r"^(https?)://([^/?#]+)([^?#]*)"
-    page = F.nullif(F.regexp_extract("url", "[?&]page=([^&#]*)", 1), F.lit(""))
-    return table(spark, sf_dir, "pages").select("page_id", F.regexp_extract("url", pattern, 2).alias("host"), F.regexp_extract("url", pattern, 3).alias("path"), page.alias("page"))
-
-
-@query("""
-SELECT event_id, TRY_CAST(json_extract_string(props, '$.k') AS INTEGER) AS k, coalesce(TRY_CAST(event_type AS INTEGER), -1) AS none, sha256(props) AS digest FROM events
-""")
-def literals_and_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Number literals that may not parse, and content digests."""
-    number = lambda c: c.try_cast("int")
-    return table(spark, sf_dir, "events").select("event_id", number(F.get_json_object("props", "$.k")).alias("k"), F.coalesce(number(F.col("event_type")), F.lit(-1)).alias("none"), F.sha2("props", 256).alias("digest"))
-
-
-@query("""
-WITH c AS (SELECT doc_id, trim(CASE WHEN lang = 'fr' THEN '' ELSE lang END) AS first, trim(CASE WHEN source = 'src1' THEN ' ' ELSE source END) AS second FROM documents)
-SELECT doc_id, coalesce(nullif(first, ''), nullif(second, ''), 'en') AS shown FROM c
-""")
-def localized_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first translation that isn't blank."""
-    said = lambda c: F.nullif(F.trim(c), F.lit(""))
-    first, second = F.when(F.col("lang") == "fr", "").otherwise(F.col("lang")), F.when(F.col("source") == "src1", " ").otherwise(F.col("source"))
-    return table(spark, sf_dir, "documents").select("doc_id", F.coalesce(said(first), said(second), F.lit("en")).alias("shown"))
-
-
-@query("""
-SELECT r_name, count(*) AS n_customers, count(DISTINCT c_nationkey) AS n_nations FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey GROUP BY r_name
-""")
-def hierarchy_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Members counted at their supertype. Nations and regions are fixed tables of 25 and 5 rows."""
-    nation, region = table(spark, sf_dir, "nation"), table(spark, sf_dir, "region")
-    up = nation.join(F.broadcast(region), F.col("n_regionkey") == F.col("r_regionkey")).select(F.col("n_nationkey").alias("c_nationkey"), "r_name")
-    return table(spark, sf_dir, "customer").join(F.broadcast(up), "c_nationkey").groupBy("r_name").agg(F.count("*").alias("n_customers"), F.count_distinct("c_nationkey").alias("n_nations"))
-
-
-@query("""
-WITH d AS (SELECT l_orderkey, l_linenumber, count(*) AS k FROM lineitem GROUP BY ALL)
-SELECT problem, count(*) AS n FROM (SELECT 'duplicate_id' AS problem FROM d WHERE k > 1 UNION ALL SELECT 'missing_target' FROM lineitem WHERE NOT EXISTS (SELECT 1 FROM part WHERE p_partkey = l_partkey)
-UNION ALL SELECT 'unused' FROM orders WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey)) GROUP BY problem
-""")
-def validation_problems(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Ids that repeat, targets that don't exist, and definitions that nothing uses."""
-    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey")
-    twice = lines.groupBy("l_orderkey", "l_linenumber").count().where("count > 1").select(F.lit("duplicate_id").alias("problem"))
-    missing = lines.join(table(spark, sf_dir, "part").select(F.col("p_partkey").alias("l_partkey")), "l_partkey", "left_anti").select(F.lit("missing_target").alias("problem"))
-    unused = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("l_orderkey")).join(lines, "l_orderkey", "left_anti").select(F.lit("unused").alias("problem"))
-    return twice.unionByName(missing).unionByName(unused).groupBy("problem").agg(F.count("*").alias("n"))
-
-
-@query("""
-WITH f AS (SELECT l_orderkey, l_partkey FROM lineitem WHERE l_returnflag = 'R'), g AS (SELECT l_orderkey, l_partkey FROM lineitem WHERE l_discount > 0.05)
-SELECT (SELECT count(*) FROM (SELECT * FROM f INTERSECT SELECT * FROM g)) AS both_sets, (SELECT count(*) FROM (SELECT * FROM f EXCEPT SELECT * FROM g)) AS only_first, (SELECT count(*) FROM (SELECT * FROM f UNION SELECT * FROM g)) AS either
-""")
-def set_operations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Union, intersection and difference of two fact sets, in one pass of flags per key."""
-    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", (F.col("l_returnflag") == "R").alias("f"), (F.col("l_discount") > 0.05).alias("g"))
-    flags = lines.groupBy("l_orderkey", "l_partkey").agg(F.bool_or("f").alias("f"), F.bool_or("g").alias("g"))
-    return flags.agg(F.count_if(F.col("f") & F.col("g")).alias("both_sets"), F.count_if(F.col("f") & ~F.col("g")).alias("only_first"), F.count_if(F.col("f") | F.col("g")).alias("either"))
-
-
-@query("""
-SELECT doc_id, CASE WHEN starts_with(text, 'The') THEN 'article' WHEN regexp_matches(left(text, 1), '[A-Z]') THEN 'upper' WHEN regexp_matches(left(text, 1), '[0-9]') THEN 'digit' ELSE 'other' END AS kind FROM documents
-""")
-def file_type_by_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Kinds by the first characters, as files by their first bytes."""
-    kind = F.when(F.startswith("text", F.lit("The")), "article").when(F.substring("text", 1, 1).rlike("[A-Z]"), "upper").when(F.substring("text", 1, 1).rlike("[0-9]"), "digit").otherwise("other")
-    return table(spark, sf_dir, "documents").select("doc_id", kind.alias("kind"))
-
-
 @query("""
 WITH a AS (SELECT o_custkey, o_orderkey, o_totalprice FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) = 1)
 SELECT c_custkey, o_orderkey, round(o_totalprice, 2) AS price FROM customer LEFT JOIN a ON c_custkey = o_custkey

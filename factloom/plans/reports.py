@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from factloom.functions import risk
 from factloom.operators import rows
+from factloom.session import written
 
 FINDING_DDL = "rule_id string, severity string, message string, path string, line int, col int, cwe array<string>"
 
@@ -15,17 +18,41 @@ def level(severity) -> F.Column:
     return risk.choose(F.lower(severity), {"critical": "error", "high": "error", "medium": "warning"}, "note")
 
 
-def sarif(findings: DataFrame, tool: str = "factloom") -> DataFrame:
-    """One row with a SARIF 2.1.0 log: rules and results sorted."""
-    rules = findings.groupBy("rule_id").agg(F.min("message").alias("m"), F.array_sort(F.array_distinct(F.flatten(F.collect_set(F.coalesce("cwe", F.array().cast("array<string>")))))).alias("cwe"))
+def normal_severity(given, sink_kind) -> F.Column:
+    """The given severity, or, where it is blank, the one that the kind of the sink stands for."""
+    of_kind = risk.choose(sink_kind, {"critical": "error", "error": "error", "note": "note", "info": "note", "informational": "note"}, "warning")
+    return F.when(F.trim(given) != "", given).otherwise(of_kind)
+
+
+def sarif_rules(findings: DataFrame) -> DataFrame:
+    """(rule_id, value): each rule as a SARIF object."""
+    weaknesses = F.explode_outer(F.coalesce("cwe", F.array().cast("array<string>"))).alias("c")
+    rules = findings.select("rule_id", "message", weaknesses).groupBy("rule_id").agg(F.min("message").alias("m"), F.array_sort(F.collect_set("c")).alias("cwe"))
     rule = F.struct(F.col("rule_id").alias("id"), F.struct(F.col("m").alias("text")).alias("shortDescription"), F.struct(F.col("cwe").alias("tags")).alias("properties"))
+    return rules.select("rule_id", F.to_json(rule).alias("value"))
+
+
+def sarif_results(findings: DataFrame) -> DataFrame:
+    """(path, line, col, rule_id, value): each finding as a SARIF result."""
     place = F.struct(F.struct(F.struct(F.col("path").alias("uri")).alias("artifactLocation"), F.struct(F.col("line").alias("startLine"), F.col("col").alias("startColumn")).alias("region")).alias("physicalLocation"))
     result = F.struct(F.col("rule_id").alias("ruleId"), level(F.col("severity")).alias("level"), F.struct(F.col("message").alias("text")).alias("message"), F.array(place).alias("locations"))
-    key = F.struct("path", "line", "col", "rule_id")
-    results = findings.agg(F.transform(F.array_sort(F.collect_list(F.struct(key.alias("k"), result.alias("r")))), lambda x: x["r"]).alias("results"))
-    one = rules.agg(F.array_sort(F.collect_list(rule)).alias("rules")).crossJoin(results)  # one row each
-    run = F.struct(F.struct(F.struct(F.lit(tool).alias("name"), F.col("rules")).alias("driver")).alias("tool"), F.col("results"))
-    return one.select(F.to_json(F.struct(F.lit("https://json.schemastore.org/sarif-2.1.0.json").alias("$schema"), F.lit("2.1.0").alias("version"), F.array(run).alias("runs"))).alias("value"))
+    return findings.select("path", "line", "col", "rule_id", F.to_json(result).alias("value"))
+
+
+def sarif(findings: DataFrame, tool: str = "factloom") -> DataFrame:
+    """The lines of a SARIF 2.1.0 log, sorted: one line a rule and one a result, so no row and no task holds the log. The
+    written part files, one after the other, are the log."""
+    spark = findings.sparkSession
+    nothing = F.lit("")
+    rules = sarif_rules(findings).select(F.lit(1).alias("o"), F.col("rule_id").alias("path"), F.lit(0).alias("line"), F.lit(0).alias("col"), "rule_id", "value")
+    results = sarif_results(findings).select(F.lit(3).alias("o"), "path", "line", "col", "rule_id", "value")
+    rows_ = written(rules.unionByName(results).withColumn("n", F.monotonically_increasing_id()), "sarif")
+    order = ["o", "path", "line", "col", "rule_id", "n"]
+    last = rows_.groupBy("o").agg(F.max(F.struct(*order)).alias("x")).select("o", F.col("x.n").alias("last"))  # two rows
+    body = rows_.join(F.broadcast(last), "o").select(*order, F.concat("value", F.when(F.col("n") == F.col("last"), nothing).otherwise(",")).alias("value"))
+    head = f'{{"$schema":"https://json.schemastore.org/sarif-2.1.0.json","version":"2.1.0","runs":[{{"tool":{{"driver":{{"name":{json.dumps(tool)},"rules":['
+    frame = spark.createDataFrame([(0, "", 0, 0, "", 0, head), (2, "", 0, 0, "", 0, ']}},"results":['), (4, "", 0, 0, "", 0, "]}]}")], "o int, path string, line int, col int, rule_id string, n long, value string")
+    return frame.unionByName(body).orderBy(*order).select("value")
 
 
 def dot(nodes: DataFrame, edges: DataFrame, highlighted: DataFrame | None = None) -> DataFrame:
@@ -60,6 +87,6 @@ def write(findings: DataFrame, folder: str) -> None:
     """All reports below a folder."""
     findings.write.mode("overwrite").json(f"{folder}/json")
     sarif(findings).write.mode("overwrite").text(f"{folder}/sarif")
-    markdown(findings).coalesce(1).write.mode("overwrite").text(f"{folder}/markdown")
+    markdown(findings).write.mode("overwrite").text(f"{folder}/markdown")
     for name, frame in frames(findings).items():
         frame.write.mode("overwrite").parquet(f"{folder}/frames/{name.lower().replace(' ', '_')}")

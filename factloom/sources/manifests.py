@@ -277,14 +277,18 @@ EXTENSIONS = {
 VENDORED = r"(^|/)(node_modules|vendor|third_party|\.git|dist|build|target|__pycache__)/|\.min\.js$|_pb2\.py$|\.pb\.go$"
 
 
-def source_files(spark: SparkSession, path: str, languages: list[str] | None = None, vendored: bool = False) -> DataFrame:
-    """(language, path, content, sha256) of the source files below a folder, by their ending."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+def by_language(files: DataFrame, languages: list[str] | None = None, vendored: bool = False) -> DataFrame:
+    """files(path, ...) with their language by ending; others, and vendored or generated ones, are left out."""
     endings = [(e, lang) for lang, es in EXTENSIONS.items() for e in es.split() if languages is None or lang in languages]
     known = F.create_map(*(F.lit(x) for pair in endings for x in pair))
     out = files.withColumn("language", F.element_at(known, F.lower(F.regexp_extract("path", r"\.([^./]+)$", 1)))).where("language is not null")
-    if not vendored:
-        out = out.where(~F.col("path").rlike(VENDORED))
+    return out if vendored else out.where(~F.col("path").rlike(VENDORED))
+
+
+def source_files(spark: SparkSession, path: str, languages: list[str] | None = None, vendored: bool = False) -> DataFrame:
+    """(language, path, content, sha256) of the source files below a folder, by their ending."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+    out = by_language(files, languages, vendored)
     return out.select("language", "path", F.col("content").cast("string").alias("content"), F.sha2("content", 256).alias("sha256"))
 
 

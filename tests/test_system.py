@@ -178,7 +178,8 @@ def test_service_graph(spark):
 
 def test_reports(spark, tmp_path):
     f = spark.createDataFrame([("r2", "low", "m", "b.py", 2, 1, None), ("r1", "critical", 'say "x"', "a.py", 1, 5, ["CWE-1"])], reports.FINDING_DDL)
-    log = json.loads(reports.sarif(f).first().value)
+    log = json.loads("".join(r.value for r in reports.sarif(f).collect()))
+    assert json.loads("".join(r.value for r in reports.sarif(f.limit(0)).collect()))["runs"][0]["results"] == []
     (run,) = log["runs"]
     assert [r["ruleId"] for r in run["results"]] == ["r1", "r2"] and [r["level"] for r in run["results"]] == ["error", "note"]
     assert run["results"][0]["locations"][0]["physicalLocation"]["region"] == {"startLine": 1, "startColumn": 5}
@@ -219,6 +220,26 @@ def test_a_second_scan_parses_nothing(spark, tmp_path):
     assert {(r.path, r.n) for r in store.facts().collect()} == {("a", 3), ("c", 1)}
 
 
+def test_a_scan_that_fails_leaves_nothing_behind(spark, tmp_path):
+    frame = lambda r: spark.createDataFrame([(p, t, t) for p, t in r], "path string, content string, sha256 string")
+    store = FactStore(spark, f"file://{tmp_path}/store")
+    parse = lambda f: f.select("path", F.length("content").alias("n"))
+    store.update(frame([("a", "x")]), parse)
+    parse(frame([("b", "yy")])).write.parquet(f"file://{tmp_path}/store/facts/scan=lost")  # written, never committed
+    assert store.update(frame([("a", "x"), ("b", "yy")]), parse) == {"reused": 1, "added": 1}
+    assert sorted((r.path, r.n) for r in store.facts().collect()) == [("a", 1), ("b", 2)]
+    store.commit(frame([("b", "yyy")]), None, parse, "again")
+    store.commit(frame([("b", "yyy")]), None, parse, "again")
+    assert sorted((r.path, r.n) for r in store.facts().collect()) == [("a", 1), ("b", 3)]
+
+
+def test_rows_that_are_there_without_a_digest(spark):
+    old, new = spark.createDataFrame([("a", None), ("b", "1"), ("c", "1")], "path string, h string"), spark.createDataFrame([("a", None), ("b", None), ("d", "1")], "path string, h string")
+    assert {(r.path, r.status) for r in rows.snapshot_plan(old, new, "path", "h").collect()} == {("a", "reparsed"), ("b", "reparsed"), ("c", "removed"), ("d", "added")}
+    paths = spark.createDataFrame([("/",), ("",), ("a//b/",)], "p string")
+    assert [r.x for r in paths.select(rows.prefixes(F.col("p")).alias("x")).collect()] == [[], [], ["a", "a/b"]]
+
+
 def test_the_stream_adds_facts(spark, tmp_path):
     store = FactStore(spark, f"file://{tmp_path}/store")
     source, parse = f"file://{tmp_path}/in", lambda f: f.select("path", F.length("content").alias("n"))
@@ -233,12 +254,12 @@ def test_entry_and_oracles(spark, sf):
 
     import __spark_entry__ as e
 
-    assert e.entry(spark).count() >= 0
+    assert e.entry(spark).count() > 0
     con = duckdb.connect()
     for t in "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split():
         con.sql(f"create view {t} as select * from '{sf}/{t}.parquet'")
     assert set(conformance.ORACLES) <= set(conformance.QUERIES)
-    for name in ("finding_dedupe", "range_islands", "port_expand", "components_alias_merge", "taint_reach_pairs", "risk_score", "cache_plan"):
+    for name in ("finding_dedupe", "range_islands", "port_expand", "components_alias_merge", "taint_reach_pairs", "risk_score", "cache_plan", "rule_scan_lines", "lexical_mask_scan", "matcher_theta_join", "field_matcher", "function_matcher", "taint_condition", "three_valued_condition", "overload_rank", "actual_formal_binding", "module_prefix_join", "misuse_not_reported", "value_alias_roots", "field_cells", "object_catalog", "related_regions", "url_split", "dependency_findings", "os_findings", "graph_upsert", "sarif_results"):
         want = con.sql(conformance.ORACLES[name]).df()
         got = conformance.QUERIES[name](spark, sf).toPandas()[list(want.columns)]
         key = lambda f: sorted(map(str, f.values.tolist()))
