@@ -2,9 +2,14 @@
 
 decode() reads any lossless WebP stream: prefix codes (simple and canonical), several code groups, back-references, the
 colour cache, and the predictor, cross-colour, subtract-green and palette transforms. Streams whose codes have one
-length for each channel are decoded by numpy without a loop; so are transforms, but for the predictors that need the
-pixel just made. pack() stores bytes losslessly as 8-bit samples: a palette of the byte values that occur (with pixels
-bundled where it is small) and one prefix code of equal lengths.
+length for each channel are decoded by numpy without a loop. Where only one channel takes bits, as in grey images, numpy
+looks the symbol up that would begin at each bit, and a walk from symbol to symbol picks those that do. Transforms are
+numpy too, but for the predictors that need the pixel just made.
+
+pack() stores bytes losslessly as 8-bit samples of the green channel: prefix codes with back-references to earlier samples,
+before that the left predictor where it saves bits, or a palette with bundled pixels where there are few values. The codes
+come from fixed rankings of bytes, so headers repeat and are parsed once; of the rankings the cheapest for the image is
+taken. A grey image has no use for cross-colour, subtract-green and the colour cache: pack() doesn't write them.
 
 Cases: null and empty texts are 64 zero bytes; equal texts give equal values; payloads above 2**28 bytes become several
 images in a row; other columns are not read.
@@ -12,8 +17,10 @@ images in a row; other columns are not read.
 
 from __future__ import annotations
 
+import heapq
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 from hashlib import sha256
 
 import numpy as np
@@ -56,6 +63,7 @@ class PrefixCode:
     """A canonical prefix code, given the length of each symbol's code (0: none)."""
 
     def __init__(self, lengths: list[int]):
+        self._table = None
         used = sorted((n, s) for s, n in enumerate(lengths) if n)
         self.symbols = [s for _, s in used]
         self.equal = used[0][0] if used and used[0][0] == used[-1][0] and len(used) == 1 << used[0][0] else None
@@ -71,9 +79,26 @@ class PrefixCode:
         if code != 1 << last:
             raise ValueError("the prefix code isn't complete")
 
+    def table(self) -> tuple[np.ndarray, np.ndarray]:
+        """Symbol and length of the code that the lowest of any 15 bits begin with."""
+        if self._table is None:
+            symbol, size = np.zeros(1 << 15, np.uint16), np.zeros(1 << 15, np.uint8)
+            for (n, code), s in (self.codes or {}).items():
+                at = reverse_bits(code, n)
+                symbol[at :: 1 << n], size[at :: 1 << n] = s, n
+            self._table = symbol, size
+        return self._table
+
     def read(self, bits: Bits) -> int:
         if self.codes is None:
             return self.symbols[0]
+        if self._table is not None:  # worth building where many symbols are read
+            at = bits.at
+            ahead = int.from_bytes(bits.data[at >> 3 : (at >> 3) + 3], "little") >> (at & 7) & 0x7FFF
+            bits.at = at + int(self._table[1][ahead])
+            if bits.at > 8 * len(bits.data):
+                raise ValueError("the stream ends early")
+            return int(self._table[0][ahead])
         code = n = 0
         while True:
             code, n = code << 1 | bits.read(1), n + 1
@@ -131,10 +156,18 @@ def read_pixels(bits: Bits, width: int, height: int, main: bool) -> np.ndarray:
         across = -(-width >> group_bits)
         groups_of = (read_pixels(bits, across, -(-height >> group_bits), False) >> 8 & 0xFFFF).reshape(-1, across)
         groups = int(groups_of.max()) + 1
-    codes = [[read_code(bits, n) for n in (280 + (1 << cache_bits if cache_bits else 0), 256, 256, 256, 40)] for _ in range(groups)]
+    alphabets = (280 + (1 << cache_bits if cache_bits else 0), 256, 256, 256, 40)
+    codes = [_known_codes(bits, alphabets) for _ in range(groups)]
     n = width * height
     if groups == 1 and not cache_bits and all(c.equal is not None for c in codes[0][:4]) and codes[0][0].symbols[-1] < 256:
         return _read_equal(bits, codes[0], n)
+    if groups == 1 and not cache_bits and all(c.equal == 0 for c in codes[0][1:4]):
+        return _read_green(bits, codes[0], n, width)
+    return _read_any(bits, codes, groups_of, group_bits, cache_bits, n, width)
+
+
+def _read_any(bits: Bits, codes: list, groups_of: np.ndarray | None, group_bits: int, cache_bits: int, n: int, width: int) -> np.ndarray:
+    """Pixel by pixel: any codes, groups and cache."""
     out = np.zeros(n, np.uint32)
     cache = [0] * (1 << cache_bits)
     shift, at, cached = 32 - cache_bits, 0, 0
@@ -147,11 +180,7 @@ def read_pixels(bits: Bits, width: int, height: int, main: bool) -> np.ndarray:
             at += 1
         elif s < 280:
             length, distance = _count(bits, s - 256), _count(bits, group[4].read(bits))
-            if distance <= 120:
-                x, y = _NEAR[distance - 1]
-                distance = max(1, x + y * width)
-            else:
-                distance -= 120
+            distance = _distance(distance, width)
             if distance > at or at + length > n:
                 raise ValueError("a reference beyond the image")
             for k in range(at, at + length):
@@ -167,6 +196,95 @@ def read_pixels(bits: Bits, width: int, height: int, main: bool) -> np.ndarray:
     return out
 
 
+#: Code groups that were read before, by their number of bits and those bits; at most so many.
+_KNOWN: dict[int, dict[tuple, list]] = {}
+KNOWN_GROUPS = 64
+
+
+def _known_codes(bits: Bits, alphabets: tuple[int, ...]) -> list[PrefixCode]:
+    """The codes of one group. Many images share theirs, so what was read is looked up by its bits."""
+
+    def key(n: int) -> tuple:
+        first = bits.at >> 3
+        return alphabets, int.from_bytes(bits.data[first : first + (n >> 3) + 2], "little") >> (bits.at & 7) & (1 << n) - 1
+
+    for n, groups in _KNOWN.items():
+        if (found := groups.get(key(n))) is not None and bits.at + n <= 8 * len(bits.data):
+            bits.at += n
+            return found
+    start = bits.at
+    codes = [read_code(bits, n) for n in alphabets]
+    end, bits.at = bits.at, start
+    if sum(map(len, _KNOWN.values())) >= KNOWN_GROUPS:
+        _KNOWN.clear()
+    _KNOWN.setdefault(end - start, {})[key(end - start)] = codes
+    bits.at = end
+    return codes
+
+
+def reverse_bits(code: int, n: int) -> int:
+    return int(f"{code:0{n}b}"[::-1], 2) if n else 0
+
+
+#: Bytes of a stream whose symbols are looked up at once.
+WINDOW = 1 << 18
+
+
+def _read_green(bits: Bits, group: list[PrefixCode], n: int, width: int) -> np.ndarray:
+    """Pixels of which only green takes bits, with back-references."""
+    symbol, size = group[0].table()
+    group[4].table()
+    rest = np.uint32(group[3].symbols[0] << 24 | group[1].symbols[0] << 16 | group[2].symbols[0])
+    if not size.any():  # a lone green symbol takes no bits either
+        if group[0].symbols[0] < 256:
+            return np.full(n, rest | np.uint32(group[0].symbols[0] << 8), np.uint32)
+        raise ValueError("an image of references only")
+    data, green, at = bits.data, bytearray(n), 0
+    p, end = bits.at, 8 * len(data)
+    while at < n:
+        first = p >> 3
+        raw = np.frombuffer(data[first : first + WINDOW + 2] + b"\0\0", np.uint8).astype(np.uint32)
+        raw = (raw[:-2] | raw[1:-1] << 8 | raw[2:] << 16)[:WINDOW]
+        windows = (raw[:, None] >> np.arange(8, dtype=np.uint32) & 0x7FFF).ravel()
+        found = symbol[windows]
+        steps = np.where(found < 256, size[windows], 0).astype(np.uint8).tobytes()
+        p -= 8 * first
+        last = len(steps)
+        while at < n and p < last:
+            places: list[int] = []
+            push, room = places.append, n - at
+            while p < last and (step := steps[p]) and room:
+                push(p)
+                p += step
+                room -= 1
+            if places:
+                green[at : at + len(places)] = found[places].astype(np.uint8).tobytes()
+                at += len(places)
+            if p < last and at < n:
+                s = int(found[p])
+                bits.at = 8 * first + p + int(size[windows[p]])
+                length, distance = _count(bits, s - 256), _count(bits, group[4].read(bits))
+                distance = _distance(distance, width)
+                if distance > at or at + length > n:
+                    raise ValueError("a reference beyond the image")
+                source = green[at - distance : at - distance + min(length, distance)]
+                green[at : at + length] = (source * (length // len(source) + 1))[:length]
+                at += length
+                p = bits.at - 8 * first
+        p += 8 * first
+        if p > end:
+            raise ValueError("the stream ends early")
+    bits.at = p
+    return np.frombuffer(bytes(green), np.uint8).astype(np.uint32) << np.uint32(8) | rest
+
+
+def _distance(code: int, width: int) -> int:
+    if code > 120:
+        return code - 120
+    x, y = _NEAR[code - 1]
+    return max(1, x + y * width)
+
+
 def _read_equal(bits: Bits, group: list[PrefixCode], n: int) -> np.ndarray:
     """Pixels whose codes have one length a channel: every pixel has as many bits."""
     lengths = [c.equal for c in group[:4]]
@@ -337,7 +455,189 @@ def _equal_code(length: int, alphabet: int) -> list[np.ndarray]:
     return [_field(0, 1), _field(n - 4, 4), *[_field(x, 3) for x in own[:n]], _field(0, 1), flags]
 
 
+def code_lengths(weights: list[float], longest: int = 15) -> list[int]:
+    """Huffman's code lengths; weights are flattened until no code is longer than `longest`."""
+    while True:
+        heap = [(w, i, None) for i, w in enumerate(weights) if w]
+        heapq.heapify(heap)
+        n = len(weights)
+        while len(heap) > 1:
+            a, b = heapq.heappop(heap), heapq.heappop(heap)
+            heapq.heappush(heap, (a[0] + b[0], n, (a, b)))
+            n += 1
+        lengths, todo = [0] * len(weights), [(heap[0], 0)]
+        while todo:
+            (_, i, pair), depth = todo.pop()
+            if pair is None:
+                lengths[i] = depth
+            else:
+                todo += [(pair[0], depth + 1), (pair[1], depth + 1)]
+        if max(lengths) <= longest:
+            return lengths
+        weights = [w and w**0.9 for w in weights]
+
+
+def codes_of(lengths: list[int]) -> np.ndarray:
+    """The canonical codes in the order in which their bits are written."""
+    out, code, last = np.zeros(len(lengths), np.uint32), 0, 0
+    for n, s in sorted((n, s) for s, n in enumerate(lengths) if n):
+        code <<= n - last
+        last = n
+        out[s] = reverse_bits(code, n)
+        code += 1
+    return out
+
+
+def written_code(lengths: list[int]) -> list[np.ndarray]:
+    """The bits by which a stream tells code lengths, runs shortened."""
+    symbols: list[tuple[int, int, int]] = []  # symbol, extra bits, their number
+    at, before = 0, 8
+    while at < len(lengths):
+        value, end = lengths[at], at
+        while end < len(lengths) and lengths[end] == value:
+            end += 1
+        run = end - at
+        while run:
+            if value == 0 and run >= 3:
+                take = min(run, 138)
+                symbols.append((18, take - 11, 7) if take >= 11 else (17, take - 3, 3))
+            elif value and value == before and run >= 3:
+                take = min(run, 6)
+                symbols.append((16, take - 3, 2))
+            else:
+                take, before = 1, value or before
+                symbols.append((value, 0, 0))
+            run -= take
+        at = end
+    own = code_lengths([float(sum(s == k for s, _, _ in symbols)) for k in range(19)], 7)
+    if sum(map(bool, own)) < 2:
+        own[0 if own[0] == 0 else 1] = own[[i for i, x in enumerate(own) if x or symbols[0][0] == i][0]] = 1
+    codes = codes_of(own)
+    n = max(4, max(k for k, s in enumerate(_LENGTH_ORDER) if own[s]) + 1)
+    out = [_field(0, 1), _field(n - 4, 4), *[_field(own[s], 3) for s in _LENGTH_ORDER[:n]], _field(0, 1)]
+    for s, extra, wide in symbols:
+        out += [_field(int(codes[s]), own[s]), _field(extra, wide)]
+    return out
+
+
+#: Bytes from frequent to rare in texts of Latin letters.
+RANKED = b" etaonirsldhcumpgfbywv.k,\nETAxjqzINSOHRLDCUMPGFBYWVKXJQZ0123456789-'\"!?:;()/|&%$*@#=_+<>[]{}~^`\\\t\r"
+LITERALS, SHORTEST, LONGEST, FURTHEST = 256, 8, 4096, (1 << 20) - 121
+
+
+def rankings() -> list[list[float]]:
+    """Weights of the 280 green symbols: Latin text, other text (bytes from 128 on first), and differences of neighbours."""
+    latin = [*RANKED, *(b for b in range(128, 256)), *(b for b in range(128) if b not in RANKED)]
+    other = [*range(128, 192), 32, *range(192, 256), *(b for b in latin if b < 128 and b != 32)]
+    steps = sorted(range(256), key=lambda d: (min(d, 256 - d), d))
+    out = []
+    for order, slope in ((latin, 1.35), (other, 0.9), (steps, 1.8)):
+        weights = [0.0] * 280
+        for rank, b in enumerate(order):
+            weights[b] = (rank + 4) ** -slope
+        total = sum(weights)
+        for k in range(24):
+            weights[LITERALS + k] = total * (0.02 if 4 <= k <= 9 else 0.002)
+        out.append(weights)
+    return out
+
+
+class Coder:
+    """The fixed codes of pack(): three for samples, one for distances, with the bits of their headers."""
+
+    def __init__(self):
+        lengths = [code_lengths(w) for w in rankings()]
+        distance = code_lengths([0.2 if k < 12 else 1.0 + k / 20 for k in range(40)])
+        self.size = np.array(lengths, np.int32)
+        self.code = np.array([codes_of(n) for n in lengths], np.uint32)
+        self.d_size, self.d_code = np.array(distance, np.int32), codes_of(distance)
+        tail = [*_lone(0), *_lone(0), *_lone(255), *written_code(distance)]
+        plain = [_field(0, 1), _field(0, 1), _field(0, 1)]  # no more transforms, no cache, one group
+        self.head = [np.concatenate([*plain, *written_code(n), *tail]) for n in lengths[:2]]
+        # the left predictor in blocks of the largest size, named by one lone green symbol
+        predict = [_field(1, 1), _field(PREDICTOR, 2), _field(7, 3), _field(0, 1), *_lone(1), *_lone(0), *_lone(0), *_lone(0), *_lone(0)]
+        zero = [*_lone(0), *_lone(0), *_lone(0), *written_code(distance)]
+        self.head.append(np.concatenate([*predict, *plain, *written_code(lengths[2]), *zero]))
+
+    def cost(self, samples: np.ndarray, steps: np.ndarray) -> list[int]:
+        counts, moves = np.bincount(samples, minlength=256), np.bincount(steps, minlength=256)
+        return [int(self.size[0, :256] @ counts), int(self.size[1, :256] @ counts), int(self.size[2, :256] @ moves)]
+
+
+@lru_cache(maxsize=1)
+def coder() -> Coder:
+    return Coder()
+
+
+def references(samples: np.ndarray) -> list[tuple[int, int, int]]:
+    """(start, length, distance) of repeats of SHORTEST samples or more, from left to right without overlap. A sample's
+    partner is the last place before it at which the next SHORTEST samples are the same."""
+    n = len(samples) - SHORTEST + 1
+    if n < 2:
+        return []
+    ahead = np.ndarray((n,), "<u8", samples.tobytes(), strides=(1,))
+    order = np.argsort(ahead, kind="stable")
+    same = np.flatnonzero(ahead[order[1:]] == ahead[order[:-1]])
+    distance = np.zeros(n, np.int64)
+    distance[order[same + 1]] = order[same + 1] - order[same]
+    distance[distance > FURTHEST] = 0
+    here = np.flatnonzero(distance)
+    if not len(here):
+        return []
+    far = distance[here]
+    begin = np.flatnonzero(np.concatenate([[True], (np.diff(here) != 1) | (np.diff(far) != 0)]))
+    out, covered = [], 0
+    lengths = np.diff(np.append(begin, len(here))) + SHORTEST - 1
+    for start, length, d in zip(here[begin].tolist(), lengths.tolist(), far[begin].tolist(), strict=True):
+        if start < covered:
+            start, length = covered, length - covered + start
+        while length >= SHORTEST:
+            take = min(length, LONGEST)
+            out.append((start, take, d))
+            start, length, covered = start + take, length - take, start + take
+    return out
+
+
+def prefixed(value: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Prefix symbol, extra bits and their number of lengths and distances."""
+    v = value - 1
+    high = np.frexp(np.maximum(v, 1).astype(np.float64))[1] - 1
+    small = v < 4
+    extra = np.where(small, 0, high - 1)
+    return np.where(small, v, 2 * high + (v >> np.maximum(high - 1, 0) & 1)), v & (1 << extra) - 1, extra
+
+
+def coded(samples: np.ndarray, which: int) -> np.ndarray:
+    """The bits of samples in a fixed code, with references."""
+    own = coder()
+    found = references(samples)
+    fields = np.ones(len(samples), np.int64)
+    if found:
+        start, length, distance = np.array(found, np.int64).T
+        inside = np.zeros(len(samples) + 1, np.int64)
+        np.add.at(inside, start, 1)
+        np.add.at(inside, start + length, -1)
+        fields[np.cumsum(inside[:-1]) > 0] = 0
+        fields[start] = 4
+    first = np.cumsum(fields) - fields
+    total = int(fields.sum())
+    value, size = np.zeros(total, np.uint32), np.zeros(total, np.int32)
+    alone = np.flatnonzero(fields == 1)
+    value[first[alone]], size[first[alone]] = own.code[which][samples[alone]], own.size[which][samples[alone]]
+    if found:
+        at = first[start]
+        for k, (numbers, codes, sizes, base) in enumerate(((length, own.code[which], own.size[which], LITERALS), (distance + 120, own.d_code, own.d_size, 0))):
+            symbol, extra, wide = prefixed(numbers)
+            value[at + 2 * k], size[at + 2 * k] = codes[symbol + base], sizes[symbol + base]
+            value[at + 2 * k + 1], size[at + 2 * k + 1] = extra, wide
+    ends = np.cumsum(size)
+    place = np.arange(int(ends[-1]), dtype=np.uint32) - np.repeat((ends - size).astype(np.uint32), size)
+    return (np.repeat(value, size) >> place & np.uint32(1)).astype(np.uint8)
+
+
 _BITS_OF = {n: np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1)[: 1 << n, 8 - n :].copy() for n in range(1, 9)}
+#: Images with at most so many values have a palette.
+FEW = 4
 
 
 def pack(payload: bytes) -> bytes:
@@ -346,30 +646,41 @@ def pack(payload: bytes) -> bytes:
     rows = -(-len(samples) // 64)
     width = 64 * max(1, -(-rows // SIDE))
     height = max(1, -(-len(samples) // width))
-    here = np.bincount(samples, minlength=256) > 0
     if height * width > len(samples):
         samples = np.concatenate([samples, np.full(height * width - len(samples), samples[-1] if len(samples) else 0, np.uint8)])
-        here[samples[-1]] = True
-    colours = np.flatnonzero(here)
+    head = [_field(0x2F, 8), _field(width - 1, 14), _field(height - 1, 14), _field(0, 4)]
+    colours = np.flatnonzero(np.bincount(samples, minlength=256))
+    if len(colours) <= FEW:
+        body = _with_palette(samples, colours)
+    else:
+        grid = samples.reshape(height, width)
+        steps = np.diff(grid, axis=1, prepend=np.concatenate([[np.uint8(0)], grid[:-1, 0]])[:, None]).ravel()
+        cost = coder().cost(samples, steps)
+        which = cost.index(min(cost))
+        body = [coder().head[which], coded(steps if which == 2 else samples, which)]
+    stream = np.packbits(np.concatenate([*head, *body]), bitorder="little").tobytes()
+    pad = b"\0" * (len(stream) & 1)
+    chunk = b"".join([b"WEBPVP8L", len(stream).to_bytes(4, "little"), stream, pad, b"LENG", (8).to_bytes(4, "little"), len(payload).to_bytes(8, "little")])
+    return b"RIFF" + len(chunk).to_bytes(4, "little") + chunk
+
+
+def _with_palette(samples: np.ndarray, colours: np.ndarray) -> list[np.ndarray]:
+    """The palette, and its indices bundled to pixels."""
     n = len(colours)
-    index = (np.cumsum(here) - 1).astype(np.uint8)[samples]
-    pack_bits = 3 if n <= 2 else 2 if n <= 4 else 1 if n <= 16 else 0
-    if pack_bits:
-        each = 8 >> pack_bits
-        index = (index.reshape(-1, 1 << pack_bits) << (np.arange(1 << pack_bits, dtype=np.uint8) * each)).sum(1, dtype=np.uint8)
-    length = 8 if pack_bits else max(1, int(n - 1).bit_length())
+    place = np.zeros(256, np.uint8)
+    place[colours] = np.arange(n)
+    pack_bits = 3 if n <= 2 else 2 if n <= 4 else 1
+    each = 8 >> pack_bits
+    index = (place[samples].reshape(-1, 1 << pack_bits) << (np.arange(1 << pack_bits, dtype=np.uint8) * each)).sum(1, dtype=np.uint8)
     head = [
-        _field(0x2F, 8), _field(width - 1, 14), _field(height - 1, 14), _field(0, 4), _field(1, 1), _field(PALETTE, 2), _field(n - 1, 8),
+        _field(1, 1), _field(PALETTE, 2), _field(n - 1, 8),
         # the palette: green steps in a code of 8 bits, alpha 255 once and then 0
         _field(0, 1), *_equal_code(8, 280), *_lone(0), *_lone(0), _field(0b111, 3), _field(0, 8), _field(255, 8), _field(0b001, 3), _field(0, 1),
     ]
     steps = np.diff(colours, prepend=0)
     palette = np.concatenate([_BITS_OF[8][steps], np.array([[1]] + [[0]] * (n - 1), np.uint8)], axis=1).ravel()
-    main = [_field(0, 1), _field(0, 1), _field(0, 1), *_equal_code(length, 280), *_lone(0), *_lone(0), *_lone(255), _field(0b001, 3), _field(0, 1)]
-    stream = np.packbits(np.concatenate([*head, palette, *main, _BITS_OF[length][index].ravel()]), bitorder="little").tobytes()
-    pad = b"\0" * (len(stream) & 1)
-    body = b"".join([b"WEBPVP8L", len(stream).to_bytes(4, "little"), stream, pad, b"LENG", (8).to_bytes(4, "little"), len(payload).to_bytes(8, "little")])
-    return b"RIFF" + len(body).to_bytes(4, "little") + body
+    main = [_field(0, 1), _field(0, 1), _field(0, 1), *_equal_code(8, 280), *_lone(0), *_lone(0), *_lone(255), _field(0b001, 3), _field(0, 1)]
+    return [*head, palette, *main, _BITS_OF[8][index].ravel()]
 
 
 LARGEST = 1 << 28

@@ -1,8 +1,10 @@
 """Chat templates, personal data, quality and WebP."""
 
+import math
 import os
 import random
 import re
+import zlib
 from collections import Counter
 from hashlib import sha256
 
@@ -498,13 +500,59 @@ def test_store_is_lossless():
         assert restore(store(x)) == x
 
 
+SAMPLES = [b"the quick brown fox jumps " * 90, "añoüé 日本語 и так".encode() * 60, bytes(i * 3 % 256 for i in range(9999)), b"abcdefgh" + b"z" * 9000 + b"abcdefgh", bytes(range(256)) * 9, b"-".join(str(i * i).encode() for i in range(4000))]
+
+
+def test_stored_images_use_references_and_predictor_and_shrink():
+    from factloom.llm import webp
+
+    kinds = {k: [] for k in ("references", "left", "palette")}
+    for x in [*SAMPLES, b"ab" * 400]:
+        samples = np.frombuffer(x, np.uint8)
+        kinds["references"].append(bool(webp.references(samples)))
+        stream = dict((n, c) for n, c, _ in webp.chunks(store(x)))[b"VP8L"]
+        bits = Bits(stream)
+        bits.read(40)
+        kind = bits.read(2) if bits.read(1) else None
+        kinds["left"].append(kind == webp.PREDICTOR)
+        kinds["palette"].append(kind == webp.PALETTE)
+        assert restore(store(x)) == x and len(store(x)) < len(x)
+    assert all(any(v) for v in kinds.values())
+
+
+def test_walking_and_looping_decoders_agree(monkeypatch):
+    from factloom.llm import webp
+
+    rng = random.Random(7)
+    noisy = [bytes(rng.choice(b"etaoin shrdlu\n") if rng.random() < 0.95 else rng.randrange(256) for _ in range(rng.randint(1, 3000))) for _ in range(20)]
+    stored = [store(x) for x in [*SAMPLES, *noisy]]
+    walked = [decode(m) for m in stored]
+    monkeypatch.setattr(webp, "WINDOW", 7)
+    assert all((decode(m) == w).all() for m, w in zip(stored[5:12], walked[5:12], strict=True))
+    monkeypatch.setattr(webp, "_read_green", lambda bits, group, n, width: webp._read_any(bits, [group], None, 0, 0, n, width))
+    assert all((decode(m) == w).all() for m, w in zip(stored, walked, strict=True))
+    assert [restore(m) for m in stored] == [*SAMPLES, *noisy]
+
+
+def test_lengths_and_distances_have_their_prefixes():
+    from factloom.llm.webp import _count, prefixed
+
+    values = np.array([*range(1, 300), 4096, 4097, 1 << 19, (1 << 20) - 1])
+    for v, symbol, extra, wide in zip(values.tolist(), *(x.tolist() for x in prefixed(values)), strict=True):
+        assert _count(Bits(extra.to_bytes(5, "little")), symbol) == v and extra < 1 << wide
+
+
 def test_op9(odd, none):
     got = op9_webp(odd).collect()
     want = Counter()
     for r in odd.collect():
         raw = (r.text or "").encode()
         payload = raw + b"\0" * (-len(raw) % 64 if raw else 64)
-        want[r.doc_id, len(raw), len(payload), sha256(payload).hexdigest()] += 1
-    assert Counter((r.doc_id, r.n_bytes, r.payload_bytes, r.payload_sha256) for r in got) == want
+        media = store(payload)
+        p = Counter(payload)
+        bits = sum(n * math.log2(len(payload) / n) for n in p.values()) / len(payload)
+        shape = f"64x{len(payload) // 64};mean={sum(payload) * 1000 // len(payload)};distinct={len(p)};entropy={round(bits * 1000)}"
+        want[r.doc_id, len(raw), len(payload), sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), len(media), sha256(media).hexdigest(), shape] += 1
+    assert Counter((r.doc_id, r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32, r.media_bytes, r.media_sha256, r.feature) for r in got) == want
     assert len({(r.payload_sha256, r.media_sha256, r.feature) for r in got}) == len({r.payload_sha256 for r in got})
     assert op9_webp(none).count() == 0
