@@ -112,6 +112,47 @@ def plan(counts: dict[int, int], capacity: int) -> tuple[np.ndarray, int]:
     return np.array(sorted(out), np.int64).reshape(-1, 4), sequences
 
 
+def plan_in_jobs(counts: DataFrame, capacity: int, most: int | None = None) -> DataFrame:
+    """The same plan with every superstep as Spark jobs: gaps stand range-sorted in a table, a window sums up their slots from
+    the successor of the length upwards, pieces fill them by rank, and the table of gaps is written anew. Returns the rank
+    intervals (length, rank, sequence, offset). counts(length, n); most: supersteps to run (all if None).
+
+    A superstep takes a length, so there are as many as there are lengths, up to `capacity`; README has the time that they
+    take, which is why op3_best_fit() runs plan()."""
+    spark = counts.sparkSession
+    ddl = "room long, first long, n long"
+    gaps, intervals, sequences = spark.createDataFrame([], ddl), None, 0
+    upwards = Window.orderBy("room", "nth").rowsBetween(Window.unboundedPreceding, -1)
+    gaps = gaps.withColumn("nth", F.lit(0).cast("long"))
+    for step, (length, pieces_) in enumerate(sorted(((r.length, r.n) for r in counts.collect()), reverse=True)[:most]):  # capacity rows at most
+        each = F.floor(F.col("room") / length)
+        fit = gaps.where(F.col("room") >= length).withColumn("each", each).withColumn("before", F.coalesce(F.sum(each * F.col("n")).over(upwards), F.lit(0)))
+        left = pieces_ - (gaps.where(F.col("room") >= length).agg(F.sum(each * F.col("n"))).first()[0] or 0)
+        if left > 0:
+            new = -(-left // (capacity // length))
+            fresh = spark.createDataFrame([(capacity, sequences, new, 0, capacity // length, pieces_ - left)], "room long, first long, n long, nth long, each long, before long")
+            fit, sequences = fit.unionByName(fresh), sequences + new
+        used = fit.where(F.col("before") < pieces_).withColumn("take", F.least(F.col("each") * F.col("n"), F.lit(pieces_) - F.col("before")))
+        used = written(used.withColumns({"full": F.floor(F.col("take") / F.col("each")), "rest": F.col("take") % F.col("each")}), "sweep")
+        row = lambda rank, first, i: F.struct(F.lit(length).cast("long").alias("length"), rank.cast("long").alias("rank"), first.cast("long").alias("sequence"), (capacity - F.col("room") + i * length).cast("long").alias("offset"))  # noqa: B023, E731
+        slots = lambda n, make: F.transform(F.filter(F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0)).cast("int")), lambda i: i < n), make)
+        whole = slots(F.when(F.col("full") > 0, F.col("each")).otherwise(0), lambda i: row(F.col("before") + i * F.col("full"), F.col("first"), i))
+        part = slots(F.col("rest"), lambda i: row(F.col("before") + F.col("each") * F.col("full") + i, F.col("first") + F.col("full"), i))
+        found = used.select(F.explode(F.concat(whole, part)).alias("x")).select("x.*")
+        intervals = found if intervals is None else intervals.unionByName(found)
+        touched = F.col("full") + (F.col("rest") > 0).cast("long")
+        order = F.lit(step + 1).cast("long") * (1 << 40)  # within a room, runs stand in the order in which they came
+        gap = lambda room, first, n, nth: F.struct(room.cast("long").alias("room"), first.cast("long").alias("first"), n.cast("long").alias("n"), nth.cast("long").alias("nth"))
+        after = used.select(F.explode(F.array(
+            gap(F.col("room") - F.col("each") * length, F.col("first"), F.col("full"), order + F.col("before") * 2),
+            gap(F.col("room") - F.col("rest") * length, F.col("first") + F.col("full"), (F.col("rest") > 0).cast("long"), order + F.col("before") * 2 + 1),
+            gap(F.col("room"), F.col("first") + touched, F.when(F.col("room") < capacity, F.col("n") - touched).otherwise(0), F.col("nth")),
+        )).alias("g")).select("g.*")
+        gone = used.select("room", "nth")
+        gaps = written(gaps.join(gone, ["room", "nth"], "left_anti").select("room", "first", "n", "nth").unionByName(after).where("room > 0 and n > 0"), "gaps")
+    return intervals
+
+
 def op3_best_fit(docs: DataFrame, tokenizer: str, capacity: int = 2048) -> DataFrame:
     """Every piece of docs(doc_id, text) with its sequence and its offset there."""
     spark = docs.sparkSession

@@ -207,7 +207,11 @@ def op8_quality(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> D
 
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> DataFrame:
     """The rows of docs that the classifier doesn't reject, with their columns. The text is read once more for the scores of
-    the rows that stay, rather than joined back."""
+    the rows that stay, rather than joined back.
+
+    Cases: null texts are scored as empty and stay null; rows without id, repeated rows and rows with equal ids are each
+    scored by their own text; without labels every score is 0.5 and all rows stay; an empty table stays empty; other columns
+    may have any names."""
     x = written(feature_rows(docs), "features")
     held = docs.sparkSession.sparkContext.broadcast(train(x, labels))
 

@@ -13,7 +13,7 @@ import pytest
 
 from factloom.llm.chat_template import TemplateError, compile_template, escape, fold_nodes, op2_chat_format, parse, render, unescape
 from factloom.llm.personal_data import all_spans, base_spans, emails, labelled_rows, luhn, masked, op10_personal_data, RandomField, redact, trained
-from factloom.llm.quality_gam import features, fit, op8_quality
+from factloom.llm.quality_gam import features, fit, keep_good, op8_quality
 from factloom.llm.webp import Bits, decode, op9_webp, pack, restore, store
 
 
@@ -224,6 +224,54 @@ def test_op8(spark, odd, none, docs):
     assert {r.score for r in op8_quality(odd, labels.limit(0)).collect()} == {0.5}
 
 
+def auc(pairs):
+    ranked = sorted(pairs)
+    ranks, i = {}, 0
+    while i < len(ranked):
+        j = i
+        while j < len(ranked) and ranked[j][0] == ranked[i][0]:
+            j += 1
+        ranks[ranked[i][0]] = (i + j + 1) / 2
+        i = j
+    good = [ranks[s] for s, y in pairs if y]
+    return (sum(good) - len(good) * (len(good) + 1) / 2) / (len(good) * (len(pairs) - len(good)))
+
+
+def test_quality_of_held_out_rows(spark):
+    """Ranking, recall of both classes and calibration where no label was seen, and every score added up by hand."""
+    from bisect import bisect_right
+    from math import exp
+
+    from factloom.llm.quality_gam import feature_rows, train
+
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
+    rows = op8_quality(docs, labels).collect()
+    truth = {r.doc_id: r.quality for r in labels.collect()}
+    held = [(r.score, truth[r.doc_id]) for r in rows if r.held_out and r.doc_id in truth]
+    assert len(held) > 500 and auc(held) > 0.95
+    for label in (0, 1):
+        own = [(s >= 0.3) == bool(y) for s, y in held if y == label]
+        assert sum(own) / len(own) > 0.85, label
+    low, high = [[y for s, y in held if inside(s)] for inside in (lambda s: s < 0.2, lambda s: s > 0.8)]
+    assert sum(low) / len(low) < 0.2 and sum(high) / len(high) > 0.9
+    model, text = train(feature_rows(docs), labels), {r.doc_id: r.text or "" for r in docs.limit(300).collect()}
+    for r in rows:
+        if r.doc_id in text:
+            x = features(text[r.doc_id])
+            at = [bisect_right(e.tolist(), v) for e, v in zip(model.edges, x, strict=True)]
+            total = model.base + sum(t[i] for t, i in zip(model.tables, at, strict=True)) + sum(t[at[f], at[g]] for f, g, t in model.pairs)
+            assert abs(1 / (1 + exp(-total)) - r.score) < 1e-9
+
+
+def test_keep_good_keeps_odd_rows(spark, odd, none):
+    labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
+    score = {(r.doc_id, r.predicted) for r in op8_quality(odd, labels).collect()}
+    kept = keep_good(odd, labels)
+    assert kept.columns == odd.columns and {r.doc_id for r in kept.collect()} <= {i for i, p in score if p}
+    assert keep_good(none, labels).columns == none.columns and keep_good(none, labels).count() == 0
+    assert keep_good(odd, labels.limit(0)).count() == odd.count()
+
+
 def test_additive_model_learns_an_interaction():
     rng = np.random.default_rng(1)
     x = rng.random((4000, 2))

@@ -8,7 +8,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from factloom.llm.best_fit import op3_best_fit, plan
+from factloom.llm.best_fit import op3_best_fit, plan, plan_in_jobs
 from factloom.llm.memo_encode import MemoEncoder
 from factloom.llm.piece_sampling import Lattice, op7_piece_sampling
 from factloom.llm.token_shards import PerfectHash, key_hash, mix, op4_token_shards
@@ -90,6 +90,22 @@ def best_fit_decreasing(lengths, capacity):
     return len(rooms), sorted(rooms)
 
 
+def test_plan_in_jobs_is_the_plan(spark):
+    rng = random.Random(3)
+    counts = {k: rng.randint(1, 9) for k in (1, 3, 5, 7, 11)}
+
+    def places(intervals):
+        out = {}
+        for length in counts:
+            own = sorted(x[1:] for x in intervals if x[0] == length)
+            for (rank, sequence, offset), end in zip(own, [x[0] for x in own[1:]] + [counts[length]], strict=True):
+                out.update({(length, r): (sequence + r - rank, offset) for r in range(rank, end)})
+        return out
+
+    jobs = plan_in_jobs(spark.createDataFrame(list(counts.items()), "length int, n long"), 12)
+    assert places([tuple(r) for r in jobs.collect()]) == places([tuple(x) for x in plan(counts, 12)[0].tolist()])
+
+
 def test_plan_is_best_fit_decreasing():
     rng = random.Random(4)
     for _ in range(60):
