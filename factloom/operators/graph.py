@@ -234,6 +234,13 @@ def in_context(edges: DataFrame, seeds: DataFrame, depth: int) -> DataFrame:
     return found.select("node.ctx", "node.node", "depth")
 
 
+def propagate_in_context(seeds: DataFrame, edges: DataFrame) -> DataFrame:
+    """(ctx, node, fact): propagate() within each calling context. seeds(ctx, node, fact), edges(ctx, src, dst)."""
+    at = lambda c: F.struct(F.col("ctx"), F.col(c).alias("node"))
+    found = propagate(seeds.select(at("node").alias("node"), "fact"), edges.select(at("src").alias("src"), at("dst").alias("dst")))
+    return found.select("node.ctx", "node.node", "fact")
+
+
 def function_summaries(edges: DataFrame, params: DataFrame, returns: DataFrame) -> DataFrame:
     """(func, param, returned): which parameters of params(func, node) flow to which of returns(func, node) along
     edges(func, src, dst), each function by itself."""

@@ -23,6 +23,26 @@ def merge(*sets: DataFrame) -> DataFrame:
     return last_wins(keyed, "__key", "__order").orderBy("__set", "__row").drop("__key", "__order", "__set", "__row")
 
 
+def pack(*sets: DataFrame) -> DataFrame:
+    """Rule packs (id, ...) side by side; an id in two of them, or twice in one, is an error."""
+    out = sets[0]
+    for s in sets[1:]:
+        out = out.unionByName(s)
+    twice = out.groupBy("id").count().where("count > 1").select("id").limit(5).collect()
+    if twice:
+        raise ValueError(f"rule ids repeat: {sorted(r.id for r in twice)}")
+    return out
+
+
+def curated(rules: DataFrame, proxies: list[str], languages: list[str]) -> DataFrame:
+    """rules(id, cwe, languages) without those whose weaknesses are all among `proxies`, which better rules stand for, and each
+    without the languages given; a rule that has no language left goes too."""
+    arrays = lambda xs: F.array(*map(F.lit, xs)).cast("array<string>")
+    stand_in = (F.size("cwe") > 0) & (F.size(F.array_except("cwe", arrays(proxies))) == 0)
+    left = rules.where(~F.coalesce(stand_in, F.lit(False))).withColumn("languages", F.array_except("languages", arrays(languages)))
+    return left.where(F.size("languages") > 0)
+
+
 def retain(rules: DataFrame, needs: DataFrame, wanted: list[str]) -> DataFrame:
     """The wanted rules and all that they need (needs(id, needed)), directly or through others; unknown ids are an error."""
     spark = rules.sparkSession

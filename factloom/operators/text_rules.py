@@ -111,6 +111,13 @@ def java_imports(files: DataFrame, packages: DataFrame) -> DataFrame:
     return names.join(F.broadcast(packages), F.regexp_like("name", "pattern")).select("path", "rule_id", "name")
 
 
+def xpath_matches(trees: DataFrame, rules: list[tuple[str, str]]) -> DataFrame:
+    """(tree, rule_id, n): how many nodes of trees(tree, xml), syntax trees as XML, an XPath of rules(id, path) finds; only where
+    it finds some. All rules look at a tree while it is at hand."""
+    counts = F.array(*(F.struct(F.lit(i).alias("rule_id"), F.xpath_int("xml", F.lit(f"count({p})")).alias("n")) for i, p in rules))
+    return trees.select("tree", F.explode(F.filter(counts, lambda c: c["n"] > 0)).alias("c")).select("tree", "c.rule_id", "c.n")
+
+
 def rules_frame(spark: SparkSession, rules: list[dict]) -> DataFrame:
     """Checked rules; equal ids are an error."""
     names = [f.split()[0] for f in RULE_DDL.split(", ")]

@@ -55,6 +55,13 @@ def sarif(findings: DataFrame, tool: str = "factloom") -> DataFrame:
     return frame.unionByName(body).orderBy(*order).select("value")
 
 
+def system_graph_json(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(what, value): each node(id, kind, name, attrs) and each edge(src, dst, kind, confidence, evidence) of a service graph as
+    a JSON object, one a row."""
+    n = nodes.select(F.lit("node").alias("what"), F.to_json(F.struct("id", "kind", "name", "attrs")).alias("value"))
+    return n.unionByName(edges.select(F.lit("edge").alias("what"), F.to_json(F.struct("src", "dst", "kind", "confidence", "evidence")).alias("value")))
+
+
 def dot(nodes: DataFrame, edges: DataFrame, highlighted: DataFrame | None = None) -> DataFrame:
     """Lines of a DOT graph of nodes(id, label) and edges(src, dst, kind), in order; edges on findings' ways are red."""
     quote = lambda c: F.concat(F.lit('"'), F.replace(c.cast("string"), F.lit('"'), F.lit('\\"')), F.lit('"'))

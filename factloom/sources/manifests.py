@@ -285,6 +285,24 @@ def by_language(files: DataFrame, languages: list[str] | None = None, vendored:
     return out if vendored else out.where(~F.col("path").rlike(VENDORED))
 
 
+#: Names of configuration files that rules look at, and endings of archives and compiled code.
+CONFIG = r"(^|/)(web\.xml|struts[^/]*\.xml|AndroidManifest\.xml|application[^/]*\.(properties|ya?ml)|Dockerfile|docker-compose[^/]*\.ya?ml|\.env|nginx\.conf)$"
+PACKED = r"\.(zip|jar|war|ear|apk|aar|whl|egg|tar|tgz|tar\.(gz|bz2|xz|zst)|gz|bz2|xz|7z|deb|rpm|iso|class|dex|dll|exe|pyc|wasm)$"
+
+
+def auxiliary(files: DataFrame) -> DataFrame:
+    """files(path, ...) that are configuration ("config") or archives and compiled code ("packed"), with what they are."""
+    what = F.when(F.col("path").rlike(CONFIG), "config").when(F.lower("path").rlike(PACKED), "packed")
+    return files.withColumn("what", what).where("what is not null")
+
+
+def bumped(lines: DataFrame) -> DataFrame:
+    """lines(line, name, version, fix) of manifests with the version replaced by the fix where the line names the package and
+    the version; other lines stay."""
+    here = F.contains("line", "name") & F.contains("line", "version") & F.col("fix").isNotNull()
+    return lines.withColumn("line", F.when(here, F.replace("line", "version", "fix")).otherwise(F.col("line")))
+
+
 def source_files(spark: SparkSession, path: str, languages: list[str] | None = None, vendored: bool = False) -> DataFrame:
     """(language, path, content, sha256) of the source files below a folder, by their ending."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
