@@ -130,31 +130,20 @@ def shortest_dep_path(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-WITH RECURSIVE l AS (SELECT DISTINCT l_orderkey AS o, l_partkey AS p FROM lineitem WHERE l_quantity = 50 AND l_returnflag = 'A'),
-pair AS (SELECT DISTINCT a.o AS x, b.o AS y FROM l a JOIN l b USING (p)),
-r(node, root) AS (SELECT o, o FROM l UNION SELECT y, root FROM r JOIN pair ON x = node)
-SELECT node, min(root) AS root FROM r GROUP BY node
+WITH RECURSIVE e AS (SELECT DISTINCT l_orderkey AS o, l_partkey AS p FROM lineitem),
+c(node, root) USING KEY (node) AS (SELECT o, o FROM e GROUP BY o UNION
+SELECT x.node, x.root FROM (SELECT b.o AS node, min(c.root) AS root FROM c JOIN e a ON a.o = c.node JOIN e b ON b.p = a.p GROUP BY b.o) x JOIN recurring.c AS r ON r.node = x.node WHERE x.root < r.root)
+SELECT node, root FROM c
 """)
 def components_alias_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Orders that share parts, as aliases that share ids. Ids stand as nodes of their own, so no pairs are made."""
-    return orders_by_parts(table(spark, sf_dir, "lineitem").where("l_quantity = 50 and l_returnflag = 'A'"))
-
-
-def orders_by_parts(lines: DataFrame) -> DataFrame:
-    """(node, root): the smallest order of each component of orders and their parts."""
-    edges = lines.select(F.col("l_orderkey").alias("src"), (-1 - F.col("l_partkey")).alias("dst"))
+    """(node, root): the smallest order of each component of orders that share parts, as aliases share ids. Ids stand as nodes
+    of their own, so no pairs are made."""
+    edges = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("src"), (-1 - F.col("l_partkey")).alias("dst"))
     parts = graph.components(edges)  # a part's number is negative: smaller than any order's
     smallest = parts.where("node >= 0").groupBy("root").agg(F.min("node").alias("first"))
     return parts.where("node >= 0").join(smallest, "root").select("node", F.col("first").alias("root"))
 
 
-@query()
-def components_alias_merge_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All orders that share parts. The SQL of components_alias_merge builds all pairs and is for a slice only;
-    tests/test_whole_tables.py holds this against brute force."""
-    return orders_by_parts(table(spark, sf_dir, "lineitem"))
-
-
 @query("""
 WITH e AS (SELECT 'c' || o_custkey AS src, 'o' || o_orderkey AS dst FROM orders UNION ALL SELECT 'o' || l_orderkey, 'p' || l_partkey FROM lineitem UNION ALL SELECT 'p' || l_partkey, 's' || l_suppkey FROM lineitem),
 n AS (SELECT src AS node FROM e UNION SELECT dst FROM e)

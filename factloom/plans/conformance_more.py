@@ -6,44 +6,13 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from factloom.operators import graph, matching, rows, taint
-from factloom.plans.conformance import EDGES_SQL, ORACLES, SINKS_SQL, query, trade_edges, trade_ends
+from factloom.plans.conformance import EDGES_SQL, ORACLES, SINKS_SQL, SOURCES_SQL, query, trade_edges, trade_ends
 from factloom.session import table, written
 
 
-def hop_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """From the user of an expensive error to the user of the next one, where the next id is not smaller by more than 40."""
-    after = F.lead("user_id").over(Window.partitionBy("event_type").orderBy("event_id"))
-    hops = table(spark, sf_dir, "events").where("event_type = 'error' and value > 120").select(F.col("user_id").alias("src"), after.alias("dst"))
-    return hops.where("dst is not null and dst > src - 40").distinct()
-
-
-_HOPS_SQL = "h AS (SELECT user_id AS src, lead(user_id) OVER (ORDER BY event_id) AS dst FROM events WHERE event_type = 'error' AND value > 120), e AS (SELECT DISTINCT src, dst FROM h WHERE dst IS NOT NULL AND dst > src - 40)"
-
-
-@query(f"""
-WITH RECURSIVE {_HOPS_SQL}, c(x, y) AS (SELECT src, dst FROM e UNION SELECT x, dst FROM c JOIN e ON y = src),
-n AS (SELECT src AS node FROM e UNION SELECT dst FROM e)
-SELECT node, greatest(node, coalesce((SELECT max(c.y) FROM c JOIN c d ON d.x = c.y AND d.y = c.x WHERE c.x = node), node)) AS root FROM n
-""")
-def strong_components(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Strongly connected components of a graph with cycles, named by their largest node."""
-    return graph.strong_components(hop_edges(spark, sf_dir))
-
-
-@query(f"""
-WITH RECURSIVE {_HOPS_SQL}, c(x, y) AS (SELECT src, dst FROM e UNION SELECT x, dst FROM c JOIN e ON y = src),
-n AS (SELECT src AS node FROM e UNION SELECT dst FROM e),
-s AS (SELECT node, greatest(node, coalesce((SELECT max(c.y) FROM c JOIN c d ON d.x = c.y AND d.y = c.x WHERE c.x = node), node)) AS root FROM n),
-g AS (SELECT DISTINCT a.root AS src, b.root AS dst FROM e JOIN s a ON a.node = e.src JOIN s b ON b.node = e.dst WHERE a.root <> b.root),
-r(node, depth) AS (SELECT DISTINCT root, 0 FROM s WHERE node IN (SELECT user_id FROM events WHERE event_type = 'signup' AND value > 300) UNION SELECT g.dst, depth + 1 FROM r JOIN g ON g.src = r.node WHERE depth < 3)
-SELECT s.node, min(depth) AS depth FROM r JOIN s ON s.root = r.node GROUP BY s.node
-""")
-def reach_condensed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Reachability whose depth counts strongly connected components."""
-    edges = hop_edges(spark, sf_dir)
-    signed = table(spark, sf_dir, "events").where("event_type = 'signup' and value > 300").select(F.col("user_id").alias("node"))
-    starts = edges.select(F.col("src").alias("node")).union(edges.select("dst")).join(signed, "node", "left_semi")
-    return graph.reach_condensed(edges, starts, 3)[0]
+_HOPS_SQL = "h AS (SELECT user_id AS src, lead(user_id) OVER (PARTITION BY event_type ORDER BY event_id, user_id) AS dst FROM events), e AS (SELECT DISTINCT src, dst FROM h WHERE src IS NOT NULL AND dst IS NOT NULL)"
+_ROOTS_SQL = """c(x, y) AS (SELECT src, dst FROM e UNION SELECT x, dst FROM c JOIN e ON y = src), n AS (SELECT src AS node FROM e UNION SELECT dst FROM e), m AS (SELECT a.x, max(a.y) AS y FROM c a JOIN c b ON a.x = b.y AND a.y = b.x GROUP BY a.x),
+s AS (SELECT node, greatest(node, coalesce(y, node)) AS root FROM n LEFT JOIN m ON x = node)"""
 
 
 #: Events whose id falls in one stretch are one task's share of a type's order.
@@ -63,16 +32,26 @@ def all_hops(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hops.select("src", dst.alias("dst")).where("src is not null and dst is not null").distinct()
 
 
-@query()
-def strong_components_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Strongly connected components of the hops of all events. The SQL of strong_components builds all pairs and is for
-    a slice only; tests/test_system.py holds this against brute force."""
+@query(f"WITH RECURSIVE {_HOPS_SQL}, {_ROOTS_SQL} SELECT node, root FROM s")
+def strong_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Strongly connected components of the hops of all events, named by their largest node."""
     return graph.strong_components(all_hops(spark, sf_dir))
 
 
-@query()
-def reach_condensed_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Condensed reachability over the hops of all events, from all users that signed up."""
+@query(f"WITH RECURSIVE {_HOPS_SQL}, {_ROOTS_SQL} SELECT node, root FROM s")
+def strong_components_coloured(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same by colouring, as for graphs that one task can't hold."""
+    return graph.strong_components(all_hops(spark, sf_dir), local=0)
+
+
+@query(f"""
+WITH RECURSIVE {_HOPS_SQL}, {_ROOTS_SQL},
+g AS (SELECT DISTINCT a.root AS src, b.root AS dst FROM e JOIN s a ON a.node = e.src JOIN s b ON b.node = e.dst WHERE a.root <> b.root),
+r(node, depth) AS (SELECT DISTINCT root, 0 FROM s WHERE node IN (SELECT user_id FROM events WHERE event_type = 'signup') UNION SELECT g.dst, depth + 1 FROM r JOIN g ON g.src = r.node WHERE depth < 3)
+SELECT s.node, min(depth) AS depth FROM r JOIN s ON s.root = r.node GROUP BY s.node
+""")
+def reach_condensed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Reachability over the hops of all events whose depth counts strongly connected components, from all users that signed up."""
     edges = written(all_hops(spark, sf_dir), "hops")
     signed = table(spark, sf_dir, "events").where("event_type = 'signup'").select(F.col("user_id").alias("node"))
     starts = edges.select(F.col("src").alias("node")).union(edges.select("dst")).join(signed, "node", "left_semi")
@@ -102,10 +81,20 @@ def reach_backward(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("node", F.col("depth").cast("long").alias("depth"))
 
 
-@query()
+_NUMBER = lambda c: f"(ascii({c}) * 1099511627776 + CAST(substr({c}, 2) AS BIGINT))"
+#: Each source rule is reported once for a sink: from its first source, along the way whose nodes come first.
+WITNESS_SQL = f"""
+WITH {EDGES_SQL.strip()}, s0 AS ({SOURCES_SQL}), k AS ({SINKS_SQL}),
+w AS (SELECT k.node AS sink, a.src AS c, a.dst AS o, b.dst AS p FROM k JOIN e d ON d.dst = k.node JOIN e b ON b.dst = d.src JOIN e a ON a.dst = b.src JOIN s0 ON s0.node = a.src),
+m AS (SELECT sink, min(struct_pack(c := {_NUMBER("c")}, o := {_NUMBER("o")}, p := {_NUMBER("p")})) AS m FROM w GROUP BY sink)
+SELECT 'segment' AS source_rule_id, 'nation' AS sink_rule_id, sink AS location, m.c AS source_node, {_NUMBER("sink")} AS sink_node, m.c || '>' || m.o || '>' || m.p || '>' || {_NUMBER("sink")} AS path, 'complete' AS completeness FROM m
+"""
+
+
+@query(WITNESS_SQL)
 def witness_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Taint findings with their witness paths on the trade graph; the search depends on what was found before, so it has no
-    SQL. tests/test_facts.py holds it against hand-written graphs."""
+    """Taint findings with their witness paths on the trade graph. tests/test_facts.py holds the search, with labels and calls,
+    against hand-written graphs."""
     return witnesses(spark, sf_dir, *trade_ends(spark, sf_dir))
 
 
@@ -157,7 +146,7 @@ def propagate_facts_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.propagate(seeds, trade_edges(spark, sf_dir))
 
 
-@query()
+@query(every_nation("witness_findings"))
 def witness_findings_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Taint findings from all customers of the segment."""
     return witnesses(spark, sf_dir, segment(spark, sf_dir), trade_ends(spark, sf_dir)[1])

@@ -1,4 +1,4 @@
-"""Queries over whole tables that have no SQL, against brute force."""
+"""Queries over whole tables, against brute force."""
 
 from collections import defaultdict
 
@@ -43,19 +43,19 @@ def test_all_hops_and_their_components(spark, hops):
     assert len({r for _, r in want}) > 3 and any(b < a - 40 for a, b in pairs)
     edges = conformance_more.all_hops(spark, d)
     assert {tuple(r) for r in edges.collect()} == pairs
-    for found in (conformance_more.strong_components_all(spark, d), graph.strong_components(edges, 0)):
+    for found in (conformance_more.strong_components(spark, d), graph.strong_components(edges, 0)):
         assert {(r.node, r.root) for r in found.collect()} == want
 
     root, depth, layer = dict(want), {}, {dict(want)[50]}
     for k in range(4):
         depth |= {r: k for r in layer - set(depth)}
         layer = {root[b] for a, b in pairs if root[a] in layer}
-    assert {(r.node, r.depth) for r in conformance_more.reach_condensed_all(spark, d).collect()} == {(n, depth[r]) for n, r in want if r in depth}
+    assert {(r.node, r.depth) for r in conformance_more.reach_condensed(spark, d).collect()} == {(n, depth[r]) for n, r in want if r in depth}
 
 
 def test_all_events_make_hops(spark, sf):
     users = {r.user_id for r in spark.read.parquet(f"{sf}/events.parquet").select("user_id").distinct().collect()}
-    assert {r.node for r in conformance_more.strong_components_all(spark, sf).collect()} == users
+    assert {r.node for r in conformance_more.strong_components(spark, sf).collect()} == users
 
 
 def merged(lines):
@@ -75,10 +75,10 @@ def merged(lines):
 
 
 def test_all_lines_merge_orders(spark, sf, tmp_path):
-    """Several components on a fixture, of lines that the slice leaves out, and the table's own giant one."""
+    """Several components on a fixture, and the table's own giant one."""
     lines = [(1, 10), (2, 10), (2, 11), (5, 11), (3, 12), (9, 12), (9, 13), (4, 14), (0, 0), (7, 0), (8, 1)]
     spark.createDataFrame([(o, p, 7.0, "N") for o, p in lines], "l_orderkey long, l_partkey long, l_quantity double, l_returnflag string").write.parquet(f"{tmp_path}/lineitem.parquet")
-    got = lambda d: {(r.node, r.root) for r in conformance.components_alias_merge_all(spark, d).collect()}
+    got = lambda d: {(r.node, r.root) for r in conformance.components_alias_merge(spark, d).collect()}
     assert got(str(tmp_path)) == merged(lines) and len({r for _, r in merged(lines)}) == 5
     assert got(sf) == merged([tuple(r) for r in spark.read.parquet(f"{sf}/lineitem.parquet").select("l_orderkey", "l_partkey").collect()])
 
