@@ -14,6 +14,8 @@ from dataclasses import dataclass, field, fields
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from factloom.operators.rulesets import literals
+
 MATCHER_DDL = (
     "exact string, contains string, regex string, containing_function_regex string, receiver_type string, receiver_contains string, receiver_regex string, "
     "receiver_parameter int, method_name string, method_contains string, method_regex string, arg_count int, arg_count_min int, arg_count_max int, "
@@ -23,8 +25,9 @@ CALL_DDL = (
     "language string, func_id long, inst int, function_name string, callee_name string, method_name string, receiver_type string, receiver_type_candidates array<string>, "
     "receiver_parameter int, receiver_origin string, arg_count int, arg_types array<string>, arg_type_candidates array<array<string>>"
 )
-#: Rules are broadcast up to so many; more are joined by shuffles.
-BROADCAST_RULES = 100_000
+#: Rules are broadcast if their texts, counted, take at most so many bytes; more are joined by shuffles on their keys, and
+#: those without a key are broadcast in parts.
+BROADCAST_BYTES = 32 << 20
 
 
 @dataclass
@@ -120,15 +123,22 @@ def matches() -> Column:
 
 
 def match_calls(calls: DataFrame, rules: DataFrame) -> DataFrame:
-    """calls x rules(rule_id, ...) that match: two equi joins and one join on the predicate alone for the rules that fix
-    neither the callee nor the method."""
-    hint = F.broadcast if rules.count() <= BROADCAST_RULES else (lambda r: r)
-    by_callee = rules.where("m_exact is not null").withColumn("k", F.col("m_exact"))
-    by_method = rules.where("m_exact is null and m_method_name is not null").withColumn("k", F.col("m_method_name"))
-    rest = rules.where("m_exact is null and m_method_name is null")
+    """calls x rules(rule_id, ...) that match: equi joins on the callee (an exact one, or the few that a pattern can mean) and
+    on the method, and a join on the predicate alone for the rules that fix neither."""
+    spark = calls.sparkSession
+    size = rules.agg(F.sum(F.length(F.to_json(F.struct(*rules.columns))))).first()[0] or 0
+    hint = F.broadcast if size <= BROADCAST_BYTES else (lambda r: r)
+    patterns = [(r.m_regex, t) for r in rules.where("m_exact is null and m_regex is not null").select("m_regex").distinct().collect() for t in literals(r.m_regex) or ()]
+    meant = spark.createDataFrame(patterns, "m_regex string, k string")
+    by_callee = rules.where("m_exact is not null").withColumn("k", F.col("m_exact")).unionByName(rules.where("m_exact is null").join(meant, "m_regex").select(*rules.columns, "k"))
+    others = rules.where("m_exact is null").join(meant.select("m_regex").distinct(), "m_regex", "left_anti").select(*rules.columns)
+    by_method = others.where("m_method_name is not null").withColumn("k", F.col("m_method_name"))
+    rest = others.where("m_method_name is null")
     out = calls.join(hint(by_callee), (calls["callee_name"] == F.col("k")) & matches()).drop("k")
     out = out.unionByName(calls.join(hint(by_method), (calls["method_name"] == F.col("k")) & matches()).drop("k"))
-    out = out.unionByName(calls.join(hint(rest), matches()))
+    parts = max(1, -(-size // BROADCAST_BYTES))
+    for n in range(parts):
+        out = out.unionByName(calls.join(F.broadcast(rest.where(F.pmod(F.xxhash64("rule_id"), F.lit(parts)) == n)), matches()))
     return out.select(*calls.columns, "rule_id")
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import shutil
 import tempfile
 import uuid
 from pathlib import Path
@@ -18,9 +19,17 @@ def session(name: str = "factloom", master: str | None = None) -> SparkSession:
     return (builder.master(master) if master else builder).getOrCreate()
 
 
+_SHIPPED: set[str] = set()
+
+
 def ship(spark: SparkSession) -> None:
-    """Python workers import this package from where the driver found it, unless they were told otherwise."""
-    spark.sparkContext.environment.setdefault("PYTHONPATH", os.pathsep.join(x for x in (REPO, os.environ.get("PYTHONPATH", "")) if x))
+    """Python workers find this package: beside the driver where they share its folders, and on a cluster in an archive that
+    the driver hands out once for each application."""
+    context = spark.sparkContext
+    context.environment.setdefault("PYTHONPATH", os.pathsep.join(x for x in (REPO, os.environ.get("PYTHONPATH", "")) if x))
+    if not context.master.startswith("local") and context.applicationId not in _SHIPPED:
+        _SHIPPED.add(context.applicationId)
+        context.addPyFile(shutil.make_archive(f"{tempfile.mkdtemp(prefix='factloom-')}/factloom", "zip", REPO, "factloom"))
 
 
 def shared_root(spark: SparkSession) -> str:
