@@ -154,12 +154,12 @@ def parse_port(text: str) -> tuple:
     """("arg", 2), ("args", 1, 3), ("args_from", 1), ("named", "x"), ...; raises where the text is no port."""
     m = _PORT.fullmatch(text)
     if not m:
-        raise ValueError(f"invalid port: {text}")
+        raise ValueError(f"{text!r} names no port")
     if m[2] is not None:
         return "args_from", int(m[2])
     if m[3] is not None:
         if int(m[3]) > int(m[4]):
-            raise ValueError(f"invalid descending argument range port: {text}")
+            raise ValueError(f"{text!r} ends before it begins")
         return "args", int(m[3]), int(m[4])
     if m[5] is not None:
         return "arg", int(m[5])
