@@ -8,7 +8,7 @@ A state is the kind of pre-token being read and the merge context: the longest s
 into a token and, for each place in that suffix, the last token of the encoding up to there with its count. The context
 is finite because tokens are, and it decides the next one: of the tokens that end at a place exactly one goes together
 with the encoding before it. States and transitions are determinised when first met and kept in a dense table, which is
-emptied when it reaches its bound.
+emptied when it has reached its bound.
 
 Texts are cut into chunks of equal length that run in lockstep, one numpy gather a step. White space is synchronising:
 whatever state enters, the same one leaves. So a chunk's state map is constant but for the symbols before its first white
@@ -17,8 +17,9 @@ are run again from the state that the scan delivers. Within a long word states c
 chunk without white space is first held to be the constant that the word's start gives; every round of the scan runs all
 chunks again, at once, whose entry turned out otherwise, until no exit changes. That takes a few rounds, not one a chunk.
 
-A text may bring any number of states. When their table reaches its bound, the states that lanes are in are kept, all
-others are forgotten and compiled again where they are met again.
+The table is emptied between batches when it has reached its bound. A single text may bring any number of states: when they
+reach a larger bound in the middle of a batch, those that lanes are in are kept, all others are forgotten and compiled again
+where they are met again.
 
 Cases: null and empty texts have 0 tokens; special strings inside a text count as one token, as the library's default
 has it; rows are independent, so ties and repeated rows change nothing; other columns are not read.
@@ -46,6 +47,8 @@ _PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 CHUNK, SPACE, PAD_BITS = 128, 0, 6
 #: What a state takes besides its row of the table, about.
 STATE_BYTES = 1000
+#: What table and states may take while a batch runs, as a multiple of the table's bound.
+HARD = 4.5
 
 
 def byte_letters() -> list[str]:
@@ -131,7 +134,8 @@ class Transducer:
 
     @property
     def full(self) -> bool:
-        return len(self.keys) * (4 * self.width + STATE_BYTES) > self.bound
+        """Whether states have to go while a batch runs. Between batches the table's own size decides, which is met sooner."""
+        return len(self.keys) * (4 * self.width + STATE_BYTES) > HARD * self.bound
 
     def kept(self, *lanes: np.ndarray) -> None:
         """Forget all states but those in the arrays, where they get new numbers."""
@@ -256,7 +260,7 @@ class Transducer:
 
     # --- running ---------------------------------------------------------------------------------------------------
     def count(self, texts: list[str]) -> np.ndarray:
-        if self.full:
+        if self.table.nbytes > self.bound:
             self.reset()
         total = np.zeros(len(texts), np.int64)
         parts, owner = [], []
