@@ -63,7 +63,7 @@ class PrefixCode:
     """A canonical prefix code, given the length of each symbol's code (0: none)."""
 
     def __init__(self, lengths: list[int]):
-        self._table = None
+        self._table = self._runs = None
         used = sorted((n, s) for s, n in enumerate(lengths) if n)
         self.symbols = [s for _, s in used]
         self.equal = used[0][0] if used and used[0][0] == used[-1][0] and len(used) == 1 << used[0][0] else None
@@ -79,6 +79,24 @@ class PrefixCode:
         if code != 1 << last:
             raise ValueError("the prefix code isn't complete")
 
+    def runs(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """What the lowest of any 15 bits begin with: up to three literals (below 256) whose codes lie in them, the bits that
+        these take (0: a symbol that isn't a literal), and how many they are."""
+        if self._runs is None:
+            symbol, size = self.table()
+            all_ = np.arange(1 << 15)
+            literals, taken, count = np.zeros((1 << 15, 3), np.uint8), np.zeros(1 << 15, np.uint8), np.zeros(1 << 15, np.uint8)
+            open_ = np.ones(1 << 15, bool)
+            for k in range(3):
+                ahead = all_ >> taken
+                n = size[ahead]
+                open_ &= (symbol[ahead] < 256) & (n > 0) & (taken + n <= 15)
+                literals[open_, k] = symbol[ahead[open_]]
+                taken[open_] += n[open_]
+                count += open_
+            self._runs = literals, taken, count
+        return self._runs
+
     def table(self) -> tuple[np.ndarray, np.ndarray]:
         """Symbol and length of the code that the lowest of any 15 bits begin with."""
         if self._table is None:
@@ -239,30 +257,44 @@ def _read_green(bits: Bits, group: list[PrefixCode], n: int, width: int) -> np.n
         if group[0].symbols[0] < 256:
             return np.full(n, rest | np.uint32(group[0].symbols[0] << 8), np.uint32)
         raise ValueError("an image of references only")
-    data, green, at = bits.data, bytearray(n), 0
+    literals, taken, count = group[0].runs()
+    data, green, at = bits.data, bytearray(n + 2), 0
     p, end = bits.at, 8 * len(data)
     while at < n:
         first = p >> 3
         raw = np.frombuffer(data[first : first + WINDOW + 2] + b"\0\0", np.uint8).astype(np.uint32)
         raw = (raw[:-2] | raw[1:-1] << 8 | raw[2:] << 16)[:WINDOW]
-        windows = (raw[:, None] >> np.arange(8, dtype=np.uint32) & 0x7FFF).ravel()
-        found = symbol[windows]
-        steps = np.where(found < 256, size[windows], 0).astype(np.uint8).tobytes()
+        windows = (raw[:, None] >> np.arange(8, dtype=np.uint32)).astype(np.uint16).ravel() & np.uint16(0x7FFF)
+        steps = taken[windows].tobytes()
         p -= 8 * first
         last = len(steps)
         while at < n and p < last:
             places: list[int] = []
             push, room = places.append, n - at
-            while p < last and (step := steps[p]) and room:
+            stop = min(last, p + 15 * room)  # no code is longer; what is read beyond the image is dropped below
+            while p < stop and (step := steps[p]):
                 push(p)
                 p += step
-                room -= 1
             if places:
-                green[at : at + len(places)] = found[places].astype(np.uint8).tobytes()
-                at += len(places)
-            if p < last and at < n:
-                s = int(found[p])
-                bits.at = 8 * first + p + int(size[windows[p]])
+                found = windows[places]
+                many = count[found]
+                made = literals[found][np.arange(3, dtype=np.uint8) < many[:, None]]
+                if len(made) > room:  # codes of the last lookups lie beyond the image
+                    before = np.cumsum(many)
+                    k = int(np.searchsorted(before, room))  # the lookup that completes it
+                    p, left = places[k], room - (int(before[k - 1]) if k else 0)
+                    for _ in range(left):
+                        w = int.from_bytes(data[first + (p >> 3) : first + (p >> 3) + 3], "little") >> (p & 7) & 0x7FFF
+                        p += int(size[w])
+                    made = made[:room]
+                green[at : at + len(made)] = made.tobytes()
+                at += len(made)
+            if p < last and at < n and not steps[p]:
+                w = int(windows[p])
+                s = int(symbol[w])
+                bits.at = 8 * first + p + int(size[w])
+                if s < 256:  # a literal whose code is longer than what is left of a lookup can't be: it comes first
+                    raise ValueError("no such code")
                 length, distance = _count(bits, s - 256), _count(bits, group[4].read(bits))
                 distance = _distance(distance, width)
                 if distance > at or at + length > n:
@@ -275,7 +307,7 @@ def _read_green(bits: Bits, group: list[PrefixCode], n: int, width: int) -> np.n
         if p > end:
             raise ValueError("the stream ends early")
     bits.at = p
-    return np.frombuffer(bytes(green), np.uint8).astype(np.uint32) << np.uint32(8) | rest
+    return np.frombuffer(bytes(green[:n]), np.uint8).astype(np.uint32) << np.uint32(8) | rest
 
 
 def _distance(code: int, width: int) -> int:
@@ -522,7 +554,7 @@ def written_code(lengths: list[int]) -> list[np.ndarray]:
 
 #: Bytes from frequent to rare in texts of Latin letters.
 RANKED = b" etaonirsldhcumpgfbywv.k,\nETAxjqzINSOHRLDCUMPGFBYWVKXJQZ0123456789-'\"!?:;()/|&%$*@#=_+<>[]{}~^`\\\t\r"
-LITERALS, SHORTEST, LONGEST, FURTHEST = 256, 8, 4096, (1 << 20) - 121
+LITERALS, SHORTEST, LONGEST, FURTHEST = 256, 24, 4096, (1 << 20) - 121
 
 
 def rankings() -> list[list[float]]:
@@ -559,10 +591,6 @@ class Coder:
         zero = [*_lone(0), *_lone(0), *_lone(0), *written_code(distance)]
         self.head.append(np.concatenate([*predict, *plain, *written_code(lengths[2]), *zero]))
 
-    def cost(self, samples: np.ndarray, steps: np.ndarray) -> list[int]:
-        counts, moves = np.bincount(samples, minlength=256), np.bincount(steps, minlength=256)
-        return [int(self.size[0, :256] @ counts), int(self.size[1, :256] @ counts), int(self.size[2, :256] @ moves)]
-
 
 @lru_cache(maxsize=1)
 def coder() -> Coder:
@@ -571,24 +599,25 @@ def coder() -> Coder:
 
 def references(samples: np.ndarray) -> list[tuple[int, int, int]]:
     """(start, length, distance) of repeats of SHORTEST samples or more, from left to right without overlap. A sample's
-    partner is the last place before it at which the next SHORTEST samples are the same."""
-    n = len(samples) - SHORTEST + 1
-    if n < 2:
+    partner is a place before it at which the next eight samples are the same: the last one with their 16-bit hash."""
+    n = len(samples) - 7
+    if n <= SHORTEST:
         return []
-    ahead = np.ndarray((n,), "<u8", samples.tobytes(), strides=(1,))
-    order = np.argsort(ahead, kind="stable")
-    same = np.flatnonzero(ahead[order[1:]] == ahead[order[:-1]])
+    ahead = np.ndarray((n,), "<u8", samples.tobytes(), strides=(1,)).copy()
+    with np.errstate(over="ignore"):
+        hashed = (ahead * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(48)).astype(np.uint16)
+    order = np.argsort(hashed, kind="stable")  # sixteen bits are sorted by counting
+    ahead = ahead[order]
+    same = np.flatnonzero(ahead[1:] == ahead[:-1])
     distance = np.zeros(n, np.int64)
     distance[order[same + 1]] = order[same + 1] - order[same]
     distance[distance > FURTHEST] = 0
-    here = np.flatnonzero(distance)
-    if not len(here):
-        return []
-    far = distance[here]
-    begin = np.flatnonzero(np.concatenate([[True], (np.diff(here) != 1) | (np.diff(far) != 0)]))
+    edge = np.flatnonzero(distance[1:] != distance[:-1]) + 1
+    begin = np.concatenate([[0], edge])
+    lengths = np.diff(np.append(begin, n)) + 7
+    some = np.flatnonzero((distance[begin] > 0) & (lengths >= SHORTEST))
     out, covered = [], 0
-    lengths = np.diff(np.append(begin, len(here))) + SHORTEST - 1
-    for start, length, d in zip(here[begin].tolist(), lengths.tolist(), far[begin].tolist(), strict=True):
+    for start, length, d in zip(begin[some].tolist(), lengths[some].tolist(), distance[begin[some]].tolist(), strict=True):
         if start < covered:
             start, length = covered, length - covered + start
         while length >= SHORTEST:
@@ -607,37 +636,45 @@ def prefixed(value: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.where(small, v, 2 * high + (v >> np.maximum(high - 1, 0) & 1)), v & (1 << extra) - 1, extra
 
 
-def coded(samples: np.ndarray, which: int) -> np.ndarray:
-    """The bits of samples in a fixed code, with references."""
+def _fields(samples: np.ndarray, which: int, found: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Values and their numbers of bits: a field for each literal, four for each reference."""
     own = coder()
-    found = references(samples)
-    fields = np.ones(len(samples), np.int64)
-    if found:
-        start, length, distance = np.array(found, np.int64).T
-        inside = np.zeros(len(samples) + 1, np.int64)
-        np.add.at(inside, start, 1)
-        np.add.at(inside, start + length, -1)
-        fields[np.cumsum(inside[:-1]) > 0] = 0
-        fields[start] = 4
+    start, length, distance = found.T
+    fields = np.ones(len(samples), np.int32)
+    inside = np.zeros(len(samples) + 1, np.int32)
+    np.add.at(inside, start, 1)
+    np.add.at(inside, start + length, -1)
+    fields[np.cumsum(inside[:-1]) > 0] = 0
+    fields[start] = 4
     first = np.cumsum(fields) - fields
-    total = int(fields.sum())
+    total = int(first[-1] + fields[-1])
     value, size = np.zeros(total, np.uint32), np.zeros(total, np.int32)
     alone = np.flatnonzero(fields == 1)
     value[first[alone]], size[first[alone]] = own.code[which][samples[alone]], own.size[which][samples[alone]]
+    at = first[start]
+    for k, (numbers, codes, sizes, base) in enumerate(((length, own.code[which], own.size[which], LITERALS), (distance + 120, own.d_code, own.d_size, 0))):
+        symbol, extra, wide = prefixed(numbers)
+        value[at + 2 * k], size[at + 2 * k] = codes[symbol + base], sizes[symbol + base]
+        value[at + 2 * k + 1], size[at + 2 * k + 1] = extra, wide
+    return value, size
+
+
+def coded(samples: np.ndarray, which: int) -> np.ndarray:
+    """The bits of samples in a fixed code, with references."""
+    own = coder()
+    found = references(samples)
     if found:
-        at = first[start]
-        for k, (numbers, codes, sizes, base) in enumerate(((length, own.code[which], own.size[which], LITERALS), (distance + 120, own.d_code, own.d_size, 0))):
-            symbol, extra, wide = prefixed(numbers)
-            value[at + 2 * k], size[at + 2 * k] = codes[symbol + base], sizes[symbol + base]
-            value[at + 2 * k + 1], size[at + 2 * k + 1] = extra, wide
+        value, size = _fields(samples, which, np.array(found, np.int64))
+    else:
+        value, size = own.code[which][samples], own.size[which][samples]
     ends = np.cumsum(size)
     place = np.arange(int(ends[-1]), dtype=np.uint32) - np.repeat((ends - size).astype(np.uint32), size)
     return (np.repeat(value, size) >> place & np.uint32(1)).astype(np.uint8)
 
 
 _BITS_OF = {n: np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1)[: 1 << n, 8 - n :].copy() for n in range(1, 9)}
-#: Images with at most so many values have a palette.
-FEW = 4
+#: Images with at most so many values have a palette; samples that take more bits each, in the mean, may be better predicted.
+FEW, DENSE = 4, 6.5
 
 
 def pack(payload: bytes) -> bytes:
@@ -653,11 +690,15 @@ def pack(payload: bytes) -> bytes:
     if len(colours) <= FEW:
         body = _with_palette(samples, colours)
     else:
-        grid = samples.reshape(height, width)
-        steps = np.diff(grid, axis=1, prepend=np.concatenate([[np.uint8(0)], grid[:-1, 0]])[:, None]).ravel()
-        cost = coder().cost(samples, steps)
-        which = cost.index(min(cost))
-        body = [coder().head[which], coded(steps if which == 2 else samples, which)]
+        counts = np.bincount(samples, minlength=256)
+        cost = [int(coder().size[k, :256] @ counts) for k in (0, 1)]
+        which, written_ = cost.index(min(cost)), samples
+        if min(cost) > DENSE * len(samples):  # no text of letters: neighbours may be alike
+            grid = samples.reshape(height, width)
+            steps = np.diff(grid, axis=1, prepend=np.concatenate([[np.uint8(0)], grid[:-1, 0]])[:, None]).ravel()
+            if int(coder().size[2, :256] @ np.bincount(steps, minlength=256)) < min(cost):
+                which, written_ = 2, steps
+        body = [coder().head[which], coded(written_, which)]
     stream = np.packbits(np.concatenate([*head, *body]), bitorder="little").tobytes()
     pad = b"\0" * (len(stream) & 1)
     chunk = b"".join([b"WEBPVP8L", len(stream).to_bytes(4, "little"), stream, pad, b"LENG", (8).to_bytes(4, "little"), len(payload).to_bytes(8, "little")])
