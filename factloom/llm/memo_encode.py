@@ -77,7 +77,7 @@ class MemoEncoder:
     """ids(texts) -> bytes of each. Handles the byte-level layout with spaces kept and the layout that drops white space;
     other tokenizers encode every text whole. What is remembered takes at most about `limit` bytes, besides what one call brings."""
 
-    def __init__(self, path: str, limit: int = 240 << 20):
+    def __init__(self, path: str, limit: int = 400 << 20):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
         from tokenizers import Tokenizer
 

@@ -31,7 +31,7 @@ from factloom.llm.token_shards import _GOLD, mix
 MARK = "▁"
 _UNIT = re.compile("\n|[ ]*[^ \n]+|[ ]+")
 #: Units of more characters are filtered one by one, so many characters at a time; edges of the lattice that are remembered.
-LONG, SLAB, EDGES = 400, 50_000, 8_000_000
+LONG, SLAB, EDGES = 400, 50_000, 16_000_000
 _SLOW = re.compile(f"  |{MARK}| \n|\n |\n\n")
 
 
