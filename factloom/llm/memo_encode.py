@@ -13,6 +13,8 @@ import os
 import re
 from array import array
 
+import numpy as np
+
 _SPACES = "\t-\r \x85\xa0  -     　"
 #: A run of white space belongs to the piece after it; one at the end is a piece of its own.
 _PIECES = re.compile(f"[{_SPACES}]*[^{_SPACES}]+|[{_SPACES}]+")
@@ -21,7 +23,10 @@ _UNSURE = ("\x1c", "\x1d", "\x1e", "\x1f", "İ", "Σ")
 #: White space other than one space or line feed between two other characters.
 _RUNS = ("  ", " \n", "\n ", "\n\n", "\t", "\r", "\x0b", "\x0c", "\x85", "\xa0")
 _WIDE = re.compile("[ -\u200a\u2028\u2029\u202f\u205f\u3000]")
-_ENDS = frozenset(".,;:!?")
+#: Punctuation that may stand after a word. Letters and it never share a pre-token.
+_ENDS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
+#: New pieces that the library gets as one text.
+_LOT = 200
 
 
 #: What a remembered piece takes besides its letters and ids: two objects and its share of a dictionary.
@@ -29,15 +34,18 @@ _ENTRY = 190
 
 
 class PieceIds(dict):
-    """piece -> its ids as little-endian unsigned 32-bit integers. A new piece gets an empty value that fill() completes
-    with one call of the library for all new ones. Pieces live in two generations: age() makes all present ones old, old
-    ones that are met again become young, and the next age() forgets the others."""
+    """piece -> its ids as little-endian unsigned 32-bit integers. A new piece gets an empty value that fill() completes:
+    of a word with punctuation after it from the two parts, of others with one call of the library. Pieces live in two
+    generations: age() makes all present ones old, old ones that are met again become young, and the next age() forgets the
+    others."""
 
-    def __init__(self, tokenizer, before: str = ""):
-        """before: what stands before every piece and isn't part of the key."""
+    def __init__(self, tokenizer, before: str = "", ends: PieceIds | None = None):
+        """before: what stands before every piece and isn't part of the key; ends: has the punctuation after words (None: this one)."""
         super().__init__()
         self.tokenizer, self.before, self.new, self.joined = tokenizer, before, [], []
-        self.joins: dict = {}  # the ids of single punctuation marks at the end of a piece
+        self.ends = self if ends is None else ends
+        self.parts = False  # whether punctuation after a word is looked up on its own
+        self.lots: tuple | None = None  # see MemoEncoder.lots()
         self.old: dict = {}
         self.bytes = 0  # of the young generation
 
@@ -52,22 +60,52 @@ class PieceIds(dict):
             self.bytes += _ENTRY + len(piece) + len(value)
             return value
         value = bytearray()
-        if self.joins and len(piece) > 3 and piece[-1] in _ENDS and piece[-2].isalpha():
-            self.joined.append((value, self[piece[:-1]], self.joins[piece[-1]], piece))  # letters and punctuation never share a pre-token
+        word = piece.rstrip(_ENDS) if self.parts else piece
+        if len(word) < len(piece) and len(word) > 2 and word[-1].isalpha():
+            self.joined.append((value, self[word], self.ends[piece[len(word) :]], piece))
         else:
-            self.new.append((self.before + piece, value))
+            self.new.append((piece, value))
         self[piece] = value
         return value
 
+    def encode(self) -> None:
+        """Complete the new pieces that aren't joined from others."""
+        single = [] if self.lots else self.new
+        if self.lots:
+            fits, after, mark, first, cut = self.lots
+            fit = []
+            for entry in self.new:
+                (fit if fits(entry[0]) else single).append(entry)
+            lots = [fit[k : k + _LOT] for k in range(0, len(fit), _LOT)]
+            texts = ["".join([self.before + p + after for p, _ in lot]) for lot in lots]
+            for lot, e in zip(lots, self.tokenizer.encode_batch_fast(texts, add_special_tokens=False), strict=True):
+                ids = np.array(e.ids, "<u4")
+                at = np.flatnonzero(mark[ids])
+                bounds = [*at.tolist(), len(ids)] if first else [0, *(at + 1).tolist()]
+                if len(at) != len(lot) or bounds[0] != 0 or bounds[-1] != len(ids):  # not one mark to each piece
+                    single += lot
+                    continue
+                raw = ids.tobytes()
+                for (_, value), start, end in zip(lot, bounds, bounds[1:], strict=False):
+                    value += raw[4 * start : 4 * end - cut]
+        if single:
+            for (_, value), e in zip(single, self.tokenizer.encode_batch_fast([self.before + p for p, _ in single], add_special_tokens=False), strict=True):
+                value += array("I", e.ids).tobytes()
+
     def fill(self) -> None:
+        """Of another's `ends`, that one comes first."""
         if self.new:
-            for (_, value), e in zip(self.new, self.tokenizer.encode_batch_fast([p for p, _ in self.new], add_special_tokens=False), strict=True):
-                value += array("I", e.ids).tobytes()
+            self.encode()
         for value, head, end, _ in self.joined:
             value += head
             value += end
-        skip = len(self.before)
-        for p, v in [*((p[skip:], v) for p, v in self.new), *((p, v) for v, _, _, p in self.joined)]:
+        again = []
+        for value, head, _, piece in self.joined:
+            if type(head) is bytes:
+                again.append((piece, value))
+            else:  # the word is new as well: most such pieces never come again
+                del self[piece]
+        for p, v in [*self.new, *again]:
             self[p] = bytes(v)  # takes half the memory of what can grow
             self.bytes += _ENTRY + len(p) + len(v)
         self.new, self.joined = [], []
@@ -94,9 +132,24 @@ class MemoEncoder:
             self.kind = "whole"
         self.vocabulary = self.tokenizer.get_vocab_size()
         self.cache, self.limit = PieceIds(self.tokenizer), limit
-        self.spaced = PieceIds(self.tokenizer, " ")
+        self.spaced = PieceIds(self.tokenizer, " ", self.cache)
         self.feed = self.whole("\n")
-        self.cache.joins = self.spaced.joins = {c: self.whole(c) for c in _ENDS}
+        self.cache.parts = self.spaced.parts = self.kind != "whole"
+        self.cache.lots, self.spaced.lots = self.lots(spec, ""), self.lots(spec, " ")
+
+    def lots(self, spec: dict, before: str) -> tuple | None:
+        """How many pieces go to the library as one text: which ones may, what stands after each, by id whether it marks a
+        piece, whether as its first id (or as the last one), and how many bytes at its end aren't its own. None: they don't."""
+        vocab, suffix = self.tokenizer.get_vocab(), spec["model"].get("end_of_word_suffix")
+        if any(c.isspace() for s in self.special for c in s):
+            return None
+        if self.kind == "words" and sum(token.endswith(suffix) and len(token) == len(suffix) + 1 for token in vocab) >= 256:  # every pre-token has an end
+            marks, how = [i for token, i in vocab.items() if token.endswith(suffix)], (str.isalpha, " ", False, 0)
+        else:
+            return None
+        mark = np.zeros(max(vocab.values()) + 1, bool)
+        mark[marks] = True
+        return *how[:2], mark, *how[2:]
 
     def whole(self, text: str) -> bytes:
         return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
@@ -106,7 +159,10 @@ class MemoEncoder:
         if self.kind == "whole" or any(s in text for s in _UNSURE) or any(s in text for s in self.special):
             return [self.whole(text)]
         if self.kind == "words":
-            return list(map(self.cache.__getitem__, text.lower().split()))
+            lower = text.lower()
+            if any(s in lower for s in self.special):  # none of the library's, as it looks before lower-casing
+                return [self.whole(text)]
+            return list(map(self.cache.__getitem__, lower.split()))
         if any(s in text for s in _RUNS) or text[:1].isspace() or text[-1:].isspace() or not text.isascii() and _WIDE.search(text):
             return list(map(self.cache.__getitem__, _PIECES.findall(text)))
         out: list = []

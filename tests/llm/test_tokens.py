@@ -213,3 +213,42 @@ def test_counts_of_a_long_word_are_the_library_s(path):
     texts += ["ab" * 3000, "a" * 5000, "'" * 700, "x1" * 900, " " + texts[5] + " " + texts[6]]
     assert own.count(texts).tolist() == [len(ids(t)) for t in texts]
     assert len(own.keys) * (4 * own.width + 1000) < 40_000_000
+
+
+class Counted:
+    """A tokenizer that keeps the texts it is given in batches."""
+
+    def __init__(self, own):
+        self.own, self.given = own, []
+
+    def encode(self, *args, **more):
+        return self.own.encode(*args, **more)
+
+    def encode_batch_fast(self, texts, **more):
+        self.given += texts
+        return self.own.encode_batch_fast(texts, **more)
+
+
+def counted(path):
+    own = MemoEncoder(path)
+    own.cache.tokenizer = own.spaced.tokenizer = out = Counted(own.tokenizer)
+    return own, out
+
+
+def same(own, ids, texts):
+    assert [np.frombuffer(x, "<u4").tolist() for x in own.ids(texts)] == [ids(t) for t in texts]
+
+
+def test_new_words_go_to_the_library_in_lots(path):
+    (own, seen), ids = counted(path("word_bpe_49k.json")), library(path("word_bpe_49k.json"))
+    words = [w for w in noise(11, "abcdeéßñ日", 3000, 12) if w]
+    same(own, ids, [" ".join(words), " ".join(w + "!?%" for w in words)])
+    assert len(seen.given) < len(set(words)) / 20
+    odd = ["x́", "Å", "ﬁ", "ǅ", "\U0001e4d0", "\U00031350", "ab\U00031350c", "don't", "'s", "x'", "x's.", "''", "a1b2", "ªº", "ⅷ", "x_y", "日本.", "ab́.", "abc̸", "abc≯", "İ"]
+    for k in range(len(odd)):
+        same(own, ids, [" ".join(odd[k:] + words[:k] + odd[:k]), odd[k]])
+
+
+def test_special_strings_after_lower_casing_are_text(path):
+    for name in ("word_bpe_49k.json", "byte_bpe_50k.json"):
+        same(MemoEncoder(path(name)), library(path(name)), ["<|EndOfText|>x", "a <|ENDOFTEXT|>b <|startofTEXT|> c", "a <|endoftext|>b"])
