@@ -22,7 +22,7 @@ _PIECES = re.compile(f"[{_SPACES}]*[^{_SPACES}]+|[{_SPACES}]+")
 _UNSURE = ("\x1c", "\x1d", "\x1e", "\x1f", "İ", "Σ")
 #: White space other than one space or line feed between two other characters.
 _RUNS = ("  ", " \n", "\n ", "\n\n", "\t", "\r", "\x0b", "\x0c", "\x85", "\xa0")
-_WIDE = re.compile("[ -\u200a\u2028\u2029\u202f\u205f\u3000]")
+_WIDE = re.compile("[\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 #: Punctuation that may stand after a word. Letters and it never share a pre-token.
 _ENDS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 #: New pieces that the library gets as one text.
@@ -143,7 +143,12 @@ class MemoEncoder:
         vocab, suffix = self.tokenizer.get_vocab(), spec["model"].get("end_of_word_suffix")
         if any(c.isspace() for s in self.special for c in s):
             return None
-        if self.kind == "words" and sum(token.endswith(suffix) and len(token) == len(suffix) + 1 for token in vocab) >= 256:  # every pre-token has an end
+        own = lambda piece: piece and not piece[0].isspace()
+        if self.kind == "spaced" and before:  # only the first id of a piece has the space
+            marks, how = [i for token, i in vocab.items() if token[0] == "Ġ"], (own, "", True, 0)
+        elif self.kind == "spaced" and len(self.feed) == 4:  # a line feed before a word is a pre-token of its own
+            marks, how = [int.from_bytes(self.feed, "little")], (own, "\n", False, 4)
+        elif self.kind == "words" and sum(token.endswith(suffix) and len(token) == len(suffix) + 1 for token in vocab) >= 256:  # every pre-token has an end
             marks, how = [i for token, i in vocab.items() if token.endswith(suffix)], (str.isalpha, " ", False, 0)
         else:
             return None

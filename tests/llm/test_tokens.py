@@ -252,3 +252,13 @@ def test_new_words_go_to_the_library_in_lots(path):
 def test_special_strings_after_lower_casing_are_text(path):
     for name in ("word_bpe_49k.json", "byte_bpe_50k.json"):
         same(MemoEncoder(path(name)), library(path(name)), ["<|EndOfText|>x", "a <|ENDOFTEXT|>b <|startofTEXT|> c", "a <|endoftext|>b"])
+
+
+def test_accents_are_no_unusual_white_space(path):
+    (own, seen), ids = counted(path("byte_bpe_50k.json")), library(path("byte_bpe_50k.json"))
+    words = [w for w in noise(12, "abcdeéßñ日.,'1", 3000, 9) if w]
+    same(own, ids, [" ".join(words), "é\n" + " ".join(words), "\n".join(words)])
+    assert len(own.cache) < 1.1 * len(set(words)) and len(seen.given) < len(set(words)) / 20
+    spaces = [*"\x0b\x0c\x85\xa0", *map(chr, (0x1680, 0x180E, *range(0x2000, 0x2010), 0x2028, 0x2029, 0x202F, 0x205F, 0x2060, 0x3000, 0xFEFF))]
+    wide = ["a" + c * n + "é" + c for c in spaces for n in (1, 2)]
+    same(own, ids, [*wide, *(f"x {w} y\n{w} z" for w in wide)])
