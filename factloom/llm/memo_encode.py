@@ -2,7 +2,7 @@
 
 A text is cut where the tokenizer's own pre-tokenizer always cuts (before white space), so that the ids of the
 text are the ids of its pieces one after the other. Texts for which that isn't certain (special strings, control
-separators, unusual white space) go to the library whole.
+separators, unusual white space, letters that would compose with a mark once they are lower-cased) go to the library whole.
 """
 
 from __future__ import annotations
@@ -11,6 +11,7 @@ import gc
 import json
 import os
 import re
+import unicodedata
 from array import array
 
 import numpy as np
@@ -117,9 +118,9 @@ class MemoEncoder:
 
     def __init__(self, path: str, limit: int = 400 << 20):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, normalizers
 
-        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer, self.compose = Tokenizer.from_file(path), normalizers.NFC().normalize_str
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         self.special = [x["content"] for x in spec["added_tokens"]]
@@ -164,7 +165,11 @@ class MemoEncoder:
         if self.kind == "whole" or any(s in text for s in _UNSURE) or any(s in text for s in self.special):
             return [self.whole(text)]
         if self.kind == "words":
-            lower = text.lower()
+            # the library composes letters and marks, then lower-cases; pieces would be composed again after that
+            ascii_ = text.isascii()
+            lower = (text if ascii_ or unicodedata.is_normalized("NFC", text) else self.compose(text)).lower()
+            if not ascii_ and not unicodedata.is_normalized("NFC", lower):
+                return [self.whole(text)]
             if any(s in lower for s in self.special):  # none of the library's, as it looks before lower-casing
                 return [self.whole(text)]
             return list(map(self.cache.__getitem__, lower.split()))
