@@ -233,7 +233,7 @@ class ArchiveFile:
         self.name = f"w-{uuid.uuid4().hex}.warc.zst"
         self.fs, path = pafs.FileSystem.from_uri(base)
         self.fs.create_dir(path, recursive=True)
-        self.out = self.fs.open_output_stream(f"{path}/{self.name}")
+        self.out = self.fs.open_output_stream(f"{path}/{self.name}", compression=None)  # else the name would have it compressed once more
         self.waiting: list[bytes] = [info_record(self.name, date)]
         self.waiting_bytes = self.bytes = self.records = 0
         self.frames = None
@@ -270,7 +270,7 @@ class ArchiveFile:
         self.frames = zstandard.ZstdCompressor(level=3, dict_data=found, write_checksum=True, write_content_size=True) if found else zstandard.ZstdCompressor(level=3, write_checksum=True, write_content_size=True)
         for w in self.waiting:
             self.put(w)
-        self.waiting = []
+        self.waiting, self.waiting_bytes = [], 0
 
     def close(self) -> None:
         if self.frames is None:
@@ -293,7 +293,7 @@ def write_archives(rows: DataFrame, base: str, date: str, limit: int = FILE) ->
             for page, url, payload, refers_to in zip(*(b.column(c).to_pylist() for c in ("page_id", "url", "payload", "refers_to")), strict=True):
                 file = file or ArchiveFile(base, date)
                 file.add(page_record(page, url, payload, refers_to, date))
-                if file.bytes >= limit:
+                if file.bytes + file.waiting_bytes >= limit:
                     file.close()
                     yield record(_FILE, [file.name], [file.records], [file.bytes])
                     file = None
@@ -311,7 +311,7 @@ _PAGE_DDL = "page_id long, url string, record_type string, refers_to long, paylo
 def file_pages(base: str, name: str, chunk: int = 1 << 20) -> Iterator[dict]:
     """The pages of one file, checked."""
     fs, path = pafs.FileSystem.from_uri(base)
-    with fs.open_input_stream(f"{path}/{name}") as f:
+    with fs.open_input_stream(f"{path}/{name}", compression=None) as f:
         at = 0
         try:
             for at, content in frames(iter(lambda: f.read(chunk), b"")):
