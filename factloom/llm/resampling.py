@@ -1,10 +1,11 @@
 """Importance resampling towards a target distribution, with word tries (operator 13).
 
-Features are runs of one and two words, hashed to buckets by CRC-32. A trie has a node for each word below its root and a node
-for each second word below that; nodes hold the CRC state of the bytes on their path and how often the path was met, so a
-feature's bytes are run through the CRC once and not once an occurrence. Tries belong to a task: their counts are summed to
-bucket totals when the task ends, or before when a trie has grown to its bound, and the totals of all tasks are added. Then
-documents walk the paths of other tries whose nodes hold the gains of their buckets.
+Features are runs of one and two words, hashed to buckets by CRC-32. A task makes a trie of each lot of texts: below the root a
+node for each word, below that a node for each word that follows it. Nodes hold how often their path was met and the CRC state
+of its bytes, so a feature's bytes run through the CRC once and not once an occurrence: a word's by a byte a step for all words
+of the trie, a second level's from its parent's state and its word's, as CRCs are linear. Levels are arrays by node, made
+with numpy. A trie's counts are added up to bucket totals, and these over all tasks. Then documents walk the paths of other
+tries whose nodes hold the gains of their buckets.
 
 Ranks: rows (id, score) are dealt by range and numbered within their range; only the sizes of ranges meet in one place.
 
@@ -26,91 +27,119 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from factloom.llm.common import blocks, id_and_text, record, ship, written
-from factloom.llm.words import words
+from factloom.llm.words import TABLE
 
 BUCKETS, LEAST_WORDS, PERCENT, SEED = 10_000, 20, 25, 7
-#: Nodes of a trie, at most, besides those that one block of texts brings.
-NODES = 500_000
-#: Characters that are looked at together.
-CHARS = 2_000_000
+#: Characters of the texts of one trie, about.
+CHARS = 4_000_000
+#: Longer words go through the CRC one by one.
+LONG = 64
+_STEP = np.array([zlib.crc32(bytes([b])) ^ zlib.crc32(b"\0") for b in range(256)], np.uint32)
+_STEP ^= _STEP[0]
+
+
+def _advanced(crc: np.ndarray) -> np.ndarray:
+    """CRC registers after a byte 0."""
+    return _STEP[crc & np.uint32(255)] ^ (crc >> np.uint32(8))
+
+
+def _shifts() -> np.ndarray:
+    """[n, k, b]: what byte k of a register, of value b, is after n bytes 0. Registers are linear: their bytes' parts add up."""
+    out = [np.array([[b << 8 * k for b in range(256)] for k in range(4)], np.uint32)]
+    for _ in range(LONG):
+        out.append(_advanced(out[-1]))
+    return np.stack(out)
+
+
+_SHIFTS = _shifts()
 
 
 class WordTrie:
-    """Paths of one and two words. Arrays by node: the CRC of its path, and how often it was met; words of the first level
-    have the CRC state after the space that follows them as well."""
-
-    def __init__(self) -> None:
-        self.first: dict[bytes, int] = {}  # word -> node of the first level
-        self.names: list[bytes] = []
-        self.open: list[int] = []  # CRC state of the word and a space
-        self.second: dict[int, int] = {}  # node and word of the first level, packed -> node of the second level
-        self.crc: tuple[list[int], list[int]] = ([], [])
-        self.counts: tuple[np.ndarray, np.ndarray] = (np.zeros(0, np.int64), np.zeros(0, np.int64))
-
-    def __len__(self) -> int:
-        return len(self.first) + len(self.second)
-
-    def walk(self, texts: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Of the words of texts: the first-level node of each word, the second-level node of each distinct pair, which of
-        these each word and the next one of its text are, and where texts start. New paths get nodes."""
-        flat = [w for t in texts for w in t]
-        first, names, states = self.first, self.names, self.crc[0]
-        for w in set(flat).difference(first):
-            first[w] = len(names)
-            names.append(w)
-            states.append(zlib.crc32(w))
-            self.open.append(zlib.crc32(b" ", states[-1]))
-        nodes = np.fromiter(map(first.__getitem__, flat), np.int64, len(flat))
-        starts = np.cumsum([0, *map(len, texts)])
-        inner = np.ones(len(flat), bool)
-        inner[starts[1:][starts[1:] > 0] - 1] = False  # the last word of a text has none after it
-        at = np.flatnonzero(inner)
-        keys, which = np.unique((nodes[at] << 32) | nodes[at + 1], return_inverse=True)
-        second, states = self.second, self.crc[1]
-        for k in set(keys.tolist()).difference(second):
-            second[k] = len(states)
-            states.append(zlib.crc32(names[k & 0xFFFFFFFF], self.open[k >> 32]))
-        return nodes, np.fromiter(map(second.__getitem__, keys.tolist()), np.int64, len(keys)), which, starts
-
-    def count(self, texts: list[list[bytes]]) -> None:
-        nodes, pairs, which, _ = self.walk(texts)
-        grown = [np.concatenate([c, np.zeros(len(s) - len(c), np.int64)]) for c, s in zip(self.counts, self.crc, strict=True)]
-        grown[0] += np.bincount(nodes, minlength=len(grown[0]))
-        grown[1][pairs] += np.bincount(which, minlength=len(pairs))
-        self.counts = grown[0], grown[1]
+    """The paths of one and two words of some texts.
+
+    nodes: of each word of the texts, its node of the first level; pairs: of each word that another one follows in its text
+    (`inner`), the node of the second level; starts: where the texts' words begin. By level and node: crc, counts. Words of
+    one length with one CRC share a node, as whatever is told from a node is the same for them."""
+
+    def __init__(self, texts: list[str]):
+        raw = [t.encode() for t in texts]
+        joined = b" ".join([b"", *raw, b""]).translate(TABLE)
+        letters = np.frombuffer(joined, np.uint8)
+        word = letters != 32
+        edges = np.flatnonzero(word[1:] != word[:-1]) + 1
+        begin, lengths = edges[::2], edges[1::2] - edges[::2]
+        begins = 1 + np.concatenate([[0], np.cumsum([len(r) + 1 for r in raw])]).astype(np.int64)
+        self.starts = np.searchsorted(begin, begins)
+        crc = self._crc(joined, letters, begin, lengths)
+        keys, at, self.nodes, n = np.unique((crc.astype(np.uint64) << np.uint64(32)) | lengths.astype(np.uint64), return_index=True, return_inverse=True, return_counts=True)
+        first = (keys >> np.uint64(32)).astype(np.uint32)
+        self.inner = np.ones(len(begin), bool)
+        self.inner[self.starts[1:][self.starts[1:] > self.starts[:-1]] - 1] = False  # the last word of a text has none after it
+        from_ = np.flatnonzero(self.inner)
+        packed, self.pairs, m = np.unique((self.nodes[from_] << 32) | self.nodes[from_ + 1], return_inverse=True, return_counts=True)
+        parent, child = packed >> 32, packed & 0xFFFFFFFF
+        state = self._then(first, np.full(len(first), zlib.crc32(b" "), np.uint32), np.ones(len(first), np.int64))  # after the space
+        size = lengths[at]
+        second = self._then(state[parent], first[child], np.minimum(size[child], LONG))
+        for k in np.flatnonzero(size[child] > LONG).tolist():
+            where = at[child[k]]
+            second[k] = zlib.crc32(joined[begin[where] : begin[where] + lengths[where]], int(state[parent[k]]))
+        self.crc, self.counts = (first, second), (n, m)
+
+    @staticmethod
+    def _crc(joined: bytes, letters: np.ndarray, begin: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+        """The CRC of each word, a byte a step for all that have one, the longest first."""
+        short = np.minimum(lengths, LONG + 1).astype(np.uint8)
+        order = np.argsort(LONG + 1 - short, kind="stable")
+        place, left = begin[order], len(order) - np.cumsum(np.bincount(short, minlength=LONG + 2))
+        crc = np.full(len(order), 0xFFFFFFFF, np.uint32)
+        for k in range(LONG):
+            n = int(left[k])
+            if not n:
+                break
+            crc[:n] = _STEP[(crc[:n] ^ letters[place[:n] + k]) & np.uint32(255)] ^ (crc[:n] >> np.uint32(8))
+        out = np.empty(len(order), np.uint32)
+        out[order] = crc ^ np.uint32(0xFFFFFFFF)
+        for k in np.flatnonzero(lengths > LONG).tolist():
+            out[k] = zlib.crc32(joined[begin[k] : begin[k] + lengths[k]])
+        return out
+
+    @staticmethod
+    def _then(before: np.ndarray, after: np.ndarray, n: np.ndarray) -> np.ndarray:
+        """The CRC of two strings one after the other, of theirs and the second's length (LONG at most)."""
+        out = after.copy()
+        for k in range(4):
+            out ^= _SHIFTS[n, k, (before >> np.uint32(8 * k)) & np.uint32(255)]
+        return out
+
+    def words(self) -> np.ndarray:
+        """How many words each text has."""
+        return np.diff(self.starts)
 
     def totals(self, buckets: int) -> np.ndarray:
         out = np.zeros(buckets, np.int64)
         for crc, n in zip(self.crc, self.counts, strict=True):
-            np.add.at(out, np.array(crc, np.int64)[: len(n)] % buckets, n)
+            np.add.at(out, (crc % np.uint32(buckets)).astype(np.int64), n)
         return out
 
-    def weights(self, texts: list[list[bytes]], gains: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Of each text the number of features and the sum of their gains."""
-        nodes, pairs, which, starts = self.walk(texts)
-        one = gains[np.array(self.crc[0], np.int64)[nodes] % len(gains)]
-        two = gains[np.array(self.crc[1], np.int64)[pairs] % len(gains)][which] if len(which) else np.zeros(0, np.int64)
-        sizes = np.diff(starts)
-        inner = np.ones(len(nodes), bool)
-        inner[starts[1:][starts[1:] > 0] - 1] = False
-        one[inner] += two
-        sums = np.concatenate([[0], np.cumsum(one)])
-        return np.maximum(2 * sizes - 1, 0), sums[starts[1:]] - sums[starts[:-1]]
+    def weights(self, gains: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Of each text the number of features and the sum of the gains along its paths."""
+        held = [gains[(crc % np.uint32(len(gains))).astype(np.int64)] for crc in self.crc]
+        along = held[0][self.nodes]
+        along[self.inner] += held[1][self.pairs]
+        sums = np.concatenate([[0], np.cumsum(along)])
+        return np.maximum(2 * self.words() - 1, 0), sums[self.starts[1:]] - sums[self.starts[:-1]]
 
 
-def bucket_totals(texts: DataFrame, buckets: int = BUCKETS, nodes: int = NODES) -> np.ndarray:
+def bucket_totals(texts: DataFrame, buckets: int = BUCKETS, chars: int = CHARS) -> np.ndarray:
     """How many features of texts(doc_id, text) fall into each bucket. The driver gets `buckets` numbers."""
     ship(texts.sparkSession)
     schema = pa.schema([("bucket", pa.int32()), ("n", pa.int64())])
 
     def count(batches) -> Iterator[pa.RecordBatch]:
-        trie, out = WordTrie(), np.zeros(buckets, np.int64)
-        for _, block in blocks(batches, CHARS):
-            trie.count([words(t) for t in block])
-            if len(trie) >= nodes:
-                out += trie.totals(buckets)
-                trie = WordTrie()
-        out += trie.totals(buckets)
+        out = np.zeros(buckets, np.int64)
+        for _, block in blocks(batches, chars):
+            out += WordTrie(block).totals(buckets)
         some = np.flatnonzero(out)
         yield record(schema, pa.array(some.astype(np.int32)), pa.array(out[some]))
 
@@ -137,21 +166,19 @@ _SCORED = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_featur
 _SCORED_DDL = "doc_id long, n_words long, n_features long, weight long, score long, row long"
 
 
-def scored(docs: DataFrame, gain: np.ndarray, seed: int = SEED, nodes: int = NODES) -> DataFrame:
+def scored(docs: DataFrame, gain: np.ndarray, seed: int = SEED) -> DataFrame:
     """docs(doc_id, text, row) with weight and score, written; `row` tells equal rows apart."""
     ship(docs.sparkSession)
     held = docs.sparkSession.sparkContext.broadcast(gain)  # one number a bucket
 
     def score(batches) -> Iterator[pa.RecordBatch]:
-        gain, trie = held.value, WordTrie()
+        gain = held.value
         for keys, texts in blocks(batches, CHARS):
-            parts = [words(t) for t in texts]
-            if len(trie) >= nodes:
-                trie = WordTrie()
-            n, sums = trie.weights(parts, gain)
+            trie = WordTrie(texts)
+            n, sums = trie.weights(gain)
             weight = np.where(n > 0, sums // np.maximum(n, 1), 0)
             drawn = weight + np.array([noise(k["doc_id"], seed) for k in keys], np.int64)
-            yield record(_SCORED, [k["doc_id"] for k in keys], [len(p) for p in parts], pa.array(n), pa.array(weight), pa.array(drawn), [k["row"] for k in keys])
+            yield record(_SCORED, [k["doc_id"] for k in keys], pa.array(trie.words()), pa.array(n), pa.array(weight), pa.array(drawn), [k["row"] for k in keys])
 
     return written(docs.select(F.struct("doc_id", "row").alias("key"), "text").mapInArrow(score, _SCORED_DDL), "resampling-scores")
 
