@@ -80,3 +80,30 @@ def line_and_column(text: Column, offset: Column) -> tuple[Column, Column]:
     """One-based line and column of a zero-based offset."""
     head = F.split(F.substring(text, F.lit(1), offset), "\n")
     return F.size(head), F.length(F.element_at(head, -1)) + 1
+
+
+#: Two characters that no text has (noncharacters of Unicode; what has them anyway is read as if they were unknown ones).
+_OPEN, _SHUT, _UNKNOWN = "\ufdd0", "\ufdd1", "\ufffd\ufffd"
+
+
+def marked(text: Column, pattern: str) -> Column:
+    """text with marks around every match of a pattern."""
+    return F.regexp_replace(F.translate(text, _OPEN + _SHUT, _UNKNOWN), F.lit(pattern), F.lit(f"{_OPEN}$0{_SHUT}"))
+
+
+def places(text: Column) -> Column:
+    """The matches in marked() text as structs (lo, hi, value), offsets from 0."""
+
+    def run(text: pd.Series) -> pd.Series:
+        out = []
+        for t in text:
+            own, at = [], 0
+            for k, part in enumerate((t or "").split(_OPEN)):
+                value, _, rest = part.partition(_SHUT)
+                if k:
+                    own.append({"lo": at, "hi": at + len(value), "value": value})
+                at += len(value) + len(rest)
+            out.append(own)
+        return pd.Series(out, dtype=object)
+
+    return F.pandas_udf(run, "array<struct<lo int, hi int, value string>>")(text)

@@ -22,8 +22,10 @@ LIFETIMES = ("bottom", "uninitialised", "owned", "borrowed", "moved", "freed", "
 
 def _grouped(insts: DataFrame, cfg: DataFrame, analyse, schema: str) -> DataFrame:
     ship(insts.sparkSession)
+    named = cfg.select(*(F.col(c).alias(f"edge_{c}") for c in cfg.columns))  # the two may come from one table, whose columns would be taken for one another
 
     def run(key: tuple, a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        b = b.rename(columns=lambda c: c.removeprefix("edge_"))
         blocks: dict[int, list] = {}
         for r in a.sort_values(["block", "pos"]).itertuples():
             whole = lambda v: None if pd.isna(v) else int(v)
@@ -34,7 +36,7 @@ def _grouped(insts: DataFrame, cfg: DataFrame, analyse, schema: str) -> DataFram
         rows = list(analyse(blocks, edges))
         return pd.DataFrame([(key[0] if key else None, *r) for r in rows], columns=[c.split()[0] for c in schema.split(", ")])
 
-    return insts.groupBy("func_id").cogroup(cfg.groupBy("func_id")).applyInPandas(run, schema)
+    return insts.groupBy("func_id").cogroup(named.groupBy("edge_func_id")).applyInPandas(run, schema)
 
 
 def worklist(blocks: dict, edges: dict, entry: dict, step, refine, join, widen_after: int = 8):
@@ -181,10 +183,15 @@ def lifetimes(insts: DataFrame, cfg: DataFrame) -> DataFrame:
     return _grouped(insts, cfg, run, "func_id long, block int, pos int, value int, problem string")
 
 
-def validate(insts: DataFrame, cfg: DataFrame) -> DataFrame:
+def validate(insts: DataFrame, cfg: DataFrame, phis: DataFrame | None = None) -> DataFrame:
     """(func_id, problem): functions to leave out: a place or value defined twice, a use without a definition, a jump to a
-    block that isn't there."""
-    places = insts.groupBy("func_id", "block", "pos").count().where("count > 1").select("func_id", F.lit("duplicate_instruction").alias("problem"))
+    block that isn't there. phis(func_id, block, dst, src, pred), a row for each way in, define values as well."""
+    if phis is not None:
+        none = lambda t: F.lit(None).cast(t)
+        made = phis.select("func_id", "block", "dst").distinct().select("func_id", "block", none("int").alias("pos"), F.lit("phi").alias("kind"), "dst", none("int").alias("src"), none("string").alias("op"), none("long").alias("const"))
+        read = phis.select("func_id", "block", none("int").alias("pos"), F.lit("phi").alias("kind"), none("int").alias("dst"), "src", none("string").alias("op"), none("long").alias("const"))
+        insts = insts.unionByName(made).unionByName(read)
+    places = insts.where("pos is not null").groupBy("func_id", "block", "pos").count().where("count > 1").select("func_id", F.lit("duplicate_instruction").alias("problem"))
     values = insts.where("dst is not null").groupBy("func_id", "dst").count().where("count > 1").select("func_id", F.lit("duplicate_value").alias("problem"))
     defined = insts.where("dst is not null").select("func_id", F.col("dst").alias("src")).distinct()
     uses = insts.where("src is not null").join(defined, ["func_id", "src"], "left_anti").select("func_id", F.lit("undefined_value").alias("problem"))

@@ -6,11 +6,12 @@ counter has to be handed out: the same fact gives the same node wherever it is b
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from factloom.operators import matching
-from factloom.operators.rows import first_wins
+from factloom.operators import graph, matching
+from factloom.session import ship, written
 
 #: How methods of containers move values between ports.
 CONTAINERS = [
@@ -132,5 +133,41 @@ def boundary_rules(mappings: DataFrame) -> DataFrame:
 
 
 def observations(rows: DataFrame) -> DataFrame:
-    """Observations (package, id, ordinal): of one package and id the first."""
-    return first_wins(rows, ["package", "id"], "ordinal")
+    """(package, ordinal, ids): observations rows(package, ids, ordinal) of a package folded in their order: one whose ids meet
+    those of an entry joins the first such entry, whose ids grow by its own; else it is an entry itself.
+
+    Entries can only meet along ids, so the connected groups of ids of a package are folded each by itself, as rows that stream
+    by in order. A group's entries are held, not its rows; of rows that have the same one id only the first changes anything
+    and is looked at."""
+    spark = rows.sparkSession
+    ship(spark)
+    named = rows.select("package", "ordinal", F.array_sort(F.array_distinct("ids")).alias("ids"))
+    single = named.where(F.size("ids") == 1).groupBy("package", "ids").agg(F.min("ordinal").alias("ordinal")).select(*named.columns)
+    todo = written(named.where(F.size("ids") != 1).unionByName(single), "observations")
+    of = lambda i: F.struct(F.col("package").alias("p"), i.alias("i"))
+    links = todo.where(F.size("ids") > 0).select(of(F.col("ids")[0]).alias("src"), F.explode(F.transform("ids", of)).alias("dst"))
+    groups = graph.components(links).select(F.col("node").alias("first"), F.to_json("root").alias("group"))
+    met = todo.where(F.size("ids") > 0).withColumn("first", of(F.col("ids")[0])).join(groups, "first").select("group", "ordinal", "package", "ids")
+    kind = {c: rows.schema[c].dataType.simpleString() for c in ("package", "ordinal", "ids")}
+
+    def fold(batches):
+        group, held = None, []
+        for frame in batches:
+            done = []
+            for r in frame.itertuples(index=False):
+                if r.group != group:
+                    done += held
+                    group, held = r.group, []
+                own = set(r.ids)
+                into = next((e for e in held if not own.isdisjoint(e[2])), None)
+                if into:
+                    into[2] |= own
+                else:
+                    held.append([r.package, r.ordinal, own])
+            if done:
+                yield pd.DataFrame([(a, b, sorted(c)) for a, b, c in done], columns=["package", "ordinal", "ids"])
+        if held:
+            yield pd.DataFrame([(a, b, sorted(c)) for a, b, c in held], columns=["package", "ordinal", "ids"])
+
+    folded = met.repartition("group").sortWithinPartitions("group", "ordinal").mapInPandas(fold, ", ".join(f"{c} {t}" for c, t in kind.items()))
+    return folded.unionByName(todo.where(F.size("ids") == 0).select("package", "ordinal", "ids"))

@@ -162,9 +162,9 @@ def strong_components(edges: DataFrame, local: int = LOCAL_EDGES) -> DataFrame:
     return found if found is not None else left.withColumn("root", F.col("node"))
 
 
-def reach_condensed(edges: DataFrame, sources: DataFrame, max_depth: int) -> tuple[DataFrame, str]:
-    """Like reach, but the depth counts strongly connected components: moves inside one are free."""
-    scc = strong_components(edges)
+def reach_condensed(edges: DataFrame, sources: DataFrame, max_depth: int, local: int = LOCAL_EDGES) -> tuple[DataFrame, str]:
+    """Like reach, but the depth counts strongly connected components: moves inside one are free. local: see strong_components."""
+    scc = written(strong_components(edges, local), "components")
     of = lambda c, to: scc.select(F.col("node").alias(c), F.col("root").alias(to))
     between = edges.join(of("src", "a"), "src").join(of("dst", "b"), "dst").where("a <> b").select(F.col("a").alias("src"), F.col("b").alias("dst"))
     start = sources.join(scc, "node", "left").select(F.coalesce("root", "node").alias("node"))

@@ -13,9 +13,10 @@ from __future__ import annotations
 from collections import deque
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from factloom.functions import risk
 from factloom.operators import graph
 from factloom.session import ship, written
 
@@ -125,6 +126,88 @@ def findings(flow_edges: DataFrame, sources: DataFrame, sinks: DataFrame, max_de
     return limited(found, limit)
 
 
+#: The parts of a search state besides its source: where it is, what it carries, and the call sites that it is within.
+_STATE = ["node", "labels", "stack", "cut"]
+ROUNDS = 10_000
+
+
+def _moved(at: DataFrame, edges: DataFrame, keep: list[str], calls: int) -> DataFrame:
+    """States a step on along edges(node, next, kind, site, remove, add): labels transformed, dead states dropped, sites pushed
+    where a call is entered and taken off where it is left, which only its own site may do."""
+    on = at.join(edges, "node")
+    enter, leave = F.col("kind") == "enter", F.col("kind") == "leave"
+    last, deep = F.try_element_at("stack", F.lit(-1)), F.size("stack") >= calls
+    on = on.where(~leave | last.isNull() | (last == F.col("site")))
+    pushed = F.concat("stack", F.array("site"))
+    stack = F.when(enter, F.when(deep, F.slice(pushed, 2, calls)).otherwise(pushed)).when(leave & last.isNotNull(), F.slice("stack", F.lit(1), F.greatest(F.size("stack") - 1, F.lit(0)))).otherwise(F.col("stack"))
+    nothing = F.array().cast("array<string>")
+    labels = risk.apply_labels(F.col("labels"), F.coalesce("remove", nothing), F.coalesce("add", nothing))
+    out = on.select(*keep, F.col("next").alias("node"), labels.alias("labels"), stack.alias("stack"), (F.col("cut") | enter & deep).alias("cut"))
+    return out.where(F.exists("labels", lambda k: ~F.startswith(k, F.lit("neutralized:"))))
+
+
+def _kind(c) -> Column:
+    return F.when(F.coalesce(F.trim(c), F.lit("")) == "", "generic").otherwise(F.trim(c))
+
+
+def search(flow_edges: DataFrame, sources: DataFrame, sinks: DataFrame, max_depth: int = 96, limit: int = FINDINGS) -> DataFrame:
+    """What findings() gives, searched for all sinks at once by joins, without a budget of states or attempts, so a sink is never
+    given up: each source rule once for each sink, from its first source from which there is a way, along the shortest way,
+    of several the one whose nodes come first.
+
+    First every state (rule, node, labels, sites) learns the first source that reaches it; a state is joined again only when
+    it has learnt of an earlier one, and there are as many states as rules tell apart, not as sources or sinks. What sinks
+    have learnt are the findings. Then the sources that are in one walk again, layer by layer, until their sinks are met; a
+    state keeps its smallest way."""
+    calls = min(max(max_depth, 8), 32)
+    inside = written(graph.slice_between(flow_edges.select("src", "dst"), sources.select("node"), sinks.select("node"), max_depth).select("node"), "slice")
+    keep = lambda c: inside.select(F.col("node").alias(c))
+    edges = flow_edges.join(keep("src"), "src", "left_semi").join(keep("dst"), "dst", "left_semi").select(F.col("src").alias("node"), F.col("dst").alias("next"), "kind", "site", "remove", "add")
+    edges = written(edges.distinct(), "sliced")
+    ends = written(sinks.join(inside, "node", "left_semi").select("node", F.col("rule_id").alias("sink_rule_id"), F.col("kind").alias("sink_kind"), "location").distinct(), "sinks")
+    site = edges.schema["site"].dataType.simpleString()
+    start = sources.join(inside, "node", "left_semi").select("rule_id", F.struct("node", "kind").alias("first"), "node", F.array(_kind(F.col("kind"))).alias("labels"), F.array().cast(f"array<{site}>").alias("stack"), F.lit(False).alias("cut"))
+    start = written(start.distinct(), "starts")
+
+    state = ["rule_id", *_STATE]
+    known = written(start.groupBy(*state).agg(F.min("first").alias("first")), "states")
+    new = known
+    for _ in range(ROUNDS):
+        on = _moved(new, edges, ["rule_id", "first"], calls).groupBy(*state).agg(F.min("first").alias("first"))
+        better = on.join(known.withColumnRenamed("first", "before"), state, "left").where("before is null or first < before").select(*state, "first")
+        new = written(better, "states")
+        if new.isEmpty():
+            break
+        known = written(known.unionByName(new).groupBy(*state).agg(F.min("first").alias("first")), "states")
+    else:
+        raise RuntimeError(f"states still change after {ROUNDS} rounds")
+    met = known.join(ends, "node").where(risk.live_for(F.col("labels"), _kind(F.col("sink_kind"))))
+    goals = met.groupBy("rule_id", "node", "sink_rule_id", "sink_kind", "location").agg(F.min("first").alias("first"))
+    goals = written(goals.withColumnRenamed("node", "sink"), "goals")
+
+    own = ["rule_id", "first"]
+    open_ = goals
+    layer = start.join(goals.select(*own).distinct(), own, "left_semi").withColumn("path", F.array("node"))
+    layer = written(layer.groupBy(*own, *_STATE).agg(F.min("path").alias("path")), "layer")
+    seen, found = layer.select(*own, *_STATE), None
+    for _ in range(ROUNDS):
+        at = layer.join(open_, (layer["rule_id"] == open_["rule_id"]) & (layer["first"] == open_["first"]) & (layer["node"] == open_["sink"])).where(risk.live_for(layer["labels"], _kind(open_["sink_kind"])))
+        at = at.select(*(open_[c] for c in goals.columns), "path", "cut").groupBy(*goals.columns).agg(F.min(F.struct("path", "cut")).alias("way"))
+        at = written(at, "met")
+        found = at if found is None else found.unionByName(at)
+        open_ = written(open_.join(at, goals.columns, "left_anti"), "open")
+        if open_.isEmpty():
+            break
+        on = _moved(layer.join(open_.select(*own).distinct(), own, "left_semi"), edges, [*own, "path"], calls).join(seen, [*own, *_STATE], "left_anti")
+        layer = written(on.withColumn("path", F.concat("path", F.array("node"))).groupBy(*own, *_STATE).agg(F.min("path").alias("path")), "layer")
+        seen = seen.unionByName(layer.select(*own, *_STATE))
+    out = found.select(
+        F.col("rule_id").alias("source_rule_id"), "sink_rule_id", F.col("first.kind").alias("source_kind"), "sink_kind", F.col("first.node").alias("source_node"), F.col("sink").alias("sink_node"),
+        "location", F.col("way.path").alias("path"), F.when(F.col("way.cut"), "context_limit").otherwise("complete").alias("completeness"),
+    )
+    return limited(out, limit)
+
+
 def limited(found: DataFrame, limit: int) -> DataFrame:
     """The first `limit` findings, and in the place of the next one, if there is one, the limit row."""
     order = ["source_node", "sink_node", "source_rule_id", "sink_rule_id", "location"]
@@ -138,19 +221,13 @@ def steps(found: DataFrame) -> DataFrame:
     return found.select("source_rule_id", "sink_rule_id", "sink_node", F.posexplode("path").alias("step", "node"))
 
 
-def kind_closure(transforms: list[tuple[str, str]]) -> dict[str, set[str]]:
-    """The kinds that a kind can become by any transforms, wherever they stand."""
-    out: dict[str, set[str]] = {}
-    for kind in {k for t in transforms for k in t}:
-        seen, queue = {kind}, [kind]
-        while queue:
-            k = queue.pop()
-            for a, b in transforms:
-                if a == k and b not in seen:
-                    seen.add(b)
-                    queue.append(b)
-        out[kind] = seen
-    return out
+def kind_closure(transforms: DataFrame, rounds: int = 100) -> DataFrame:
+    """(kind, becomes) of transforms(a, b): the kinds that a kind can become by any transforms, wherever they stand, itself
+    included."""
+    kinds = transforms.select(F.col("a").alias("k")).union(transforms.select("b")).where("k is not null").distinct()
+    same = kinds.select(F.col("k").alias("sub"), F.col("k").alias("super"), F.lit(0).alias("steps"))
+    found = graph.pairs_within(same, transforms.select(F.col("a").alias("src"), F.col("b").alias("dst")), rounds)
+    return found.select(F.col("sub").alias("kind"), F.col("super").alias("becomes"))
 
 
 #: Depth and visits of the four query profiles, backward; the light one is smaller forward.
@@ -167,19 +244,29 @@ def plan_query(nodes: int, edges: int, backward: bool, condensed: bool, profile:
 
 def fold_by_location(found: DataFrame) -> DataFrame:
     """Findings (location, cwe array, ordinal) at one location whose weaknesses overlap, or of which one has none, fold into
-    the first that fits, in their order."""
+    the first that fits, in their order. The rows of a location stream by; what it has become is held."""
     ship(found.sparkSession)
 
-    def fold(rows: pd.DataFrame) -> pd.DataFrame:
-        kept: list[list] = []
-        for r in rows.sort_values("ordinal").itertuples():
-            cwe = set(r.cwe if r.cwe is not None else ())
-            into = next((k for k in kept if not k[1] or not cwe or k[1] & cwe), None)
-            if into:
-                into[1] |= cwe
-                into[3] += 1
-            else:
-                kept.append([r.location, cwe, r.ordinal, 1])
-        return pd.DataFrame([(a, sorted(b), c, d) for a, b, c, d in kept], columns=["location", "cwe", "ordinal", "merged"])
-
-    return found.groupBy("location").applyInPandas(fold, "location string, cwe array<string>, ordinal long, merged int")
+    def fold(batches):
+        at, kept = None, []
+        done = lambda rows: pd.DataFrame([(a, sorted(b), c, d) for a, b, c, d in rows], columns=["location", "cwe", "ordinal", "merged"])
+        for frame in batches:
+            out = []
+            for r in frame.itertuples(index=False):
+                if r.location != at:
+                    out += kept
+                    at, kept = r.location, []
+                cwe = set(r.cwe if r.cwe is not None else ())
+                into = next((k for k in kept if not k[1] or not cwe or k[1] & cwe), None)
+                if into:
+                    into[1] |= cwe
+                    into[3] += 1
+                else:
+                    kept.append([r.location, cwe, r.ordinal, 1])
+            if out:
+                yield done(out)
+        if kept:
+            yield done(kept)
+
+    rows = found.select("location", "cwe", "ordinal").repartition("location").sortWithinPartitions("location", "ordinal")
+    return rows.mapInPandas(fold, "location string, cwe array<string>, ordinal long, merged int")

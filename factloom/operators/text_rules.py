@@ -25,7 +25,7 @@ MALWARE = [
 
 def scan(files: DataFrame, rules: DataFrame) -> DataFrame:
     """files(language, path, content) x rules: (rule_id, path, line, col, excerpt, match, severity, cwe, message), once for
-    equal places. A rule gives its first match in a line.
+    equal places. A rule gives all its matches in a line, one after the other.
 
     Rule packs are configuration, hundreds to thousands of rows, and are read on the driver; all of them become one array
     expression over a line, so a line is read once and no rule is joined to it. Views are only made if a rule looks at
@@ -45,14 +45,14 @@ def scan(files: DataFrame, rules: DataFrame) -> DataFrame:
             fits = (F.col("language") == r["language"]) & fits
         if r["path_pattern"] is not None:
             fits = F.col("path").rlike(r["path_pattern"]) & fits
-        match = F.regexp_substr(seen, F.lit(r["pattern"]))
         given = {"rule_id": r["id"], "severity": r["severity"], "cwe": r["cwe"], "message": r["message"]}
-        return F.when(fits, F.struct(match.alias("match"), F.instr(seen, match).alias("col"), *(F.lit(v).cast("string").alias(k) for k, v in given.items())))
+        return F.when(fits, F.struct(masks.marked(seen, r["pattern"]).alias("marked"), *(F.lit(v).cast("string").alias(k) for k, v in given.items())))
 
     if not packs:
         return rows.select(F.lit("").alias("rule_id"), "path", (F.col("n") + 1).alias("line"), F.lit(0).alias("col"), F.lit("").alias("excerpt"), F.lit("").alias("match"), *(F.lit("").alias(c) for c in ("severity", "cwe", "message"))).where("false")
     hits = rows.select("path", "n", "l.raw", F.explode(F.array_compact(F.array(*map(found, packs)))).alias("h"))
-    return hits.select("h.rule_id", "path", (F.col("n") + 1).alias("line"), "h.col", F.col("raw").alias("excerpt"), "h.match", "h.severity", "h.cwe", "h.message")
+    hits = hits.withColumn("m", F.explode(masks.places(F.col("h.marked"))))
+    return hits.select("h.rule_id", "path", (F.col("n") + 1).alias("line"), (F.col("m.lo") + 1).alias("col"), F.col("raw").alias("excerpt"), F.col("m.value").alias("match"), "h.severity", "h.cwe", "h.message")
 
 
 def scan_tokens(files: DataFrame, kind: str, pattern: str) -> DataFrame:
@@ -70,9 +70,10 @@ def malware(files: DataFrame) -> DataFrame:
 
 
 def search_pattern(pattern: str) -> str:
-    """A search pattern with metavariables ($X, repeated ones must agree) and `...` as a regular expression."""
+    """A search pattern with metavariables ($X, repeated ones must agree) and `...` as a regular expression. White space around
+    signs is free, but not before and after the whole."""
     out, seen = [], set()
-    for part in re.split(r"(\$[A-Z_]+|\.\.\.|\s+)", pattern):
+    for part in re.split(r"(\$[A-Z_]+|\.\.\.|\s+)", pattern.strip()):
         if part == "...":
             out.append(r"[\s\S]*?")
         elif part.startswith("$"):
@@ -83,20 +84,30 @@ def search_pattern(pattern: str) -> str:
             out.append(r"\s+")
         else:
             out.append(re.sub(r"([^\w])", r"\\s*\\\1\\s*", part) if part else "")
-    return "".join(out)
+    return re.sub(r"^(\\s\*)+|(\\s\*)+$", "", "".join(out))
 
 
-def search(files: DataFrame, either: list[str], inside: str | None = None, without: list[str] = ()) -> DataFrame:
-    """(path, line, match): code that fits one pattern, lies in a file where `inside` fits, and fits none of `without`."""
+def search(files: DataFrame, either: list[str], inside: list[str] = (), without: list[str] = (), outside: list[str] = ()) -> DataFrame:
+    """(path, line, match): code that fits one pattern, every time it does; it lies within a match of each pattern of `inside`,
+    within none of `outside`, and no match of `without` overlaps it. Matches are ranges of a file, compared where they stand."""
     ship(files.sparkSession)
-    text = masks.masked("language", "content")
-    rows = files.select("path", text.alias("code"))
-    if inside:
-        rows = rows.where(F.col("code").rlike(search_pattern(inside)))
-    found = rows.select("path", "code", F.explode(F.array_distinct(F.flatten(F.array(*(F.regexp_extract_all("code", F.lit(search_pattern(p)), 0) for p in either))))).alias("match"))
-    for p in without:
-        found = found.where(~F.col("match").rlike(search_pattern(p)))
-    return found.select("path", masks.line_and_column(F.col("code"), F.expr("position(match, code) - 1"))[0].alias("line"), "match")
+
+    def ranges(p: str) -> Column:
+        return masks.places(masks.marked(F.col("code"), search_pattern(p)))
+
+    some = lambda name, test: F.exists(F.col(name), test)
+    groups = {"met": either, **{f"in{k}": [p] for k, p in enumerate(inside)}, "bad": without, "out": outside}
+    rows = files.select("path", masks.masked("language", "content").alias("code"))
+    rows = rows.where(F.greatest(*(F.col("code").rlike(search_pattern(p)) for p in [*either, *either])))
+    none = F.array().cast("array<struct<lo int, hi int, value string>>")
+    rows = rows.withColumns({name: F.array_distinct(F.flatten(F.array(*map(ranges, patterns)))) if patterns else none for name, patterns in groups.items()})
+    rows = rows.withColumn("m", F.explode("met"))
+    for name in groups:
+        if name.startswith("in"):
+            rows = rows.where(some(name, lambda r: (r["lo"] <= F.col("m.lo")) & (r["hi"] >= F.col("m.hi"))))
+    rows = rows.where(~some("out", lambda r: (r["lo"] <= F.col("m.lo")) & (r["hi"] >= F.col("m.hi"))))
+    rows = rows.where(~some("bad", lambda r: (r["lo"] < F.col("m.hi")) & (F.col("m.lo") < r["hi"])))
+    return rows.select("path", masks.line_and_column(F.col("code"), F.col("m.lo"))[0].alias("line"), F.col("m.value").alias("match"))
 
 
 def references(rows: DataFrame, key: str, text: str, pattern: str, group: int) -> DataFrame:

@@ -75,8 +75,8 @@ e AS (SELECT DISTINCT 'c' || o_custkey AS src, 'o' || o_orderkey AS dst FROM ord
 UNION SELECT DISTINCT 'o' || l_orderkey, 'p' || l_partkey FROM lineitem
 UNION SELECT DISTINCT 'p' || l_partkey, 's' || l_suppkey FROM lineitem)
 """
-SOURCES_SQL = "SELECT 'c' || c_custkey AS node FROM customer WHERE c_mktsegment = 'BUILDING' AND c_nationkey = 3"
-SINKS_SQL = "SELECT 's' || s_suppkey AS node FROM supplier WHERE s_nationkey = 7"
+SOURCES_SQL = "SELECT 'c' || c_custkey AS node FROM customer WHERE c_mktsegment = 'BUILDING'"
+SINKS_SQL = "SELECT 's' || s_suppkey AS node FROM supplier"
 
 
 def trade_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -88,8 +88,8 @@ def trade_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def trade_ends(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    sources = table(spark, sf_dir, "customer").where("c_mktsegment = 'BUILDING' and c_nationkey = 3").select(F.concat(F.lit("c"), F.col("c_custkey").cast("string")).alias("node"))
-    return sources, table(spark, sf_dir, "supplier").where("s_nationkey = 7").select(F.concat(F.lit("s"), F.col("s_suppkey").cast("string")).alias("node"))
+    sources = table(spark, sf_dir, "customer").where("c_mktsegment = 'BUILDING'").select(F.concat(F.lit("c"), F.col("c_custkey").cast("string")).alias("node"))
+    return sources, table(spark, sf_dir, "supplier").select(F.concat(F.lit("s"), F.col("s_suppkey").cast("string")).alias("node"))
 
 
 @query(f"""

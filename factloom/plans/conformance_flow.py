@@ -163,11 +163,18 @@ def boundary_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-SELECT user_id AS package, event_type AS id, min(event_id) AS ordinal FROM events GROUP BY ALL
+WITH o AS (SELECT user_id, list(list_sort(list_distinct([event_type || event_id % 5, 'v' || event_id % 9, 't' || event_id % 4][1:1 + event_id % 3])) ORDER BY event_id) AS all_ids, list(event_id ORDER BY event_id) AS pos FROM events GROUP BY user_id),
+p AS (SELECT user_id, list_transform(range(1, len(pos) + 1), lambda i: {'pos': pos[i], 'ids': all_ids[i]}) AS x FROM o),
+f AS (SELECT user_id, list_reduce(x, lambda acc, y: CASE WHEN list_position(list_transform(acc, lambda e: list_has_any(e.ids, y[1].ids)), TRUE) IS NULL THEN list_concat(acc, y)
+ELSE list_transform(acc, lambda e, i: CASE WHEN i = list_position(list_transform(acc, lambda e: list_has_any(e.ids, y[1].ids)), TRUE) THEN {'pos': e.pos, 'ids': list_sort(list_distinct(list_concat(e.ids, y[1].ids)))} ELSE e END) END, []) AS acc FROM (SELECT user_id, list_transform(x, lambda e: [e]) AS x FROM p))
+SELECT user_id AS package, e.pos AS ordinal, array_to_string(e.ids, ',') AS ids FROM (SELECT user_id, unnest(acc) AS e FROM f)
 """)
 def observation_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Observations of a package: each problem once."""
-    return flow.observations(table(spark, sf_dir, "events").select(F.col("user_id").alias("package"), F.col("event_type").alias("id"), F.col("event_id").alias("ordinal")))
+    """Observations of a package whose sets of ids overlap, folded in their order."""
+    k = F.col("event_id")
+    ids = F.slice(F.array(F.concat("event_type", _text(k % 5)), F.concat(F.lit("v"), _text(k % 9)), F.concat(F.lit("t"), _text(k % 4))), 1, (1 + k % 3).cast("int"))
+    rows = table(spark, sf_dir, "events").select(F.col("user_id").alias("package"), ids.alias("ids"), k.alias("ordinal"))
+    return flow.observations(rows).select("package", "ordinal", F.array_join("ids", ",").alias("ids"))
 
 
 @query("""
@@ -239,13 +246,15 @@ def system_graph_export(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""
-WITH {EDGES_SQL.strip()}, r AS (SELECT 'c' || c_custkey AS node FROM customer WHERE c_custkey % 25 = 0), p1 AS (SELECT dst AS node, min(src) AS p FROM e JOIN r ON src = node GROUP BY dst)
-SELECT node AS function, p || '>' || node AS path, CAST(1 AS INTEGER) AS depth FROM p1 UNION ALL SELECT node, node, 0 FROM r
+WITH {EDGES_SQL.strip()}, r AS (SELECT 'c' || c_custkey AS node FROM customer), p1 AS (SELECT dst AS node, min(src) AS p FROM e JOIN r ON src = node GROUP BY dst), p2 AS (SELECT dst AS node, min(src) AS p FROM e JOIN p1 ON src = node GROUP BY dst),
+p3 AS (SELECT dst AS node, min(src) AS p FROM e JOIN p2 ON src = node GROUP BY dst)
+SELECT node AS function, node AS path, CAST(0 AS INTEGER) AS depth FROM r UNION ALL SELECT node, p || '>' || node, 1 FROM p1 UNION ALL SELECT p2.node, p1.p || '>' || p2.p || '>' || p2.node, 2 FROM p2 JOIN p1 ON p1.node = p2.p
+UNION ALL SELECT p3.node, p1.p || '>' || p2.p || '>' || p3.p || '>' || p3.node, 3 FROM p3 JOIN p2 ON p2.node = p3.p JOIN p1 ON p1.node = p2.p
 """)
 def call_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Shortest call paths from entries."""
-    entries = table(spark, sf_dir, "customer").where("c_custkey % 25 = 0").select(F.concat(F.lit("c"), _text(F.col("c_custkey"))).alias("node"))
-    return graph.shortest_paths(trade_edges(spark, sf_dir), entries, 1).select(F.col("node").alias("function"), F.array_join("path", ">").alias("path"), "depth")
+    """Shortest call paths from entries, to any depth that there is."""
+    entries = table(spark, sf_dir, "customer").select(F.concat(F.lit("c"), _text(F.col("c_custkey"))).alias("node"))
+    return graph.shortest_paths(trade_edges(spark, sf_dir), entries, 4).select(F.col("node").alias("function"), F.array_join("path", ">").alias("path"), "depth")
 
 
 @query("""
@@ -262,12 +271,12 @@ def region_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-WITH RECURSIVE e AS (SELECT DISTINCT l_returnflag AS ctx, l_partkey % 40 AS src, l_suppkey % 40 AS dst FROM lineitem WHERE l_quantity = 17), s AS (SELECT DISTINCT ctx, src AS node, 'o' || src % 3 AS fact FROM e WHERE src < 6),
+WITH RECURSIVE e AS (SELECT DISTINCT l_orderkey % 1000 AS ctx, l_partkey % 40 AS src, l_suppkey % 40 AS dst FROM lineitem), s AS (SELECT DISTINCT ctx, src AS node, 'o' || src % 3 AS fact FROM e WHERE src < 6),
 f(ctx, node, fact) AS (SELECT ctx, node, fact FROM s UNION SELECT f.ctx, e.dst, fact FROM f JOIN e ON e.ctx = f.ctx AND e.src = f.node)
 SELECT ctx, node, fact FROM f
 """)
 def contextual_points_to(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Objects that values may point to, context by context."""
-    edges = table(spark, sf_dir, "lineitem").where("l_quantity = 17").select(F.col("l_returnflag").alias("ctx"), (F.col("l_partkey") % 40).alias("src"), (F.col("l_suppkey") % 40).alias("dst"))
+    edges = table(spark, sf_dir, "lineitem").select((F.col("l_orderkey") % 1000).alias("ctx"), (F.col("l_partkey") % 40).alias("src"), (F.col("l_suppkey") % 40).alias("dst"))
     seeds = edges.where("src < 6").select("ctx", F.col("src").alias("node"), F.concat(F.lit("o"), _text(F.col("src") % 3)).alias("fact"))
     return graph.propagate_in_context(seeds, edges)

@@ -58,15 +58,23 @@ def reach_condensed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.reach_condensed(edges, starts, 3)[0]
 
 
+@query(ORACLES["reach_condensed"])
+def reach_condensed_coloured(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same over components by colouring, as for graphs that one task can't hold."""
+    edges = written(all_hops(spark, sf_dir), "hops")
+    signed = table(spark, sf_dir, "events").where("event_type = 'signup'").select(F.col("user_id").alias("node"))
+    starts = edges.select(F.col("src").alias("node")).union(edges.select("dst")).join(signed, "node", "left_semi")
+    return graph.reach_condensed(edges, starts, 3, local=0)[0]
+
+
 @query(f"""
 WITH RECURSIVE {EDGES_SQL.strip()},
-f(node, fact) AS (SELECT 'c' || c_custkey, c_mktsegment FROM customer WHERE c_nationkey = 3 UNION SELECT dst, fact FROM f JOIN e ON src = node)
+f(node, fact) AS (SELECT 'c' || c_custkey, c_mktsegment FROM customer UNION SELECT dst, fact FROM f JOIN e ON src = node)
 SELECT node, fact FROM f
 """)
 def propagate_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Points-to propagation: which segments' customers reach each node."""
-    customers = table(spark, sf_dir, "customer").where("c_nationkey = 3")
-    seeds = customers.select(F.concat(F.lit("c"), F.col("c_custkey").cast("string")).alias("node"), F.col("c_mktsegment").alias("fact"))
+    seeds = table(spark, sf_dir, "customer").select(F.concat(F.lit("c"), F.col("c_custkey").cast("string")).alias("node"), F.col("c_mktsegment").alias("fact"))
     return graph.propagate(seeds, trade_edges(spark, sf_dir))
 
 
@@ -87,7 +95,7 @@ WITNESS_SQL = f"""
 WITH {EDGES_SQL.strip()}, s0 AS ({SOURCES_SQL}), k AS ({SINKS_SQL}),
 w AS (SELECT k.node AS sink, a.src AS c, a.dst AS o, b.dst AS p FROM k JOIN e d ON d.dst = k.node JOIN e b ON b.dst = d.src JOIN e a ON a.dst = b.src JOIN s0 ON s0.node = a.src),
 m AS (SELECT sink, min(struct_pack(c := {_NUMBER("c")}, o := {_NUMBER("o")}, p := {_NUMBER("p")})) AS m FROM w GROUP BY sink)
-SELECT 'segment' AS source_rule_id, 'nation' AS sink_rule_id, sink AS location, m.c AS source_node, {_NUMBER("sink")} AS sink_node, m.c || '>' || m.o || '>' || m.p || '>' || {_NUMBER("sink")} AS path, 'complete' AS completeness FROM m
+SELECT 'segment' AS source_rule_id, 'supplier' AS sink_rule_id, sink AS location, m.c AS source_node, {_NUMBER("sink")} AS sink_node, m.c || '>' || m.o || '>' || m.p || '>' || {_NUMBER("sink")} AS path, 'complete' AS completeness FROM m
 """
 
 
@@ -104,52 +112,56 @@ def witnesses(spark: SparkSession, sf_dir: str, sources: DataFrame, sinks: DataF
     none = F.lit(None).cast("array<string>")
     flow = edges.distinct().select(number("src").alias("src"), number("dst").alias("dst"), F.lit("flow").alias("kind"), F.lit(None).cast("long").alias("site"), none.alias("remove"), none.alias("add"))
     s = sources.select(number("node").alias("node"), F.lit("segment").alias("rule_id"), F.lit("generic").alias("kind"))
-    k = sinks.select(number("node").alias("node"), F.lit("nation").alias("rule_id"), F.lit("generic").alias("kind"), F.col("node").alias("location"))
-    found = taint.findings(flow, s, k, 3)
+    k = sinks.select(number("node").alias("node"), F.lit("supplier").alias("rule_id"), F.lit("generic").alias("kind"), F.col("node").alias("location"))
+    found = taint.search(flow, s, k, 3)
     return found.select("source_rule_id", "sink_rule_id", "location", "source_node", "sink_node", F.array_join(F.transform("path", lambda n: n.cast("string")), ">").alias("path"), "completeness")
 
 
-# --- the walks from all customers of the segment, of every nation; SQL as above without the nation ------------------
-def segment(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "customer").where("c_mktsegment = 'BUILDING'").select(F.concat(F.lit("c"), F.col("c_custkey").cast("string")).alias("node"))
+# --- the walks from all customers, of every segment; SQL as above without the segment --------------------------------
+def everyone(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "customer").select(F.concat(F.lit("c"), F.col("c_custkey").cast("string")).alias("node"))
 
 
-def every_nation(name: str) -> str:
-    return ORACLES[name].replace(" AND c_nationkey = 3", "").replace(" WHERE c_nationkey = 3", "")
+def every_segment(name: str) -> str:
+    return ORACLES[name].replace(" WHERE c_mktsegment = 'BUILDING'", "")
 
 
-@query(every_nation("reach_bounded"))
+@query(every_segment("reach_bounded"))
 def reach_bounded_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What all customers of the segment reach in two steps."""
-    found, _ = graph.reach(trade_edges(spark, sf_dir), segment(spark, sf_dir), 2, probe=False)
+    """What all customers reach in two steps."""
+    found, _ = graph.reach(trade_edges(spark, sf_dir), everyone(spark, sf_dir), 2, probe=False)
     return found.select("node", F.col("depth").cast("long").alias("depth"))
 
 
-@query(every_nation("taint_reach_pairs"))
+@query(every_segment("taint_reach_pairs"))
 def taint_reach_pairs_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The nodes on ways from all customers of the segment to sink suppliers."""
-    found = graph.slice_between(trade_edges(spark, sf_dir), segment(spark, sf_dir), trade_ends(spark, sf_dir)[1], 3)
+    """The nodes on ways from all customers to sink suppliers."""
+    found = graph.slice_between(trade_edges(spark, sf_dir), everyone(spark, sf_dir), trade_ends(spark, sf_dir)[1], 3)
     return found.select("node", F.col("fwd_depth").cast("long").alias("fwd_depth"), F.col("bwd_depth").cast("long").alias("bwd_depth"))
 
 
-@query(every_nation("shortest_dep_path"))
+@query(every_segment("shortest_dep_path"))
 def shortest_dep_path_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A shortest way from all customers of the segment to each supplier, the smallest parent first."""
-    found = graph.shortest_paths(trade_edges(spark, sf_dir), segment(spark, sf_dir), 3)
+    """A shortest way from all customers to each supplier, the smallest parent first."""
+    found = graph.shortest_paths(trade_edges(spark, sf_dir), everyone(spark, sf_dir), 3)
     return found.where(F.startswith("node", F.lit("s"))).select("node", F.array_join("path", ">").alias("path"))
 
 
-@query(every_nation("propagate_facts"))
+@query(f"""
+WITH RECURSIVE {EDGES_SQL.strip()},
+f(node, fact) AS (SELECT 'c' || c_custkey, 'n' || c_nationkey FROM customer UNION SELECT dst, fact FROM f JOIN e ON src = node)
+SELECT node, fact FROM f
+""")
 def propagate_facts_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Points-to propagation: which segments' customers, of all nations, reach each node."""
-    seeds = table(spark, sf_dir, "customer").select(F.concat(F.lit("c"), F.col("c_custkey").cast("string")).alias("node"), F.col("c_mktsegment").alias("fact"))
+    """Points-to propagation: which nations' customers reach each node."""
+    seeds = table(spark, sf_dir, "customer").select(F.concat(F.lit("c"), F.col("c_custkey").cast("string")).alias("node"), F.concat(F.lit("n"), F.col("c_nationkey").cast("string")).alias("fact"))
     return graph.propagate(seeds, trade_edges(spark, sf_dir))
 
 
-@query(every_nation("witness_findings"))
+@query(every_segment("witness_findings"))
 def witness_findings_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Taint findings from all customers of the segment."""
-    return witnesses(spark, sf_dir, segment(spark, sf_dir), trade_ends(spark, sf_dir)[1])
+    """Taint findings from all customers."""
+    return witnesses(spark, sf_dir, everyone(spark, sf_dir), trade_ends(spark, sf_dir)[1])
 
 
 @query("""

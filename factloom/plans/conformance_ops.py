@@ -23,14 +23,15 @@ def pages_of(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 # --- scans over text -------------------------------------------------------------------------------------------------
-LINE_RULES = [("token", 'token = "[0-9a-f]{40}"', None), ("address", "[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+[.][A-Za-z]+", None), ("host", "[0-9]+[.][0-9]+[.][0-9]+[.][0-9]+", None), ("licence", "(MIT License|Apache License|GPL|[Cc]opyright)", None), ("shout", "[A-Z]{4,}!!", "[02468]$")]
+LINE_RULES = [("a word", "[Tt]h[a-z]+", "7$"), ("token", 'token = "[0-9a-f]{40}"', None), ("address", "[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+[.][A-Za-z]+", None), ("host", "[0-9]+[.][0-9]+[.][0-9]+[.][0-9]+", None), ("licence", "(MIT License|Apache License|GPL|[Cc]opyright)", None), ("shout", "[A-Z]{4,}!!", "[02468]$")]
 
 
 @query(f"""
 WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS line_no FROM documents),
-r(rule_id, pattern, places) AS (VALUES {values(LINE_RULES)})
-SELECT doc_id, line_no, rule_id, regexp_extract(line, pattern) AS excerpt, CAST(strpos(line, regexp_extract(line, pattern)) AS BIGINT) AS col
-FROM l JOIN r ON regexp_matches(line, pattern) AND (places IS NULL OR regexp_matches(CAST(doc_id AS VARCHAR), places))
+r(rule_id, pattern, places) AS (VALUES {values(LINE_RULES)}),
+h AS (SELECT doc_id, line_no, rule_id, string_split(regexp_replace(line, pattern, chr(57344) || '\\0' || chr(57345), 'g'), chr(57344)) AS parts
+FROM l JOIN r ON regexp_matches(line, pattern) AND (places IS NULL OR regexp_matches(CAST(doc_id AS VARCHAR), places))), x AS (SELECT *, unnest(range(2, len(parts) + 1)) AS k FROM h)
+SELECT doc_id, line_no, rule_id, split_part(parts[k], chr(57345), 1) AS excerpt, CAST(length(replace(array_to_string(parts[1:k - 1], ''), chr(57345), '')) + 1 AS BIGINT) AS col FROM x
 """)
 def rule_scan_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Line rules over texts, one of them for some paths only."""
@@ -123,13 +124,24 @@ def malware_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(r"""
-WITH m AS (SELECT doc_id, unnest(regexp_extract_all(text, '(?:token|secret)\s+=\s+[\w.\[\]''"]+')) AS m FROM documents)
-SELECT DISTINCT doc_id, m AS match FROM m WHERE NOT regexp_matches(m, '"0')
+WITH h AS (SELECT doc_id, string_split(regexp_replace(text, '(?:token|secret)\s+=\s+[\w.\[\]''"]+', chr(57344) || '\0' || chr(57345), 'g'), chr(57344)) AS parts FROM documents),
+x AS (SELECT *, unnest(range(2, len(parts) + 1)) AS k FROM h), m AS (SELECT doc_id, split_part(parts[k], chr(57345), 1) AS match, len(string_split(array_to_string(parts[1:k - 1], ''), chr(10))) AS line FROM x)
+SELECT doc_id, CAST(line AS INTEGER) AS line, match FROM m WHERE NOT regexp_matches(match, '"0')
 """)
 def search_patterns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Code search by patterns with a metavariable: either of two, without one."""
+    """Code search by patterns with a metavariable: either of two, without one; every place of theirs."""
     found = text_rules.search(files_of(spark, sf_dir), ["token = $VALUE", "secret = $VALUE"], without=['"0'])
-    return found.select(F.col("path").cast("long").alias("doc_id"), "match").distinct()
+    return found.select(F.col("path").cast("long").alias("doc_id"), "line", "match")
+
+
+@query(r"""
+WITH p AS (SELECT page_id, regexp_replace(html, '(?s)<!--.*?-->|<script[^>]*>.*?</script>', '', 'g') AS t FROM pages), n AS (SELECT page_id, unnest(regexp_extract_all(t, '(?s)<\s*nav\s*>.*?<\s*/\s*nav\s*>')) AS t FROM p)
+SELECT page_id, m AS match, count(*) AS n FROM (SELECT page_id, unnest(regexp_extract_all(t, 'href\s*=\s*"\s*/\s*[\w.\[\]''"]+')) AS m FROM n) GROUP BY ALL
+""")
+def search_inside(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Search matches within the range of another pattern's match: addresses within a page's navigation."""
+    found = text_rules.search(pages_of(spark, sf_dir), ['href="/$WHERE'], inside=["<nav>...</nav>"])
+    return found.groupBy(F.col("path").cast("long").alias("page_id"), "match").agg(F.count("*").alias("n"))
 
 
 @query("""
@@ -260,14 +272,14 @@ def rule_set_union(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-WITH RECURSIVE needs AS (SELECT DISTINCT CAST(l_partkey AS VARCHAR) AS id, CAST(l_partkey + l_suppkey % 3 + 1 AS VARCHAR) AS needed FROM lineitem WHERE l_partkey % 5 = 0),
+WITH RECURSIVE needs AS (SELECT DISTINCT CAST(l_partkey AS VARCHAR) AS id, CAST(l_partkey * 3 + l_suppkey % 3 AS VARCHAR) AS needed FROM lineitem),
 r(node) AS (SELECT CAST(p_partkey AS VARCHAR) FROM part WHERE p_partkey IN (5, 10, 15) UNION SELECT needed FROM r JOIN needs ON id = node)
 SELECT p_partkey FROM part WHERE CAST(p_partkey AS VARCHAR) IN (SELECT node FROM r)
 """)
 def rule_retention(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The wanted rules and what they need."""
     rules = table(spark, sf_dir, "part").select(F.col("p_partkey").cast("string").alias("id"), "p_partkey")
-    needs = table(spark, sf_dir, "lineitem").where("l_partkey % 5 = 0").select(F.col("l_partkey").cast("string").alias("id"), (F.col("l_partkey") + F.col("l_suppkey") % 3 + 1).cast("string").alias("needed"))
+    needs = table(spark, sf_dir, "lineitem").select(F.col("l_partkey").cast("string").alias("id"), (F.col("l_partkey") * 3 + F.col("l_suppkey") % 3).cast("string").alias("needed"))
     return rulesets.retain(rules, needs, ["5", "10", "15"]).select("p_partkey")
 
 
@@ -330,17 +342,15 @@ def candidate_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", F.explode(calls.candidate_names(text.host(F.col("url")))).alias("name"))
 
 
-@query(f"""
-WITH RECURSIVE {EDGES_SQL.strip()},
-f(node, fact) AS (SELECT 'c' || c_custkey, 'f' || c_custkey FROM customer WHERE c_custkey % 20 = 0 UNION SELECT dst, fact FROM f JOIN e ON src = node)
-SELECT DISTINCT node AS call, fact AS function FROM f WHERE node LIKE 's%'
+@query("""
+SELECT DISTINCT 'p' || l_partkey AS call, 'f' || c_custkey AS function FROM customer JOIN orders ON o_custkey = c_custkey JOIN lineitem ON l_orderkey = o_orderkey JOIN part ON p_partkey = l_partkey
 """)
 def dynamic_call_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Function values that reach calls along the trade graph."""
+    """Function values that reach calls: customers' along the trade graph to parts."""
     named = lambda p, c: F.concat(F.lit(p), F.col(c).cast("string"))
-    functions = table(spark, sf_dir, "customer").where("c_custkey % 20 = 0").select(named("c", "c_custkey").alias("node"), named("f", "c_custkey").alias("function"))
-    callees = table(spark, sf_dir, "supplier").select(named("s", "s_suppkey").alias("call"), named("s", "s_suppkey").alias("node"))
-    return calls.dynamic_calls(callees, functions, trade_edges(spark, sf_dir))
+    functions = table(spark, sf_dir, "customer").select(named("c", "c_custkey").alias("node"), named("f", "c_custkey").alias("function"))
+    callees = table(spark, sf_dir, "part").select(named("p", "p_partkey").alias("call"), named("p", "p_partkey").alias("node"))
+    return calls.dynamic_calls(callees, functions, trade_edges(spark, sf_dir).where(~F.startswith("dst", F.lit("s"))))
 
 
 @query("""
@@ -483,13 +493,13 @@ def demand_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-WITH RECURSIVE e AS (SELECT DISTINCT l_returnflag AS ctx, l_partkey % 50 AS src, l_suppkey % 50 AS dst FROM lineitem WHERE l_quantity = 13),
+WITH RECURSIVE e AS (SELECT DISTINCT l_orderkey % 1000 AS ctx, l_partkey % 50 AS src, l_suppkey % 50 AS dst FROM lineitem),
 r(ctx, node, depth) AS (SELECT DISTINCT ctx, src, 0 FROM e WHERE src < 5 UNION SELECT e.ctx, e.dst, depth + 1 FROM r JOIN e ON e.ctx = r.ctx AND e.src = r.node WHERE depth < 3)
 SELECT ctx, node, min(depth) AS depth FROM r GROUP BY ALL
 """)
 def contextual_reach(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Reachability that keeps to one context."""
-    edges = table(spark, sf_dir, "lineitem").where("l_quantity = 13").select(F.col("l_returnflag").alias("ctx"), (F.col("l_partkey") % 50).alias("src"), (F.col("l_suppkey") % 50).alias("dst"))
+    edges = table(spark, sf_dir, "lineitem").select((F.col("l_orderkey") % 1000).alias("ctx"), (F.col("l_partkey") % 50).alias("src"), (F.col("l_suppkey") % 50).alias("dst"))
     return graph.in_context(edges, edges.where("src < 5").select("ctx", F.col("src").alias("node")), 3)
 
 
@@ -592,35 +602,44 @@ def sparse_views(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-WITH RECURSIVE p AS (SELECT DISTINCT c_nationkey AS a, c_custkey % 40 + 100 AS b FROM customer WHERE c_acctbal > 9500), e AS (SELECT a AS x, b AS y FROM p UNION SELECT b, a FROM p),
-r(node, root) AS (SELECT x, x FROM e UNION SELECT y, root FROM r JOIN e ON x = node), c AS (SELECT node, min(root) AS root FROM r GROUP BY node),
-s AS (SELECT root, list_sort(list(DISTINCT n_regionkey)) AS l FROM c JOIN nation ON node = n_nationkey GROUP BY root)
-SELECT node, coalesce(array_to_string(l, ','), '') AS labels FROM c LEFT JOIN s USING (root)
+WITH e AS (SELECT DISTINCT 'c' || o_custkey AS c, 'o' || o_orderkey AS o, 'status ' || o_orderstatus AS label FROM orders), s AS (SELECT c, label FROM e UNION SELECT c, 'nation ' || c_nationkey FROM e JOIN customer ON c = 'c' || c_custkey),
+l AS (SELECT c, string_agg(label, ',' ORDER BY label) AS labels FROM s GROUP BY c)
+SELECT c AS node, labels FROM l UNION ALL SELECT o, labels FROM e JOIN l USING (c)
 """)
 def label_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every node of a component has the labels of all its seeds."""
-    pairs = table(spark, sf_dir, "customer").where("c_acctbal > 9500").select(F.col("c_nationkey").cast("long").alias("src"), (F.col("c_custkey") % 40 + 100).alias("dst"))
-    known = pairs.select(F.col("src").alias("n_nationkey")).distinct()
-    seeds = table(spark, sf_dir, "nation").withColumn("n_nationkey", F.col("n_nationkey").cast("long")).join(known, "n_nationkey", "left_semi").select(F.col("n_nationkey").alias("node"), F.col("n_regionkey").alias("label"))
-    return graph.union_by_labels(seeds, pairs).select("node", F.array_join(F.transform("labels", lambda v: v.cast("string")), ",").alias("labels"))
+    """Every node of a component has the labels of all its seeds: a customer and its orders have one another's."""
+    named = lambda p, c: F.concat(F.lit(p), F.col(c).cast("string"))
+    orders = table(spark, sf_dir, "orders").select(named("c", "o_custkey").alias("src"), named("o", "o_orderkey").alias("dst"), F.concat(F.lit("status "), "o_orderstatus").alias("label"))
+    customers = table(spark, sf_dir, "customer").select(named("c", "c_custkey").alias("node"), named("nation ", "c_nationkey").alias("label"))
+    seeds = orders.select(F.col("dst").alias("node"), "label").unionByName(customers.join(orders.select(F.col("src").alias("node")).distinct(), "node", "left_semi"))
+    return graph.union_by_labels(seeds, orders.select("src", "dst")).select("node", F.array_join("labels", ",").alias("labels"))
 
 
 @query("""
-WITH RECURSIVE t(a, b) AS (VALUES ('web', 'text'), ('text', 'sql'), ('file', 'text'), ('sql', 'log'), ('log', 'sql')), k AS (SELECT a AS k FROM t UNION SELECT b FROM t), r(kind, becomes) AS (SELECT k, k FROM k UNION SELECT kind, b FROM r JOIN t ON a = becomes) SELECT kind, becomes FROM r
+WITH RECURSIVE t AS (SELECT 'p' || p_partkey AS a, 't' || p_type AS b FROM part UNION SELECT 't' || p_type, 'b' || p_brand FROM part UNION SELECT 'b' || p_brand, 's' || p_size % 10 FROM part UNION SELECT 's' || p_size % 10, 's' || (p_size + 1) % 10 FROM part), k AS (SELECT a AS k FROM t UNION SELECT b FROM t), r(kind, becomes) AS (SELECT k, k FROM k UNION SELECT kind, b FROM r JOIN t ON a = becomes) SELECT kind, becomes FROM r
 """)
 def kind_closure(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What kinds of taint can become through transforms."""
-    found = taint.kind_closure([("web", "text"), ("text", "sql"), ("file", "text"), ("sql", "log"), ("log", "sql")])
-    return spark.createDataFrame([(k, b) for k, bs in found.items() for b in bs], "kind string, becomes string")
+    """What kinds of taint can become through transforms: parts become types, brands and sizes."""
+    name = lambda p, c: F.concat(F.lit(p), c.cast("string"))
+    kinds = [name("p", F.col("p_partkey")), name("t", F.col("p_type")), name("b", F.col("p_brand")), name("s", F.col("p_size") % 10), name("s", (F.col("p_size") + 1) % 10)]
+    rows = table(spark, sf_dir, "part").select(F.explode(F.array(*(F.struct(a.alias("a"), b.alias("b")) for a, b in zip(kinds, kinds[1:])))).alias("t"))
+    return taint.kind_closure(rows.select("t.*").distinct())
 
 
 @query("""
-SELECT user_id AS location, event_type AS cwe, min(event_id) AS ordinal, CAST(count(*) AS INTEGER) AS merged FROM events GROUP BY ALL
+WITH o AS (SELECT user_id, event_id, list_sort(list_distinct(['W' || event_id % 7, 'W' || event_id % 5, 'X' || event_id % 11][1:event_id % 4])) AS cwe FROM events),
+p AS (SELECT user_id, list([{'pos': event_id, 'cwe': cwe, 'n': 1}] ORDER BY event_id) AS x FROM o GROUP BY user_id),
+f AS (SELECT user_id, list_reduce(x, lambda acc, y: CASE WHEN list_position(list_transform(acc, lambda e: len(e.cwe) = 0 OR len(y[1].cwe) = 0 OR list_has_any(e.cwe, y[1].cwe)), TRUE) IS NULL THEN list_concat(acc, y)
+ELSE list_transform(acc, lambda e, i: CASE WHEN i = list_position(list_transform(acc, lambda e: len(e.cwe) = 0 OR len(y[1].cwe) = 0 OR list_has_any(e.cwe, y[1].cwe)), TRUE) THEN {'pos': e.pos, 'cwe': list_sort(list_distinct(list_concat(e.cwe, y[1].cwe))), 'n': e.n + 1} ELSE e END) END, []) AS acc FROM p)
+SELECT user_id AS location, array_to_string(e.cwe, ',') AS cwe, e.pos AS ordinal, CAST(e.n AS INTEGER) AS merged FROM (SELECT user_id, unnest(acc) AS e FROM f)
 """)
 def findings_folded(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Findings at one place with a common weakness are one."""
-    found = table(spark, sf_dir, "events").select(F.col("user_id").cast("string").alias("location"), F.array("event_type").alias("cwe"), F.col("event_id").alias("ordinal"))
-    return taint.fold_by_location(found).select(F.col("location").cast("long").alias("location"), F.get("cwe", F.lit(0)).alias("cwe"), "ordinal", "merged")
+    """Findings at one place with a common weakness, or without any, are one; their weaknesses add up."""
+    k = F.col("event_id")
+    name = lambda p, m: F.concat(F.lit(p), (k % m).cast("string"))
+    cwe = F.array_sort(F.array_distinct(F.slice(F.array(name("W", 7), name("W", 5), name("X", 11)), 1, (k % 4).cast("int"))))
+    found = table(spark, sf_dir, "events").select(F.col("user_id").cast("string").alias("location"), cwe.alias("cwe"), k.alias("ordinal"))
+    return taint.fold_by_location(found).select(F.col("location").cast("long").alias("location"), F.array_join("cwe", ",").alias("cwe"), "ordinal", "merged")
 
 
 # --- snapshots, sets, lists ----------------------------------------------------------------------------------------------
@@ -767,25 +786,25 @@ def lock_reconcile(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""
-WITH {EDGES_SQL.strip()}, r AS (SELECT 'c' || c_custkey AS node FROM customer WHERE c_custkey % 10 = 0),
+WITH {EDGES_SQL.strip()}, r AS (SELECT 'c' || c_custkey AS node FROM customer),
 p1 AS (SELECT dst AS node, min(src) AS p FROM e JOIN r ON src = node GROUP BY dst), p2 AS (SELECT dst AS node, min(src) AS q FROM e JOIN p1 ON src = node GROUP BY dst)
 SELECT node AS name, 'root>' || node AS path FROM r UNION ALL SELECT node, 'root>' || p || '>' || node FROM p1 UNION ALL SELECT p2.node, 'root>' || p || '>' || q || '>' || p2.node FROM p2 JOIN p1 ON q = p1.node
 """)
 def lock_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Shortest ways from the root through a lock graph."""
-    roots = table(spark, sf_dir, "customer").where("c_custkey % 10 = 0").select(F.concat(F.lit("c"), F.col("c_custkey").cast("string")).alias("node"))
+    roots = table(spark, sf_dir, "customer").select(F.concat(F.lit("c"), F.col("c_custkey").cast("string")).alias("node"))
     return advisories.lock_paths(roots, trade_edges(spark, sf_dir), 2).select("name", F.array_join("path", ">").alias("path"))
 
 
 @query("""
-WITH u AS (SELECT user_id AS name, CASE event_type WHEN 'purchase' THEN 'call' WHEN 'view' THEN 'import' WHEN 'click' THEN 'reference' WHEN 'error' THEN 'dynamic' END AS kind, value < 250 AS in_test, CASE event_id % 3 WHEN 0 THEN 'high' WHEN 1 THEN 'medium' ELSE 'low' END AS conf FROM events WHERE event_type <> 'signup' AND event_id % 11 < 3),
+WITH u AS (SELECT user_id AS name, CASE event_type WHEN 'purchase' THEN 'call' WHEN 'view' THEN 'import' WHEN 'click' THEN 'reference' WHEN 'error' THEN 'dynamic' END AS kind, value < 250 AS in_test, CASE event_id % 3 WHEN 0 THEN 'high' WHEN 1 THEN 'medium' ELSE 'low' END AS conf FROM events WHERE event_type <> 'signup'),
 g AS (SELECT c_custkey AS name, max(CASE WHEN kind = 'call' AND NOT in_test THEN CASE conf WHEN 'high' THEN 3 WHEN 'medium' THEN 2 ELSE 1 END END) AS call, coalesce(bool_or(kind IN ('import', 'reference') AND NOT in_test), FALSE) AS imported, coalesce(bool_or(kind = 'dynamic'), FALSE) AS dyn, coalesce(bool_or(in_test), FALSE) AS tests FROM customer LEFT JOIN u ON name = c_custkey GROUP BY c_custkey)
 SELECT name, CASE WHEN call IS NOT NULL THEN 'reachable' WHEN imported THEN 'imported' ELSE 'unreachable' END AS level,
 CASE WHEN call IS NOT NULL THEN ['low', 'medium', 'high'][call] WHEN imported THEN CASE WHEN dyn THEN 'low' ELSE 'high' END WHEN tests THEN 'medium' WHEN dyn THEN 'low' ELSE 'high' END AS confidence FROM g
 """)
 def reachability_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whether a dependency is called, imported, or neither."""
-    uses = table(spark, sf_dir, "events").where("event_type <> 'signup' and event_id % 11 < 3").select(F.col("user_id").cast("string").alias("package"), risk.choose(F.col("event_type"), {"purchase": "call", "view": "import", "click": "reference", "error": "dynamic"}).alias("kind"), (F.col("value") < 250).alias("in_test"), F.get(F.array(*map(F.lit, ("high", "medium", "low"))), (F.col("event_id") % 3).cast("int")).alias("confidence"))
+    uses = table(spark, sf_dir, "events").where("event_type <> 'signup'").select(F.col("user_id").cast("string").alias("package"), risk.choose(F.col("event_type"), {"purchase": "call", "view": "import", "click": "reference", "error": "dynamic"}).alias("kind"), (F.col("value") < 250).alias("in_test"), F.get(F.array(*map(F.lit, ("high", "medium", "low"))), (F.col("event_id") % 3).cast("int")).alias("confidence"))
     found = advisories.reachability(table(spark, sf_dir, "customer").select(F.col("c_custkey").cast("string").alias("name")), uses)
     return found.select(F.col("name").cast("long").alias("name"), "level", "confidence")
 
@@ -809,14 +828,14 @@ def os_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""
 WITH s AS (SELECT l_suppkey AS k, 'c' || l_linenumber AS cve, list(DISTINCT l_partkey) AS bins FROM lineitem WHERE l_quantity > 45 GROUP BY ALL)
-SELECT DISTINCT l_partkey AS bin, 'c' || l_linenumber AS cve FROM lineitem WHERE l_quantity < 10 AND NOT EXISTS (SELECT 1 FROM s WHERE cve = 'c' || l_linenumber AND list_contains(bins, l_partkey))
+SELECT DISTINCT l_partkey AS bin, 'c' || l_linenumber AS cve FROM lineitem WHERE l_quantity <= 45 AND NOT EXISTS (SELECT 1 FROM s WHERE cve = 'c' || l_linenumber AND list_contains(bins, l_partkey))
 """)
 def source_before_binary(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Findings by binary package that no finding by source package covers."""
     cve = F.concat(F.lit("c"), F.col("l_linenumber").cast("string"))
     lines = table(spark, sf_dir, "lineitem").select("l_suppkey", "l_partkey", "l_quantity", cve.alias("cve"))
     by_source = lines.where("l_quantity > 45").groupBy("l_suppkey", "cve").agg(F.collect_set("l_partkey").alias("binaries"))
-    by_binary = lines.where("l_quantity < 10").select(F.col("l_partkey").alias("binary"), "cve").distinct()
+    by_binary = lines.where("l_quantity <= 45").select(F.col("l_partkey").alias("binary"), "cve").distinct()
     return os_advisories.prefer_source(by_source, by_binary).select(F.col("binary").alias("bin"), "cve")
 
 
@@ -871,13 +890,12 @@ def route_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-SELECT DISTINCT a.user_id % 100 AS producer, b.user_id % 100 AS consumer, a.event_type || a.user_id % 7 AS topic FROM events a JOIN events b ON a.event_type || a.user_id % 7 = b.event_type || b.user_id % 7 WHERE a.value > 450 AND b.value < 20
+SELECT DISTINCT a.user_id AS producer, b.user_id AS consumer, 't' || a.event_id % 500 AS topic FROM events a JOIN events b ON a.event_id % 500 = b.event_id % 500 WHERE a.event_type IN ('click', 'signup') AND b.event_type NOT IN ('click', 'signup')
 """)
 def topic_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Producers and consumers of a topic."""
-    topic = F.concat("event_type", (F.col("user_id") % 7).cast("string"))
-    events = table(spark, sf_dir, "events").select((F.col("user_id") % 100).alias("service"), topic.alias("topic"), "value")
-    return system_graph.topic_joins(events.where("value > 450").select("service", "topic").distinct(), events.where("value < 20").select("service", "topic").distinct())
+    """Producers and consumers of a topic: clicks and sign-ups write to topics, all other events read."""
+    events = table(spark, sf_dir, "events").select(F.col("user_id").alias("service"), F.concat(F.lit("t"), (F.col("event_id") % 500).cast("string")).alias("topic"), F.col("event_type").isin("click", "signup").alias("writes"))
+    return system_graph.topic_joins(events.where("writes").select("service", "topic").distinct(), events.where("not writes").select("service", "topic").distinct())
 
 
 @query("""

@@ -54,7 +54,7 @@ def index_safety(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-WITH f AS (SELECT l_partkey AS p, l_linenumber AS layer, max(l_suppkey) AS data FROM lineitem WHERE l_returnflag <> 'R' GROUP BY ALL), w AS (SELECT l_partkey AS p, max(l_linenumber) AS gone FROM lineitem WHERE l_returnflag = 'R' AND l_quantity < 10 GROUP BY ALL),
+WITH f AS (SELECT l_partkey AS p, l_linenumber AS layer, max(l_suppkey) AS data FROM lineitem WHERE l_returnflag <> 'R' OR l_quantity >= 10 GROUP BY ALL), w AS (SELECT l_partkey AS p, max(l_linenumber) AS gone FROM lineitem WHERE l_returnflag = 'R' AND l_quantity < 10 GROUP BY ALL),
 s AS (SELECT p, max(layer) AS layer, arg_max(data, layer) AS data FROM f GROUP BY p)
 SELECT 'd/p' || s.p AS path, layer, data FROM s LEFT JOIN w ON w.p = s.p WHERE gone IS NULL OR gone <= layer
 """)
@@ -62,7 +62,7 @@ def image_squash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The files that the layers of an image leave."""
     lines = table(spark, sf_dir, "lineitem")
     path = lambda mark: F.concat(F.lit(mark), F.col("l_partkey").cast("string"))
-    files = lines.where("l_returnflag <> 'R'").groupBy(F.col("l_linenumber").alias("layer"), path("d/p").alias("path")).agg(F.max("l_suppkey").alias("data"))
+    files = lines.where("l_returnflag <> 'R' or l_quantity >= 10").groupBy(F.col("l_linenumber").alias("layer"), path("d/p").alias("path")).agg(F.max("l_suppkey").alias("data"))
     gone = lines.where("l_returnflag = 'R' and l_quantity < 10").select(F.col("l_linenumber").alias("layer"), path("d/.wh.p").alias("path"), F.lit(None).cast("long").alias("data")).distinct()
     return manifests.squash(files.unionByName(gone)).select("path", "layer", "data")
 

@@ -26,4 +26,4 @@ def scan(files: DataFrame, sources: DataFrame, sinks: DataFrame, sanitizers: Dat
     if sanitizers is not None:
         clean = matching.match_calls(calls, sanitizers.drop("kind")).join(kinds(sanitizers), "rule_id").groupBy(F.col("node").alias("dst")).agg(F.array_sort(F.collect_set("kind")).alias("taken"))
         edges = edges.join(clean, "dst", "left").withColumn("remove", F.coalesce("taken", "remove")).select("src", "dst", "kind", "site", "remove", "add")
-    return taint.findings(written(edges, "edges"), written(found, "sources"), written(sink_nodes, "sinks"))
+    return taint.search(written(edges, "edges"), written(found, "sources"), written(sink_nodes, "sinks"))

@@ -23,13 +23,16 @@ class FactStore:
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.folder = spark, folder
 
-    def units(self) -> DataFrame:
+    def history(self) -> DataFrame:
+        """What every scan noted of every file, those that are gone as well."""
         try:
-            rows = self.spark.read.parquet(f"{self.folder}/units")
+            return self.spark.read.parquet(f"{self.folder}/units")
         except AnalysisException:
             return self.spark.createDataFrame([], "path string, sha256 string, version long, scan string, live boolean")
+
+    def units(self) -> DataFrame:
         last = F.max_by(F.struct("sha256", "version", "scan", "live"), "version")
-        return rows.groupBy("path").agg(last.alias("u")).select("path", "u.*").where("live")
+        return self.history().groupBy("path").agg(last.alias("u")).select("path", "u.*").where("live")
 
     def plan(self, files: DataFrame) -> DataFrame:
         """(path, status) of files(path, sha256) against what is stored."""
@@ -50,7 +53,7 @@ class FactStore:
         """Parse todo(path, sha256, ...) and make it, and that gone(path) went, the newest scan. A scan of the same name
         replaces itself."""
         scan = scan or uuid.uuid4().hex
-        version = (self.spark.read.parquet(f"{self.folder}/units").agg(F.max("version")).first()[0] if not self.units().isEmpty() else 0) or 0
+        version = self.history().agg(F.max("version")).first()[0] or 0
         parse(todo).write.mode("overwrite").parquet(f"{self.folder}/facts/scan={scan}")
         row = lambda sha, live: [sha.cast("string").alias("sha256"), F.lit(version + 1).cast("long").alias("version"), F.lit(scan).alias("scan"), F.lit(live).alias("live")]
         changed = todo.select("path", *row(F.col("sha256"), True))

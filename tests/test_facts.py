@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from factloom.functions import masks, versions
+from factloom.operators import flow as flow_operators
 from factloom.operators import advisories, dataflow, taint, text_rules
 from factloom.sources import manifests
 
@@ -215,7 +216,8 @@ def test_taint_does_not_depend_on_row_order(spark):
 
 
 def test_taint_helpers(spark):
-    assert taint.kind_closure([("a", "b"), ("b", "c")])["a"] == {"a", "b", "c"}
+    closed = taint.kind_closure(spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "b"), (None, "d")], "a string, b string"))
+    assert {(r.kind, r.becomes) for r in closed.collect()} == {("a", "a"), ("a", "b"), ("a", "c"), ("b", "b"), ("b", "c"), ("c", "b"), ("c", "c"), ("d", "d")}
     assert taint.plan_query(10, 10, False, False) == {"engine": "sparse", "profile": "light", "max_depth": 40, "max_visits": 4096}
     rows = spark.createDataFrame([("l", ["1"], 1), ("l", ["2"], 2), ("l", ["1", "3"], 3), ("l", [], 4), ("m", ["1"], 5)], "location string, cwe array<string>, ordinal long")
     assert {(r.location, tuple(r.cwe), r.ordinal, r.merged) for r in taint.fold_by_location(rows).collect()} == {("l", ("1", "3"), 1, 3), ("l", ("2",), 2, 1), ("m", ("1",), 5, 1)}
@@ -264,3 +266,70 @@ def test_twelve_nested_calls_return_to_their_sites(spark):
     edges = flow(spark, [*down, (12, 61), *up, (50, 90, "leave", 0), (50, 91, "leave", 77)])
     rows = taint.findings(edges, *ends(spark, [(0, "s", "generic")], [(90, "k", "generic", "a"), (91, "k", "generic", "b")])).collect()
     assert [(r.sink_node, r.completeness) for r in rows] == [(90, "complete")]  # 91 would return to another site than the first
+
+
+def test_rules_give_every_match_of_a_line(spark):
+    files = spark.createDataFrame([("text", "f", "x = eval(a)\nb\ufdd0a aa\n\nba"), ("text", "g", None)], "language string, path string, content string")
+    rules = text_rules.rules_frame(spark, [{"id": "a", "pattern": "a", "view": "raw"}, {"id": "alone", "pattern": r"\ba\b", "view": "raw"}, {"id": "pair", "pattern": r"(.)\1", "view": "raw"}])
+    got = sorted((r.rule_id, r.line, r.col, r.match) for r in text_rules.scan(files, rules).collect())
+    assert got == [("a", 1, 7, "a"), ("a", 1, 10, "a"), ("a", 2, 3, "a"), ("a", 2, 5, "a"), ("a", 2, 6, "a"), ("a", 4, 2, "a"), ("alone", 1, 10, "a"), ("alone", 2, 3, "a"), ("pair", 2, 5, "aa")]
+
+
+def test_search_takes_repeats_and_ranges(spark):
+    code = "eval(x)\nfunction f() {\n  eval(y);\n  safe(eval(x))\n}\neval(x)\nother() {\n eval( z ) }"
+    files = spark.createDataFrame([("javascript", "a.js", code), ("javascript", "b.js", "eval(q)")], "language string, path string, content string")
+    found = lambda *a, **k: sorted((r.path, r.line, r.match) for r in text_rules.search(files, *a, **k).collect())
+    assert found(["eval($X)"]) == [("a.js", 1, "eval(x)"), ("a.js", 3, "eval(y)"), ("a.js", 4, "eval(x)"), ("a.js", 6, "eval(x)"), ("a.js", 8, "eval( z )"), ("b.js", 1, "eval(q)")]
+    assert found(["eval($X)"], inside=["function $F() {...}"]) == [("a.js", 3, "eval(y)"), ("a.js", 4, "eval(x)")]
+    assert found(["eval($X)"], inside=["function $F() {...}"], without=["safe($Y($Z))"]) == [("a.js", 3, "eval(y)")]
+    assert found(["eval($X)"], outside=["function $F() {...}"]) == [("a.js", 1, "eval(x)"), ("a.js", 6, "eval(x)"), ("a.js", 8, "eval( z )"), ("b.js", 1, "eval(q)")]
+    assert found(["eval(y)", "eval(q)", "eval($X)"], without=["eval(x)", "eval(z)"]) == [("a.js", 3, "eval(y)"), ("b.js", 1, "eval(q)")]
+
+
+def sequential(rows):
+    """Observations folded one after the other, as they are told."""
+    out = {}
+    for package, ids, ordinal in sorted(rows, key=lambda r: r[2]):
+        held = out.setdefault(package, [])
+        into = next((e for e in held if e[1] & set(ids)), None)
+        if into:
+            into[1].update(ids)
+        else:
+            held.append((ordinal, set(ids)))
+    return {(p, o, tuple(sorted(s))) for p, held in out.items() for o, s in held}
+
+
+def test_observations_fold_overlapping_sets_in_order(spark):
+    rng = random.Random(3)
+    rows = [("p", ["A", "B"], 1), ("p", ["B", "C"], 2), ("q", ["A"], 3), ("q", ["B"], 4), ("q", ["A", "B"], 5), ("q", ["B", "C"], 6), ("r", [], 7), ("r", [], 8)]
+    rows += [(f"s{k % 9}", [f"i{rng.randrange(8)}" for _ in range(rng.randint(1, 3))], 100 + k) for k in range(400)]
+    found = flow_operators.observations(spark.createDataFrame(rows, "package string, ids array<string>, ordinal long").repartition(5))
+    got = [(r.package, r.ordinal, tuple(r.ids)) for r in found.collect()]
+    assert set(got) == sequential(rows) and len(got) == len(set(got))
+
+
+def random_flow(rng, nodes, edges):
+    kinds = ["web", "sql", "log"]
+    out = []
+    for _ in range(edges):
+        a, b = rng.randrange(nodes), rng.randrange(nodes)
+        how = rng.choice(["flow", "flow", "enter", "leave"])
+        out.append((a, b, how, rng.randrange(3) if how != "flow" else 0, [rng.choice(kinds)] if rng.random() < 0.2 else None, [rng.choice(kinds)] if rng.random() < 0.1 else None))
+    return out
+
+
+def test_search_finds_what_the_search_by_sinks_finds(spark):
+    rng = random.Random(8)
+    seen = 0
+    for _ in range(5):
+        edges = flow(spark, sorted(set(map(lambda e: (*e[:4], tuple(e[4]) if e[4] else None, tuple(e[5]) if e[5] else None), random_flow(rng, 14, 40))), key=str))
+        s, k = ends(spark, [(rng.randrange(4), f"s{n % 2}", rng.choice(["web", "generic", "sql"])) for n in range(4)], [(10 + n, "k", rng.choice(["sql", "web", "generic"]), f"f:{n}") for n in range(4)])
+        want = [tuple(r)[:8] for r in taint.findings(edges, s.distinct(), k).where("completeness = 'complete'").collect()]
+        rows = taint.search(edges, s.distinct(), k).collect()
+        got = [tuple(r)[:8] for r in rows]
+        assert set(want) <= set(got) and {r[:7] for r in got} >= {r[:7] for r in want}
+        if all(r.completeness == "complete" for r in rows):
+            assert got == want
+        seen += len(want)
+    assert seen > 10
+    assert taint.search(edges, s, k, limit=0).first().location == "@analysis"

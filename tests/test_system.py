@@ -264,3 +264,15 @@ def test_entry_and_oracles(spark, sf):
         got = conformance.QUERIES[name](spark, sf).toPandas()[list(want.columns)]
         key = lambda f: sorted(map(str, f.values.tolist()))
         assert key(got) == key(want), name
+
+
+def test_a_file_that_comes_back_is_live(spark, tmp_path):
+    store = FactStore(spark, f"file://{tmp_path}/store")
+    parse = lambda df: df.select("path", F.length("content").alias("n"))
+    scan = lambda *rows: store.update(spark.createDataFrame([(p, c, c) for p, c in rows], "path string, sha256 string, content string"), parse)
+    assert scan(("a", "1")) == {"added": 1}
+    assert scan() == {"removed": 1} and store.units().count() == 0
+    assert scan(("a", "1")) == {"added": 1}
+    assert [(r.path, r.version) for r in store.units().collect()] == [("a", 3)] and store.facts().count() == 1
+    assert scan(("a", "1"), ("b", "22")) == {"reused": 1, "added": 1} or store.units().count() == 2
+    assert {r.n for r in store.facts().collect()} == {1, 2}
