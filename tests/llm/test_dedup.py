@@ -2,9 +2,11 @@
 
 import random
 import re
+import zlib
 from collections import Counter
 from hashlib import sha256
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -118,24 +120,43 @@ def test_short_texts_are_one_shingle():
     assert len(shingles("É b c d e")) == 1 and shingles("É b c d e") != shingles("é b c d e")
 
 
-def test_pipeline_against_brute_force(spark, sf):
+def test_pipeline_against_brute_force(spark, sf, path):
+    """Ids are the library's own here, and packing is checked by what a packing must be, not by the operator."""
+    from tokenizers import Tokenizer
+
     import corpus_pipeline
-    from factloom.llm.best_fit import op3_best_fit
     from factloom.llm.personal_data import all_spans, masked, trained
     from factloom.llm.quality_gam import op8_quality
 
     docs = spark.read.parquet(f"{sf}/documents.parquet")
+    strange = spark.createDataFrame([(9_000_001, "J\u030cabc H\u0331x T\u0308"), (9_000_002, None)], "doc_id long, text string")
     good = {r.doc_id for r in op8_quality(docs, spark.read.parquet(f"{sf}/labels.parquet")).collect() if r.predicted}
     rows = [(r.doc_id, r.text) for r in docs.collect() if r.doc_id in good]
     rows = [(i, t) for i, t in rows if exact(rows)[normal(t)][0] == i]
     keep = {c for _, _, c in linked_components(rows)}
     rows = [(i, masked(t, all_spans([t], trained())[0][1])) for i, t in rows if i in keep]
-    import public_tokenizers
-
-    want = op3_best_fit(spark.createDataFrame(rows, "doc_id long, text string"), public_tokenizers.path("word_bpe_49k.json"))
-    got = corpus_pipeline.run(spark, sf)
-    pick = lambda f: Counter((r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in f.collect())
-    assert pick(got) == pick(want)
+    library = Tokenizer.from_file(path("word_bpe_49k.json"))
+
+    def pieces(texts):
+        out = Counter()
+        for i, t in texts:
+            ids = [*library.encode(t or "", add_special_tokens=False).ids, 0]
+            for k, at in enumerate(range(0, len(ids), 2048)):
+                part = ids[at : at + 2048]
+                out[i, k, at, len(part), zlib.crc32(np.array(part, "<u4").tobytes())] += 1
+        return out
+
+    for got, want in ((corpus_pipeline.run(spark, sf), rows), (corpus_pipeline.packing(spark, strange, sf), [tuple(r) for r in strange.collect()])):
+        found = got.collect()
+        assert Counter((r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in found) == pieces(want)
+        held = {}
+        for r in found:
+            held.setdefault(r.sequence_id, []).append((r.offset, r.length))
+        for spans in held.values():
+            spans.sort()
+            assert spans[0][0] == 0 and all(a + n == b for (a, n), (b, _) in zip(spans, spans[1:])) and sum(n for _, n in spans) <= 2048
+        total = sum(r.length for r in found)
+        assert len(held) <= -(-total * 11 // 9 // 2048) + 1  # what best fit decreasing promises of the fewest there can be
     assert len(corpus_pipeline.STAGES) == 5
 
 

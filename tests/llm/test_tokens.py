@@ -20,7 +20,7 @@ def noise(seed, letters, n, longest):
     return ["".join(rng.choice(letters) for _ in range(rng.randint(0, longest))) for _ in range(n)]
 
 
-STRANGE = ["", " ", "  a   b \n\n c", "a\x1cb", "foo's 'some 's x 're 'rx 'r 'lla", "<|endoftext|> a", "ΑΣ. İx 12,3.4", "Ünïc. é ́ x", "日本語 ok 😀", "x" * 1000, "word. word, 12. !!. a.b., ok\n"]
+STRANGE = ["", " ", "  a   b \n\n c", "a\x1cb", "foo's 'some 's x 're 'rx 'r 'lla", "<|endoftext|> a", "ΑΣ. İx 12,3.4", "Ünïc. é ́ x", "日本語 ok 😀", "x" * 1000, "word. word, 12. !!. a.b., ok\n", "J\u030cabc H\u0331x", "T\u0308 W\u030a Y\u030a \u1fba\u0345 e\u0301 E\u0301", "A\u030a\u0323 \u212b \u0958 \u1100\u1161"]
 
 
 def library(path):
@@ -48,6 +48,18 @@ def test_memo_encoder_is_the_library(path, name):
         assert np.frombuffer(own.ids([t])[0], "<u4").tolist() == ids(t), t
 
 
+@pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json"])
+def test_memo_encoder_on_marks_is_the_library(path, name):
+    """Letters with marks, which compose before or after they are lower-cased, or not at all."""
+    own, ids, rng = MemoEncoder(path(name)), library(path(name)), random.Random(13)
+    letters, marks = [*map(chr, range(0x41, 0x250)), *map(chr, range(0x370, 0x400)), *map(chr, range(0x1E00, 0x2000)), *"AJHTWY \n" * 40], [*map(chr, range(0x300, 0x346)), "\u0653", "\u093c", "\u3099"]
+    texts = ["".join(rng.choice(letters) + (rng.choice(marks) if rng.random() < 0.3 else "") for _ in range(rng.randint(1, 12))) for _ in range(4000)]
+    same(own, ids, texts)
+    if name.startswith("word"):
+        mixed = np.frombuffer(own.ids(["J\u030cabc H\u0331x"])[0] + bytes(4), "<u4")
+        assert (len(mixed), zlib.crc32(mixed.tobytes())) == (9, 2633816061)
+
+
 def test_op1(spark, odd, none, path):
     ids = library(path("word_bpe_49k.json"))
     got = Counter((r.doc_id, r.n_bytes, r.n_tokens, r.over_limit) for r in op1_token_counts(odd, path("word_bpe_49k.json")).collect())
