@@ -7,18 +7,26 @@ import argparse
 from pyspark.sql import functions as F
 
 from factloom.session import session
+from factloom.sources import rule_packs
 
 
 def main(args: list[str] | None = None) -> None:
     parser = argparse.ArgumentParser(prog="factloom")
     commands = parser.add_subparsers(dest="command", required=True)
-    for name, extra in (("dependencies", ()), ("scan", ("advisories",)), ("malware", ()), ("python-facts", ())):
+    for name, extra in (("dependencies", ()), ("scan", ("advisories",)), ("malware", ()), ("python-facts", ()), ("taint", ("rules",)), ("text-rules", ("rules",)), ("check-rules", ())):
         c = commands.add_parser(name)
-        c.add_argument("folder")
+        if name != "check-rules":
+            c.add_argument("folder")
         for x in extra:
             c.add_argument(x)
-        c.add_argument("out")
+        c.add_argument("out", help="rule packs, comma-separated" if name == "check-rules" else None)
     a = parser.parse_args(args)
+    if a.command == "check-rules":
+        pack = rule_packs.read(*a.out.split(","))
+        for rule, problem in pack.skipped:
+            print(f"{rule}: {problem}")
+        print(f"{len(pack.sources)} sources, {len(pack.sinks)} sinks, {len(pack.sanitizers)} sanitizers, {len({r['rule'] for r in pack.texts})} text rules, {len(pack.skipped)} left out")
+        return
     spark = session()
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(a.folder).select("path", F.col("content").cast("string").alias("content"))
     if a.command in ("dependencies", "scan"):
@@ -37,11 +45,26 @@ def main(args: list[str] | None = None) -> None:
         from factloom.operators import text_rules
 
         text_rules.malware(files).write.mode("overwrite").json(a.out)
+    elif a.command == "text-rules":
+        from factloom.sources import manifests
+
+        source = manifests.by_language(files)
+        rule_packs.scan_texts(source, rule_packs.read(*a.rules.split(","))).write.mode("overwrite").json(a.out)
     else:
+        from factloom.operators import heap
+        from factloom.plans import taint_scan
         from factloom.sources import manifests, python_code
 
-        source = manifests.source_files(spark, a.folder, ["python"]).select(F.pmod(F.xxhash64("path"), F.lit(1 << 30)).alias("file_id"), "path", "content")
-        python_code.facts(source).write.mode("overwrite").parquet(a.out)
+        source = manifests.source_files(spark, a.folder, ["python"]).select("path", "content")
+        source = source.join(heap.catalog(source, "path"), "path").select(F.col("object").alias("file_id"), "path", "content")  # numbered, so no two share one
+        if a.command == "taint":
+            pack = rule_packs.read(*a.rules.split(","))
+            frames = [pack.frame(spark, role) if getattr(pack, role) else None for role in ("sources", "sinks", "sanitizers")]
+            if frames[0] is None or frames[1] is None:
+                parser.error("the rules have no source or no sink")
+            taint_scan.scan(source, *frames).write.mode("overwrite").json(a.out)
+        else:
+            python_code.facts(source).write.mode("overwrite").parquet(a.out)
 
 
 if __name__ == "__main__":

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from factloom.operators import graph
 from factloom.operators.rows import first_wins, ranked
+from factloom.session import broadcast_parts, small
 
 
 # --- names -----------------------------------------------------------------------------------------------------------
@@ -23,8 +24,10 @@ def candidate_names(name: Column, separator: str = ".") -> Column:
 def resolve(calls: DataFrame, functions: DataFrame, limit: int) -> DataFrame:
     """calls(call, name, arity) with the functions(function, qualified, params, score) that they may mean: any suffix of the
     qualified name is the call's name. An arity that fits goes before one that doesn't, then the higher score, then the
-    name; up to `limit` places a call."""
+    name; up to `limit` places a call. Of the functions of one name and number of parameters no call can place more than the
+    first `limit`, so calls meet these only, however many share a name."""
     keys = functions.select("function", "qualified", "params", "score", F.explode(candidate_names(F.col("qualified"))).alias("name"))
+    keys = ranked(keys, ["name", "params"], [F.desc("score"), F.asc("qualified"), F.asc("function")], limit).drop("place")
     met = calls.join(keys, "name")
     fits = (F.col("arity") == F.col("params")).cast("int")
     return ranked(met.withColumn("fits", fits), ["call"], [F.desc("fits"), F.desc("score"), F.asc("qualified"), F.asc("function")], limit).select("call", "function", "fits", "place")
@@ -45,9 +48,10 @@ def field_matches(accesses: DataFrame, rules: DataFrame) -> DataFrame:
     some = lambda test: F.exists("owners", test)
     owner = F.coalesce(some(lambda t: t == F.col("owner")), F.lit(False)) | F.coalesce(some(lambda t: F.regexp_like(t, F.col("owner_regex"))), F.lit(False))
     holds = (F.col("owner").isNull() & F.col("owner_regex").isNull()) | owner
-    named = accesses.join(F.broadcast(rules.where("field <> '*'")), "field").where(holds).select("access", "rule_id")
-    anything = accesses.join(F.broadcast(rules.where("field = '*'").drop("field")), holds).select("access", "rule_id")
-    return named.unionByName(anything)
+    out = accesses.join(small(rules.where("field <> '*'")), "field").where(holds).select("access", "rule_id")
+    for part in broadcast_parts(rules.where("field = '*'").drop("field")):
+        out = out.unionByName(accesses.join(part, holds).select("access", "rule_id"))
+    return out
 
 
 def function_matches(functions: DataFrame, rules: DataFrame) -> DataFrame:
@@ -56,8 +60,10 @@ def function_matches(functions: DataFrame, rules: DataFrame) -> DataFrame:
     f = functions.withColumnRenamed("params", "own_params")
     asks = lambda c, test: F.col(c).isNull() | F.coalesce(test, F.lit(False))
     holds = asks("contains", F.contains("name", "contains")) & asks("regex", F.regexp_like("name", F.col("regex"))) & asks("params", F.col("own_params") == F.col("params"))
-    exact = f.join(F.broadcast(rules.where("exact is not null")), F.col("name") == F.col("exact")).where(holds).select("function", "rule_id")
-    return exact.unionByName(f.join(F.broadcast(rules.where("exact is null")), holds).select("function", "rule_id"))
+    out = f.join(small(rules.where("exact is not null")), F.col("name") == F.col("exact")).where(holds).select("function", "rule_id")
+    for part in broadcast_parts(rules.where("exact is null")):
+        out = out.unionByName(f.join(part, holds).select("function", "rule_id"))
+    return out
 
 
 def by_callee(calls: DataFrame, rules: DataFrame) -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from factloom.operators import graph, matching
-from factloom.session import ship, written
+from factloom.session import ship, small, written
 
 #: How methods of containers move values between ports.
 CONTAINERS = [
@@ -53,7 +53,7 @@ def call_edges(bindings: DataFrame, returns: DataFrame, targets: DataFrame) -> D
 def seeds(matches: DataFrame, ports: DataFrame, what: str) -> DataFrame:
     """Synthetic nodes (node, port, rule_id, kind) of matches(call, arity, rule_id) and the ports(rule_id, port, kind) of their
     rules, variadic ports expanded; what: source or sink."""
-    met = matches.join(F.broadcast(ports), "rule_id").select("call", "rule_id", "kind", F.explode(matching.expand_ports(F.col("port"), F.col("arity"))).alias("port"))
+    met = matches.join(small(ports), "rule_id").select("call", "rule_id", "kind", F.explode(matching.expand_ports(F.col("port"), F.col("arity"))).alias("port"))
     return met.select(node(what, F.col("call"), F.col("rule_id"), F.col("port")).alias("node"), port_node(F.col("call"), F.col("port")).alias("port"), "rule_id", F.coalesce(F.nullif("kind", F.lit("")), F.lit("generic")).alias("kind"))
 
 
@@ -64,7 +64,7 @@ WRITABLE = r"^(receiver|arg\d+|named:.*)$"
 def summaries(matches: DataFrame, flows: DataFrame) -> DataFrame:
     """(src, dst, rule_id, back) of matches(call, arity, rule_id) and flows(rule_id, inp, outp): each input port, expanded, to
     each output port, expanded, but not to itself. back: what is written there also changes the value behind the port."""
-    met = matches.join(F.broadcast(flows), "rule_id")
+    met = matches.join(small(flows), "rule_id")
     wide = met.select("call", "arity", "rule_id", "outp", F.explode(matching.expand_ports(F.col("inp"), F.col("arity"))).alias("i")).select("call", "rule_id", "i", F.explode(matching.expand_ports(F.col("outp"), F.col("arity"))).alias("o"))
     return wide.where("i <> o").select(port_node(F.col("call"), F.col("i")).alias("src"), port_node(F.col("call"), F.col("o")).alias("dst"), "rule_id", F.col("o").rlike(WRITABLE).alias("back")).distinct()
 
@@ -87,7 +87,7 @@ def captures(lambdas: DataFrame, scopes: DataFrame) -> DataFrame:
 
 def named_sources(values: DataFrame, names: DataFrame) -> DataFrame:
     """values(value, name) that a rule of names(rule_id, name) takes as sources, few rules."""
-    return values.join(F.broadcast(names), "name").select("value", "rule_id")
+    return values.join(small(names), "name").select("value", "rule_id")
 
 
 def return_types(calls: DataFrame, known: DataFrame) -> DataFrame:
@@ -95,7 +95,7 @@ def return_types(calls: DataFrame, known: DataFrame) -> DataFrame:
     the callee, else of its last name."""
     last = F.element_at(F.split("callee", r"\."), -1)
     by = lambda name, alias: known.select(F.col("callee").alias(name), F.col("type").alias(alias))
-    out = calls.withColumn("simple", last).join(F.broadcast(by("callee", "full")), "callee", "left").join(F.broadcast(by("simple", "short")), "simple", "left")
+    out = calls.withColumn("simple", last).join(small(by("callee", "full")), "callee", "left").join(small(by("simple", "short")), "simple", "left")
     return out.select("call", F.coalesce("result_type", "full", "short").alias("type"))
 
 
@@ -122,7 +122,7 @@ def reconstructed(pieces: DataFrame) -> DataFrame:
 
 def diagnostics(problems: DataFrame, rules: DataFrame) -> DataFrame:
     """Findings of problems(func, value, problem) whose rule of rules(problem, rule_id, enabled) is on."""
-    return problems.join(F.broadcast(rules.where("enabled")), "problem").select("rule_id", "func", "value")
+    return problems.join(small(rules.where("enabled")), "problem").select("rule_id", "func", "value")
 
 
 def boundary_rules(mappings: DataFrame) -> DataFrame:

@@ -73,19 +73,31 @@ def shortest_paths(edges: DataFrame, sources: DataFrame, max_depth: int) -> Data
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """(node, root): the smallest node of each connected component. Labels fall to the smallest neighbour's label and then
-    jump to that label's label, so the number of rounds is about the log of the longest chain."""
-    both = edges.select("src", "dst").unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).where("src is not null and dst is not null")
-    both = written(both.distinct(), "edges")
-    label = written(both.groupBy(F.col("src").alias("node")).agg(F.least(F.first("src"), F.min("dst")).alias("root")), "labels")
-    while True:
-        lowest = both.join(label.select(F.col("node").alias("dst"), F.col("root").alias("other")), "dst").groupBy(F.col("src").alias("node")).agg(F.min("other").alias("other"))
-        step = label.join(lowest, "node").select("node", F.least("root", "other").alias("root"), F.col("root").alias("was"))
-        step = step.join(label.select(F.col("node").alias("root"), F.col("root").alias("beyond")), "root", "left")
-        step = written(step.select("node", F.least("root", F.coalesce("beyond", "root")).alias("root"), "was"), "labels")
-        label = step.select("node", "root")
-        if step.where("root <> was").isEmpty():
-            return label
+    """(node, root): the smallest node of each connected component.
+
+    A round points every node to the smallest of itself and its neighbours, follows pointers to their ends, and replaces edges
+    by the ends of theirs; loops and repeats go. Only nodes that are smaller than all their neighbours are left, at most half,
+    so the table shrinks from round to round. What each round renamed is put together at the end."""
+    ends = edges.select("src", "dst").where("src is not null and dst is not null")
+    left = written(ends.where("src <> dst").select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).distinct(), "edges")
+    found = None
+    while not left.isEmpty():
+        both = left.unionByName(left.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
+        label = written(both.groupBy(F.col("src").alias("node")).agg(F.least(F.first("src"), F.min("dst")).alias("root")), "labels")
+        while True:
+            beyond = label.select(F.col("node").alias("root"), F.col("root").alias("beyond"))
+            step = written(label.join(beyond, "root").select("node", F.col("beyond").alias("root"), F.expr("beyond <> root").alias("moved")), "labels")
+            label = step.select("node", "root")
+            if step.where("moved").isEmpty():
+                break
+        found = label if found is None else found.join(label.select(F.col("node").alias("root"), F.col("root").alias("last")), "root", "left").select("node", F.coalesce("last", "root").alias("root"))
+        of = lambda c, to: label.select(F.col("node").alias(c), F.col("root").alias(to))  # noqa: E731, B023
+        moved = left.join(of("src", "a"), "src").join(of("dst", "b"), "dst").where("a <> b")
+        left = written(moved.select(F.least("a", "b").alias("src"), F.greatest("a", "b").alias("dst")).distinct(), "edges")
+    alone = ends.where("src = dst").select(F.col("src").alias("node")).distinct()
+    if found is None:
+        return alone.select("node", F.col("node").alias("root"))
+    return found.unionByName(alone.join(found, "node", "left_anti").select("node", F.col("node").alias("root")))
 
 
 #: Graphs of at most so many edges are given to one task for their strong components.

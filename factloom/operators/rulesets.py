@@ -167,7 +167,6 @@ WORDS = (
     (" json injection| injection", "CWE-74"),
 )
 #: The severity of findings without one, by sink kind.
-HIGH = ("sql", "command", "deserialization", "code")
 
 
 def weakness(kind: Column) -> Column:
@@ -188,11 +187,6 @@ def category_class(text: Column) -> Column:
     return F.coalesce(*(F.when(words.rlike(w), c) for w, c in WORDS))
 
 
-def severity(given: Column, kind: Column) -> Column:
-    """The given severity, or by the sink's kind where it is blank."""
-    return F.coalesce(F.nullif(F.lower(F.trim(given)), F.lit("")), F.when(F.lower(kind).isin(*HIGH), "high").otherwise("medium"))
-
-
 def localized(texts: Column, language: str, fallback: Column) -> Column:
     """A message in the wanted language, else in English, else the fallback; blank texts don't count. texts: a map."""
     said = lambda c: F.nullif(F.trim(c), F.lit(""))

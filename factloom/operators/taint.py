@@ -138,11 +138,12 @@ def _moved(at: DataFrame, edges: DataFrame, keep: list[str], calls: int) -> Data
     enter, leave = F.col("kind") == "enter", F.col("kind") == "leave"
     last, deep = F.try_element_at("stack", F.lit(-1)), F.size("stack") >= calls
     on = on.where(~leave | last.isNull() | (last == F.col("site")))
-    pushed = F.concat("stack", F.array("site"))
-    stack = F.when(enter, F.when(deep, F.slice(pushed, 2, calls)).otherwise(pushed)).when(leave & last.isNotNull(), F.slice("stack", F.lit(1), F.greatest(F.size("stack") - 1, F.lit(0)))).otherwise(F.col("stack"))
+    pushed, again = F.concat("stack", F.array("site")), F.array_position("stack", F.col("site"))
+    # a site that is entered within itself is the same one again, so recursion has an end
+    stack = F.when(enter & (again > 0), F.slice("stack", F.lit(1), again.cast("int"))).when(enter, F.when(deep, F.slice(pushed, 2, calls)).otherwise(pushed)).when(leave & last.isNotNull(), F.slice("stack", F.lit(1), F.greatest(F.size("stack") - 1, F.lit(0)))).otherwise(F.col("stack"))
     nothing = F.array().cast("array<string>")
     labels = risk.apply_labels(F.col("labels"), F.coalesce("remove", nothing), F.coalesce("add", nothing))
-    out = on.select(*keep, F.col("next").alias("node"), labels.alias("labels"), stack.alias("stack"), (F.col("cut") | enter & deep).alias("cut"))
+    out = on.select(*keep, F.col("next").alias("node"), labels.alias("labels"), stack.alias("stack"), (F.col("cut") | enter & (deep | (again > 0))).alias("cut"))
     return out.where(F.exists("labels", lambda k: ~F.startswith(k, F.lit("neutralized:"))))
 
 
@@ -152,7 +153,8 @@ def _kind(c) -> Column:
 
 def search(flow_edges: DataFrame, sources: DataFrame, sinks: DataFrame, max_depth: int = 96, limit: int = FINDINGS) -> DataFrame:
     """What findings() gives, searched for all sinks at once by joins, without a budget of states or attempts, so a sink is never
-    given up: each source rule once for each sink, from its first source from which there is a way, along the shortest way,
+    given up; for programs with many call sites that call each other in circles there can be too many strings of sites, and
+    findings() has an end. Each source rule once for each sink, from its first source from which there is a way, along the shortest way,
     of several the one whose nodes come first.
 
     First every state (rule, node, labels, sites) learns the first source that reaches it; a state is joined again only when

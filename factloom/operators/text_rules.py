@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from factloom.functions import masks
-from factloom.session import ship
+from factloom.session import broadcast_parts, ship
 
 RULE_DDL = "id string, language string, pattern string, view string, path_pattern string, severity string, cwe string, message string"
 VIEWS = ("raw", "code", "bare")
@@ -119,7 +119,10 @@ def references(rows: DataFrame, key: str, text: str, pattern: str, group: int) -
 def java_imports(files: DataFrame, packages: DataFrame) -> DataFrame:
     """(path, rule_id, name) of imports in files that fit a package pattern of packages(rule_id, pattern)."""
     names = files.where("language = 'java'").select("path", F.explode(F.regexp_extract_all("content", F.lit(r"(?m)^\s*import\s+(?:static\s+)?([\w.*]+)\s*;"), 1)).alias("name"))
-    return names.join(F.broadcast(packages), F.regexp_like("name", "pattern")).select("path", "rule_id", "name")
+    first, *more = [names.join(part, F.regexp_like("name", "pattern")).select("path", "rule_id", "name") for part in broadcast_parts(packages)]
+    for rows in more:
+        first = first.unionByName(rows)
+    return first
 
 
 def xpath_matches(trees: DataFrame, rules: list[tuple[str, str]]) -> DataFrame:

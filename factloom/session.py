@@ -9,6 +9,7 @@ import uuid
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 REPO = str(Path(__file__).resolve().parents[1])
 
@@ -62,3 +63,22 @@ def written(df: DataFrame, name: str) -> DataFrame:
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+#: Rows that are broadcast take at most so many bytes, counted as JSON; more are joined by shuffles or in parts.
+BROADCAST_BYTES = 32 << 20
+
+
+def row_bytes(df: DataFrame) -> int:
+    return df.agg(F.sum(F.length(F.to_json(F.struct(*df.columns))))).first()[0] or 0
+
+
+def small(df: DataFrame) -> DataFrame:
+    """df with a broadcast hint if its rows, counted, are small enough."""
+    return F.broadcast(df) if row_bytes(df) <= BROADCAST_BYTES else df
+
+
+def broadcast_parts(df: DataFrame) -> list[DataFrame]:
+    """df as broadcasts that are each small enough, for joins without a key: the other side meets them one after the other."""
+    n = max(1, -(-row_bytes(df) // BROADCAST_BYTES))
+    return [F.broadcast(df if n == 1 else df.where(F.pmod(F.xxhash64(*df.columns), F.lit(n)) == k)) for k in range(n)]

