@@ -21,7 +21,7 @@ def _replayed(rows: DataFrame, kind: str, method: Column, args: Column) -> tuple
     makers = users.select("func", F.lit(0).alias("block"), F.lit(0).cast("int").alias("pos"), F.lit(-1).cast("long").alias("value"), F.lit(kind).alias("type"), none.alias("args"))
     copies = users.select("func", F.lit(-2).cast("long").alias("dst"), F.lit(-1).cast("long").alias("src"))
     value = F.when(F.col("k") % 3 == 0, F.lit(-2)).otherwise(F.lit(-1)).cast("long")
-    uses = rows.select(F.col("f").alias("func"), F.lit(0).alias("block"), F.col("k").alias("pos"), value.alias("value"), F.when(F.col("value") > 140, "argument").otherwise("receiver").alias("role"), method.alias("method"), args.alias("args"), F.col("event_id").alias("result"))
+    uses = rows.select(F.col("f").alias("func"), F.lit(0).alias("block"), F.col("k").alias("pos"), value.alias("value"), F.when(F.col("value") > 350, "argument").otherwise("receiver").alias("role"), method.alias("method"), args.alias("args"), F.col("event_id").alias("result"))
     return containers.replayed(makers, uses, copies)
 
 
@@ -35,7 +35,7 @@ def _result(found: tuple[DataFrame, DataFrame]) -> DataFrame:
     return exact.join(reads, ["func", "pos"], "left").select("func", "pos", "element")
 
 
-_CALLS_SQL = "b AS (SELECT user_id AS f, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS k, event_id AS id, event_type AS t, value FROM events), out AS (SELECT DISTINCT f FROM b WHERE value > 140)"
+_CALLS_SQL = "b AS (SELECT user_id AS f, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS k, event_id AS id, event_type AS t, value FROM events), out AS (SELECT DISTINCT f FROM b WHERE value > 350)"
 
 
 @query(f"""
