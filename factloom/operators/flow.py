@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from factloom.operators import graph, matching
-from factloom.session import ship, small, written
+from factloom.session import broadcast_parts, ship, small, written
 
 #: How methods of containers move values between ports.
 CONTAINERS = [
@@ -57,6 +57,44 @@ def seeds(matches: DataFrame, ports: DataFrame, what: str) -> DataFrame:
     return met.select(node(what, F.col("call"), F.col("rule_id"), F.col("port")).alias("node"), port_node(F.col("call"), F.col("port")).alias("port"), "rule_id", F.coalesce(F.nullif("kind", F.lit("")), F.lit("generic")).alias("kind"))
 
 
+def field_nodes(matches: DataFrame, accesses: DataFrame, rules: DataFrame, what: str) -> DataFrame:
+    """(node, value, rule_id, kind): synthetic nodes of matches(access, rule_id) between rules(rule_id, kind) and the value that
+    accesses(access, field, value) read (what: source) or write (what: sink)."""
+    met = matches.join(small(rules), "rule_id").join(accesses, "access")
+    return met.select(node(what, F.col("access"), F.col("rule_id"), F.concat(F.lit("member="), "field")).alias("node"), node("value", F.col("value")).alias("value"), "rule_id", F.coalesce(F.nullif("kind", F.lit("")), F.lit("generic")).alias("kind"))
+
+
+def index_sinks(accesses: DataFrame, rules: DataFrame) -> DataFrame:
+    """(node, value, rule_id, kind) of indices that are computed: accesses(access, language, base_name, index, is_load, constant)
+    x rules(rule_id, language, kind, on_load, on_store, base_regex, direct_only), few rules. A rule without language takes any;
+    one with a pattern needs a base with a name; one that is direct_only leaves out indices with a known constant. on_store
+    is true and on_load false where they are null."""
+    way = F.when(F.col("is_load"), F.coalesce("on_load", F.lit(False))).otherwise(F.coalesce("on_store", F.lit(True)))
+    name = F.col("base_regex").isNull() | F.coalesce(F.regexp_like("base_name", F.col("base_regex")), F.lit(False))
+    direct = ~F.coalesce("direct_only", F.lit(False)) | F.col("constant").isNull()
+    holds = way & name & direct & (F.col("r_language").isNull() | F.coalesce(F.col("language") == F.col("r_language"), F.lit(False)))
+    out = None
+    for part in broadcast_parts(rules.withColumnRenamed("language", "r_language")):
+        met = accesses.join(part, holds)
+        met = met.select(node("sink", F.col("access"), F.col("rule_id"), F.lit("index")).alias("node"), node("value", F.col("index")).alias("value"), "rule_id", F.coalesce(F.nullif("kind", F.lit("")), F.lit("generic")).alias("kind"))
+        out = met if out is None else out.unionByName(met)
+    return out
+
+
+def function_nodes(matches: DataFrame, functions: DataFrame, ports: DataFrame, what: str) -> DataFrame:
+    """(node, port, rule_id, kind) of matched definitions: matches(function, rule_id), functions(function, params, receiver) with
+    the number of all parameters and whether the first is the receiver, ports(rule_id, port, kind). Ports of arguments count
+    without the receiver and are left out where the function has no such parameter."""
+    shift = F.col("receiver").cast("int")
+    met = matches.join(functions, "function").join(small(ports), "rule_id")
+    met = met.select("function", "rule_id", "kind", "params", "receiver", shift.alias("shift"), F.explode(matching.expand_ports(F.col("port"), F.greatest(F.col("params") - shift, F.lit(0)))).alias("port"))
+    nth = F.regexp_extract("port", r"^arg(\d+)$", 1).try_cast("int") + F.col("shift")
+    formal = lambda k: node("formal", F.col("function"), k)
+    to = F.when(F.col("port") == "return", node("return", F.col("function"))).when((F.col("port") == "receiver") & F.col("receiver"), formal(F.lit(0))).when(nth < F.col("params"), formal(nth))
+    found = met.select(node(what, F.col("function"), F.col("rule_id"), F.col("port")).alias("node"), to.alias("port"), "rule_id", F.coalesce(F.nullif("kind", F.lit("")), F.lit("generic")).alias("kind"))
+    return found.where("port is not null").distinct()
+
+
 #: Ports whose value can be written back to.
 WRITABLE = r"^(receiver|arg\d+|named:.*)$"
 

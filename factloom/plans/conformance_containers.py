@@ -1,11 +1,12 @@
-"""Local collections on the supplied tables: a user's events are calls on the user's one list or map, in their order."""
+"""Local collections, receiver labels and nodes of rules on the supplied tables: a user's events are calls on the user's one list,
+map or object, in their order."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from factloom.operators import containers
+from factloom.operators import calls, containers, flow, receiver_labels
 from factloom.plans.conformance import query
 from factloom.session import table, written
 
@@ -68,3 +69,62 @@ def local_maps(spark: SparkSession, sf_dir: str) -> DataFrame:
     key = _literal(F.concat(F.lit("key"), (F.col("k") % 4).cast("string")), False)
     args = F.when(clears, F.expr(f"cast(array() as {containers.ARGS})")).when(op.isin("get", "remove"), F.array(key)).otherwise(F.array(key, element))
     return _result(_replayed(_calls(spark, sf_dir), "java.util.HashMap", op, args))
+
+
+@query("""
+WITH RECURSIVE n AS (SELECT max(user_id) + 1 AS n FROM events), ev AS (SELECT event_id AS pos, user_id AS o, event_type AS t, CASE WHEN event_type = 'purchase' THEN (user_id * 7 + 3) % n END AS result FROM events, n),
+adds AS (SELECT o, 'sql' AS l, pos, 1 AS s FROM ev WHERE t = 'error' UNION ALL SELECT o, 'web', pos, 1 FROM ev WHERE t = 'click' AND o % 3 = 0 UNION ALL SELECT o, 'safe', pos, 1 FROM ev WHERE t = 'signup' AND o % 5 = 1),
+gone AS (SELECT o, 'web' AS l, pos FROM ev WHERE t = 'error' UNION ALL SELECT o, 'sql', pos FROM ev WHERE t = 'signup' UNION ALL SELECT o, 'safe', pos FROM ev WHERE t = 'view'),
+a(o, l, q) AS (SELECT o, l, pos FROM adds UNION SELECT h.result, a.l, h.pos FROM a JOIN ev h ON h.o = a.o AND h.result IS NOT NULL AND h.pos > a.q AND NOT EXISTS (SELECT 1 FROM gone g WHERE g.o = a.o AND g.l = a.l AND g.pos > a.q AND g.pos <= h.pos)),
+k AS (SELECT ev.pos, a.l, max(a.q) AS q, ev.o FROM ev JOIN a ON a.o = ev.o AND a.q < ev.pos GROUP BY ALL)
+SELECT pos AS call, l AS label FROM k WHERE NOT EXISTS (SELECT 1 FROM gone g WHERE g.o = k.o AND g.l = k.l AND g.pos > k.q AND g.pos < k.pos)
+""")
+def receiver_side_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What labels a user has when an event begins: events set and take away, purchases hand all to another user."""
+    events = table(spark, sf_dir, "events")
+    n = events.agg(F.max("user_id") + 1).first()[0]
+    calls = events.select(F.col("event_id").alias("call"), F.col("event_id").alias("pos"), F.col("user_id").alias("object"), F.when(F.col("event_type") == "purchase", (F.col("user_id") * 7 + 3) % n).alias("result"))
+    t = F.col("event_type")
+    remove = F.when(t == "error", F.array(F.lit("web"))).when(t == "signup", F.array(F.lit("sql"))).when(t == "view", F.array(F.lit("safe")))
+    add = F.when(t == "error", F.array(F.lit("sql"))).when((t == "click") & (F.col("user_id") % 3 == 0), F.array(F.lit("web"))).when((t == "signup") & (F.col("user_id") % 5 == 1), F.array(F.lit("safe")))
+    return receiver_labels.labels_at_calls(calls, events.select(F.col("event_id").alias("call"), F.lit(0).alias("nth"), remove.alias("remove"), add.alias("add")))
+
+
+@query("""
+WITH a AS (SELECT l_orderkey || '-' || l_linenumber || '-' || l_partkey || '-' || l_suppkey AS access, l_returnflag = 'R' AS is_load, 'base' || l_suppkey % 5 AS base, l_partkey AS idx, CASE WHEN l_linestatus = 'F' THEN l_linenumber END AS constant FROM lineitem),
+m AS (SELECT *, 'session' AS rule_id, 'web' AS kind FROM a WHERE is_load AND regexp_matches(base, '^base[12]$') UNION ALL SELECT *, 'direct', 'generic' FROM a WHERE NOT is_load AND constant IS NULL UNION ALL SELECT *, 'any', 'sql' FROM a WHERE base = 'base3')
+SELECT 'sink:' || access || ':' || rule_id || ':index' AS node, 'value:' || idx AS value, rule_id, kind FROM m
+""")
+def index_sinks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Indices that end in a sink: lines read or write a container at their part."""
+    rules = spark.createDataFrame([("session", "python", "web", True, False, "^base[12]$", None), ("direct", None, "", None, None, None, True), ("any", None, "sql", True, True, "^base3$", False), ("other", "go", "sql", True, True, None, False)], "rule_id string, language string, kind string, on_load boolean, on_store boolean, base_regex string, direct_only boolean")
+    access = F.concat_ws("-", *(F.col(c).cast("string") for c in ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")))
+    rows = table(spark, sf_dir, "lineitem").select(access.alias("access"), F.lit("python").alias("language"), F.concat(F.lit("base"), (F.col("l_suppkey") % 5).cast("string")).alias("base_name"), F.col("l_partkey").alias("index"), (F.col("l_returnflag") == "R").alias("is_load"), F.when(F.col("l_linestatus") == "F", F.col("l_linenumber")).alias("constant"))
+    return flow.index_sinks(rows, rules)
+
+
+@query("""
+SELECT 'sink:' || l_orderkey || '-' || l_linenumber || '-' || l_partkey || '-' || l_suppkey || ':' || CASE l_linenumber WHEN 2 THEN 'mail' ELSE 'brand' END || ':member=f' || l_linenumber AS node, 'value:' || l_suppkey AS value, CASE l_linenumber WHEN 2 THEN 'mail' ELSE 'brand' END AS rule_id, CASE l_linenumber WHEN 2 THEN 'web' ELSE 'generic' END AS kind FROM lineitem
+JOIN part ON p_partkey = l_partkey WHERE l_linenumber = 2 OR l_linenumber = 3 AND p_brand LIKE '%1'
+""")
+def field_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Values written to fields that rules name: a line writes its supplier to the field of its number, owned by its part."""
+    rules = spark.createDataFrame([("mail", "f2", None, None, "web"), ("brand", "f3", None, "1$", None), ("none", "f4", "Nobody", None, "sql")], "rule_id string, field string, owner string, owner_regex string, kind string")
+    access = F.concat_ws("-", *(F.col(c).cast("string") for c in ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")))
+    lines = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "part").select(F.col("p_partkey").alias("l_partkey"), "p_brand"), "l_partkey")
+    accesses = written(lines.select(access.alias("access"), F.concat(F.lit("f"), F.col("l_linenumber").cast("string")).alias("field"), F.array("p_brand").alias("owners"), F.col("l_suppkey").alias("value")), "accesses")
+    return flow.field_nodes(calls.field_matches(accesses.select("access", "field", "owners"), rules.drop("kind")), accesses.select("access", "field", "value"), rules.select("rule_id", "kind"), "sink")
+
+
+@query("""
+WITH f AS (SELECT p_partkey AS f, p_size % 5 AS params, p_size % 2 = 1 AND p_size % 5 > 0 AS method, p_brand FROM part), v AS (SELECT *, params - CASE WHEN method THEN 1 ELSE 0 END AS shown, CASE WHEN method THEN 1 ELSE 0 END AS shift FROM f),
+x AS (SELECT f, 'handler' AS rule_id, 'web' AS kind, 'arg' || k AS port, 'formal:' || f || ':' || (k + shift) AS t FROM v, LATERAL (SELECT unnest(range(0, shown)) AS k) WHERE p_brand LIKE '%3'
+UNION ALL SELECT f, 'handler', 'generic', 'receiver', 'formal:' || f || ':0' FROM v WHERE method AND p_brand LIKE '%3' UNION ALL SELECT f, 'maker', 'generic', 'return', 'return:' || f FROM v WHERE p_brand LIKE '%#2%' UNION ALL SELECT f, 'maker', 'sql', 'arg1', 'formal:' || f || ':' || (1 + shift) FROM v WHERE p_brand LIKE '%#2%' AND shown > 1)
+SELECT 'source:' || f || ':' || rule_id || ':' || port AS node, t AS port, rule_id, kind FROM x
+""")
+def function_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parameters and results that definitions make sources: parts are functions, named by their brand."""
+    rules = spark.createDataFrame([("handler", None, None, "3$", None), ("maker", None, "#2", None, None)], "rule_id string, exact string, contains string, regex string, params int")
+    ports = spark.createDataFrame([("handler", "args_from0", "web"), ("handler", "receiver", ""), ("maker", "return", None), ("maker", "arg1", "sql")], "rule_id string, port string, kind string")
+    own = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("function"), F.col("p_brand").alias("name"), (F.col("p_size") % 5).cast("int").alias("params"), ((F.col("p_size") % 2 == 1) & (F.col("p_size") % 5 > 0)).alias("receiver"))
+    return flow.function_nodes(calls.function_matches(own.select("function", "name", "params"), rules), own.select("function", "params", "receiver"), ports, "source")
