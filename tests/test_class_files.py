@@ -12,7 +12,8 @@ from pathlib import Path
 import pyspark
 import pytest
 
-from factloom.operators import calls, containers
+from factloom.operators import calls, containers, flow, receiver_labels
+from factloom.operators.congruence import NotFinished
 from factloom.sources import class_files
 
 JAVA = """
@@ -291,3 +292,42 @@ def test_collections_against_brute_force(spark):
     kept = containers.refined(general, reads, exact)
     assert kept.where("src = 7").count() == sum(not v for v in expected.values())
     assert all(df.count() == 0 for df in containers.replayed(m.limit(0), u.limit(0), c.limit(0)))
+
+
+def test_receiver_labels_against_brute_force(spark):
+    rng = random.Random(8)
+    calls_, rules, expected = [], [], set()
+    held = defaultdict(set)
+    for pos in range(300):
+        on, to = rng.choice([*range(6), None]), rng.choice([None, None, *range(6), 50 + pos])
+        calls_.append((pos, pos, on, to))
+        mine = [(pos, k, rng.choice([None, [], ["a"], ["b", "c"]]), rng.choice([None, ["a"], ["c"], ["d", "d"]])) for k in range(rng.choice([0, 0, 1, 2]))]
+        rules += mine
+        if on is None:
+            continue
+        expected |= {(pos, label) for label in held[on]}
+        for _, _, remove, add in mine:
+            held[on] = held[on] - set(remove or ()) | set(add or ())
+        if to is not None:
+            held[to] |= held[on]
+    c = spark.createDataFrame(calls_, "call int, pos int, object int, result int")
+    t = spark.createDataFrame(rules, "call int, nth int, remove array<string>, add array<string>")
+    assert {tuple(r) for r in receiver_labels.labels_at_calls(c, t).collect()} == expected and len(expected) > 200
+    assert receiver_labels.labels_at_calls(c.limit(0), t.limit(0)).count() == 0
+    chain = spark.createDataFrame([(k, k, k, k + 1) for k in range(6)], c.schema)
+    one = spark.createDataFrame([(0, 0, None, ["x"])], t.schema)
+    assert receiver_labels.labels_at_calls(chain, one).count() == 5
+    with pytest.raises(NotFinished):
+        receiver_labels.labels_at_calls(chain, one, rounds=3)
+
+
+def test_nodes_of_rules_on_odd_rows(spark):
+    rules = spark.createDataFrame([("r", None, None, None, None, "^s", True)], "rule_id string, language string, kind string, on_load boolean, on_store boolean, base_regex string, direct_only boolean")
+    accesses = spark.createDataFrame([(1, "go", "s", 7, False, None), (2, None, None, 7, False, None), (3, "go", "s", 7, True, None), (4, "go", "s", 7, False, "0"), (5, "go", "as", 7, False, None), (1, "go", "s", 7, False, None)], "access int, language string, base_name string, index int, is_load boolean, constant string")
+    assert [tuple(r) for r in flow.index_sinks(accesses, rules).collect()] == [("sink:1:r:index", "value:7", "r", "generic")] * 2
+    assert flow.index_sinks(accesses.limit(0), rules).count() == flow.index_sinks(accesses, rules.limit(0)).count() == 0
+    functions = spark.createDataFrame([(1, 0, False), (2, 1, True), (3, 3, True), (4, None, None)], "function int, params int, receiver boolean")
+    ports = spark.createDataFrame([("r", "args_from0", None), ("r", "receiver", "k"), ("r", "arg5", "k"), ("r", "named:x", "k")], "rule_id string, port string, kind string")
+    matches = functions.selectExpr("function", "'r' as rule_id")
+    found = {(r.node, r.port) for r in flow.function_nodes(matches, functions, ports, "sink").collect()}
+    assert found == {("sink:2:r:receiver", "formal:2:0"), ("sink:3:r:receiver", "formal:3:0"), ("sink:3:r:arg0", "formal:3:1"), ("sink:3:r:arg1", "formal:3:2")}
