@@ -10,10 +10,19 @@ from factloom.session import session
 from factloom.sources import rule_packs
 
 
+def rule_frames(spark, rules: str, parser: argparse.ArgumentParser) -> list:
+    """Sources, sinks and sanitizers of rule packs, comma-separated."""
+    pack = rule_packs.read(*rules.split(","))
+    frames = [pack.frame(spark, role) if getattr(pack, role) else None for role in ("sources", "sinks", "sanitizers")]
+    if frames[0] is None or frames[1] is None:
+        parser.error("the rules have no source or no sink")
+    return frames
+
+
 def main(args: list[str] | None = None) -> None:
     parser = argparse.ArgumentParser(prog="factloom")
     commands = parser.add_subparsers(dest="command", required=True)
-    for name, extra in (("dependencies", ()), ("scan", ("advisories",)), ("malware", ()), ("python-facts", ()), ("taint", ("rules",)), ("text-rules", ("rules",)), ("check-rules", ())):
+    for name, extra in (("dependencies", ()), ("scan", ("advisories",)), ("malware", ()), ("python-facts", ()), ("taint", ("rules",)), ("class-taint", ("rules",)), ("class-facts", ()), ("rpm", ()), ("text-rules", ("rules",)), ("check-rules", ())):
         c = commands.add_parser(name)
         if name != "check-rules":
             c.add_argument("folder")
@@ -50,6 +59,17 @@ def main(args: list[str] | None = None) -> None:
 
         source = manifests.by_language(files)
         rule_packs.scan_texts(source, rule_packs.read(*a.rules.split(","))).write.mode("overwrite").json(a.out)
+    elif a.command in ("class-taint", "class-facts", "rpm"):
+        from factloom.plans import class_scan
+        from factloom.sources import archives, class_files, rpm
+
+        held = archives.extract(spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(a.folder).select("path", "content")).where("problem is null")
+        if a.command == "rpm":
+            rpm.packages(held).write.mode("overwrite").json(a.out)
+        elif a.command == "class-facts":
+            class_files.decoded(held).write.mode("overwrite").parquet(a.out)
+        else:
+            class_scan.scan(held, *rule_frames(spark, a.rules, parser)).write.mode("overwrite").json(a.out)
     else:
         from factloom.operators import heap
         from factloom.plans import taint_scan
@@ -58,11 +78,7 @@ def main(args: list[str] | None = None) -> None:
         source = manifests.source_files(spark, a.folder, ["python"]).select("path", "content")
         source = source.join(heap.catalog(source, "path"), "path").select(F.col("object").alias("file_id"), "path", "content")  # numbered, so no two share one
         if a.command == "taint":
-            pack = rule_packs.read(*a.rules.split(","))
-            frames = [pack.frame(spark, role) if getattr(pack, role) else None for role in ("sources", "sinks", "sanitizers")]
-            if frames[0] is None or frames[1] is None:
-                parser.error("the rules have no source or no sink")
-            taint_scan.scan(source, *frames).write.mode("overwrite").json(a.out)
+            taint_scan.scan(source, *rule_frames(spark, a.rules, parser)).write.mode("overwrite").json(a.out)
         else:
             python_code.facts(source).write.mode("overwrite").parquet(a.out)
 

@@ -26,8 +26,8 @@ def field_edges(stores: DataFrame, loads: DataFrame, roots: DataFrame) -> DataFr
 
     s, d = cells(stores, "src"), cells(loads, "dst")
     same = s.withColumn("field", F.col("src_field")).join(d.withColumn("field", F.col("dst_field")), ["func", "root", "field"]).select("func", "src", "dst")
-    wild = s.join(d, ["func", "root"]).where("(src_field = '*') <> (dst_field = '*')").select("func", "src", "dst")
-    return same.unionByName(wild).distinct()
+    met = lambda left, right: s.where(f"src_field {left} '*'").join(d.where(f"dst_field {right} '*'"), ["func", "root"]).select("func", "src", "dst")
+    return same.unionByName(met("=", "<>")).unionByName(met("<>", "=")).distinct()
 
 
 def overlaps(cells: DataFrame) -> DataFrame:

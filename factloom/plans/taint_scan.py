@@ -18,6 +18,12 @@ def scan(files: DataFrame, sources: DataFrame, sinks: DataFrame, sanitizers: Dat
     calls = written(python_code.call_sites(rows), "calls")
     edges = python_code.flow_edges(rows)
     ports = rows.where("what = 'arg'").select(F.col("a").alias("node"), F.col("b").alias("at"), F.coalesce(F.concat(F.lit("named:"), F.col("name")), F.concat(F.lit("arg"), F.col("number").cast("string"))).alias("is"))
+    return search(calls, edges, ports, sources, sinks, sanitizers)
+
+
+def search(calls: DataFrame, edges: DataFrame, ports: DataFrame, sources: DataFrame, sinks: DataFrame, sanitizers: DataFrame | None = None) -> DataFrame:
+    """Findings along edges(src, dst, kind, site, remove, add) between calls (as call_sites(), node: what the call returns), whose
+    ports(node, at, is) name the nodes that their arguments flow into."""
 
     def met(rules: DataFrame) -> DataFrame:
         """Calls with the rule they match, its kind and the port that it names, variadic ones expanded."""

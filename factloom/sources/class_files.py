@@ -197,9 +197,9 @@ class Method:
         self.meets: dict[int, dict] = defaultdict(lambda: defaultdict(set))  # block -> slot -> what it may be
         self.entry: dict[int, tuple[dict, list]] = {}
         locals_, slot = {}, 0
-        for kind in ([] if static else ["L"]) + parameters(descriptor)[0]:
+        for nth, kind in enumerate(([] if static else ["L"]) + parameters(descriptor)[0]):
             locals_[slot] = (self.value(), kind in "JD")
-            self.row("parameter", name=str(slot), dst=locals_[slot][0])
+            self.row("parameter", name=str(nth), dst=locals_[slot][0])
             slot += 2 if kind in "JD" else 1
         self.steps = {at: (op, r.at, after) for at, op, r, after in instructions(code.body)}
         self.leads = {at: targets(op, at, Reader(code.body, start), after) for at, (op, start, after) in self.steps.items()}
@@ -491,8 +491,9 @@ def natives(rows: DataFrame) -> DataFrame:
 
 
 def flows(rows: DataFrame) -> DataFrame:
-    """(func, src, dst, kind): values that one instruction makes of others, but for calls."""
-    of = F.transform("args", lambda a: a["value"])
+    """(func, src, dst, kind): values that one instruction makes of others, but for calls. What is read from an array comes from the
+    array and not from the index."""
+    of = F.transform(F.when(F.col("kind") == "load_index", F.slice("args", 1, 1)).otherwise(F.col("args")), lambda a: a["value"])
     made = rows.where(F.col("kind").isin("phi", "copy", "unary", "binary", "load_index")).select(function_of().alias("func"), F.explode(of).alias("src"), "dst", "kind")
     fields = rows.where("kind = 'load_field' and receiver is not null").select(function_of().alias("func"), F.col("receiver").alias("src"), "dst", "kind")
     return made.unionByName(fields).distinct()

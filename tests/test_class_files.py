@@ -11,10 +11,13 @@ from pathlib import Path
 
 import pyspark
 import pytest
+from pyspark.sql import functions as F
 
-from factloom.operators import calls, containers, flow, receiver_labels
+from factloom.operators import calls, containers, flow, matching, receiver_labels
 from factloom.operators.congruence import NotFinished
-from factloom.sources import class_files
+from factloom.operators.matching import Matcher
+from factloom.plans import class_scan
+from factloom.sources import archives, class_files
 
 JAVA = """
 import java.util.*;
@@ -331,3 +334,86 @@ def test_nodes_of_rules_on_odd_rows(spark):
     matches = functions.selectExpr("function", "'r' as rule_id")
     found = {(r.node, r.port) for r in flow.function_nodes(matches, functions, ports, "sink").collect()}
     assert found == {("sink:2:r:receiver", "formal:2:0"), ("sink:3:r:receiver", "formal:3:0"), ("sink:3:r:arg0", "formal:3:1"), ("sink:3:r:arg1", "formal:3:2")}
+
+
+WEB = """
+import java.util.*;
+
+interface Reader { String read(String name); }
+
+class Plain implements Reader {
+    public String read(String name) { return System.getenv(name); }
+}
+
+class Fixed implements Reader {
+    public String read(String name) { return "fixed"; }
+}
+
+class Web {
+    static String kept;
+    String own;
+
+    static void direct() throws Exception {
+        String v = System.getenv("A");
+        Runtime.getRuntime().exec(v.trim() + "x");
+    }
+
+    static void called(Reader r) throws Exception {
+        run(r.read("B"));
+        run("no");
+    }
+
+    static void run(String c) throws Exception {
+        Runtime.getRuntime().exec(c);
+    }
+
+    static String same(String s) { return s; }
+
+    static void returned() throws Exception {
+        String a = same(System.getenv("C"));
+        String b = same("clean");
+        Runtime.getRuntime().exec(b);
+        Runtime.getRuntime().exec(a);
+    }
+
+    static void lists() throws Exception {
+        ArrayList<String> l = new ArrayList<>();
+        l.add("clean");
+        l.add(System.getenv("D"));
+        Runtime.getRuntime().exec(l.get(0));
+        Runtime.getRuntime().exec(l.get(1));
+    }
+
+    void fields() throws Exception {
+        own = System.getenv("E");
+        String[] all = new String[2];
+        all[0] = own;
+        new ProcessBuilder(all).start();
+        StringBuilder text = new StringBuilder();
+        text.append(clean(own));
+        Runtime.getRuntime().exec(text.toString());
+    }
+
+    static String clean(String s) { return s; }
+}
+"""
+
+
+def test_class_files_to_findings(spark, tmp_path):
+    if not shutil.which("javac") or not shutil.which("jar"):
+        pytest.skip("needs a Java compiler")
+    (tmp_path / "Web.java").write_text(WEB)
+    subprocess.run(["javac", "-g", "-nowarn", "-d", str(tmp_path / "out"), str(tmp_path / "Web.java")], check=True, capture_output=True)
+    subprocess.run(["jar", "cf", str(tmp_path / "web.jar"), "-C", str(tmp_path / "out"), "."], check=True, capture_output=True)
+    jar = (tmp_path / "web.jar").read_bytes()
+    files = archives.extract(spark.createDataFrame([("web.jar", bytearray(jar)), ("copy.jar", bytearray(jar))], "path string, content binary"))
+    kind = lambda rules: matching.rules_frame(spark, rules).withColumn("kind", F.lit("cmd"))
+    sources = kind([("env", "java", Matcher(exact="java.lang.System.getenv", arg_types=["java.lang.String"]))])
+    sinks = kind([("exec", "java", Matcher(method_name="exec", receiver_type="java.lang.Runtime")), ("make", None, Matcher(exact="java.lang.ProcessBuilder"))])
+    line = lambda text: 1 + WEB[: WEB.index(text)].count("\n")
+    wanted = {line(t) for t in ("Runtime.getRuntime().exec(v", "Runtime.getRuntime().exec(c)", "Runtime.getRuntime().exec(a)", "Runtime.getRuntime().exec(l.get(1))", "new ProcessBuilder(all)", "Runtime.getRuntime().exec(text")}
+    cleaner = kind([("clean", "java", Matcher(exact="Web.clean"))])
+    found = class_scan.scan(files, sources, sinks, cleaner).collect()
+    assert {r.location for r in found} == {f"copy.jar!/Web.class:{n}" for n in wanted - {line("Runtime.getRuntime().exec(text")}}
+    types = spark.createDataFrame([("(I[[Ljava/util/List;J[B)V",), ("()I",), (None,)], "d string").select(class_scan.java_types(F.col("d")).alias("t")).collect()
+    assert [r.t for r in types] == [["int", "java.util.List[][]", "long", "byte[]"], [], None]
