@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from factloom.operators import calls, containers, flow, receiver_labels
+from factloom.plans import reports
 from factloom.plans.conformance import query
 from factloom.session import table, written
 
@@ -128,3 +129,19 @@ def function_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     ports = spark.createDataFrame([("handler", "args_from0", "web"), ("handler", "receiver", ""), ("maker", "return", None), ("maker", "arg1", "sql")], "rule_id string, port string, kind string")
     own = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("function"), F.col("p_brand").alias("name"), (F.col("p_size") % 5).cast("int").alias("params"), ((F.col("p_size") % 2 == 1) & (F.col("p_size") % 5 > 0)).alias("receiver"))
     return flow.function_nodes(calls.function_matches(own.select("function", "name", "params"), rules), own.select("function", "params", "receiver"), ports, "source")
+
+
+@query("""
+WITH l AS (SELECT DISTINCT l_orderkey AS o, l_partkey AS p FROM lineitem), w AS (SELECT o, p, row_number() OVER (PARTITION BY o ORDER BY p) - 1 AS nth, count(*) OVER (PARTITION BY o) AS n FROM l),
+h AS (SELECT w.*, CASE WHEN p_size > 5 THEN '{"physicalLocation":{"artifactLocation":{"uri":"src/' || p_type || '"},"region":{"startLine":' || greatest(p_partkey, 1) || '}},"message":{"text":"' || p_brand || '"}}' END AS loc FROM w JOIN part ON p_partkey = p),
+g AS (SELECT o, n, string_agg('{"location":' || loc || '}', ',' ORDER BY nth) AS steps, max(CASE WHEN nth = 0 THEN loc END) AS source, max(CASE WHEN nth = n - 1 THEN loc END) AS sink, min(p) AS a, max(p) AS b FROM h GROUP BY ALL)
+SELECT o AS place, a AS source_node, b AS sink_node, '{"ruleId":"out","level":"error","message":{"text":"value of in reaches out"},"locations":[' || coalesce(sink, '{"physicalLocation":{"artifactLocation":{"uri":"order"},"region":{"startLine":' || greatest(o, 1) || '}},"message":{"text":""}}') || '],"relatedLocations":[' || coalesce(source, '')
+|| '],"codeFlows":[{"threadFlows":[{"locations":[' || coalesce(steps, '') || ']}]}],"properties":{"sourceRuleId":"in","sinkRuleId":"out","sourceKind":"web","sinkKind":"sql","analysisComplete":' || (o % 2 = 0) || ',"queryCompleteness":"' || CASE WHEN o % 2 = 0 THEN 'complete' ELSE 'context_limit' END || '"}}' AS value FROM g
+""")
+def sarif_thread_flows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Findings with their ways as SARIF results: an order's parts are a way, small parts have no place."""
+    lines, k = table(spark, sf_dir, "lineitem"), F.col("o")
+    ways = lines.groupBy(F.col("l_orderkey").alias("o")).agg(F.array_sort(F.collect_set("l_partkey")).alias("path"))
+    found = ways.select(F.lit("in").alias("source_rule_id"), F.lit("out").alias("sink_rule_id"), F.lit("web").alias("source_kind"), F.lit("sql").alias("sink_kind"), F.array_min("path").alias("source_node"), F.array_max("path").alias("sink_node"), F.concat(F.lit("order:"), k.cast("string")).alias("location"), "path", F.when(k % 2 == 0, "complete").otherwise("context_limit").alias("completeness"))
+    places = table(spark, sf_dir, "part").where("p_size > 5").select(F.col("p_partkey").alias("node"), F.concat(F.lit("src/"), "p_type").alias("uri"), F.col("p_partkey").cast("int").alias("line"), F.col("p_brand").alias("label"))
+    return reports.taint_results(found, places).select(F.substring_index("location", ":", -1).cast("long").alias("place"), "source_node", "sink_node", "value")

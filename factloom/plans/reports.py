@@ -39,6 +39,36 @@ def sarif_results(findings: DataFrame) -> DataFrame:
     return findings.select("path", "line", "col", "rule_id", F.to_json(result).alias("value"))
 
 
+def _location(uri, line, label) -> F.Column:
+    """A place as SARIF has it; lines begin at 1."""
+    region = F.struct(F.greatest(F.coalesce(line, F.lit(1)), F.lit(1)).alias("startLine"))
+    return F.struct(F.struct(F.struct(uri.alias("uri")).alias("artifactLocation"), region.alias("region")).alias("physicalLocation"), F.struct(F.coalesce(label, F.lit("")).alias("text")).alias("message"))
+
+
+def taint_results(found: DataFrame, places: DataFrame) -> DataFrame:
+    """(source_rule_id, sink_rule_id, location, source_node, sink_node, value): findings of a taint search as SARIF results with
+    the way that the value goes: a thread flow over the nodes of `path` that places(node, uri, line, label) knows, the sink as
+    the location (or, where its place isn't known, `location` as path:line), the source as related location.
+
+    Nodes without a place, as those of the limit row, leave no step. Ways are as long as searches are deep."""
+    key = ["source_rule_id", "sink_rule_id", "location", "source_node", "sink_node"]
+    numbered = written(found.withColumn("__id", F.struct(*key)), "findings")
+    at = numbered.select("__id", "source_node", "sink_node", F.posexplode("path").alias("nth", "node")).join(places, "node")
+    here = _location(F.col("uri"), F.col("line"), F.col("label"))
+    step = F.struct("nth", here.alias("location"))
+    ways = at.groupBy("__id").agg(F.array_sort(F.collect_list(step)).alias("steps"), F.min(F.when(F.col("node") == F.col("source_node"), here)).alias("source"), F.min(F.when(F.col("node") == F.col("sink_node"), here)).alias("sink"))
+    met = numbered.join(ways, "__id", "left")
+    split = _location(F.regexp_replace("location", r":\d+$", ""), F.regexp_extract("location", r":(\d+)$", 1).try_cast("int"), F.lit(""))
+    flow = F.transform(F.coalesce("steps", F.array().cast("array<struct<nth: int, location: struct<physicalLocation: struct<artifactLocation: struct<uri: string>, region: struct<startLine: int>>, message: struct<text: string>>>>")), lambda s: F.struct(s["location"].alias("location")))
+    message = F.concat(F.lit("value of "), "source_rule_id", F.lit(" reaches "), "sink_rule_id")
+    properties = F.struct(F.col("source_rule_id").alias("sourceRuleId"), F.col("sink_rule_id").alias("sinkRuleId"), F.col("source_kind").alias("sourceKind"), F.col("sink_kind").alias("sinkKind"), (F.col("completeness") == "complete").alias("analysisComplete"), F.col("completeness").alias("queryCompleteness"))
+    result = F.struct(
+        F.col("sink_rule_id").alias("ruleId"), level(F.lit("high")).alias("level"), F.struct(message.alias("text")).alias("message"), F.array(F.coalesce("sink", split)).alias("locations"), F.array_compact(F.array("source")).alias("relatedLocations"),
+        F.array(F.struct(F.array(F.struct(flow.alias("locations"))).alias("threadFlows"))).alias("codeFlows"), properties.alias("properties"),
+    )
+    return met.select(*key, F.to_json(result).alias("value"))
+
+
 def sarif(findings: DataFrame, tool: str = "factloom") -> DataFrame:
     """The lines of a SARIF 2.1.0 log, sorted: one line a rule and one a result, so no row and no task holds the log. The
     written part files, one after the other, are the log."""

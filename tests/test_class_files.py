@@ -1,5 +1,6 @@
 """Class files: what javap lists, values along the stack, collections of compiled code."""
 
+import json
 import random
 import re
 import shutil
@@ -16,7 +17,7 @@ from pyspark.sql import functions as F
 from factloom.operators import calls, containers, flow, matching, receiver_labels
 from factloom.operators.congruence import NotFinished
 from factloom.operators.matching import Matcher
-from factloom.plans import class_scan
+from factloom.plans import class_scan, reports
 from factloom.sources import archives, class_files
 
 JAVA = """
@@ -417,3 +418,14 @@ def test_class_files_to_findings(spark, tmp_path):
     assert {r.location for r in found} == {f"copy.jar!/Web.class:{n}" for n in wanted - {line("Runtime.getRuntime().exec(text")}}
     types = spark.createDataFrame([("(I[[Ljava/util/List;J[B)V",), ("()I",), (None,)], "d string").select(class_scan.java_types(F.col("d")).alias("t")).collect()
     assert [r.t for r in types] == [["int", "java.util.List[][]", "long", "byte[]"], [], None]
+
+
+def test_thread_flows(spark):
+    found = spark.createDataFrame([("s", "k", "a", "b", 1, 3, "x.py:7", [1, 2, 3], "complete"), ("s", "k", "a", "b", 1, 9, "dir:y.py:8", [1, 9], "context_limit"), ("***", "***", "l", "l", 0, 0, "@analysis", [], "visit_limit")], "source_rule_id string, sink_rule_id string, source_kind string, sink_kind string, source_node long, sink_node long, location string, path array<long>, completeness string")
+    places = spark.createDataFrame([(1, "x.py", 0, None), (2, "x.py", 4, "mid"), (3, "x.py", 7, "end")], "node long, uri string, line int, label string")
+    out = {r.sink_node: json.loads(r.value) for r in reports.taint_results(found, places).collect()}
+    lines = lambda r: [s["location"]["physicalLocation"]["region"]["startLine"] for s in r["codeFlows"][0]["threadFlows"][0]["locations"]]
+    assert lines(out[3]) == [1, 4, 7] and lines(out[9]) == [1] and lines(out[0]) == []
+    assert out[9]["locations"][0]["physicalLocation"] == {"artifactLocation": {"uri": "dir:y.py"}, "region": {"startLine": 8}}
+    assert len(out[3]["relatedLocations"]) == 1 and out[0]["relatedLocations"] == [] and not out[9]["properties"]["analysisComplete"]
+    assert reports.taint_results(found.limit(0), places.limit(0)).count() == 0
