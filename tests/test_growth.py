@@ -31,3 +31,11 @@ def test_findings_are_made_once_for_versions_in_the_same_ranges(many, monkeypatc
     assert len(found) == 40 * 30 and {(r.rule_id, r.manifest_path, r.direct) for r in found} == {(f"CVE-{k}", f"m{m}", m % 2 == 0) for k in range(1, 31) for m in range(40)}
     monkeypatch.setattr(advisories, "judge", lambda *a: F.struct(real(*a)["hit"].alias("hit"), real(*a)["known"].alias("known"), F.expr("uuid()").alias("fix")))
     assert advisories.findings(*many).select("fix").distinct().count() == 1
+
+
+def test_warnings_read_a_version_without_its_advisories(many, monkeypatch):
+    assert [(r.kind, r.package, r.n) for r in advisories.warnings(*many).collect()] == [("unresolved_version", "p", 31)]
+    real, seen = advisories.judge, []
+    monkeypatch.setattr(advisories, "judge", lambda *a: seen.append(a[-1]) or real(*a))
+    advisories.warnings(*many)
+    assert not any(isinstance(e, str) for e in seen)  # no range of an advisory is joined
