@@ -73,15 +73,17 @@ def by_callee(calls: DataFrame, rules: DataFrame) -> DataFrame:
 
 
 # --- bindings ----------------------------------------------------------------------------------------------------------
-def bind(actuals: DataFrame, formals: DataFrame) -> DataFrame:
+def bind(actuals: DataFrame, formals: DataFrame, order: str | None = None) -> DataFrame:
     """(call, function, formal, value, how) of actuals(call, function, place, name, value) and formals(function, formal,
     place, name, rest, default): by name, else by place, else into the rest parameter, else the default. One row a formal,
-    but for the rest parameter, which takes all that is left."""
+    but for the rest parameter, which takes all that is left. order: a column of actuals; of those at one place the first
+    in this order is taken."""
+    said = [F.col(order).alias("said")] if order else []
     of = formals.select("function", "formal", F.col("place").alias("f_place"), F.col("name").alias("f_name"), "rest")
     named = actuals.where("name is not null").join(of.where("not rest"), (actuals["name"] == F.col("f_name")) & (actuals["function"] == of["function"]))
     placed = actuals.where("name is null").join(of.where("not rest"), (actuals["place"] == F.col("f_place")) & (actuals["function"] == of["function"]))
-    pick = lambda rows, how: rows.select("call", actuals["function"], "formal", "value", F.lit(how).alias("how"), actuals["place"].alias("place"))
-    both = pick(named, 0).unionByName(pick(placed, 1)).withColumn("order", F.struct("how", "place"))
+    pick = lambda rows, how: rows.select("call", actuals["function"], "formal", "value", F.lit(how).alias("how"), actuals["place"].alias("place"), *said)
+    both = pick(named, 0).unionByName(pick(placed, 1)).withColumn("order", F.struct("how", "place", *(["said"] if order else [])))
     bound = first_wins(both, ["call", "formal"], "order").select("call", "function", "formal", "value", "how")
     last = formals.where("not rest").groupBy("function").agg(F.max("place").alias("last"))
     extra = actuals.where("name is null").join(last, "function", "left").where(F.coalesce(F.col("place") > F.col("last"), F.lit(True)))

@@ -362,11 +362,11 @@ every AS (SELECT * FROM bound UNION ALL SELECT call, 9, value, 2 FROM a WHERE na
 SELECT how, formal, count(*) AS n, CAST(sum(value) AS BIGINT) AS total FROM every GROUP BY ALL
 """)
 def actual_formal_binding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Arguments to parameters: by name, by place, the rest, and defaults."""
+    """Arguments to parameters: by name, by place, the rest, and defaults. Of lines with one number the first in the table counts."""
     name = F.when(F.col("l_returnflag") == "R", F.concat(F.lit("n"), (F.col("l_linenumber") % 2).cast("string")))
-    actuals = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("call"), F.lit(0).alias("function"), F.col("l_linenumber").alias("place"), name.alias("name"), F.col("l_partkey").alias("value"))
+    actuals = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("call"), F.lit(0).alias("function"), F.col("l_linenumber").alias("place"), name.alias("name"), F.col("l_partkey").alias("value"), F.struct("_metadata.file_path", "_metadata.row_index").alias("row"))
     formals = spark.createDataFrame([(0, 1, 1, "n0", False, None), (0, 2, 2, "n1", False, -1), (0, 9, 3, None, True, None)], "function int, formal int, place int, name string, rest boolean, default long")
-    return calls.bind(actuals, formals).groupBy("how", "formal").agg(F.count("*").alias("n"), F.sum("value").alias("total"))
+    return calls.bind(actuals, formals, "row").groupBy("how", "formal").agg(F.count("*").alias("n"), F.sum("value").alias("total"))
 
 
 @query("""
