@@ -113,7 +113,7 @@ def witnesses(spark: SparkSession, sf_dir: str, sources: DataFrame, sinks: DataF
     flow = edges.distinct().select(number("src").alias("src"), number("dst").alias("dst"), F.lit("flow").alias("kind"), F.lit(None).cast("long").alias("site"), none.alias("remove"), none.alias("add"))
     s = sources.select(number("node").alias("node"), F.lit("segment").alias("rule_id"), F.lit("generic").alias("kind"))
     k = sinks.select(number("node").alias("node"), F.lit("supplier").alias("rule_id"), F.lit("generic").alias("kind"), F.col("node").alias("location"))
-    found = taint.search(flow, s, k, 3)
+    found = taint.search(flow, s, k, 3, limit=None)
     return found.select("source_rule_id", "sink_rule_id", "location", "source_node", "sink_node", F.array_join(F.transform("path", lambda n: n.cast("string")), ">").alias("path"), "completeness")
 
 
