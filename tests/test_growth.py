@@ -79,3 +79,29 @@ def test_witnesses_of_more_sinks_than_a_report_has_findings(spark, tmp_path):
     for name in ("witness_findings", "witness_findings_all"):
         found = conformance.QUERIES[name](spark, str(tmp_path))
         assert found.agg(F.count_distinct("location"), F.count("*"), F.max("completeness")).first()[:] == (n, n, "complete")
+
+
+def test_what_starts_reach_is_not_written_as_pairs(spark, monkeypatch):
+    from factloom.operators import graph
+
+    rows = [(f"o{k}", "hub") for k in range(30)] + [("hub", f"s{k}") for k in range(40)] + [("o1", "s1"), ("o1", "s1"), ("s1", "o2"), ("o3", "o1"), ("s2", "s3"), (None, "s1"), ("o4", None)]
+    to = {}
+    for a, b in rows:
+        if a and b:
+            to.setdefault(a, set()).add(b)
+    starts, targets = [f"o{k}" for k in range(30)] + ["s2", "x"], [f"s{k}" for k in range(40)] + ["o2", "s2", None]
+    seen, real = [], graph.written
+    monkeypatch.setattr(graph, "written", lambda df, name: (lambda out: seen.append(out.count()) or out)(real(df, name)))
+    frame = lambda names: spark.createDataFrame([(n,) for n in names], "node string")
+    for depth in (0, 1, 2, 3):
+        want = set()
+        for s in starts:
+            layer, done = {s}, set()
+            for k in range(depth + 1):
+                want |= {(s, t, k) for t in layer - done if t in targets}
+                done |= layer
+                layer = {b for a in layer for b in to.get(a, ())}
+        seen.clear()
+        got = [tuple(r) for r in graph.reaches(spark.createDataFrame(rows, "src string, dst string"), frame(starts), frame(targets), depth).collect()]
+        assert set(got) == want and len(got) == len(want)
+        assert depth != 2 or len(got) > 1200 > 300 > max(seen)
