@@ -15,7 +15,9 @@ _HASH = (r"#[^\n]*", r"(?!)", r'"""(?:\\.|[^\\])*?(?:"""|\Z)|\'\'\'(?:\\.|[^\\])
 _SQL = (r"--[^\n]*", r"/\*.*?(?:\*/|\Z)", r"'(?:''|[^'])*'?|\"[^\"]*\"?")
 #: Scripts count as comments of a page: neither is text that it shows.
 _HTML = (r"(?!)", r"<!--.*?(?:-->|\Z)|<script[^>]*>.*?(?:</script>|\Z)", r"(?!)")
-FAMILIES = {"html": _HTML, **dict.fromkeys(("python", "ruby", "shell"), _HASH), "sql": _SQL}
+#: Plain text has neither comments nor literals.
+_TEXT = (r"(?!)",) * 3
+FAMILIES = {"html": _HTML, "text": _TEXT, **dict.fromkeys(("python", "ruby", "shell"), _HASH), "sql": _SQL}
 _CACHE: dict = {}
 
 

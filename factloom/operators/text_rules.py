@@ -87,16 +87,18 @@ def search_pattern(pattern: str) -> str:
     return re.sub(r"^(\\s\*)+|(\\s\*)+$", "", "".join(out))
 
 
-def search(files: DataFrame, either: list[str], inside: list[str] = (), without: list[str] = (), outside: list[str] = ()) -> DataFrame:
+def search(files: DataFrame, either: list[str], inside: list[str] = (), without: list[str] = (), outside: list[str] = (), without_regex: list[str] = ()) -> DataFrame:
     """(path, line, match): code that fits one pattern, every time it does; it lies within a match of each pattern of `inside`,
-    within none of `outside`, and no match of `without` overlaps it. Matches are ranges of a file, compared where they stand."""
+    within none of `outside`, and no match of `without`, or of the regular expressions `without_regex`, overlaps it. Matches are
+    ranges of a file, compared where they stand."""
     ship(files.sparkSession)
 
     def ranges(p: str) -> Column:
-        return masks.places(masks.marked(F.col("code"), search_pattern(p)))
+        return masks.places(masks.marked(F.col("code"), p))
 
     some = lambda name, test: F.exists(F.col(name), test)
     groups = {"met": either, **{f"in{k}": [p] for k, p in enumerate(inside)}, "bad": without, "out": outside}
+    groups = {name: [search_pattern(p) for p in patterns] + (list(without_regex) if name == "bad" else []) for name, patterns in groups.items()}
     rows = files.select("path", masks.masked("language", "content").alias("code"))
     rows = rows.where(F.greatest(*(F.col("code").rlike(search_pattern(p)) for p in [*either, *either])))
     none = F.array().cast("array<struct<lo int, hi int, value string>>")

@@ -130,7 +130,7 @@ SELECT doc_id, CAST(line AS INTEGER) AS line, match FROM m WHERE NOT regexp_matc
 """)
 def search_patterns(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Code search by patterns with a metavariable: either of two, without one; every place of theirs."""
-    found = text_rules.search(files_of(spark, sf_dir), ["token = $VALUE", "secret = $VALUE"], without=['"0'])
+    found = text_rules.search(files_of(spark, sf_dir), ["token = $VALUE", "secret = $VALUE"], without_regex=['"0'])
     return found.select(F.col("path").cast("long").alias("doc_id"), "line", "match")
 
 

@@ -105,3 +105,16 @@ def test_what_starts_reach_is_not_written_as_pairs(spark, monkeypatch):
         got = [tuple(r) for r in graph.reaches(spark.createDataFrame(rows, "src string, dst string"), frame(starts), frame(targets), depth).collect()]
         assert set(got) == want and len(got) == len(want)
         assert depth != 2 or len(got) > 1200 > 300 > max(seen)
+
+
+def test_plain_texts_are_searched_as_they_stand(spark, tmp_path):
+    """An address isn't a comment, and white space isn't free before what a match must not hold."""
+    import duckdb
+
+    texts = ['see https://h.example token = "a1"', 'token = "ab" 0 left', 'secret = "0b"', '/* secret  =\n q7 */ x token = "c"', None, 'a\n"0 token = z\ntoken = z', "it's // token = k"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.sql(f"create view documents as select * from '{tmp_path}/documents.parquet/*.parquet'")
+    want = sorted(con.sql(f"select doc_id, line, match from ({conformance.ORACLES['search_patterns']})").fetchall())
+    got = sorted(tuple(r) for r in conformance.QUERIES["search_patterns"](spark, str(tmp_path)).select("doc_id", "line", "match").collect())
+    assert got == want and len(want) == 7
