@@ -118,3 +118,24 @@ def test_plain_texts_are_searched_as_they_stand(spark, tmp_path):
     want = sorted(con.sql(f"select doc_id, line, match from ({conformance.ORACLES['search_patterns']})").fetchall())
     got = sorted(tuple(r) for r in conformance.QUERIES["search_patterns"](spark, str(tmp_path)).select("doc_id", "line", "match").collect())
     assert got == want and len(want) == 7
+
+
+def _watched(monkeypatch, *modules):
+    """(name, rows) of the tables that modules write from here on."""
+    seen = []
+    for m in modules:
+        monkeypatch.setattr(m, "written", lambda df, name, real=m.written: (lambda out: seen.append((name, out.count())) or out)(real(df, name)))
+    return seen
+
+
+def test_what_a_cell_of_one_value_holds_is_not_carried_on(spark, monkeypatch):
+    """Of 300 objects that are one by a star, each with three fields of one value: what is written is a few times the input."""
+    from factloom.operators import congruence, graph
+
+    bindings = spark.range(300).selectExpr("0L func", "-1000 - id value", "1L to_func", "0L to_value")
+    cells = spark.range(300).selectExpr("0L func", "-1000 - id base", "explode(sequence(0, 2)) k", "id").selectExpr("func", "base", "'f' || k field", "id * 10 + k value")
+    seen = _watched(monkeypatch, congruence, graph)
+    classes, links = congruence.bridged(bindings, cells)
+    assert sum(n for _, n in seen) < 8 * 1200 and links.count() == 0
+    roots = {(r.func, r.value): (r.root_func, r.root_value) for r in classes.collect()}
+    assert len(roots) == 1201 and roots[1, 0] == roots[0, -1000] == (0, -1299) and all(roots[0, 10 * i + k] == (0, k) for i in range(300) for k in range(3))
