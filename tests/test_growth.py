@@ -139,3 +139,15 @@ def test_what_a_cell_of_one_value_holds_is_not_carried_on(spark, monkeypatch):
     assert sum(n for _, n in seen) < 8 * 1200 and links.count() == 0
     roots = {(r.func, r.value): (r.root_func, r.root_value) for r in classes.collect()}
     assert len(roots) == 1201 and roots[1, 0] == roots[0, -1000] == (0, -1299) and all(roots[0, 10 * i + k] == (0, k) for i in range(300) for k in range(3))
+
+
+def test_merges_that_are_done_are_not_joined_again(spark, monkeypatch):
+    """A chain of merges takes a round each; 2,000 copies beside it are looked at in the first round only."""
+    from factloom.operators import congruence, graph
+
+    copies = spark.createDataFrame([(0, 1, 0)] + [(1, k, 0) for k in range(1, 2001)], "func long, dst long, src long")
+    merges = spark.createDataFrame([(0, k, k - d) for k in range(2, 9) for d in (1, 2)], "func long, dst long, src long")
+    seen = _watched(monkeypatch, congruence, graph)
+    got = {(r.func, r.value): r.root for r in congruence.alias_roots(copies, merges).collect()}
+    assert got == {(0, k): 0 for k in range(9)} | {(1, k): 0 for k in range(2001)}
+    assert sum(n for _, n in seen) < 5 * 2000
