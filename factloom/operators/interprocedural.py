@@ -10,29 +10,45 @@ no call graph is ever gathered; a caller is looked at again only where a callee'
 
 from __future__ import annotations
 
+from functools import cached_property
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from factloom.operators.congruence import NotFinished
-from factloom.session import written
+from factloom.session import Dealt, buckets, written
 
 ROUNDS = 1000
 
 
 class Program:
-    """The tables of a program as loops read them, written once, rows with null ends left out."""
+    """The tables of a program as loops read them, written once, rows with null ends left out. What belongs to a function is
+    bucketed by it, what is given at calls by the function that is called."""
 
     def __init__(self, local: DataFrame, calls: DataFrame, actuals: DataFrame, params: DataFrame, returns: DataFrame):
-        keep = lambda df, *columns: written(df.select(*columns).where(" and ".join(f"{c.split()[0]} is not null" for c in columns if c != "result")).distinct(), "program")
-        self.local = keep(local, "func", "src", "dst")
-        self.params, self.returns = keep(params, "func", "nth", "node"), keep(returns, "func", "node")
-        sites = keep(calls, "call", "func", "callee", "result")
+        def keep(df: DataFrame, *columns: str) -> DataFrame:
+            return df.select(*columns).where(" and ".join(f"{c} is not null" for c in columns if c != "result"))
+
+        calls = keep(calls, "call", "func", "callee", "result")
+        self.n = buckets(calls.count())
+        dealt = lambda df, name, by: Dealt(df, name, [by], self.n).rows
+        self.local = dealt(keep(local, "func", "src", "dst"), "local", "func")
+        self.params, self.returns = dealt(keep(params, "func", "nth", "node"), "params", "func"), dealt(keep(returns, "func", "node"), "returns", "func")
+        #: calls with what is given at them, or with nothing
+        self.sites = dealt(calls.join(keep(actuals, "call", "nth", "node"), "call", "left").select("call", "func", "node", "callee", "nth", "result"), "sites", "callee")
         #: an actual of a call: (func, node) gives `nth` of callee, whose result goes to `result`
-        self.given = written(sites.join(actuals.where("node is not null").select("call", "nth", "node").distinct(), "call").select("call", "func", "node", "callee", "nth", "result"), "given")
-        #: edges between functions: into a parameter, and back from a return
-        self.enter = written(self.given.join(self.params.select(F.col("func").alias("callee"), "nth", F.col("node").alias("to")), ["callee", "nth"]).select("call", "node", F.col("to").alias("next"), F.col("callee").alias("to_func")).distinct(), "enter")
-        back = sites.where("result is not null").join(self.returns.select(F.col("func").alias("callee"), F.col("node").alias("from")), "callee")
-        self.leave = written(back.select("call", F.col("from").alias("node"), F.col("result").alias("next"), F.col("func").alias("to_func")).distinct(), "leave")
+        self.given = self.sites.where("node is not null")
+
+    @cached_property
+    def enter(self) -> DataFrame:
+        """Edges between functions into a parameter."""
+        return self.given.join(self.params.select(F.col("func").alias("callee"), "nth", F.col("node").alias("next")), ["callee", "nth"]).select("call", "node", "next", F.col("callee").alias("to_func"))
+
+    @cached_property
+    def leave(self) -> DataFrame:
+        """Edges between functions back from a return."""
+        back = self.sites.where("result is not null").select("call", "callee", "func", "result").distinct().join(self.returns.select(F.col("func").alias("callee"), "node"), "callee")
+        return back.select("call", "node", F.col("result").alias("next"), F.col("func").alias("to_func"))
 
 
 def summaries(program: Program, rounds: int = ROUNDS) -> tuple[DataFrame, DataFrame]:
@@ -42,24 +58,19 @@ def summaries(program: Program, rounds: int = ROUNDS) -> tuple[DataFrame, DataFr
     Tabulation: path facts (func, nth, node) say that a parameter reaches a node of its own function. They grow along local
     edges and along summary edges; a path fact at a return is a summary, and a new summary is an edge at each site of its
     function, from which the paths that were there already go on."""
-    local = program.local.select("func", F.col("src").alias("node"), F.col("dst").alias("next"))
-    paths = written(program.params.select("func", "nth", "node").distinct(), "paths")
-    new = paths
-    known = edges = None
+    flows = Dealt(program.local.select("func", F.col("src").alias("node"), F.col("dst").alias("next"), F.lit(None).cast(program.sites.schema["call"].dataType).alias("call")), "flows", ["func"], program.n)
+    paths = Dealt(program.params.select("func", "nth", "node"), "paths", ["func"], program.n)
+    known, new, edges = None, paths.last, None
     for _ in range(rounds):
-        ended = new.join(program.returns, ["func", "node"], "left_semi").select("func", "nth").distinct()
-        fresh = written(ended if known is None else ended.join(known, ["func", "nth"], "left_anti"), "summaries")
-        known = fresh if known is None else known.unionByName(fresh)
-        sites = program.given.where("result is not null").join(fresh.select(F.col("func").alias("callee"), "nth"), ["callee", "nth"])
-        added = written(sites.select("func", "node", F.col("result").alias("next"), "call").distinct(), "summary-edges")
-        edges = added if edges is None else edges.unionByName(added)
-        on = new.join(local, ["func", "node"]).select("func", "nth", "next")
-        on = on.unionByName(new.join(edges.select("func", "node", "next"), ["func", "node"]).select("func", "nth", "next"))
-        on = on.unionByName(paths.join(added.select("func", "node", "next"), ["func", "node"]).select("func", "nth", "next"))
-        new = written(on.select("func", "nth", F.col("next").alias("node")).distinct().join(paths, ["func", "nth", "node"], "left_anti"), "paths")
+        ended = new.join(program.returns, ["func", "node"], "left_semi").select("func", "nth")
+        known = known or Dealt(ended.limit(0), "summaries", ["func"], program.n)
+        fresh = known.add(ended, moved=False)
+        before = paths.rows
+        added = flows.add(program.given.where("result is not null").join(fresh.select(F.col("func").alias("callee"), "nth"), ["callee", "nth"]).select("func", "node", F.col("result").alias("next"), "call"))
+        on = new.join(flows.rows, ["func", "node"]).unionByName(before.join(added, ["func", "node"]))
+        new = paths.add(on.select("func", "nth", F.col("next").alias("node")))
         if new.isEmpty():
-            return known, edges.select("func", F.col("node").alias("src"), F.col("next").alias("dst"), "call")
-        paths = paths.unionByName(new)
+            return known.rows, flows.rows.where("call is not null").select("func", F.col("node").alias("src"), F.col("next").alias("dst"), "call")
     raise NotFinished(f"summaries still grow after {rounds} rounds")
 
 
@@ -98,21 +109,20 @@ def reach_in_strings(program: Program, sources: DataFrame, sites: int, rounds: i
 
     For few sites, or programs without deep recursion, this tells the contexts apart that a node is reached in; reach_matched
     tells exactly which nodes are reached at all."""
-    local = program.local.select(F.col("src").alias("node"), F.col("dst").alias("next"))
-    key = ["node", "stack", "cut"]
-    seen = written(sources.select("node", F.array().cast(f"array<{program.enter.schema['call'].dataType.simpleString()}>").alias("stack"), F.lit(False).alias("cut")).where("node is not null").distinct(), "strings")
-    new = seen
+    call = program.sites.schema["call"].dataType
+    way = lambda edges, n: edges.select("node", "next", "call", F.lit(n).alias("way"))
+    local = program.local.select(F.col("src").alias("node"), F.col("dst").alias("next"), F.lit(None).cast(call).alias("call"))
+    moves = Dealt(way(local, 0).unionByName(way(program.enter, 1)).unionByName(way(program.leave, 2)), "moves", ["node"], program.n).rows
+    start = sources.where("node is not null").select("node", F.array().cast(f"array<{call.simpleString()}>").alias("stack"), F.lit(False).alias("cut"))
+    seen = Dealt(start, "strings", ["node"], program.n)
+    last, pushed, deep = F.try_element_at("stack", F.lit(-1)), F.concat("stack", F.array("call")), F.size("stack") >= sites
+    entered = F.when(deep, F.slice(pushed, 2, sites)).otherwise(pushed)
+    left = F.when(last.isNull(), F.col("stack")).otherwise(F.slice("stack", F.lit(1), F.greatest(F.size("stack") - 1, F.lit(0))))
+    stack = F.when(F.col("way") == 0, F.col("stack")).when(F.col("way") == 1, entered).otherwise(left)
     for _ in range(rounds):
-        on = new.join(local, "node").select(F.col("next").alias("node"), "stack", "cut")
-        pushed = F.concat("stack", F.array("call"))
-        deep = F.size("stack") >= sites
-        entered = new.join(program.enter, "node").select(F.col("next").alias("node"), F.when(deep, F.slice(pushed, 2, sites)).otherwise(pushed).alias("stack"), (F.col("cut") | deep).alias("cut"))
-        last = F.try_element_at("stack", F.lit(-1))
-        left = new.join(program.leave, "node").where(last.isNull() | (last == F.col("call"))).select(F.col("next").alias("node"), F.when(last.isNull(), F.col("stack")).otherwise(F.slice("stack", F.lit(1), F.greatest(F.size("stack") - 1, F.lit(0)))).alias("stack"), "cut")
-        new = written(on.unionByName(entered).unionByName(left).distinct().join(seen, key, "left_anti"), "strings")
-        if new.isEmpty():
-            return seen
-        seen = seen.unionByName(new)
+        on = seen.last.join(moves, "node").where((F.col("way") < 2) | last.isNull() | (last == F.col("call")))
+        if seen.add(on.select(F.col("next").alias("node"), stack.alias("stack"), (F.col("cut") | ((F.col("way") == 1) & deep)).alias("cut"))).isEmpty():
+            return seen.rows
     raise NotFinished(f"more is reached after {rounds} rounds")
 
 

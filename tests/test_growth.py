@@ -151,3 +151,51 @@ def test_merges_that_are_done_are_not_joined_again(spark, monkeypatch):
     got = {(r.func, r.value): r.root for r in congruence.alias_roots(copies, merges).collect()}
     assert got == {(0, k): 0 for k in range(9)} | {(1, k): 0 for k in range(2001)}
     assert sum(n for _, n in seen) < 5 * 2000
+
+
+@pytest.fixture
+def shuffled(spark):
+    """A function that gives the rows shuffled since it was made; no join is a broadcast meanwhile."""
+    store, key = spark.sparkContext._jsc.sc().statusStore(), "spark.sql.autoBroadcastJoinThreshold"
+
+    def stages():
+        found = store.stageList(None, False, False, spark.sparkContext._gateway.new_array(spark._jvm.double, 0), None)
+        return {(s.stageId(), s.attemptId()): s.shuffleWriteRecords() for s in (found.apply(k) for k in range(found.size()))}
+
+    old = spark.conf.get(key)
+    spark.conf.set(key, "-1")
+    before = stages()
+    yield lambda: sum(n for s, n in stages().items() if s not in before)
+    spark.conf.set(key, old)
+
+
+@pytest.fixture
+def deep(spark):
+    """Five functions that call one another in a row, each what it is given, and 2,000 others that call nobody."""
+    from factloom.operators.interprocedural import Program
+
+    frame = spark.createDataFrame
+    funcs = list(range(5)) + list(range(100, 2100))
+    local = frame([(4, 16, 19)] + [(f, 4 * f, 4 * f + 2) for f in funcs if f > 4], "func long, src long, dst long")
+    calls = frame([(f, f, f + 1, 4 * f + 3) for f in range(4)], "call long, func long, callee long, result long")
+    actuals = frame([(f, 0, 4 * f) for f in range(4)], "call long, nth int, node long")
+    return Program(local, calls, actuals, frame([(f, 0, 4 * f) for f in funcs], "func long, nth int, node long"), frame([(f, 4 * f + 3) for f in funcs], "func long, node long"))
+
+
+def test_call_strings_shuffle_what_is_new(spark, deep, shuffled):
+    from factloom.operators import interprocedural
+
+    starts = spark.createDataFrame([(0,)] + [(4 * f,) for f in range(100, 2100)], "node long")
+    got = {(r.node, tuple(r.stack), r.cut) for r in interprocedural.reach_in_strings(deep, starts, 20).collect()}
+    chain = {(4 * f, tuple(range(f)), False) for f in range(5)} | {(4 * f + 3, tuple(range(f)), False) for f in range(5)}
+    assert got == chain | {(4 * f + k, (), False) for f in range(100, 2100) for k in (0, 2)}
+    assert shuffled() < 10 * 2000
+
+
+def test_call_summaries_shuffle_what_is_new(deep, shuffled):
+    from factloom.operators import interprocedural
+
+    known, edges = interprocedural.summaries(deep)
+    assert sorted(map(tuple, known.collect())) == [(f, 0) for f in range(5)]
+    assert sorted(map(tuple, edges.collect())) == [(f, 4 * f, 4 * f + 3, f) for f in range(4)]
+    assert shuffled() < 10 * 2000
