@@ -199,3 +199,14 @@ def test_call_summaries_shuffle_what_is_new(deep, shuffled):
     assert sorted(map(tuple, known.collect())) == [(f, 0) for f in range(5)]
     assert sorted(map(tuple, edges.collect())) == [(f, 4 * f, 4 * f + 3, f) for f in range(4)]
     assert shuffled() < 10 * 2000
+
+
+def test_paths_that_functions_return_shuffle_what_is_new(spark, shuffled):
+    from factloom.operators import congruence
+
+    frame = spark.createDataFrame
+    params = frame([(f, 0, 0) for f in range(3000)], "func long, nth int, value long")
+    copies = frame([(0, k + 1, k) for k in range(4)], "func long, dst long, src long")
+    found = congruence.returned_projections(params, copies, frame([(0, 4, "a", 5)], "func long, base long, field string, value long"), frame([(0, 5)], "func long, value long"))
+    assert [(r.func, r.nth, r.steps) for r in found.collect()] == [(0, 0, ["a"])]
+    assert shuffled() < 4 * 3000
