@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from factloom.session import ship, small, written
+from factloom.session import Dealt, buckets, ship, small, written
 
 
 def reach(edges: DataFrame, sources: DataFrame, max_depth: int, max_visits: int | None = None, within: DataFrame | None = None, backward: bool = False, probe: bool = True) -> tuple[DataFrame, str]:
@@ -215,18 +215,20 @@ def union_by_labels(seeds: DataFrame, edges: DataFrame) -> DataFrame:
     return nodes.join(sets, "root", "left").select("node", F.coalesce("labels", F.array().cast("array<string>")).alias("labels"))
 
 
-def propagate(seeds: DataFrame, edges: DataFrame) -> DataFrame:
+def propagate(seeds: DataFrame, edges: DataFrame, within: tuple[str, ...] = ()) -> DataFrame:
     """Monotone set propagation along edges until nothing is new: (node, fact) for every fact of seeds(node, fact) that
-    reaches node. This is points-to propagation when facts are abstract objects."""
-    edges = written(edges.select("src", "dst").distinct(), "edges")
-    known = written(seeds.select("node", "fact").distinct(), "facts")
-    delta = known
-    while True:
-        moved = delta.withColumnRenamed("node", "src").join(edges, "src").select(F.col("dst").alias("node"), "fact").distinct()
-        delta = written(moved.join(known, ["node", "fact"], "left_anti"), "facts")
-        if delta.isEmpty():
-            return known
-        known = known.unionByName(delta)
+    reaches node. This is points-to propagation when facts are abstract objects. within: columns of both tables that ways
+    keep to, which come first in the result.
+
+    Facts and edges stand in buckets of their nodes; a round shuffles only what it finds."""
+    edges = edges.select(*within, F.col("src").alias("node"), "dst").where("src is not null")
+    n = buckets(edges.count())
+    edges = Dealt(edges, "edges", [*within, "node"], n).rows
+    known = Dealt(seeds.select(*within, "node", "fact"), "facts", [*within, "node"], n)
+    while not known.last.isEmpty():
+        moved = known.last.join(edges, [*within, "node"]).select(*within, F.col("dst").alias("node"), "fact")
+        known.add(written(moved.distinct(), "found"))
+    return known.rows
 
 
 def pairs_within(start: DataFrame, edges: DataFrame, depth: int) -> DataFrame:
@@ -287,18 +289,14 @@ def in_context(edges: DataFrame, seeds: DataFrame, depth: int) -> DataFrame:
 
 def propagate_in_context(seeds: DataFrame, edges: DataFrame) -> DataFrame:
     """(ctx, node, fact): propagate() within each calling context. seeds(ctx, node, fact), edges(ctx, src, dst)."""
-    at = lambda c: F.struct(F.col("ctx"), F.col(c).alias("node"))
-    found = propagate(seeds.select(at("node").alias("node"), "fact"), edges.select(at("src").alias("src"), at("dst").alias("dst")))
-    return found.select("node.ctx", "node.node", "fact")
+    return propagate(seeds, edges, ("ctx",))
 
 
 def function_summaries(edges: DataFrame, params: DataFrame, returns: DataFrame) -> DataFrame:
     """(func, param, returned): which parameters of params(func, node) flow to which of returns(func, node) along
     edges(func, src, dst), each function by itself."""
-    at = lambda c: F.struct(F.col("func"), F.col(c).alias("node"))
-    flows = propagate(params.select(at("node").alias("node"), F.col("node").alias("fact")), edges.select(at("src").alias("src"), at("dst").alias("dst")))
-    ends = returns.select(at("node").alias("node")).distinct()
-    return flows.join(ends, "node", "left_semi").select("node.func", F.col("fact").alias("param"), F.col("node.node").alias("returned"))
+    flows = propagate(params.select("func", "node", F.col("node").alias("fact")), written(edges, "edges"), ("func",))
+    return flows.join(returns.select("func", "node").distinct(), ["func", "node"], "left_semi").select("func", F.col("fact").alias("param"), F.col("node").alias("returned"))
 
 
 #: Edge kinds that carry data in each view of a flow graph.

@@ -210,3 +210,12 @@ def test_paths_that_functions_return_shuffle_what_is_new(spark, shuffled):
     found = congruence.returned_projections(params, copies, frame([(0, 4, "a", 5)], "func long, base long, field string, value long"), frame([(0, 5)], "func long, value long"))
     assert [(r.func, r.nth, r.steps) for r in found.collect()] == [(0, 0, ["a"])]
     assert shuffled() < 4 * 3000
+
+
+def test_facts_shuffle_what_is_new(spark, shuffled):
+    from factloom.operators import graph
+
+    seeds = spark.createDataFrame([(k, "a") for k in range(3000)], "node long, fact string")
+    edges = spark.createDataFrame([(-k, -k - 1) for k in range(5)], "src long, dst long")
+    assert {tuple(r) for r in graph.propagate(seeds, edges).collect()} == {(k, "a") for k in range(-5, 3000)}
+    assert shuffled() < 4 * 3000
