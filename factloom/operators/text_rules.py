@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from factloom.functions import masks
-from factloom.session import broadcast_parts, ship
+from factloom.session import broadcast_parts, ship_lean
 
 RULE_DDL = "id string, language string, pattern string, view string, path_pattern string, severity string, cwe string, message string"
 VIEWS = ("raw", "code", "bare")
@@ -30,7 +30,7 @@ def scan(files: DataFrame, rules: DataFrame) -> DataFrame:
     Rule packs are configuration, hundreds to thousands of rows, and are read on the driver; all of them become one array
     expression over a line, so a line is read once and no rule is joined to it. Views are only made if a rule looks at
     them."""
-    ship(files.sparkSession)
+    ship_lean(files.sparkSession)
     packs = rules.collect()
     views = {r["view"] or "code" for r in packs} - {"raw"}
     made = {"code": masks.masked("language", "content"), "bare": masks.bare("language", "content")}
@@ -57,7 +57,7 @@ def scan(files: DataFrame, rules: DataFrame) -> DataFrame:
 
 def scan_tokens(files: DataFrame, kind: str, pattern: str) -> DataFrame:
     """(path, line, value) of the tokens of one kind that fit a pattern."""
-    ship(files.sparkSession)
+    ship_lean(files.sparkSession)
     found = files.select("path", "content", F.explode(masks.token_list("language", "content")).alias("t")).where((F.col("t.kind") == kind) & F.col("t.value").rlike(pattern))
     return found.select("path", masks.line_and_column(F.col("content"), F.col("t.lo"))[0].alias("line"), F.col("t.value").alias("value"))
 
@@ -91,7 +91,7 @@ def search(files: DataFrame, either: list[str], inside: list[str] = (), without:
     """(path, line, match): code that fits one pattern, every time it does; it lies within a match of each pattern of `inside`,
     within none of `outside`, and no match of `without`, or of the regular expressions `without_regex`, overlaps it. Matches are
     ranges of a file, compared where they stand."""
-    ship(files.sparkSession)
+    ship_lean(files.sparkSession)
 
     def ranges(p: str) -> Column:
         return masks.places(masks.marked(F.col("code"), p))

@@ -9,7 +9,7 @@ from factloom.functions import masks, platform, risk, text
 from factloom.operators import advisories, calls, dataflow, graph, heap, matching, os_advisories, rows, rulesets, system_graph, taint, text_rules
 from factloom.plans import reports
 from factloom.plans.conformance import EDGES_SQL, SINKS_SQL, query, trade_edges, trade_ends, values
-from factloom.session import table
+from factloom.session import ship_lean, table
 from factloom.sources import manifests
 
 
@@ -19,6 +19,7 @@ def files_of(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def pages_of(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship_lean(spark)
     return table(spark, sf_dir, "pages").select(F.lit("html").alias("language"), F.col("page_id").cast("string").alias("path"), F.col("html").alias("content"))
 
 

@@ -33,6 +33,19 @@ def ship(spark: SparkSession) -> None:
         context.addPyFile(shutil.make_archive(f"{tempfile.mkdtemp(prefix='factloom-')}/factloom", "zip", REPO, "factloom"))
 
 
+#: Settings for rows that hold whole texts, where a session has Spark's own: bytes in an Arrow batch between Spark and Python.
+#: Without them a batch has 10,000 texts, however long they are, and a worker holds it several times.
+LEAN = {"spark.sql.execution.arrow.maxBytesPerBatch": ("67108864b", "4194304")}
+
+
+def ship_lean(spark: SparkSession) -> None:
+    """ship(), for operators that hand whole texts to Python: batches are bounded."""
+    ship(spark)
+    for name, (default, own) in LEAN.items():
+        if spark.conf.get(name) == default:
+            spark.conf.set(name, own)
+
+
 def shared_root(spark: SparkSession) -> str:
     """spark.checkpoint.dir, or (only where that is unset, as in tests) a new folder."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")

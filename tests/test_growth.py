@@ -219,3 +219,15 @@ def test_facts_shuffle_what_is_new(spark, shuffled):
     edges = spark.createDataFrame([(-k, -k - 1) for k in range(5)], "src long, dst long")
     assert {tuple(r) for r in graph.propagate(seeds, edges).collect()} == {(k, "a") for k in range(-5, 3000)}
     assert shuffled() < 4 * 3000
+
+
+def test_long_texts_come_to_python_in_bounded_batches(spark):
+    import pandas as pd
+
+    from factloom.operators import text_rules
+
+    spark.conf.unset("spark.sql.execution.arrow.maxBytesPerBatch")
+    pages = spark.range(300, numPartitions=1).select(F.lit("html").alias("language"), F.col("id").cast("string").alias("path"), F.concat(F.lit('<nav><a href="/x"></nav>'), F.repeat(F.lit("a"), 100_000)).alias("content"))
+    assert text_rules.search(pages, ['href="/$WHERE'], inside=["<nav>...</nav>"]).count() == 300
+    lot = F.pandas_udf(lambda t: pd.Series([len(t)] * len(t)), "long")  # rows of a batch, as an operator's own functions get them
+    assert pages.select(lot("content").alias("n")).agg(F.max("n")).first()[0] < 60
