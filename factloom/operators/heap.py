@@ -30,12 +30,25 @@ def field_edges(stores: DataFrame, loads: DataFrame, roots: DataFrame) -> DataFr
     return same.unionByName(met("=", "<>")).unionByName(met("<>", "=")).distinct()
 
 
+#: Pairs that a task of overlaps counts, and cells of one object that stand in one array there.
+PAIRS, LOT = 2_000_000, 4096
+
+
 def overlaps(cells: DataFrame) -> DataFrame:
     """(a, b, shared): cells(cell, object) that share abstract objects, a before b, with the number they share. Cells meet on
-    their objects, so cells without a common object are never compared."""
-    c = cells.select("cell", "object").distinct()
-    pairs = c.select(F.col("cell").alias("a"), "object").join(c.select(F.col("cell").alias("b"), "object"), "object").where("a < b")
-    return pairs.groupBy("a", "b").agg(F.count("*").alias("shared"))
+    their objects, so cells without a common object are never compared.
+
+    Pairs are counted first, and there are as many tasks as they need: one counts about PAIRS of them, however large the table
+    is. Cells move to the task of a cell before them as arrays; of an object with very many cells as several, in several tasks."""
+    c = written(cells.select("cell", "object").where("cell is not null and object is not null").distinct(), "cells")
+    pairs = c.groupBy("object").agg(F.count("*").alias("n")).agg(F.sum(F.col("n") * (F.col("n") - 1) / 2)).first()[0] or 0
+    tasks = int(pairs // PAIRS) + 1
+    own = Window.partitionBy("object")
+    dealt = c.select("*", F.floor((F.row_number().over(own.orderBy("cell")) - 1) / LOT).alias("lot"), F.floor((F.count("*").over(own) - 1) / LOT).alias("last"))
+    lots = dealt.groupBy("object", "lot").agg(F.collect_list("cell").alias("cells")).repartition(tasks, "object", "lot")
+    met = dealt.select("object", "cell", F.explode(F.sequence("lot", "last")).alias("lot")).repartition(tasks, "object", "lot").join(lots, ["object", "lot"])
+    after = met.select(F.col("cell").alias("a"), F.filter("cells", lambda b: b > F.col("cell")).alias("bs")).where(F.size("bs") > 0)
+    return after.repartition(tasks, "a").select("a", F.explode("bs").alias("b")).groupBy("a", "b").agg(F.count("*").alias("shared"))  # no second shuffle
 
 
 def must_alias(cells: DataFrame) -> DataFrame:

@@ -231,3 +231,28 @@ def test_long_texts_come_to_python_in_bounded_batches(spark):
     assert text_rules.search(pages, ['href="/$WHERE'], inside=["<nav>...</nav>"]).count() == 300
     lot = F.pandas_udf(lambda t: pd.Series([len(t)] * len(t)), "long")  # rows of a batch, as an operator's own functions get them
     assert pages.select(lot("content").alias("n")).agg(F.max("n")).first()[0] < 60
+
+
+def test_overlaps_have_as_many_tasks_as_their_pairs_need(spark, monkeypatch):
+    from factloom.operators import heap
+
+    rows = [(k % 7, k // 5) for k in range(60)] + [(k, 100) for k in range(40)] + [(None, 100), (3, None)]
+    want = {}
+    for a, x in set(rows):
+        for b, y in set(rows):
+            if x is not None and x == y and a is not None and b is not None and a < b:
+                want[a, b] = want.get((a, b), 0) + 1
+    frame = spark.createDataFrame(rows + rows, "cell int, object int")
+    for lot in (4096, 6):
+        if hasattr(heap, "LOT"):
+            monkeypatch.setattr(heap, "LOT", lot)
+        got = heap.overlaps(frame).collect()
+        assert {(r.a, r.b): r.shared for r in got} == want and len(got) == len(want)
+    many = spark.range(3 * 1500).select((F.col("id") % 1500).alias("cell"), (F.col("id") % 3).alias("object")).unionByName(spark.range(4500).select((F.col("id") % 1500).alias("cell"), F.floor(3 + F.col("id") / 1500).alias("object")))
+    old = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", "1")
+        found = heap.overlaps(many).groupBy(F.spark_partition_id().alias("task")).agg(F.count("*").alias("n")).collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", old)
+    assert len(found) > 1 and sum(r.n for r in found) == 1500 * 1499 // 2
