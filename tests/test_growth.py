@@ -256,3 +256,21 @@ def test_overlaps_have_as_many_tasks_as_their_pairs_need(spark, monkeypatch):
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", old)
     assert len(found) > 1 and sum(r.n for r in found) == 1500 * 1499 // 2
+
+
+def test_who_calls_whom_is_not_told_apart_pair_by_pair(spark, tmp_path):
+    import duckdb
+
+    from factloom.operators import system_graph
+
+    con = duckdb.connect()
+    con.execute(f"copy (select range % 400 as user_id, range as event_id, case range % 7 when 0 then 'view' else 'buy' end as event_type, 1.0 as value from range(3000)) to '{tmp_path}/events.parquet'")
+    con.execute(f"copy (select range as s_suppkey from range(90)) to '{tmp_path}/supplier.parquet'")
+    for name in ("events", "supplier"):
+        con.execute(f"create view {name} as select * from '{tmp_path}/{name}.parquet'")
+    found = conformance.QUERIES["route_join"](spark, str(tmp_path))
+    assert sorted(tuple(r) for r in found.select("client", "service").collect()) == sorted(con.sql(conformance.ORACLES["route_join"]).fetchall())
+    assert "Aggregate" not in found._jdf.queryExecution().optimizedPlan().toString()
+    h = spark.createDataFrame([("s", "get", "/u/{id}/"), ("s", "POST", "/u"), ("t", "GET", "/u"), ("s", None, "/u"), ("v", "GET", "/x")], "service string, method string, path string")
+    q = spark.createDataFrame([("c", "GET", "http://s/u/:id"), ("c", "POST", "/u"), ("d", "get", "/u"), ("e", "get", "/none"), ("d", "GET", "/u/<a>"), ("d", None, "/u")], "client string, method string, path string")
+    assert sorted(tuple(r) for r in system_graph.route_clients(h, q).collect()) == [("c", "s"), ("d", "s"), ("d", "t")]
