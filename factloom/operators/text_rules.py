@@ -129,9 +129,15 @@ def java_imports(files: DataFrame, packages: DataFrame) -> DataFrame:
 
 def xpath_matches(trees: DataFrame, rules: list[tuple[str, str]]) -> DataFrame:
     """(tree, rule_id, n): how many nodes of trees(tree, xml), syntax trees as XML, an XPath of rules(id, path) finds; only where
-    it finds some. All rules look at a tree while it is at hand."""
-    counts = F.array(*(F.struct(F.lit(i).alias("rule_id"), F.xpath_int("xml", F.lit(f"count({p})")).alias("n")) for i, p in rules))
-    return trees.select("tree", F.explode(F.filter(counts, lambda c: c["n"] > 0)).alias("c")).select("tree", "c.rule_id", "c.n")
+    it finds some. All rules are one XPath, so a tree is parsed once; the rules' ids are what is exploded, and n is never null, as
+    Spark else computes again what it looks for empty arrays or nulls in."""
+    if not rules:
+        return trees.select("tree", F.lit("").alias("rule_id"), F.lit(0).alias("n")).where("false")
+    every = "concat(" + "".join(f"count({p}),' '," for _, p in rules) + "'')"
+    counted = trees.select("tree", F.split(F.xpath_string("xml", F.lit(every)), " ").alias("counts"))
+    ids = F.array(*(F.struct(F.lit(i).alias("rule_id"), F.lit(k).alias("k")) for k, (i, _) in enumerate(rules)))
+    each = counted.select("tree", "counts", F.explode(ids).alias("r"))
+    return each.select("tree", "r.rule_id", F.coalesce(F.get("counts", F.col("r.k")).cast("int"), F.lit(0)).alias("n")).where("n > 0")
 
 
 def rules_frame(spark: SparkSession, rules: list[dict]) -> DataFrame:

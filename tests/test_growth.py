@@ -274,3 +274,13 @@ def test_who_calls_whom_is_not_told_apart_pair_by_pair(spark, tmp_path):
     h = spark.createDataFrame([("s", "get", "/u/{id}/"), ("s", "POST", "/u"), ("t", "GET", "/u"), ("s", None, "/u"), ("v", "GET", "/x")], "service string, method string, path string")
     q = spark.createDataFrame([("c", "GET", "http://s/u/:id"), ("c", "POST", "/u"), ("d", "get", "/u"), ("e", "get", "/none"), ("d", "GET", "/u/<a>"), ("d", None, "/u")], "client string, method string, path string")
     assert sorted(tuple(r) for r in system_graph.route_clients(h, q).collect()) == [("c", "s"), ("d", "s"), ("d", "t")]
+
+
+def test_a_tree_is_parsed_once_for_all_rules(spark):
+    from factloom.operators import text_rules
+
+    trees = spark.createDataFrame([(1, "<a><b/><b/><c/></a>"), (2, "<a/>"), (3, None), (4, "<c><b x='1'/></c>")], "tree int, xml string")
+    found = text_rules.xpath_matches(trees, [("b", "//b"), ("c", "/a/c"), ("x", "//b[@x='1'] | //c"), ("none", "//d")])
+    assert sorted(tuple(r) for r in found.collect()) == [(1, "b", 2), (1, "c", 1), (1, "x", 1), (4, "b", 1), (4, "x", 2)]
+    assert found.schema["n"].dataType.simpleString() == "int" and found._jdf.queryExecution().optimizedPlan().toString().count(".evaluate(") == 1
+    assert [tuple(r) for r in text_rules.xpath_matches(trees, [("b", "//b[1]")]).collect()] == [(1, "b", 1), (4, "b", 1)]
