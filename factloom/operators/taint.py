@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from factloom.functions import risk
 from factloom.operators import graph
-from factloom.session import ship, written
+from factloom.session import ship, small, written
 
 EDGE_DDL = "src long, dst long, kind string, site long, remove array<string>, add array<string>"
 #: Search states for a source and a sink, failed attempts for a sink (an exhausted search counts for four),
@@ -225,11 +225,24 @@ def steps(found: DataFrame) -> DataFrame:
 
 def kind_closure(transforms: DataFrame, rounds: int = 100) -> DataFrame:
     """(kind, becomes) of transforms(a, b): the kinds that a kind can become by any transforms, wherever they stand, itself
-    included."""
-    kinds = transforms.select(F.col("a").alias("k")).union(transforms.select("b")).where("k is not null").distinct()
-    same = kinds.select(F.col("k").alias("sub"), F.col("k").alias("super"), F.lit(0).alias("steps"))
-    found = graph.pairs_within(same, transforms.select(F.col("a").alias("src"), F.col("b").alias("dst")), rounds)
-    return found.select(F.col("sub").alias("kind"), F.col("super").alias("becomes"))
+    included.
+
+    Kinds that nothing becomes aren't walked from: those with the same next kinds become the same, which is put together once
+    from the closure of the other kinds and joined to them, without a shuffle where it is small."""
+    known = transforms.select("a", "b")
+    inner = written(known.where("b is not null").select(F.col("b").alias("k")).distinct(), "kinds")
+    firsts = known.where("a is not null").join(inner.withColumnRenamed("k", "a"), "a", "left_anti")
+    firsts = written(firsts.groupBy("a").agg(F.array_sort(F.collect_set("b")).alias("next")), "firsts")
+    between = known.where("a is not null and b is not null").join(inner.withColumnRenamed("k", "a"), "a", "left_semi")
+    same = inner.select(F.col("k").alias("sub"), F.col("k").alias("super"), F.lit(0).alias("steps"))
+    found = graph.pairs_within(same, between.select(F.col("a").alias("src"), F.col("b").alias("dst")), rounds).select(F.col("sub").alias("kind"), F.col("super").alias("becomes"))
+    sets = firsts.select("next").distinct().select("next", F.explode("next").alias("kind")).join(found, "kind").select("next", "becomes").distinct()
+    beyond = firsts.join(small(written(sets, "sets")), "next").select(F.col("a").alias("kind"), "becomes")
+    out = found.unionByName(beyond).unionByName(firsts.select(F.col("a").alias("kind"), F.col("a").alias("becomes")))
+    lost = known.where("a is not null and b is null").select(F.col("a").alias("becomes")).distinct()  # becomes what isn't known
+    if lost.isEmpty():
+        return out
+    return out.unionByName(out.join(lost, "becomes", "left_semi").select("kind", F.lit(None).alias("becomes")).distinct())
 
 
 #: Depth and visits of the four query profiles, backward; the light one is smaller forward.

@@ -284,3 +284,17 @@ def test_a_tree_is_parsed_once_for_all_rules(spark):
     assert sorted(tuple(r) for r in found.collect()) == [(1, "b", 2), (1, "c", 1), (1, "x", 1), (4, "b", 1), (4, "x", 2)]
     assert found.schema["n"].dataType.simpleString() == "int" and found._jdf.queryExecution().optimizedPlan().toString().count(".evaluate(") == 1
     assert [tuple(r) for r in text_rules.xpath_matches(trees, [("b", "//b[1]")]).collect()] == [(1, "b", 1), (4, "b", 1)]
+
+
+def test_kinds_that_nothing_becomes_are_not_walked_from(spark, monkeypatch):
+    from factloom.operators import graph, taint
+
+    rows = [(f"f{k}", f"m{k % 3}") for k in range(500)] + [("f0", "m1"), ("x", None), (None, "d")] + [(f"m{k}", f"m{(k + 1) % 6}") for k in range(6)]
+    ring = {f"m{k}" for k in range(6)}
+    want = {(a, b) for a in ring for b in ring} | {(f"f{k}", b) for k in range(500) for b in ring | {f"f{k}"}} | {("x", "x"), ("d", "d"), ("x", None)}
+    seen, real = [], graph.written
+    count = lambda df, name: (lambda out: seen.append(out.count()) or out)(real(df, name))
+    monkeypatch.setattr(graph, "written", count)
+    monkeypatch.setattr(taint, "written", count)
+    got = [tuple(r) for r in taint.kind_closure(spark.createDataFrame(rows, "a string, b string")).collect()]
+    assert set(got) == want and len(got) == len(want) and max(seen) < 1000
