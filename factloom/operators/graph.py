@@ -22,54 +22,63 @@ def reach(edges: DataFrame, sources: DataFrame, max_depth: int, max_visits: int
     called "depth_limit"."""
     if backward:
         edges = edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
-    edges = edges.select("src", "dst").where("src is not null and dst is not null").distinct()
-    frontier = sources.select("node").where("node is not null").distinct()
+    frontier = sources.select("node")
     if within is not None:
         edges = edges.join(within.select(F.col("node").alias("dst")).distinct(), "dst", "left_semi")
         frontier = frontier.join(within.select("node").distinct(), "node", "left_semi")
-    edges = written(edges, "edges")  # read in every round
-    visited = written(frontier.withColumn("depth", F.lit(0)), "reach")
-    frontier, depth, visits = visited, 0, visited.count() if max_visits is not None else 0
+    return _walk(_dealt_edges(edges), frontier, max_depth, max_visits, probe)
+
+
+def _dealt_edges(edges: DataFrame, n: int | None = None) -> Dealt:
+    """edges(src, dst) as distinct (node, dst) in buckets of their first end."""
+    edges = edges.where("src is not null and dst is not null").select(F.col("src").alias("node"), "dst")
+    return Dealt(edges, "edges", ["node"], n or buckets(edges.count()))
+
+
+def _walk(edges: Dealt, frontier: DataFrame, max_depth: int, max_visits: int | None = None, probe: bool = True) -> tuple[DataFrame, str]:
+    """reach() over dealt edges. What was visited stands in buckets as the edges do: a round shuffles only what it finds."""
+    at = lambda rows, depth: rows.select("node", F.lit(depth).alias("depth"))
+    visited = Dealt(at(frontier.where("node is not null"), 0), "reach", ["node"], edges.n, keys=["node"])
+    depth, visits = 0, visited.last.count() if max_visits is not None else 0
     while True:
         if depth == max_depth and not probe:
-            return visited, "depth_limit"
-        following = frontier.select(F.col("node").alias("src")).join(edges, "src").select(F.col("dst").alias("node")).distinct()
-        new = written(following.join(visited, "node", "left_anti").withColumn("depth", F.lit(depth + 1)), "reach")
-        if new.isEmpty():
-            return visited, "complete"
+            return visited.rows, "depth_limit"
+        following = visited.last.select("node").join(edges.rows, "node").select(F.col("dst").alias("node")).distinct()
         if depth == max_depth:
-            return visited, "depth_limit"
-        visited, frontier, depth = visited.unionByName(new), new, depth + 1
+            return visited.rows, "complete" if following.join(visited.rows, "node", "left_anti").isEmpty() else "depth_limit"
+        new = visited.add(at(following, depth + 1))
+        if new.isEmpty():
+            return visited.rows, "complete"
+        depth += 1
         if max_visits is not None:
             visits += new.count()
             if visits > max_visits:
-                return visited, "visit_limit"
+                return visited.rows, "visit_limit"
 
 
 def slice_between(edges: DataFrame, sources: DataFrame, sinks: DataFrame, max_depth: int) -> DataFrame:
     """(node, fwd_depth, bwd_depth) of the nodes on a way from a source to a sink: the backward walk is restricted to what
-    the forward walk found."""
-    forward, _ = reach(edges, sources, max_depth, probe=False)
-    backward, _ = reach(edges, sinks, max_depth, within=forward, backward=True, probe=False)
+    the forward walk found, whose edges stand in the same buckets."""
+    dealt = _dealt_edges(edges)
+    forward, _ = _walk(dealt, sources.select("node"), max_depth, probe=False)
+    nodes = forward.select("node")
+    back = _dealt_edges(dealt.rows.join(nodes, "node", "left_semi").select(F.col("dst").alias("src"), F.col("node").alias("dst")), dealt.n)
+    backward, _ = _walk(back, sinks.select("node").distinct().join(nodes, "node", "left_semi"), max_depth, probe=False)
     return forward.withColumnRenamed("depth", "fwd_depth").join(backward.withColumnRenamed("depth", "bwd_depth"), "node")
 
 
 def shortest_paths(edges: DataFrame, sources: DataFrame, max_depth: int) -> DataFrame:
     """(node, depth, path) of a shortest way from a source to each node; of several the one whose parents are smallest, seen
-    from the node."""
-    edges = written(edges.select("src", "dst").distinct(), "edges")
-    start = sources.select("node").distinct()
-    layer = written(start.select("node", F.lit(0).alias("depth"), F.array("node").alias("path")), "paths")
-    done = layer
+    from the node. Edges and what has a way stand in buckets; a round shuffles only what it finds."""
+    dealt = _dealt_edges(edges)
+    done = Dealt(sources.select("node", F.lit(0).alias("depth"), F.array("node").alias("path")), "paths", ["node"], dealt.n, keys=["node"])
     for depth in range(1, max_depth + 1):
-        ways = layer.select(F.col("node").alias("src"), "path").join(edges, "src")
-        best = ways.groupBy(F.col("dst").alias("node")).agg(F.min_by("path", "src").alias("before"))
-        best = best.join(done.select("node"), "node", "left_anti")
-        layer = written(best.select("node", F.lit(depth).alias("depth"), F.concat("before", F.array("node")).alias("path")), "paths")
-        if layer.isEmpty():
+        ways = done.last.select("node", "path").join(dealt.rows, "node")
+        best = ways.groupBy("dst").agg(F.min_by("path", "node").alias("before"))
+        best = best.select(F.col("dst").alias("node"), F.lit(depth).alias("depth"), F.concat("before", F.array("dst")).alias("path"))
+        if done.add(best).isEmpty():
             break
-        done = done.unionByName(layer)
-    return done
+    return done.rows
 
 
 def pointers(edges: DataFrame) -> DataFrame:

@@ -84,9 +84,10 @@ def buckets(rows: int) -> int:
 class Dealt:
     """Distinct rows in a table of the shared folder that is bucketed by the columns `by` and grows by rounds. Joins on these
     columns, or on them and others, with another table of as many buckets move neither; what a round finds is shuffled once, and
-    what was known before isn't shuffled again."""
+    what was known before isn't shuffled again. keys: a row whose keys are there isn't new, whatever else it says."""
 
-    def __init__(self, first: DataFrame, name: str, by: list[str], n: int):
+    def __init__(self, first: DataFrame, name: str, by: list[str], n: int, keys: list[str] | None = None):
+        self.keys = keys or first.columns
         self.spark, self.columns, self.by, self.n, self.round = first.sparkSession, first.columns, by, n, -1
         self.path = shared_folder(self.spark, name)
         self.name = self.path.rsplit("/", 1)[-1].replace("-", "_")
@@ -101,7 +102,7 @@ class Dealt:
         found = found.select(*self.columns)
         new = (found.repartition(self.n, *self.by) if moved else found).distinct()
         if self.round >= 0:
-            new = new.join(self.rows, self.columns, "left_anti")
+            new = new.join(self.rows.select(*self.keys), self.keys, "left_anti")
         self.round += 1
         out = new.withColumn("__round", F.lit(self.round)).write.mode("append").partitionBy("__round").bucketBy(self.n, *self.by)
         # buckets by some of a join's columns do for the join

@@ -298,3 +298,13 @@ def test_kinds_that_nothing_becomes_are_not_walked_from(spark, monkeypatch):
     monkeypatch.setattr(taint, "written", count)
     got = [tuple(r) for r in taint.kind_closure(spark.createDataFrame(rows, "a string, b string")).collect()]
     assert set(got) == want and len(got) == len(want) and max(seen) < 1000
+
+
+def test_walks_shuffle_what_is_new(spark, shuffled):
+    from factloom.operators import graph
+
+    edges = spark.range(3000).select(F.col("id").alias("src"), (F.col("id") + 1).alias("dst"))
+    one = lambda k: spark.createDataFrame([(k,)], "node long")
+    assert sorted(tuple(r) for r in graph.slice_between(edges, one(5), one(9), 5).collect()) == [(k, k - 5, 9 - k) for k in range(5, 10)]
+    assert sorted((r.node, r.depth, len(r.path)) for r in graph.shortest_paths(edges, one(5), 5).collect()) == [(k, k - 5, k - 4) for k in range(5, 11)]
+    assert shuffled() < 3 * 3000
