@@ -20,6 +20,9 @@ from factloom.session import Dealt, buckets, written
 
 ROUNDS = 1000
 
+#: Calls in a bucket: loops have many rounds, and each opens a task and files for every bucket.
+CALLS = 500_000
+
 
 class Program:
     """The tables of a program as loops read them, written once, rows with null ends left out. What belongs to a function is
@@ -30,7 +33,7 @@ class Program:
             return df.select(*columns).where(" and ".join(f"{c} is not null" for c in columns if c != "result"))
 
         calls = keep(calls, "call", "func", "callee", "result")
-        self.n = buckets(calls.count())
+        self.n = buckets(calls.count(), CALLS)
         dealt = lambda df, name, by: Dealt(df, name, [by], self.n).rows
         self.local = dealt(keep(local, "func", "src", "dst"), "local", "func")
         self.params, self.returns = dealt(keep(params, "func", "nth", "node"), "params", "func"), dealt(keep(returns, "func", "node"), "returns", "func")
@@ -53,24 +56,31 @@ class Program:
 
 def summaries(program: Program, rounds: int = ROUNDS) -> tuple[DataFrame, DataFrame]:
     """(func, nth) of the parameters that flow to what their function returns, through whatever it calls; and the edges
-    (func, src, dst, call) that this gives at call sites, from an actual to the result.
+    (func, src, dst, call) that this gives at call sites, from an actual to the result."""
+    paths, flows = tabulated(program, rounds)
+    ended = paths.rows.join(program.returns, ["func", "node"], "left_semi").select("func", "nth").distinct()
+    return ended, flows.rows.where("call is not null").select("func", F.col("node").alias("src"), F.col("next").alias("dst"), "call")
+
 
-    Tabulation: path facts (func, nth, node) say that a parameter reaches a node of its own function. They grow along local
-    edges and along summary edges; a path fact at a return is a summary, and a new summary is an edge at each site of its
-    function, from which the paths that were there already go on."""
+def tabulated(program: Program, rounds: int = ROUNDS) -> tuple[Dealt, Dealt]:
+    """Path facts (func, nth, node), that a parameter reaches a node of its own function, and the flows (func, node, next, call)
+    that they go along, both in buckets of functions.
+
+    Paths grow along local edges and along summary edges; a path fact at a return is a summary, and a new summary is an edge at
+    each site of its function, from which the paths that were there already go on. A round goes two steps within functions, which
+    moves nothing, as each round costs the same however little it finds."""
     flows = Dealt(program.local.select("func", F.col("src").alias("node"), F.col("dst").alias("next"), F.lit(None).cast(program.sites.schema["call"].dataType).alias("call")), "flows", ["func"], program.n)
     paths = Dealt(program.params.select("func", "nth", "node"), "paths", ["func"], program.n)
-    known, new, edges = None, paths.last, None
+    new, step = paths.last, lambda facts, along: facts.join(along, ["func", "node"]).select("func", "nth", F.col("next").alias("node"))
+    passed = program.given.where("result is not null")
     for _ in range(rounds):
-        ended = new.join(program.returns, ["func", "node"], "left_semi").select("func", "nth")
-        known = known or Dealt(ended.limit(0), "summaries", ["func"], program.n)
-        fresh = known.add(ended, moved=False)
         before = paths.rows
-        added = flows.add(program.given.where("result is not null").join(fresh.select(F.col("func").alias("callee"), "nth"), ["callee", "nth"]).select("func", "node", F.col("result").alias("next"), "call"))
-        on = new.join(flows.rows, ["func", "node"]).unionByName(before.join(added, ["func", "node"]))
-        new = paths.add(on.select("func", "nth", F.col("next").alias("node")))
+        ended = new.join(program.returns, ["func", "node"], "left_semi").select(F.col("func").alias("callee"), "nth").distinct()
+        added = flows.add(passed.join(ended, ["callee", "nth"]).select("func", "node", F.col("result").alias("next"), "call"))
+        on = step(new, flows.rows).unionByName(step(before, added))
+        new = paths.add(on.unionByName(step(on.distinct(), flows.rows)))
         if new.isEmpty():
-            return known.rows, flows.rows.where("call is not null").select("func", F.col("node").alias("src"), F.col("next").alias("dst"), "call")
+            return paths, flows
     raise NotFinished(f"summaries still grow after {rounds} rounds")
 
 
@@ -132,30 +142,16 @@ def heap_summaries(program: Program, stores: DataFrame, rounds: int = ROUNDS) ->
 
     stores(func, base, field, value) are writes. A write's ends are traced to parameters by the path facts of summaries(); a
     caller that gives both parameters on from its own has the effect as well."""
-    _, edges = summaries(program, rounds)
-    flat = program.local.select("func", F.col("src").alias("node"), F.col("dst").alias("next")).unionByName(edges.select("func", F.col("src").alias("node"), F.col("dst").alias("next")))
-    flat = written(flat.distinct(), "flat")
-    paths = written(program.params.select("func", "nth", "node"), "paths")
-    new = paths
-    for _ in range(rounds):
-        new = written(new.join(flat, ["func", "node"]).select("func", "nth", F.col("next").alias("node")).distinct().join(paths, ["func", "nth", "node"], "left_anti"), "paths")
-        if new.isEmpty():
-            break
-        paths = paths.unionByName(new)
-    else:
-        raise NotFinished(f"paths still grow after {rounds} rounds")
+    paths = tabulated(program, rounds)[0].rows
     by = lambda c, nth: paths.select("func", F.col("node").alias(c), F.col("nth").alias(nth))
-    known = written(stores.join(by("base", "nth"), ["func", "base"]).join(by("value", "from_nth"), ["func", "value"]).select("func", "nth", "field", "from_nth").distinct(), "effects")
+    known = Dealt(stores.join(by("base", "nth"), ["func", "base"]).join(by("value", "from_nth"), ["func", "value"]).select("func", "nth", "field", "from_nth"), "effects", ["func"], program.n)
     #: which parameter of a caller each parameter of a callee is, at each site
-    given = written(program.given.join(by("node", "own"), ["func", "node"]).select("call", "func", "callee", "nth", "own").distinct(), "passed")
-    new = known
+    given = Dealt(program.given.join(by("node", "own"), ["func", "node"]).select("call", "func", "callee", "nth", "own"), "passed", ["callee"], program.n).rows
+    start = given.select("call", "callee", F.col("nth").alias("from_nth"), F.col("own").alias("start"))
     for _ in range(rounds):
-        at = new.withColumnRenamed("func", "callee").join(given.select("call", "func", "callee", "nth", F.col("own").alias("to")), ["callee", "nth"])
-        at = at.join(given.select("call", F.col("nth").alias("from_nth"), F.col("own").alias("start")), ["call", "from_nth"])
-        new = written(at.select("func", F.col("to").alias("nth"), "field", F.col("start").alias("from_nth")).distinct().join(known, known.columns, "left_anti"), "effects")
-        if new.isEmpty():
-            return known
-        known = known.unionByName(new)
+        at = known.last.withColumnRenamed("func", "callee").join(given, ["callee", "nth"]).join(start, ["callee", "call", "from_nth"])
+        if known.add(at.select("func", F.col("own").alias("nth"), "field", F.col("start").alias("from_nth"))).isEmpty():
+            return known.rows
     raise NotFinished(f"effects still grow after {rounds} rounds")
 
 

@@ -77,8 +77,8 @@ def written(df: DataFrame, name: str) -> DataFrame:
 BUCKET_ROWS, BUCKETS = 100_000, 400
 
 
-def buckets(rows: int) -> int:
-    return min(BUCKETS, rows // BUCKET_ROWS + 1)
+def buckets(rows: int, each: int = BUCKET_ROWS) -> int:
+    return min(BUCKETS, rows // each + 1)
 
 
 class Dealt:

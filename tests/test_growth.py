@@ -308,3 +308,13 @@ def test_walks_shuffle_what_is_new(spark, shuffled):
     assert sorted(tuple(r) for r in graph.slice_between(edges, one(5), one(9), 5).collect()) == [(k, k - 5, 9 - k) for k in range(5, 10)]
     assert sorted((r.node, r.depth, len(r.path)) for r in graph.shortest_paths(edges, one(5), 5).collect()) == [(k, k - 5, k - 4) for k in range(5, 11)]
     assert shuffled() < 3 * 3000
+
+
+def test_effects_of_calls_use_the_paths_of_summaries(spark, deep, monkeypatch):
+    from factloom.operators import interprocedural
+
+    names, real = [], interprocedural.written
+    monkeypatch.setattr(interprocedural, "written", lambda df, name: names.append(name) or real(df, name))
+    found = interprocedural.heap_summaries(deep, spark.createDataFrame([(4, 16, "f", 19)], "func long, base long, field string, value long"))
+    assert {tuple(r) for r in found.collect()} == {(f, 0, "f", 0) for f in range(5)}
+    assert not names  # the path facts of summaries() are there and not found a second time
