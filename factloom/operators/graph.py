@@ -13,20 +13,20 @@ from pyspark.sql import functions as F
 from factloom.session import Dealt, buckets, ship, small, written
 
 
-def reach(edges: DataFrame, sources: DataFrame, max_depth: int, max_visits: int | None = None, within: DataFrame | None = None, backward: bool = False, probe: bool = True) -> tuple[DataFrame, str]:
+def reach(edges: DataFrame, sources: DataFrame, max_depth: int, max_visits: int | None = None, within: DataFrame | None = None, backward: bool = False, probe: bool = True, buckets: int | None = None) -> tuple[DataFrame, str]:
     """(node, depth) of all nodes reached from sources(node), with the number of edges on a shortest way, and the
     completeness: "complete", "depth_limit" or "visit_limit".
 
     The visit budget is applied to whole layers: the layer that exceeds it is the last. within(node) restricts the walk.
     probe: look past the depth limit to tell "complete" from "depth_limit"; without it a walk that meets the limit is
-    called "depth_limit"."""
+    called "depth_limit". buckets: of edges and nodes, where a caller knows better than by the number of edges."""
     if backward:
         edges = edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
     frontier = sources.select("node")
     if within is not None:
         edges = edges.join(within.select(F.col("node").alias("dst")).distinct(), "dst", "left_semi")
         frontier = frontier.join(within.select("node").distinct(), "node", "left_semi")
-    return _walk(_dealt_edges(edges), frontier, max_depth, max_visits, probe)
+    return _walk(_dealt_edges(edges, buckets), frontier, max_depth, max_visits, probe)
 
 
 def _dealt_edges(edges: DataFrame, n: int | None = None) -> Dealt:

@@ -15,6 +15,7 @@ from functools import cached_property
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from factloom.operators import graph
 from factloom.operators.congruence import NotFinished
 from factloom.session import Dealt, buckets, written
 
@@ -92,24 +93,19 @@ def reach_matched(program: Program, sources: DataFrame, edges: DataFrame | None
     With summary edges in place of calls and their returns, such a way first only leaves functions and then only enters them."""
     if edges is None:
         _, edges = summaries(program, rounds)
-    flat = program.local.select(F.col("src").alias("node"), F.col("dst").alias("next")).unionByName(edges.select(F.col("src").alias("node"), F.col("dst").alias("next")))
+    flat = program.local.select("src", "dst").unionByName(edges.select("src", "dst"))
     flat = written(flat.distinct(), "flat")
-    up = flat.unionByName(program.leave.select("node", "next"))
-    down = flat.unionByName(program.enter.select("node", "next"))
-    first = _reach(sources.select("node").where("node is not null").distinct(), up, rounds)
-    every = _reach(first, down, rounds)
+    between = lambda edges: edges.select(F.col("node").alias("src"), F.col("next").alias("dst"))
+    first = _reach(sources.select("node"), flat.unionByName(between(program.leave)), program.n, rounds)
+    every = _reach(first, flat.unionByName(between(program.enter)), program.n, rounds)
     return every.join(first.withColumn("outside", F.lit(True)), "node", "left").select("node", F.col("outside").isNull().alias("entered"))
 
 
-def _reach(start: DataFrame, edges: DataFrame, rounds: int) -> DataFrame:
-    seen = written(start, "reached")
-    new = seen
-    for _ in range(rounds):
-        new = written(new.join(edges, "node").select(F.col("next").alias("node")).distinct().join(seen, "node", "left_anti"), "reached")
-        if new.isEmpty():
-            return seen
-        seen = seen.unionByName(new)
-    raise NotFinished(f"more is reached after {rounds} rounds")
+def _reach(start: DataFrame, edges: DataFrame, n: int, rounds: int) -> DataFrame:
+    found, state = graph.reach(edges, start, rounds, buckets=n)
+    if state != "complete":
+        raise NotFinished(f"more is reached after {rounds} rounds")
+    return found.select("node")
 
 
 def reach_in_strings(program: Program, sources: DataFrame, sites: int, rounds: int = ROUNDS) -> DataFrame:

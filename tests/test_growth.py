@@ -318,3 +318,14 @@ def test_effects_of_calls_use_the_paths_of_summaries(spark, deep, monkeypatch):
     found = interprocedural.heap_summaries(deep, spark.createDataFrame([(4, 16, "f", 19)], "func long, base long, field string, value long"))
     assert {tuple(r) for r in found.collect()} == {(f, 0, "f", 0) for f in range(5)}
     assert not names  # the path facts of summaries() are there and not found a second time
+
+
+def test_matched_ways_shuffle_what_is_new(spark, deep, shuffled):
+    from factloom.operators import interprocedural
+
+    edges = spark.createDataFrame([(f, 4 * f, 4 * f + 3) for f in range(4)], "func long, src long, dst long")
+    starts = spark.createDataFrame([(0,)] + [(4 * f,) for f in range(100, 2100)], "node long")
+    got = {(r.node, r.entered) for r in interprocedural.reach_matched(deep, starts, edges).collect()}
+    chain = {(0, False), (3, False)} | {(4 * f + k, True) for f in range(1, 5) for k in (0, 3)}
+    assert got == chain | {(4 * f + k, False) for f in range(100, 2100) for k in (0, 2)}
+    assert shuffled() < 30 * 2000
