@@ -329,3 +329,15 @@ def test_matched_ways_shuffle_what_is_new(spark, deep, shuffled):
     chain = {(0, False), (3, False)} | {(4 * f + k, True) for f in range(1, 5) for k in (0, 3)}
     assert got == chain | {(4 * f + k, False) for f in range(100, 2100) for k in (0, 2)}
     assert shuffled() < 30 * 2000
+
+
+def test_what_starts_reach_moves_as_two_bytes_each(spark, monkeypatch):
+    from factloom.operators import graph
+
+    seen, real = {}, graph.written
+    monkeypatch.setattr(graph, "written", lambda df, name: seen.update({name: df.dtypes}) or real(df, name))
+    edges = spark.range(70_000).select(F.lit("hub").alias("src"), F.concat(F.lit("s"), "id").alias("dst")).unionByName(spark.createDataFrame([("o1", "hub"), ("o2", "s69999")], "src string, dst string"))
+    found = graph.reaches(edges, spark.createDataFrame([("o1",), ("o2",)], "node string"), spark.range(70_000).coalesce(1).select(F.concat(F.lit("s"), "id").alias("node")), 2)
+    rows = found.groupBy("node").agg(F.count_distinct("target"), F.count("*"), F.min("steps"), F.max("steps")).collect()
+    assert {tuple(r) for r in rows} == {("o1", 70_000, 70_000, 2, 2), ("o2", 1, 1, 1, 1)}
+    assert ("places", "array<smallint>") in seen["lots"]
