@@ -341,3 +341,13 @@ def test_what_starts_reach_moves_as_two_bytes_each(spark, monkeypatch):
     rows = found.groupBy("node").agg(F.count_distinct("target"), F.count("*"), F.min("steps"), F.max("steps")).collect()
     assert {tuple(r) for r in rows} == {("o1", 70_000, 70_000, 2, 2), ("o2", 1, 1, 1, 1)}
     assert ("places", "array<smallint>") in seen["lots"]
+
+
+def test_the_last_level_of_shapes_is_not_written(spark, monkeypatch):
+    from factloom.operators import congruence
+
+    seen = _watched(monkeypatch, congruence)
+    cells = spark.createDataFrame([(0, "o", "a", "p")] + [(0, "p", "b", f"t{k}") for k in range(50)], "func int, base string, field string, value string")
+    found, more = congruence.object_shapes(cells, spark.createDataFrame([(0, "o")], "func int, root string"), depth=2)
+    assert sorted((r.shape, r.steps) for r in found.collect()) == [("", 0), ("a", 1)] + [("a.b", 2)] * 50 and more.isEmpty()
+    assert sum(n for name, n in seen if name == "shapes") == 2
